@@ -50,3 +50,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestream-checkpoints-"))
     return df.checkpoint(eager=True)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row.
+
+    A column that a lambda refers to may be inlined by the optimizer and then evaluated for every
+    element; bound as a lambda variable it is not.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

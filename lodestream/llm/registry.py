@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality_rules, sharding
 
 QUERIES = {
     "op7_mixing": mixing.op7_mixing,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
     "op9_sharding": sharding.op9_sharding,
 }
 
