@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import chat, line_dedup, mixing, quality_rules, sharding
 
 QUERIES = {
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_chat_rotation": chat.op6_chat_rotation,
     "op7_mixing": mixing.op7_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLE_SQL = {
+    "op5_line_dedup": line_dedup.OP5_SQL,
+    "op6_chat_rotation": chat.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
 }
