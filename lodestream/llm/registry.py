@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, mixing, quality_rules, sharding
+from . import chat, line_dedup, mixing, near_dedup, quality_rules, sharding
 
 QUERIES = {
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_chat_rotation": chat.op6_chat_rotation,
     "op7_mixing": mixing.op7_mixing,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_chat_rotation": chat.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
