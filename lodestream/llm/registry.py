@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, mixing, near_dedup, quality_rules, sharding
+from . import chat, decontaminate, line_dedup, mixing, near_dedup, quality_rules, sharding
 
 QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_chat_rotation": chat.op6_chat_rotation,
     "op7_mixing": mixing.op7_mixing,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sharding": sharding.op9_sharding,
 }
 
