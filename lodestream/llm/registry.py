@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, mixing, near_dedup, quality_rules, sharding
+from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality_rules, sharding
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_chat_rotation": chat.op6_chat_rotation,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_language_id": langid.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_chat_rotation": chat.OP6_SQL,
