@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality_rules, sharding
+from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality_knn, quality_rules, sharding
 
 QUERIES = {
+    "op1_quality_knn": quality_knn.op1_quality_knn,
     "op3_language_id": langid.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
