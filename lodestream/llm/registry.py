@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, line_dedup, mixing, near_dedup, quality_knn, quality_rules, sharding
+from . import chat, decontaminate, langid, line_dedup, maxent_lm, mixing, near_dedup, quality_knn, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_knn": quality_knn.op1_quality_knn,
+    "op2_lm_score": maxent_lm.op2_lm_score,
     "op3_language_id": langid.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.op5_line_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_lm_score": maxent_lm.op2_lm_score,
     "op3_language_id": langid.op3_language_id,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_line_dedup": line_dedup.OP5_SQL,
