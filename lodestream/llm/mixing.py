@@ -120,8 +120,9 @@ def mix(
     )
     side = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
     joined = drawn.drop("source_size", "target").join(side, F.col("__ls_src").eqNullSafe(F.col("__ls_name")))
+    drawing = F.col("__ls_rest") > 0  # else not even documents without words are drawn
     decided = joined.filter(F.col("__ls_block") != F.col("__ls_edge_block")).withColumn(
-        "__ls_more", (F.col("__ls_block") < F.col("__ls_edge_block")).cast("long")
+        "__ls_more", (drawing & (F.col("__ls_block") < F.col("__ls_edge_block"))).cast("long")
     )
     ratio = odds / (F.col("__ls_p") / (1 - F.col("__ls_p")))
     order = Window.partitionBy("__ls_src").orderBy(
@@ -129,7 +130,7 @@ def mix(
     ).rowsBetween(Window.unboundedPreceding, -1)
     reached = F.col("__ls_edge_before") + F.coalesce(F.sum(F.col(size)).over(order), F.lit(0))
     at_edge = joined.filter(F.col("__ls_block") == F.col("__ls_edge_block")).withColumn(
-        "__ls_more", (reached + F.col(size) / 2 <= F.col("__ls_rest")).cast("long")
+        "__ls_more", (drawing & (reached + F.col(size) / 2 <= F.col("__ls_rest"))).cast("long")
     )
     both = decided.unionByName(at_edge)
     return (
@@ -166,7 +167,7 @@ q AS (SELECT d.doc_id, d.size, d.source, p.source_size, p.target, p.whole, targe
     coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, size, source, source_size, target,
-  (whole + CASE WHEN reached + size / 2.0 <= left_over THEN 1 ELSE 0 END)::BIGINT AS copies,
-  ((whole + CASE WHEN reached + size / 2.0 <= left_over THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+  (whole + CASE WHEN left_over > 0 AND reached + size / 2.0 <= left_over THEN 1 ELSE 0 END)::BIGINT AS copies,
+  ((whole + CASE WHEN left_over > 0 AND reached + size / 2.0 <= left_over THEN 1 ELSE 0 END) * size)::BIGINT AS taken
 FROM q
 """

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import chat, decontaminate, langid, line_dedup, maxent_lm, mixing, near_dedup, quality_knn, quality_rules, sharding
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_quality_knn": quality_knn.op1_quality_knn,
     "op2_lm_score": maxent_lm.op2_lm_score,
     "op3_language_id": langid.op3_language_id,
