@@ -1 +1,233 @@
-"""To come."""
+"""Parsing and text-shaping queries."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import parsing as ps
+from ..functions import text as tx
+from ..functions import timefns as tm
+from ..sources.tables import events_as_intervals, load
+from .registry import query
+
+_TOKEN_SQL = "lpad((sod // 3600000)::VARCHAR, 2, '0') || lpad((sod // 60000 % 60)::VARCHAR, 2, '0') || lpad((sod // 1000 % 60)::VARCHAR, 2, '0') || lpad((sod // 10 % 100)::VARCHAR, 2, '0')"
+_EVENTS_SQL = f"WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 86400000000 - 19722 AS day, epoch_us(ts) // 1000 % 86400000 AS sod FROM events), k AS (SELECT *, {_TOKEN_SQL} AS token FROM e) "
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the HHMMSScc token of their clock time."""
+    digits = F.regexp_replace(F.substring(tm.millis_clock("sod_ms"), 1, 11), "[:.]", "")
+    return events_as_intervals(spark, sf_dir).select("event_id", "user_id", "event_type", (F.col("day") - 19722).alias("day"), digits.alias("token"))
+
+
+@query("time_token", _EVENTS_SQL + """
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN -1 ELSE sod // 10 * 10 END AS strict_ms, CASE WHEN event_id % 10 = 0 THEN sod // 1000 * 1000 ELSE sod // 10 * 10 END AS loose_ms,
+  sod // 10 * 10 AS clock_ms FROM k""")
+def time_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens parsed by the strict and the loose rule and as a clock; every tenth lacks its hundredths."""
+    t = _tokens(spark, sf_dir)
+    shown = F.when(F.col("event_id") % 10 == 0, F.substring("token", 1, 6)).otherwise(F.col("token"))
+    two = lambda i: F.substring("token", i, 2)
+    clock = F.concat(two(1), F.lit(":"), two(3), F.lit(":"), two(5), F.lit("."), two(7))
+    return t.withColumn("shown", shown).select(
+        "event_id", F.coalesce(tm.token_millis("shown"), F.lit(-1)).alias("strict_ms"), tm.loose_token_millis("shown").alias("loose_ms"), tm.clock_millis(clock).alias("clock_ms")
+    )
+
+
+@query("path_parse", _EVENTS_SQL + """
+SELECT event_id, day::INTEGER AS day, user_id::INTEGER AS agent_id, 'Agent' AS agent, token FROM k WHERE event_id % 4 <> 0""")
+def path_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clip paths taken apart; every fourth has directories that contradict its name and is left out."""
+    agent = F.concat(F.lit("A"), F.col("user_id").cast("string"), F.lit("_AGENT"))
+    day = F.concat(F.lit("DAY"), F.col("day").cast("string"))
+    wrong = F.when(F.col("event_id") % 4 == 0, F.concat(day, F.lit("0"))).otherwise(day)
+    path = F.concat_ws("/", agent, wrong, F.concat(F.concat_ws("_", day, agent, "token"), F.lit(".mp4")))
+    parsed = _tokens(spark, sf_dir).select("event_id", ps.clip_path(path).alias("p")).filter("p is not null")
+    return parsed.select("event_id", "p.day", "p.agent_id", "p.agent", "p.token")
+
+
+@query("context_parse", _EVENTS_SQL + """
+, w AS (SELECT user_id, day, min(sod // 1000 * 1000) AS start_ms, max(sod // 1000 * 1000) + 30000 AS end_ms, count(*) AS n, count(DISTINCT event_type) AS kinds FROM k GROUP BY user_id, day),
+f AS (SELECT user_id, min(day) AS day FROM w GROUP BY user_id)
+SELECT user_id, day::INTEGER AS day, start_ms, CASE WHEN end_ms >= 86400000 THEN start_ms ELSE end_ms END AS end_ms, n, CASE WHEN n > 1 THEN 'multi' ELSE 'single' END AS status FROM w JOIN f USING (user_id, day)""")
+def context_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free text of windows per user parsed to the span of its first day."""
+    e = events_as_intervals(spark, sf_dir)
+    clock = lambda ms: F.substring(tm.millis_clock(ms), 1, 8)
+    end = F.when(F.col("sod_ms") + 30_000 >= tm.DAY_MS, F.col("sod_ms")).otherwise(F.col("sod_ms") + 30_000)
+    line = F.concat(F.lit("DAY"), (F.col("day") - 19722).cast("string"), F.lit(" "), clock(F.col("sod_ms")), F.lit(" - "), clock(end), F.lit(", someone: text"))
+    written = e.groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    windows = written.select("user_id", F.explode(ps.context_windows("text")).alias("w"))
+    spans = windows.groupBy("user_id", F.col("w.day").alias("day")).agg(
+        F.min(tm.clock_millis("w.start")).alias("start_ms"), F.max(tm.clock_millis("w.end")).alias("end_ms"), F.count("*").alias("n")
+    )
+    first = spans.groupBy("user_id").agg(F.min_by(F.struct("day", "start_ms", "end_ms", "n"), "day").alias("s")).select("user_id", "s.*")
+    return first.withColumn("status", F.when(F.col("n") > 1, "multi").otherwise("single"))
+
+
+@query("regex_extract_all", r"""
+SELECT page_id, len(regexp_extract_all(html, '<a href="([^"]+)"', 1))::BIGINT AS links, list_aggregate(regexp_extract_all(html, '<a href="([^"]+)"', 1), 'min') AS first_link FROM pages""")
+def regex_extract_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = F.regexp_extract_all("html", F.lit('<a href="([^"]+)"'), F.lit(1))
+    return load(spark, sf_dir, "pages").select("page_id", F.size(links).cast("long").alias("links"), F.array_min(links).alias("first_link"))
+
+
+@query("coerce_default", """
+WITH r AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 7 = 0 THEN 'x1' ELSE value::VARCHAR END AS field FROM events)
+SELECT event_id, coalesce(trunc(try_cast(field AS DOUBLE)), -1)::BIGINT AS whole, coalesce(try_cast(field AS DOUBLE), 0.5) AS number FROM r""")
+def coerce_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = F.when(F.col("event_id") % 5 == 0, "").when(F.col("event_id") % 7 == 0, "x1").otherwise(F.col("value").cast("string"))
+    rows = load(spark, sf_dir, "events").select("event_id", field.alias("field"))
+    return rows.select("event_id", ps.truncated_int_or("field", -1).alias("whole"), ps.number_or("field", 0.5).alias("number"))
+
+
+@query("text_normalize", r"""
+WITH n AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, lower(t) AS plain, CASE WHEN len(t) > 80 THEN rtrim(substr(t, 1, 77)) || '...' ELSE t END AS short FROM n""")
+def text_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tx.collapse_blanks("text")
+    return load(spark, sf_dir, "documents").select("doc_id", F.lower(t).alias("plain"), tx.shorten(t, 80).alias("short"))
+
+
+@query("stable_id", """
+SELECT page_id, replace(replace(concat_ws('_', nullif(split_part(url, '/', 4), ''), nullif(split_part(url, '/', 5), ''), page_id::VARCHAR, 'a b/c'), '/', '-'), ' ', '_') AS id FROM pages""")
+def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda i: F.split_part("url", F.lit("/"), F.lit(i))
+    return load(spark, sf_dir, "pages").select("page_id", ps.stable_id(part(4), part(5), "page_id", F.lit("a b/c")).alias("id"))
+
+
+@query("natural_sort", """
+SELECT source, row_number() OVER (ORDER BY try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), source)::INTEGER AS place FROM (SELECT DISTINCT source FROM documents)""")
+def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids in the order of the number they end with; ids are few, rows are not ordered here."""
+    from pyspark.sql import Window
+
+    ids = load(spark, sf_dir, "documents").select("source").distinct()
+    return ids.withColumn("place", F.row_number().over(Window.orderBy(ps.trailing_number("source"), "source")))
+
+
+@query("prediction_normalize", """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE -1 END AS strict, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE -1 END AS loose FROM events""")
+def prediction_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Free-text replies as the index of the choice they name, by both rules."""
+    k = F.col("event_id") % 4
+    reply = F.when(k == 0, "**B** because").when(k == 1, "Option c").when(k == 2, "the answer is d here").otherwise("zzz")
+    rows = load(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
+    return rows.select("event_id", *[F.coalesce(f("reply"), F.lit(-1)).cast("int").alias(n) for n, f in (("strict", tx.choice_strict), ("loose", tx.choice_loose))])
+
+
+@query("json_extract", """
+SELECT event_id, CASE WHEN event_id % 3 = 2 THEN -1 ELSE (props::JSON ->> '$.k')::INTEGER END AS k, event_id % 3 <> 2 AS parsed FROM events""")
+def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON object found in a reply: fenced, bare or broken."""
+    k = F.col("event_id") % 3
+    reply = (
+        F.when(k == 0, F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```\nDone.")))
+        .when(k == 1, F.concat(F.lit("answer "), "props", F.lit(" end"))).otherwise(F.lit("{broken"))
+    )
+    parsed = F.from_json(ps.json_block("reply"), "k int")
+    rows = load(spark, sf_dir, "events").select("event_id", reply.alias("reply")).select("event_id", parsed.alias("j"))
+    return rows.select("event_id", F.coalesce("j.k", F.lit(-1)).alias("k"), F.col("j").isNotNull().alias("parsed"))
+
+
+@query("memory_index", """
+WITH m AS (SELECT doc_id, source, lang, trim(text) AS caption, CASE WHEN doc_id % 9 = 0 THEN -1 ELSE doc_id * 30 END AS start_s FROM documents)
+SELECT 'M' || lpad((row_number() OVER (ORDER BY lang, source, doc_id) - 1)::VARCHAR, 6, '0') AS memory_id, doc_id, source AS agent, start_s, start_s + 30 AS end_s FROM m WHERE start_s >= 0 AND caption <> ''""")
+def memory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions keyed by clip, exploded from maps, with sentinels dropped and ids in a fixed order.
+
+    Ids count rows before each (lang, source), then within it, so no task orders the whole table.
+    """
+    from pyspark.sql import Window
+
+    docs = load(spark, sf_dir, "documents")
+    start = F.when(F.col("doc_id") % 9 == 0, F.lit("-1")).otherwise((F.col("doc_id") * 30).cast("string"))
+    maps = docs.select("source", "lang", F.create_map(F.concat_ws("|", F.col("doc_id").cast("string"), start), F.col("text")).alias("captions"))
+    rows = maps.select("source", "lang", F.explode("captions").alias("key", "caption")).select(
+        "source", "lang", F.split_part("key", F.lit("|"), F.lit(1)).cast("long").alias("doc_id"),
+        F.coalesce(F.split_part("key", F.lit("|"), F.lit(2)).try_cast("long"), F.lit(-1)).alias("start_s"), "caption",
+    ).filter((F.col("start_s") >= 0) & (F.btrim("caption") != ""))
+    groups = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("lang", "source").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id")) - 1
+    numbered = rows.withColumn("place", place).join(groups.withColumn("before", before).drop("n"), ["lang", "source"])
+    memory_id = F.concat(F.lit("M"), F.lpad((F.col("before") + F.col("place")).cast("string"), 6, "0"))
+    return numbered.select(memory_id.alias("memory_id"), "doc_id", F.col("source").alias("agent"), "start_s", (F.col("start_s") + 30).alias("end_s"))
+
+
+@query("nested_explode_concat", """
+SELECT conv_id, turn, conv_id || '-' || turn AS key, role || ': ' || substr(text, 1, 30) AS entry FROM conversations""")
+def nested_explode_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of structs taken apart to one entry each, keyed by document and position."""
+    nested = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("memory"))
+    entries = nested.select("conv_id", F.explode("memory").alias("m"))
+    return entries.select(
+        "conv_id", "m.turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("m.turn").cast("string")).alias("key"),
+        F.concat(F.col("m.role"), F.lit(": "), F.substring("m.text", 1, 30)).alias("entry"),
+    )
+
+
+@query("nested_flatten", """
+SELECT event_id, (props::JSON ->> '$.k')::INTEGER AS "k", event_type || ';' || user_id AS tags, coalesce(props::JSON ->> '$.missing', 'none') AS missing FROM events""")
+def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested document as one flat row: dotted paths with defaults, arrays joined."""
+    inner = F.from_json("props", "k int, missing string")
+    packed = F.struct(inner.alias("props"), F.array("event_type", F.col("user_id").cast("string")).alias("tags"))
+    rows = load(spark, sf_dir, "events").select("event_id", packed.alias("d"))
+    return rows.select("event_id", F.col("d.props.k").alias("k"), F.array_join("d.tags", ";").alias("tags"), F.coalesce("d.props.missing", F.lit("none")).alias("missing"))
+
+
+def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int = 10) -> DataFrame:
+    """(id, n, speaker, stamp, text): text-like strings of JSON of any depth, in order.
+
+    ``speaker`` and ``timestamp`` of an object hold for everything below it. A value under a text
+    key is emitted once; other strings if they are longer than ``longer_than``. Depth has no bound, so
+    rows pass through Python in Arrow batches; broken JSON gives no row.
+    """
+    text_keys, speaker_keys, stamp_keys = {"text", "transcript", "utterance", "caption", "sentence"}, ("speaker", "name", "role"), ("timestamp", "start", "turn")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        def visit(node, speaker, stamp, key, out):
+            stack = [(node, speaker, stamp, key)]
+            while stack:
+                node, speaker, stamp, key = stack.pop()
+                if isinstance(node, dict):
+                    speaker = next((str(node[k]) for k in speaker_keys if isinstance(node.get(k), (str, int))), speaker)
+                    stamp = next((str(node[k]) for k in stamp_keys if isinstance(node.get(k), (str, int, float))), stamp)
+                    taken = {*speaker_keys, *stamp_keys}
+                    stack += [(v, speaker, stamp, k) for k, v in reversed(node.items()) if k not in taken]
+                elif isinstance(node, list):
+                    stack += [(v, speaker, stamp, key) for v in reversed(node)]
+                elif isinstance(node, str) and (key in text_keys or len(node) > longer_than):
+                    out.append((speaker, stamp, node))
+
+        for batch in batches:
+            ids, numbers, found = [], [], []
+            for row_id, text in zip(batch[id_col], batch[json_col]):
+                out: list = []
+                try:
+                    visit(json.loads(text or "null"), None, None, None, out)
+                except ValueError:
+                    continue
+                ids += [row_id] * len(out)
+                numbers += range(len(out))
+                found += out
+            yield pd.DataFrame({id_col: ids, "n": numbers, "speaker": [f[0] for f in found], "stamp": [f[1] for f in found], "text": [f[2] for f in found]})
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return rows.select(id_col, json_col).mapInPandas(run, f"{id_col} {kind}, n long, speaker string, stamp string, text string")
+
+
+@query("json_flatten_text", """
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n, role AS speaker, turn::VARCHAR AS stamp, text FROM conversations""")
+def json_flatten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as nested JSON and flattened again."""
+    line = F.struct("turn", "role", F.struct("text").alias("body"))
+    packed = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(line)).alias("items"))).alias("doc"))
+    return flatten_json(packed, "conv_id", "doc")
