@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -190,7 +190,7 @@ def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int =
     """
     text_keys, speaker_keys, stamp_keys = {"text", "transcript", "utterance", "caption", "sentence"}, ("speaker", "name", "role"), ("timestamp", "start", "turn")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
 
         def visit(node, speaker, stamp, key, out):
@@ -208,20 +208,24 @@ def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int =
                     out.append((speaker, stamp, node))
 
         for batch in batches:
-            ids, numbers, found = [], [], []
-            for row_id, text in zip(batch[id_col], batch[json_col]):
+            at, numbers, found = [], [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
                 out: list = []
                 try:
                     visit(json.loads(text or "null"), None, None, None, out)
                 except ValueError:
                     continue
-                ids += [row_id] * len(out)
+                at += [i] * len(out)
                 numbers += range(len(out))
                 found += out
-            yield pd.DataFrame({id_col: ids, "n": numbers, "speaker": [f[0] for f in found], "stamp": [f[1] for f in found], "text": [f[2] for f in found]})
+            text_columns = [pa.array([f[j] for f in found], pa.string()) for j in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), *text_columns],
+                [id_col, "n", "speaker", "stamp", "text"],
+            )
 
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, json_col).mapInPandas(run, f"{id_col} {kind}, n long, speaker string, stamp string, text string")
+    return rows.select(id_col, json_col).mapInArrow(run, f"{id_col} {kind}, n long, speaker string, stamp string, text string")
 
 
 @query("json_flatten_text", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -279,12 +279,12 @@ def fuzzy_ratio(pairs: DataFrame, needle: str, text: str) -> DataFrame:
     The ratio has no SQL form, so rows pass through Python in Arrow batches.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from difflib import SequenceMatcher
 
         for batch in batches:
             scores = []
-            for terms, body in zip(batch[needle], batch[text]):
+            for terms, body in zip(batch.column(needle).to_pylist(), batch.column(text).to_pylist()):
                 words = sorted(set((body or "").lower().split()))
                 score = 0
                 for term in dict.fromkeys((terms or "").lower().split()):
@@ -298,10 +298,10 @@ def fuzzy_ratio(pairs: DataFrame, needle: str, text: str) -> DataFrame:
                             score += 1
                             break
                 scores.append(score)
-            yield batch.assign(fuzzy_score=scores)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.int64())], [*batch.schema.names, "fuzzy_score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return pairs.mapInPandas(run, f"{fields}, fuzzy_score long")
+    return pairs.mapInArrow(run, f"{fields}, fuzzy_score long")
 
 
 @query("fuzzy_score")
