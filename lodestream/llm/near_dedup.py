@@ -13,14 +13,16 @@ Joining. ``bands`` groups of ``rows`` coordinates are hashed to bucket keys. Tex
 are compared exactly on their shingle multisets and linked at ``threshold`` (0.8) or more. With 36
 bands of 7 rows a pair at 0.8 is missed with probability 0.0002, one at 0.85 with 3e-6.
 
-Hot buckets. Exact copies are one text throughout and never expanded. A bucket of up to
-``ALL_PAIRS`` texts is compared in full. A larger one is worked off in rounds: its texts are
-compared with 16 pivots. A text that matches a pivot leaves the bucket: other texts matching that
-pivot are in its class already, and of those that don't, the triangle inequality of Jaccard distance
-rules out all but a few, which are compared with it one by one. Rounds go on with the texts that
-match no pivot until no bucket is large, so no link between different texts is given up.
+Hot buckets. Exact copies are one text throughout and never expanded. Classes are the connected
+components of the links, so a pair inside a component needs no comparison. Where a bucket has at
+most ``PAIRS_PER_TEXT`` open pairs for each of its texts, all of them are compared. A larger bucket
+is first dealt by hash into parts of about ``PART_TEXTS``, compared within these, and looked at again
+when components are known: a family of near copies has then grown together. After
+``SAMPLED_ROUNDS`` such rounds every pair still open is compared, unless a sketch of the two texts,
+counts of their common items by hash class, bounds their similarity below the threshold. So the
+classes are those of all links between texts that share a bucket.
 
-Classes are the connected components of the links; a class's id is its least doc_id.
+A class's id is its least doc_id.
 
 Scale: signatures are computed where the text is read; only keys travel. Texts are shuffled once,
 and only shingles of texts that share a bucket are kept. Everything is checkpointed to the shared
@@ -49,9 +51,10 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS = 36
 ROWS = 7
-ALL_PAIRS = 32
-PIVOTS = 16
-SALTS = 64
+PAIRS_PER_TEXT = 8
+PART_TEXTS = 3
+SAMPLED_ROUNDS = 1
+SKETCH = 64
 
 
 def _poisson_cdf(mean: float) -> np.ndarray:
@@ -173,6 +176,17 @@ def _shingles(width: int):
     return run
 
 
+def _sketches(shingles: DataFrame) -> DataFrame:
+    """(tid, n_items, sketch): for texts with items that another of these texts has as well, how many
+    of those fall into each of ``SKETCH`` hash classes. Two texts share at most the sum of the lesser
+    counts of every class."""
+    items = shingles.select("tid", F.size("items").alias("n_items"), F.explode("items").alias("item"))
+    common = items.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1").select("item")
+    where = F.pmod("item", F.lit(SKETCH))
+    counts = F.array(*[F.count_if(where == k) for k in range(SKETCH)])
+    return items.join(common, "item").groupBy("tid", "n_items").agg(counts.alias("sketch"))
+
+
 def _similarities(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     """Pairs (a, b) with the exact similarity of their shingle multisets."""
     left = shingles.select(F.col("tid").alias("a"), F.col("items").alias("ia"))
@@ -181,78 +195,58 @@ def _similarities(pairs: DataFrame, shingles: DataFrame) -> DataFrame:
     return both.select("a", "b", (F.col("shared") / (F.size("ia") + F.size("ib") - F.col("shared"))).alias("sim"))
 
 
-def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """(key, a, b): every member b of a large bucket with each of its pivots a, the least tids.
-
-    The least of each of many salted parts of a bucket are found first, then the least of those, so
-    a bucket is never ordered in one task.
-    """
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("tid", F.lit("pivot")), F.lit(SALTS)))
-    within = Window.partitionBy("key", "salt").orderBy("tid")
-    across = Window.partitionBy("key").orderBy("tid")
-    pivots = (
-        salted.withColumn("n", F.row_number().over(within)).filter(F.col("n") <= PIVOTS)
-        .withColumn("n", F.row_number().over(across)).filter(F.col("n") <= PIVOTS)
-        .select("key", F.col("tid").alias("a"))
-    )
-    return members.select("key", F.col("tid").alias("b")).join(pivots, "key").filter("a <> b")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-
-def _after_round(spread: DataFrame, found: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
-    """What large buckets still have to compare: (members left, single pairs).
+def _open_buckets(members: DataFrame, component: DataFrame | None) -> DataFrame:
+    """(key, tid, c, n, cross) of the buckets that hold texts of different components c.
 
-    A member matched by a pivot leaves the bucket: others that match the same pivot are in its class
-    already, and of those that don't, only the ones the triangle inequality leaves open are
-    compared with it. Members without a match stay for the next round, the pivots go.
+    n is the number of texts in the bucket, cross that of its pairs with different components.
     """
-    judged = checkpointed(
-        spread.join(found.withColumnsRenamed({"a": "lo", "b": "hi"}), (F.least("a", "b") == F.col("lo")) & (F.greatest("a", "b") == F.col("hi")))
-        .select("key", F.col("a").alias("pivot"), F.col("b").alias("tid"), (1 - F.col("sim")).alias("d"))
-    )
-    best = judged.groupBy("key", "tid").agg(F.min(F.struct("d", "pivot")).alias("near"))
-    pivots = judged.select("key", F.col("pivot").alias("tid")).distinct()
-    others = best.join(pivots, ["key", "tid"], "left_anti")
-    left = others.filter(F.col("near.d") > far).select("key", "tid")
-    matched = others.filter(F.col("near.d") <= far).select("key", F.col("near.pivot").alias("pivot"), F.col("tid").alias("a"), F.col("near.d").alias("da"))
-    beyond = judged.filter((F.col("d") > far) & (F.col("d") <= 2 * far + 1e-9)).select("key", "pivot", F.col("tid").alias("b"), F.col("d").alias("db"))
-    nearest = beyond.groupBy("key", "pivot").agg(F.min("db").alias("least"))
-    matched = matched.join(nearest, ["key", "pivot"]).filter(F.col("da") >= F.col("least") - far - 1e-9).drop("least")
-    border = matched.join(beyond, ["key", "pivot"]).filter(F.col("db") <= F.col("da") + far + 1e-9)
-    return left, _ordered(border.select("a", "b")).distinct()
-
-
-def near_links(texts: DataFrame, threshold: float, bands: int, rows: int, width: int) -> DataFrame:
-    """Links (u, v) between different texts of (tid, text), enough to give their classes."""
+    if component is None:  # every text is a component
+        sizes = members.groupBy("key").agg(F.count("*").alias("n")).withColumn("same", F.col("n"))
+        labelled = members.withColumn("c", F.col("tid"))
+    else:
+        labelled = members.join(component, "tid", "left").withColumn("c", F.coalesce("component", "tid")).drop("component")
+        parts = labelled.groupBy("key", "c").agg(F.count("*").alias("m"))
+        sizes = parts.groupBy("key").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    cross = (F.col("n").cast("double") * F.col("n") - F.col("same")) / 2
+    return labelled.join(sizes.withColumn("cross", cross).filter("cross > 0").drop("same"), "key")
+
+
+def near_components(texts: DataFrame, threshold: float, bands: int, rows: int, width: int) -> DataFrame:
+    """(tid, component) of all texts of (tid, text) with a link to a different text."""
     signed = checkpointed(texts.mapInArrow(_sign(bands, rows, width), "tid long, keys array<long>").dropDuplicates(["tid"]))
     placed = signed.select(F.explode("keys").alias("key"), "tid")
     shared = placed.groupBy("key").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).filter("lo <> hi").select("key")
     members = checkpointed(placed.join(shared, "key"))
     chosen = texts.join(members.select("tid").distinct(), "tid", "left_semi")
     shingles = checkpointed(chosen.mapInArrow(_shingles(width), "tid long, items array<long>").dropDuplicates(["tid"]))
-    links, border = None, None
-    while True:
-        sized = members.join(members.groupBy("key").agg(F.count("*").alias("size")), "key")
-        small = sized.filter(F.col("size") <= ALL_PAIRS)
-        large = checkpointed(sized.filter(F.col("size") > ALL_PAIRS).select("key", "tid"))
-        left, right = (small.select("key", F.col("tid").alias(c)) for c in "ab")
-        pairs = left.join(right, "key").filter("a < b").select("a", "b")
-        more = not large.isEmpty()
-        if more:
-            spread = checkpointed(_pivot_pairs(large))
-            pairs = pairs.union(_ordered(spread))
-        if border is not None:
-            pairs = pairs.union(border)
-        found = checkpointed(_similarities(pairs.distinct(), shingles))
-        linked = found.filter(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        links = linked if links is None else links.union(linked)
-        if not more:
-            return links
-        left, border = _after_round(spread, found, 1.0 - threshold)
-        members, border = checkpointed(left), checkpointed(border)
+    links = component = None
+
+    def grow(active: DataFrame, bounded: bool = False) -> None:
+        """Compare the open pairs inside the parts of buckets, and join what matches."""
+        nonlocal links, component
+        carried = ["c", "n_items", "sketch"] if bounded else ["c"]
+        left, right = (active.select("key", "part", F.col("tid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in carried]) for x in "ab")
+        open_ = (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b"))
+        if bounded:
+            most = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda x, y: x + y)
+            open_ = open_ & (most * (1 + threshold) >= threshold * (F.col("n_items_a") + F.col("n_items_b")) - 1e-6)
+        pairs = left.join(right, ["key", "part"]).filter(open_).select("a", "b").distinct()
+        found = _similarities(pairs, shingles).filter(F.col("sim") >= threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = checkpointed(found if links is None else links.union(found))
+        component = checkpointed(connected_components(links)).withColumnRenamed("node", "tid")
+
+    for round_ in range(SAMPLED_ROUNDS):
+        whole = F.col("cross") <= PAIRS_PER_TEXT * F.col("n")
+        part = F.pmod(F.xxhash64("tid", F.lit(round_)), F.ceil(F.col("n") / PART_TEXTS))
+        opened = _open_buckets(members, component).withColumn("whole", whole)
+        active = checkpointed(opened.withColumn("part", F.when(whole, F.lit(0)).otherwise(part)))
+        grow(active)
+        members = active.filter(~F.col("whole")).select("key", "tid")
+        if members.isEmpty():
+            return component
+    still = checkpointed(_open_buckets(members, component).select("key", "tid", "c").withColumn("part", F.lit(0)))
+    grow(still.join(_sketches(shingles.join(still.select("tid").distinct(), "tid", "left_semi")), "tid"), bounded=True)
+    return component
 
 
 def near_classes(
@@ -265,8 +259,7 @@ def near_classes(
     """(tid, class_id, class_size): the class of every different text; ``tid`` is xxhash64(text)."""
     tid = F.xxhash64("text")
     texts = docs.select(tid.alias("tid"), "text").filter(F.col("text").isNotNull())
-    links = near_links(texts, threshold, bands, rows, width)
-    component = checkpointed(connected_components(links)).withColumnRenamed("node", "tid")
+    component = near_components(texts, threshold, bands, rows, width)
     copies = docs.groupBy(tid.alias("tid")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
     owned = copies.join(component, "tid", "left").withColumn("component", F.coalesce("component", "tid"))
     classes = owned.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
@@ -281,15 +274,15 @@ def label_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, **parameters) -> DataFrame:
-    """Keep one row of each class, one with its least doc_id."""
-    columns = docs.columns
-    labelled = label_near_duplicates(docs, **parameters)
-    first = labelled.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    """Keep one row of each class, one with its least doc_id, with all its columns."""
+    classes = near_classes(docs.select("doc_id", "text"), **parameters).select("tid", "class_id")
+    rows = docs.select(F.xxhash64("text").alias("tid"), F.struct("*").alias("row"))
+    first = rows.join(classes, "tid").filter(F.col("row.doc_id").eqNullSafe(F.col("class_id")))
     tied = first.groupBy("class_id").count().filter("count > 1")
-    if tied.isEmpty():
-        return first.select(columns)
-    by_class = Window.partitionBy("class_id").orderBy(F.xxhash64("text"))
-    return first.withColumn("__ls_n", F.row_number().over(by_class)).filter("__ls_n = 1").select(columns)
+    if not tied.isEmpty():
+        by_class = Window.partitionBy("class_id").orderBy("tid")
+        first = first.withColumn("n", F.row_number().over(by_class)).filter("n = 1")
+    return first.select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

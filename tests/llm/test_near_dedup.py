@@ -92,10 +92,9 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     rows = []
     for d in range(90):
         w = list(origin)
-        for _ in range(rng.randrange(5)):
+        for _ in range(rng.randrange(9)):
             w[rng.randrange(len(w))] = f"e{d}_{rng.random()}"
         rows.append((d, " ".join(w)))
-    monkeypatch.setattr(nd, "ALL_PAIRS", 8)
-    monkeypatch.setattr(nd, "PIVOTS", 2)
+    monkeypatch.setattr(nd, "PAIRS_PER_TEXT", 1)
     got = {r["doc_id"]: r["class_id"] for r in nd.label_near_duplicates(docs(spark, rows)).collect()}
     assert [got[d] for d, _ in rows] == brute_classes(rows)
