@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import checkpointed, table
 
@@ -187,6 +188,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
     """(doc_id, item_id, distance, match_end): the items that each document contains."""
     plain = docs.select("doc_id", "text")
     schema = f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, distance int, match_end long"
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     parts = []
     for ids, texts in item_blocks(benchmark, "item_id", "text"):
 
@@ -201,7 +203,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(pa.array(at, pa.int64())),
-                        pa.array(item, pa.int64()) if not item or isinstance(item[0], int) else pa.array(item),
+                        pa.array(item, item_type),
                         pa.array(distance, pa.int32()),
                         pa.array(end, pa.int64()),
                     ],
