@@ -6,8 +6,8 @@ Classes. The ``OWN_CLASSES`` most frequent words and the end of a text are class
 other words, known or not, belong to one of the clusters of spellings. A spelling is a word's last
 three bytes; spellings are clustered by which frequent words stand next to them.
 
-P(class | history) is a maximum-entropy model: features of the last three words (the last, the one
-before it, both together, and the skip pair of the last and the third last) are hashed to rows of a weight
+P(class | history) is a maximum-entropy model: features of the last three words (each one, the last
+two together, and the skip pair of the last and the third last) are hashed to rows of a weight
 matrix whose sum, after a softmax over the classes, is the distribution. Frequent words are
 themselves in features, all others are represented by their cluster. P(word | class) is the word's
 relative frequency in its class with 0.1 added for every word and for one unknown word, so the
@@ -40,19 +40,19 @@ from pyspark.sql import functions as F
 from .common import checkpointed, crc32_mod, table, text_or_empty
 from .wordblocks import U64, Words, WordReader, doc_offsets, mix64
 
-OWN_CLASSES = 24
-CLUSTERS = 39
+OWN_CLASSES = 64
+CLUSTERS = 63
 CLASSES = OWN_CLASSES + CLUSTERS + 1
 END_CLASS = CLASSES - 1
-OWN_SYMBOLS = 128
+OWN_SYMBOLS = 256
 BEGIN = OWN_SYMBOLS + CLUSTERS
 SYMBOLS = BEGIN + 1
 PAIR_ROWS = 2048
-BIAS = 2 * SYMBOLS + 2 * PAIR_ROWS
+BIAS = 3 * SYMBOLS + 2 * PAIR_ROWS
 ROWS_PER_BLOCK = 64
 ROWS = -(-(BIAS + 1) // ROWS_PER_BLOCK) * ROWS_PER_BLOCK
 SPELLINGS = 4096
-ROUNDS = 1
+ROUNDS = 2
 BATCH = 2048
 RATE = 0.25
 ADDED = 0.1
@@ -178,7 +178,7 @@ def symbols_and_classes(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray
 
 
 def feature_rows(t: Tokens, symbol: np.ndarray) -> np.ndarray:
-    """Rows of the weight matrix of every token's history, uint16 of shape (4, tokens)."""
+    """Rows of the weight matrix of every token's history, uint16 of shape (5, tokens)."""
     n = len(symbol)
     place = np.arange(n) - np.searchsorted(t.doc, t.doc)
     before = []
@@ -189,7 +189,7 @@ def feature_rows(t: Tokens, symbol: np.ndarray) -> np.ndarray:
     a, b, c = before
     pair = (mix64((a * SYMBOLS + b).astype(U64)) % U64(PAIR_ROWS)).astype(np.int64)
     skip = (mix64((a * SYMBOLS + c).astype(U64) + U64(1 << 40)) % U64(PAIR_ROWS)).astype(np.int64)
-    return np.stack([a, SYMBOLS + b, 2 * SYMBOLS + pair, 2 * SYMBOLS + PAIR_ROWS + skip]).astype(np.uint16)
+    return np.stack([a, SYMBOLS + b, 2 * SYMBOLS + c, 3 * SYMBOLS + pair, 3 * SYMBOLS + PAIR_ROWS + skip]).astype(np.uint16)
 
 
 def class_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:

@@ -105,3 +105,19 @@ def test_odd_rows(spark):
     untrained = lm.score_documents(df, lm.fit(df.filter("false"), none), none).collect()
     assert all(r["n_known"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in untrained)
     assert lm.score_documents(docs(spark, []), model, counts).count() == 0
+
+
+def test_every_history_word_has_a_feature_of_its_own():
+    t = lm.Tokens(np.zeros(8, np.int64), np.zeros(8, np.uint64), np.zeros(8, np.int64))
+    rows = lm.feature_rows(t, np.array([7, 1, 2, 0, 7, 3, 4, 0]))
+    # "7 1 2" and "7 3 4" share nothing but the third last word
+    assert len(set(rows[:, 3].tolist()) & set(rows[:, 7].tolist())) == 1
+
+
+def test_default_fit_trains_two_rounds_over_whole_classes(spark, monkeypatch):
+    runs, once = [], lm.train_round
+    monkeypatch.setattr(lm, "train_round", lambda *a: runs.append(1) or once(*a))
+    train = spark.createDataFrame([("the cat sat on the mat",)] * 20, "text string").coalesce(1)
+    model = lm.fit(train, lm.count_words(train))
+    assert len(runs) >= 2
+    assert model.weights.shape[1] >= 128 and lm.OWN_SYMBOLS >= 256
