@@ -7,7 +7,8 @@ half at a time is generalised to a variable field. So a line has two templates,
 half share one. A template found in ``min_docs`` documents or more is recurring; of its lines only
 the first, by (doc_id, position), stays, all others are dropped.
 
-Lines of fewer than ``min_tokens`` tokens and blank lines are too unspecific and always stay.
+A line of fewer than ``min_tokens`` tokens has one template, its count and all its tokens as they are,
+so only an equal line shares it. Blank lines always stay.
 
 Scale: lines are reduced to two 64-bit template keys and a place, and checkpointed; texts are
 shuffled once, to meet their dropped positions. A very frequent line is counted with map-side
@@ -49,6 +50,12 @@ def template_keys(tokens: Column, depth: int) -> Column:
     )
 
 
+def whole_line_key(line: Column) -> Column:
+    """The only template key of a short line, as an array of one long."""
+    tokens = word_array(line)
+    return F.array(F.xxhash64(F.lit("s"), F.size(tokens), F.array_join(tokens, " ")))
+
+
 def dropped_positions(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN_TOKENS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, text_hash, dropped): sorted positions of the lines to drop, for documents with any."""
     lines = docs.select(
@@ -58,7 +65,10 @@ def dropped_positions(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN
     )
     keyed = lines.select(
         "doc_id", "text_hash", "pos",
-        let(masked_tokens(F.col("line")), lambda t: F.when(F.size(t) >= min_tokens, template_keys(t, depth))).alias("keys"),
+        let(
+            masked_tokens(F.col("line")),
+            lambda t: F.when(F.size(t) >= min_tokens, template_keys(t, depth)).when(F.size(t) > 0, whole_line_key(F.col("line"))),
+        ).alias("keys"),
     ).filter(F.col("keys").isNotNull())
     places = checkpointed(keyed)
     templates = places.select(F.explode("keys").alias("key"), "doc_id", "text_hash", "pos")

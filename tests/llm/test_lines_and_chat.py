@@ -99,3 +99,12 @@ def test_whole_tables_against_sql(spark, sf_dir):
         columns = sorted(want.columns)
         assert sorted(got.columns) == columns
         assert sorted(map(str, got[columns].values.tolist())) == sorted(map(str, want[columns].values.tolist()))
+
+
+def test_short_lines_are_counted_whole(spark):
+    rows = [
+        (1, "All rights reserved.\nShare\n\nPage 1"), (2, "All rights  reserved.\nonly here\nonly here\n\nPage 2"),
+        (3, "Share\nall rights reserved.\nAll rights reserved. 2"),
+    ]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("only here\nonly here\n\nPage 2", 1), 3: ("all rights reserved.\nAll rights reserved. 2", 1)}
