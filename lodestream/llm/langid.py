@@ -8,10 +8,11 @@ prediction is the highest, and ``score`` is its share after a softmax over the l
 scores divided by the square root of the number of words.
 
 Counts cover every word of every training document: words by occurrence, n-grams once for each
-different word of a language in a piece of about two million characters. The model keeps the words and n-grams above the
-lowest count at which at most ``max_words`` words and ``max_grams`` n-grams per order remain, which
-bounds what is sent to the executors; all others back off. Counting is done per task on word hashes
-first, so only one row per different item and task is shuffled.
+different word of a language in a piece of about two million characters. Nothing counted is left out of the model: the words
+and n-grams above the lowest count at which at most ``max_words`` words and ``max_grams`` n-grams per order
+remain are sent to the executors. All others stay in a distributed table; texts are dealt into blocks of about
+``BLOCK_BYTES``, and what a block has beyond the lists sent is joined to that table. Counting is done
+per task on word hashes first, so only one row per different item and task is shuffled.
 
 Defined results for odd input: a null text, or one without a letter, is ``und`` with score 0; ties
 go to the language first in order; without any training language everything is ``und``; repeated
@@ -29,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_mod, table
+from .common import checkpointed, crc32_mod, table, text_or_empty
 from .wordblocks import PIECE_BYTES, U64, mix64
 
 MAX_WORDS = 100_000
 MAX_GRAMS = 50_000
+BLOCK_BYTES = 24 << 20
 ORDERS = (4, 3, 2, 1)
 SMOOTHING = 0.5
 UNDETERMINED = "und"
@@ -158,12 +160,22 @@ def _count(languages: list[str]):
 
 
 class Model(NamedTuple):
-    """Sorted hashes and their log frequencies by language: of words, and of n-grams by order."""
+    """Sorted hashes and their log frequencies by language: of words, and of n-grams by order.
+
+    ``sums`` and ``kinds`` are of all items of an order; ``rest`` is (order, item, by_lang) of those not in ``hashes``.
+    """
 
     languages: list[str]
     hashes: dict[int, np.ndarray]
     logs: dict[int, np.ndarray]
     unseen: np.ndarray
+    sums: dict[int, np.ndarray]
+    kinds: dict[int, int]
+    rest: DataFrame | None
+
+
+def _logs(by_lang: np.ndarray, sums: np.ndarray, kinds: int) -> np.ndarray:
+    return np.log((by_lang + SMOOTHING) / (sums + SMOOTHING * (kinds + 1))).astype(np.float32)
 
 
 def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model | None:
@@ -188,7 +200,8 @@ def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
     }
     # lowest count at which few enough items remain; a histogram of counts decides it
     steps = by_item.withColumn("step", F.floor(F.log2("total") * 64)).groupBy("order", "step").agg(F.count("*").alias("n")).collect()
-    lowest = {}
+    kinds = {order: sum(r["n"] for r in steps if r["order"] == order) for order in (0, *ORDERS)}
+    lowest, n_rest = {}, sum(kinds.values())
     for order in totals:
         room = max_words if order == 0 else max_grams
         for r in sorted((r for r in steps if r["order"] == order), key=lambda r: -r["step"]):
@@ -196,6 +209,7 @@ def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
             if room < 0:
                 break
             lowest[order] = r["step"]
+            n_rest -= r["n"]
     keep: Column = F.lit(False)
     for order, step in lowest.items():
         keep = keep | ((F.col("order") == order) & (F.floor(F.log2("total") * 64) >= step))
@@ -206,12 +220,12 @@ def fit(train: DataFrame, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS
         items = own["item"].to_numpy(np.int64).view(U64)
         table_ = np.array(own["by_lang"].tolist(), float).reshape(len(items), n)
         at = np.argsort(items)
-        sums = totals.get(order, np.zeros(n))
+        totals.setdefault(order, np.zeros(n))
         hashes[order] = items[at]
-        logs[order] = np.log((table_[at] + SMOOTHING) / (sums + SMOOTHING * (len(items) + 1))).astype(np.float32)
-    letters = totals.get(1, np.zeros(n))
-    unseen = np.log(SMOOTHING / (letters + SMOOTHING * (len(hashes[1]) + 1))).astype(np.float32)
-    return Model(languages, hashes, logs, unseen)
+        logs[order] = _logs(table_[at], totals[order], kinds[order])
+    unseen = _logs(np.zeros(n), totals[1], kinds[1])
+    rest = by_item.filter(~keep).select("order", "item", "by_lang") if n_rest else None
+    return Model(languages, hashes, logs, unseen, totals, kinds, rest)
 
 
 def _lookup(model: Model, order: int, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,34 +259,101 @@ def score_words(model: Model, values, start, end, hashed) -> np.ndarray:
     return out[again]
 
 
+def predictions(model: Model, reader: LetterReader, ids: pa.Array, texts: pa.Array) -> pa.Table:
+    names, shares, n = [], [], len(model.languages)
+    for _, docs, values, doc, start, end, hashed in reader.pieces(texts):
+        scores = score_words(model, values, start, end, hashed)
+        count = np.bincount(doc, minlength=docs)
+        total = np.stack([np.bincount(doc, scores[:, i], docs) for i in range(n)], axis=1)
+        scaled = total / np.sqrt(np.maximum(count, 1))[:, None]
+        scaled = np.exp(scaled - scaled.max(axis=1, keepdims=True))
+        best = np.argmax(scaled, axis=1)
+        names += [model.languages[b] if c else UNDETERMINED for b, c in zip(best, count)]
+        shares += list(np.where(count > 0, scaled.max(axis=1) / scaled.sum(axis=1), 0.0))
+    return pa.table([ids, pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+
 def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, n = LetterReader(), len(model.languages)
+        reader = LetterReader()
         for batch in batches:
-            names, shares = [], []
-            for _, docs, values, doc, start, end, hashed in reader.pieces(batch.column(1)):
-                scores = score_words(model, values, start, end, hashed)
-                count = np.bincount(doc, minlength=docs)
-                total = np.stack([np.bincount(doc, scores[:, i], docs) for i in range(n)], axis=1)
-                scaled = total / np.sqrt(np.maximum(count, 1))[:, None]
-                scaled = np.exp(scaled - scaled.max(axis=1, keepdims=True))
-                best = np.argmax(scaled, axis=1)
-                names += [model.languages[b] if c else UNDETERMINED for b, c in zip(best, count)]
-                shares += list(np.where(count > 0, scaled.max(axis=1) / scaled.sum(axis=1), 0.0))
+            yield from predictions(model, reader, batch.column(0), batch.column(1)).to_batches()
+
+    return run
+
+
+def _block_items(model: Model):
+    """(block, order, item): what the words of a block need beyond the model's lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, held = LetterReader(), {}
+
+        def add(block: int, order: int, items: np.ndarray) -> None:
+            held.setdefault((block, order), []).append(items[~_lookup(model, order, items)[0]])
+
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            for first, n, values, doc, start, end, hashed in reader.pieces(batch.column(2)):
+                own = blocks[first : first + n][doc]
+                for b in np.unique(own):
+                    at = np.flatnonzero(own == b)
+                    words, where = np.unique(hashed[at], return_index=True)
+                    open_ = ~_lookup(model, 0, words)[0]
+                    add(int(b), 0, words[open_])
+                    at = at[where[open_]]
+                    _, use, grams = gram_hashes(values, start[at], end[at])
+                    for order, h in grams.items():
+                        add(int(b), order, np.unique(h[use & (h != 0)]))
+        for (b, order), parts in held.items():
+            items = np.unique(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "lang_pred", "score"]
+                [pa.array(np.full(len(items), b)), pa.array(np.full(len(items), order, np.int32)), pa.array(items.view(np.int64))],
+                ["block", "order", "item"],
             )
 
     return run
 
 
-def identify_languages(docs: DataFrame, model: Model | None) -> DataFrame:
+def with_items(model: Model, known: pa.Table) -> Model:
+    """The model with the items of (order, item, by_lang) in its lists."""
+    orders, items = known.column("order").to_numpy(), known.column("item").to_numpy().view(U64)
+    by_lang = known.column("by_lang").combine_chunks().flatten().to_numpy().reshape(len(items), len(model.languages))
+    hashes, logs = {}, {}
+    for order in (0, *ORDERS):
+        own = orders == order
+        joined = np.concatenate([model.hashes[order], items[own]])
+        at = np.argsort(joined)
+        hashes[order] = joined[at]
+        logs[order] = np.concatenate([model.logs[order], _logs(by_lang[own], model.sums[order], model.kinds[order])])[at]
+    return model._replace(hashes=hashes, logs=logs)
+
+
+def _predict_block(model: Model):
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        return predictions(with_items(model, known), LetterReader(), texts.column("doc_id"), texts.column("text"))
+
+    return run
+
+
+def identify_languages(docs: DataFrame, model: Model | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, lang_pred, score) of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     plain = docs.select("doc_id", "text")
     if model is None:
         return plain.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return plain.mapInArrow(_predict(model), f"doc_id {kind}, lang_pred string, score double")
+    schema = f"doc_id {kind}, lang_pred string, score double"
+    sent = model._replace(rest=None)
+    if model.rest is None:
+        return plain.mapInArrow(_predict(sent), schema)
+    size = plain.agg(F.coalesce(F.sum(F.octet_length(text_or_empty("text"))), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    dealt = plain.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition(
+        int(min(blocks, 100_000)), "block"
+    )
+    # all columns pass, so that both uses of the blocks read one shuffle
+    wanted = dealt.mapInArrow(_block_items(sent), "block long, order int, item long")
+    known = wanted.join(model.rest, ["order", "item"]).select("block", "order", "item", "by_lang")
+    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_predict_block(sent), schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

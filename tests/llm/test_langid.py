@@ -98,3 +98,17 @@ def test_odd_rows(spark):
     nothing = langid.identify_languages(df, langid.fit(train.filter("false"))).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"} and len(nothing) == len(rows)
     assert langid.identify_languages(docs(spark, []), langid.fit(train)).count() == 0
+
+
+def test_words_beyond_the_lists_sent_count_in_full(spark, sf_dir):
+    df = documents(spark, sf_dir).head(60)
+    df = spark.createDataFrame(df[["doc_id", "text", "lang"]]).repartition(3).localCheckpoint()
+    train = df.filter("doc_id % 3 > 0").coalesce(1)
+    results = [
+        {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_languages(df, langid.fit(train, *room), 20_000).collect()}
+        for room in ((10**9, 10**9), (50, 20), (0, 0))
+    ]
+    assert len(results[0]) == 60
+    for some in results[1:]:
+        assert {k: v[0] for k, v in some.items()} == {k: v[0] for k, v in results[0].items()}
+        assert all(math.isclose(v[1], results[0][k][1], abs_tol=1e-5) for k, v in some.items())
