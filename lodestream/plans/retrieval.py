@@ -133,7 +133,7 @@ SELECT query_id, 1 AS pick, vec_id, score FROM p1 UNION ALL SELECT query_id, 2,
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three diverse frames for every query vector; the vector id stands for its second."""
     scored = _query_cosines(spark, sf_dir).withColumn("at", F.col("vec_id"))
-    return mmr_select(scored, "query_id", "vec_id", "score", "label", "at", "embedding", k=3, shortlist=20)
+    return mmr_select(scored, "query_id", "vec_id", "score", "label", "at", "embedding", k=3, shortlist=200)
 
 
 @query("pairwise_cosine", f"""

@@ -171,3 +171,15 @@ def test_fuzzy_and_json(spark):
     got = flatten_json(spark.createDataFrame([(1, doc), (2, "{broken"), (3, None)], "id int, j string"), "id", "j").collect()
     assert [(r["speaker"], r["stamp"], r["text"]) for r in got] == [("ann", "3", "hi"), ("ann", None, "a bare long string"), ("bob", None, "yes")]
     assert list(itertools.chain.from_iterable([[r["n"]] for r in got])) == [0, 1, 2]
+
+
+def test_mmr_query_reaches_a_diverse_frame_beyond_rank_twenty(spark, tmp_path):
+    from math import cos, radians, sin
+
+    from lodestream.plans.catalog import QUERIES
+
+    turned = lambda degrees: [cos(radians(degrees)), sin(radians(degrees))]
+    rows = [(0, 0, turned(0))] + [(10 * i + 1, 0, turned(20)) for i in range(30)] + [(901, 0, turned(-30))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query_id"], r["pick"]): r["vec_id"] for r in QUERIES["mmr_select"](spark, str(tmp_path)).collect()}
+    assert (got[0, 1], got[0, 2]) == (1, 901)
