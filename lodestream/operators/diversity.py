@@ -71,37 +71,49 @@ def mmr_select(
     )
 
 
-def spaced_select(rows: DataFrame, group: str, item: str, at: str, day: str, period: str, n: int, spacing: int, shortlist: int = 500) -> DataFrame:
+def spaced_select(rows: DataFrame, group: str, item: str, at: str, day: str, period: str, n: int, spacing: int) -> DataFrame:
     """(group, pick, item): first one row per period, each on a day not used yet, then rows at least
-    ``spacing`` from all picks of their day, all in order of (at, item)."""
-    by = Window.partitionBy(group).orderBy(at, item)
-    short = rows.withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= shortlist)
-    gathered = short.groupBy(group).agg(
-        F.sort_array(
-            F.collect_list(F.struct(F.col("__n").alias("n"), F.col(item).alias("item"), F.col(at).cast("long").alias("at"),
-                                    F.col(day).cast("long").alias("day"), F.col(period).alias("period")))
-        ).alias("items")
+    ``spacing`` from all picks of their day, all in order of (at, item).
+
+    A period's pick is the first row of its day and period, among the first ``n`` such rows of the
+    period. A row once too near stays so, hence each later pick is the first free row: one
+    aggregate over all rows for each of the ``n`` picks, and nothing else is gathered.
+    """
+    plain = rows.select(
+        F.col(group).alias("g"),
+        F.struct(F.col(at).cast("long").alias("at"), F.col(item).alias("item"), F.col(day).cast("long").alias("day"), F.col(period).alias("period")).alias("c"),
     )
+    firsts = plain.groupBy("g", F.col("c.day").alias("d"), F.col("c.period").alias("p")).agg(F.min("c").alias("c"))
+    by = Window.partitionBy("g", "p").orderBy("c")
+    short = firsts.withColumn("k", F.row_number().over(by)).filter(F.col("k") <= n)
+    gathered = short.groupBy("g").agg(F.sort_array(F.collect_list("c")).alias("items"))
     items = F.col("items")
-    room = lambda picked: F.size(picked) < n
 
     def per_period(picked: Column, c: Column) -> Column:
         clash = F.exists(picked, lambda p: (p["day"] == c["day"]) | (p["period"] == c["period"]))
-        return F.when(room(picked) & ~clash, F.concat(picked, F.array(c))).otherwise(picked)
-
-    def spaced(picked: Column, c: Column) -> Column:
-        near = F.exists(picked, lambda p: (p["n"] == c["n"]) | ((p["day"] == c["day"]) & (F.abs(p["at"] - c["at"]) < spacing)))
-        return F.when(room(picked) & ~near, F.concat(picked, F.array(c))).otherwise(picked)
+        return F.when((F.size(picked) < n) & ~clash, F.concat(picked, F.array(c))).otherwise(picked)
 
-    first = F.aggregate(items, F.slice(items, 1, 0), per_period)
-    chosen = _bind(first, lambda picked: F.aggregate(items, picked, spaced))
-    return gathered.select(group, F.posexplode(chosen).alias("pick", "c")).select(group, (F.col("pick") + 1).alias("pick"), F.col("c.item").alias(item))
+    picks = gathered.select("g", F.aggregate(items, F.slice(items, 1, 0), per_period).alias("picked"))
+    c, picked = F.col("c"), F.col("picked")
+    near = F.exists(
+        picked,
+        lambda p: ((p["at"] == c["at"]) & (p["item"] == c["item"])) | ((p["day"] == c["day"]) & (F.abs(p["at"] - c["at"]) < spacing)),
+    )
+    own = plain.withColumnRenamed("g", "h")
+    for _ in range(n - 1):  # any group has a first pick
+        nearest = picks.join(own, F.col("g").eqNullSafe(F.col("h"))).groupBy("g").agg(F.first("picked").alias("picked"), F.min(F.when((F.size(picked) < n) & ~near, c)).alias("next"))
+        picks = nearest.select("g", F.when(F.col("next").isNull(), picked).otherwise(F.concat(picked, F.array("next"))).alias("picked"))
+    return picks.select(F.col("g").alias(group), F.posexplode("picked").alias("pick", "c")).select(
+        group, (F.col("pick") + 1).alias("pick"), F.col("c.item").alias(item)
+    )
 
 
-def category_pattern_select(rows: DataFrame, item: str, score: str, category: str, pattern: str, n: int, shortlist: int = 1000) -> DataFrame:
+def category_pattern_select(rows: DataFrame, item: str, score: str, category: str, pattern: str, n: int) -> DataFrame:
     """(pick, item) over the whole table: unused category and pattern first, then unused category or
-    pattern, then any, in three passes by score. The shortlist is cut before anything is gathered."""
-    short = rows.orderBy(F.desc(score), item).limit(shortlist)
+    pattern, then any, in three passes by score. Picks of one category and pattern are its best rows, so the
+    best ``n`` of each are gathered."""
+    by = Window.partitionBy(category, pattern).orderBy(F.desc(score), item)
+    short = rows.withColumn("__n", F.row_number().over(by)).filter(F.col("__n") <= n)
     gathered = short.groupBy().agg(
         F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(item).alias("item"), F.col(category).alias("c"), F.col(pattern).alias("p")))).alias("items")
     )

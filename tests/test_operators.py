@@ -183,3 +183,17 @@ def test_mmr_query_reaches_a_diverse_frame_beyond_rank_twenty(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     got = {(r["query_id"], r["pick"]): r["vec_id"] for r in QUERIES["mmr_select"](spark, str(tmp_path)).collect()}
     assert (got[0, 1], got[0, 2]) == (1, 901)
+
+
+def test_spaced_select_scans_a_hot_group_whole(spark):
+    rows = [("u", i, i, 1, "am") for i in range(1500)] + [("u", 5000, 90_000, 2, "pm"), ("u", 5001, 95_000, 2, "pm"), ("v", 1, 5, 1, "am")]
+    df = spark.createDataFrame(rows, "g string, id long, at long, day int, period string")
+    got = diversity.spaced_select(df, "g", "id", "at", "day", "period", 5, 700)
+    assert sorted((r["g"], r["pick"], r["id"]) for r in got.collect()) == [("u", 1, 0), ("u", 2, 5000), ("u", 3, 700), ("u", 4, 1400), ("u", 5, 5001), ("v", 1, 1)]
+
+
+def test_category_pattern_select_looks_beyond_the_longest(spark):
+    rows = [(i, 10_000 - i, "web", "en") for i in range(1500)] + [(9000, 5, "book", "fr"), (9001, 4, "web", "de")]
+    df = spark.createDataFrame(rows, "id long, s long, c string, p string")
+    got = diversity.category_pattern_select(df, "id", "s", "c", "p", 4).orderBy("pick").collect()
+    assert [r["id"] for r in got] == [0, 9000, 9001, 1]
