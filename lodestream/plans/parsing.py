@@ -167,7 +167,7 @@ def nested_explode_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = nested.select("conv_id", F.explode("memory").alias("m"))
     return entries.select(
         "conv_id", "m.turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("m.turn").cast("string")).alias("key"),
-        F.concat(F.col("m.role"), F.lit(": "), F.substring("m.text", 1, 30)).alias("entry"),
+        F.concat(F.col("m.role"), F.lit(": "), F.col("m.text")).alias("entry"),
     )
 
 

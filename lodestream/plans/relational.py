@@ -139,7 +139,7 @@ def group_collect_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ordered_string_agg", """
 SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
 def ordered_string_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), F.substring("text", 1, 20))
+    line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), "text")
     in_order = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))
     return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(in_order, lambda s: s["line"]), "\n").alias("transcript"))
 

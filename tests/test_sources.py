@@ -88,3 +88,16 @@ def test_streams(spark, sf_dir, tmp_path):
     assert spark.table("windowed").count() == batch.count()
     st.sessions(stream, "ts", "event_type").writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert set(spark.table("sessions").columns) == {"start", "end", "event_type", "n"}
+
+
+def test_entries_and_transcripts_hold_whole_texts(spark, tmp_path):
+    from lodestream.plans.catalog import QUERIES
+
+    text = "a caption of more than thirty characters, to its end"
+    spark.createDataFrame([(1, 0, "user", text), (1, 1, "bot", text)], "conv_id long, turn long, role string, text string").write.parquet(
+        f"{tmp_path}/conversations.parquet"
+    )
+    entries = {r["key"]: r["entry"] for r in QUERIES["nested_explode_concat"](spark, str(tmp_path)).collect()}
+    assert entries == {"1-0": f"user: {text}", "1-1": f"bot: {text}"}
+    [row] = QUERIES["ordered_string_agg"](spark, str(tmp_path)).collect()
+    assert row["transcript"] == f"[0] user: {text}\n[1] bot: {text}"
