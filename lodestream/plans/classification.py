@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions.decisions import best_option, decision_list, reasons, true_labels
 from ..sources.tables import load
 from .registry import query
-from .retrieval import _CONTENT_SQL, STOPWORDS
+from .retrieval import _CONTENT_SQL, item_document_overlap
 
 _WORD = "regexp_matches(lower(text), '(^|[^a-z0-9_]){0}($|[^a-z0-9_])')"
 
@@ -55,15 +55,6 @@ p AS (SELECT item_id, doc_id, len(list_intersect(need, have)) AS shared, round(l
 """
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    need = load(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 20).alias("k"), tx.content_tokens("text", STOPWORDS).alias("need"))
-    have = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 20).alias("k"), tx.content_tokens("text", STOPWORDS).alias("have"))
-    return have.join(need, "k").select(
-        "item_id", "doc_id", tx.overlap(F.col("need"), F.col("have")).cast("long").alias("shared"),
-        F.round(tx.coverage(F.col("need"), F.col("have")), 6).alias("coverage"),
-    )
-
-
 def answerability(coverage, shared, direct, thresholds=(0.85, 0.55, 0.35), least=2):
     """likely, partial, unclear or not: by coverage and shared tokens, a direct hit first."""
     high, middle, low = thresholds
@@ -83,7 +74,7 @@ _LABEL_SQL = "CASE WHEN coverage >= {0} OR coverage >= 0.85 THEN 'likely' WHEN c
 @query("answerability_label", _ANSWER_SQL + f"SELECT item_id, doc_id, {_LABEL_SQL.format('1.0')} AS label FROM p")
 def answerability_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = answerability(F.col("coverage"), F.col("shared"), F.col("coverage") >= 1.0)
-    return _pairs(spark, sf_dir).select("item_id", "doc_id", label.alias("label"))
+    return item_document_overlap(spark, sf_dir).select("item_id", "doc_id", label.alias("label"))
 
 
 @query("gain_label", _ANSWER_SQL + """
@@ -94,7 +85,7 @@ SELECT item_id, CASE WHEN r_plus > r_now AND r_plus >= 3 THEN 'yes' WHEN r_plus
 def gain_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether history adds to what the current scope answers, and the best scope; ties go to plus."""
     part = lambda k: F.max(F.when(F.col("doc_id") % 3 == k, F.col("coverage")))
-    scopes = _pairs(spark, sf_dir).groupBy("item_id").agg(part(0).alias("now"), part(1).alias("past"), F.max("coverage").alias("plus"))
+    scopes = item_document_overlap(spark, sf_dir).groupBy("item_id").agg(part(0).alias("now"), part(1).alias("past"), F.max("coverage").alias("plus"))
     rank = lambda c: F.floor(F.coalesce(c, F.lit(0.0)) * 4)
     ranked = scopes.select("item_id", *[rank(c).alias(c) for c in ("now", "past", "plus")])
     now, past, plus = F.col("now"), F.col("past"), F.col("plus")

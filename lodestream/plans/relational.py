@@ -43,8 +43,8 @@ r AS (SELECT doc_id, lang AS name FROM documents WHERE doc_id % 3 = 0)
 SELECT doc_id, coalesce(nullif(l.name, ''), r.name) AS name FROM l FULL JOIN r USING (doc_id)""")
 def full_outer_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
-    left = docs.filter("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("name"))
-    right = docs.filter("doc_id % 3 = 0").select("doc_id", F.col("lang").alias("name"))
+    left = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("name"))
+    right = docs.select("doc_id", F.col("lang").alias("name"))
     return rel.merge_prefer_left(left, right, "doc_id", ["name"])
 
 
@@ -105,8 +105,8 @@ def merge_dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of results merged; a later chunk overrides, and how many had the key is kept."""
     docs = load(spark, sf_dir, "documents")
     parts = [
-        docs.filter(F.col("doc_id") % k == 0).select(F.lit(i).alias("chunk"), "doc_id", F.concat("source", F.lit(f":{name}")).alias("value"))
-        for i, (k, name) in enumerate(((2, "a"), (3, "b"), (5, "c")), 1)
+        docs.select(F.lit(i).alias("chunk"), "doc_id", F.concat("source", F.lit(f":{name}")).alias("value"))
+        for i, name in enumerate(("a", "b", "c"), 1)
     ]
     chunks = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return chunks.groupBy("doc_id").agg(F.max_by("value", "chunk").alias("value"), F.max("chunk").alias("chunk"), F.count("*").alias("copies"))

@@ -221,19 +221,29 @@ _STEM_SQL = "CASE WHEN len(t) > 5 AND t LIKE '%ing' THEN t[:-4] WHEN len(t) > 5
 _CONTENT_SQL = f"""list_filter(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+', 0), lambda t: len(t) >= 2 AND NOT list_contains({_STOP_SQL}, t)), lambda t: {_STEM_SQL})), lambda t: len(t) >= 2 AND NOT list_contains({_STOP_SQL}, t))"""
 
 
+def item_document_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id, n_need, n_have, shared, coverage) of all pairs.
+
+    The items are a stated query set and broadcast; a document is cut to their tokens once, before it meets them.
+    """
+    need = load(spark, sf_dir, "benchmark").select("item_id", tx.content_tokens("text", STOPWORDS).alias("need"))
+    asked = need.agg(F.array_distinct(F.flatten(F.collect_set("need"))).alias("asked"))
+    have = load(spark, sf_dir, "documents").select("doc_id", tx.content_tokens("text", STOPWORDS).alias("have"))
+    small = have.crossJoin(F.broadcast(asked)).select("doc_id", F.size("have").alias("n_have"), F.array_intersect("have", "asked").alias("have"))
+    pairs = small.crossJoin(F.broadcast(need)).select(
+        "item_id", "doc_id", F.size("need").cast("long").alias("n_need"), F.col("n_have").cast("long").alias("n_have"),
+        tx.overlap(F.col("need"), F.col("have")).cast("long").alias("shared"),
+    )
+    return pairs.withColumn("coverage", F.round(F.col("shared") / F.greatest(F.lit(1), F.col("n_need")), 6))
+
+
 @query("token_overlap", f"""
 WITH q AS (SELECT item_id, {_CONTENT_SQL} AS need FROM benchmark), d AS (SELECT doc_id, {_CONTENT_SQL} AS have FROM documents WHERE doc_id < 200),
 p AS (SELECT item_id, doc_id, len(need) AS n_need, len(have) AS n_have, len(list_intersect(need, have)) AS shared FROM q JOIN d ON doc_id % 20 = item_id % 20)
 SELECT item_id, doc_id, n_need, n_have, shared, round(shared / greatest(1, n_need), 6) AS coverage FROM p""".replace(" WHERE doc_id < 200", ""))
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared content tokens of questions and the documents of the same residue class."""
-    need = load(spark, sf_dir, "benchmark").select("item_id", (F.col("item_id") % 20).alias("k"), tx.content_tokens("text", STOPWORDS).alias("need"))
-    have = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 20).alias("k"), tx.content_tokens("text", STOPWORDS).alias("have"))
-    return have.join(need, "k").select(
-        "item_id", "doc_id", F.size("need").cast("long").alias("n_need"), F.size("have").cast("long").alias("n_have"),
-        tx.overlap(F.col("need"), F.col("have")).cast("long").alias("shared"),
-        F.round(tx.coverage(F.col("need"), F.col("have")), 6).alias("coverage"),
-    )
+    """Shared content tokens of every question and every document."""
+    return item_document_overlap(spark, sf_dir)
 
 
 @query("complementarity", f"""

@@ -197,3 +197,19 @@ def test_category_pattern_select_looks_beyond_the_longest(spark):
     df = spark.createDataFrame(rows, "id long, s long, c string, p string")
     got = diversity.category_pattern_select(df, "id", "s", "c", "p", 4).orderBy("pick").collect()
     assert [r["id"] for r in got] == [0, 9000, 9001, 1]
+
+
+def test_items_meet_documents_of_every_residue(spark, tmp_path):
+    from lodestream.plans.catalog import QUERIES
+
+    text = "glacier telescope harbour"
+    spark.createDataFrame([(1, text), (2, "violin")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(21, "violin"), (6, text), (3, "harbour")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {(r["item_id"], r["doc_id"]): r["shared"] for r in run("token_overlap")} == {(1, 21): 0, (1, 6): 3, (1, 3): 1, (2, 21): 1, (2, 6): 0, (2, 3): 0}
+    assert {(r["item_id"], r["doc_id"]): r["label"] for r in run("answerability_label")}[1, 6] == "likely"
+    assert {r["item_id"]: r["gain"] for r in run("gain_label")} == {1: "no", 2: "no"}
+    docs = spark.createDataFrame([(i, f"s{i % 2}", "en") for i in range(12)], "doc_id long, source string, lang string")
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: r["name"] for r in run("full_outer_coalesce")} == {i: "en" if i % 5 == 0 else f"s{i % 2}" for i in range(12)}
+    assert {r["doc_id"]: (r["value"], r["copies"]) for r in run("merge_dedup_last_wins")} == {i: (f"s{i % 2}:c", 3) for i in range(12)}
