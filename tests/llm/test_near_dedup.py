@@ -95,6 +95,46 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
         for _ in range(rng.randrange(9)):
             w[rng.randrange(len(w))] = f"e{d}_{rng.random()}"
         rows.append((d, " ".join(w)))
-    monkeypatch.setattr(nd, "PAIRS_PER_TEXT", 1)
+    monkeypatch.setattr(nd, "TILE_TEXTS", 7)
     got = {r["doc_id"]: r["class_id"] for r in nd.label_near_duplicates(docs(spark, rows)).collect()}
     assert [got[d] for d, _ in rows] == brute_classes(rows)
+
+
+def test_ids_never_join_classes(spark):
+    """Different texts stay whatever their doc_ids; of rows equal in doc_id and text one stays."""
+    base = [" ".join(f"{p}{i}" for i in range(60)) for p in "abcdef"]
+    near = base[0].replace("a30", "x30")
+    rows = [(None, base[0]), (None, base[1]), (None, base[2]), (7, base[3]), (7, base[4]), (8, near), (9, base[5]), (9, base[5]), (None, base[5])]
+    df = docs(spark, [(i, t, "en", f"s{n}") for n, (i, t) in enumerate(rows)])
+    kept = nd.drop_near_duplicates(df).collect()
+    assert Counter(r["text"] for r in kept) == Counter([base[1], base[2], base[3], base[4], near, base[5]])
+    assert [r["doc_id"] for r in kept if r["text"] == base[5]] == [9]
+    all_null = docs(spark, [(None, t) for t in base] + [(None, base[0])])
+    assert Counter(r["text"] for r in nd.drop_near_duplicates(all_null).collect()) == Counter(base)
+
+
+def test_one_row_of_each_class_is_kept(spark, tmp_path):
+    from helpers import write_tables
+
+    a, b = ("p q r s t u v " * 3, "k l m n o p")
+    folder = write_tables(spark, tmp_path, documents=docs(spark, [(1, a), (1, a), (2, a), (1, b), (None, "z y x w v"), (None, "z y x w v")]))
+    got = nd.op4_near_dedup(spark, folder).collect()
+    assert Counter((r["class_id"], r["class_size"]) for r in got if r["kept"]) == Counter([(1, 3), (1, 1), (None, 2)])
+    assert len(got) == 6
+
+
+def test_common_items_and_forest():
+    rng = np.random.default_rng(1)
+    n = 60
+    has = rng.random((n, 500)) < np.where(np.arange(500) < 60, 0.8, 0.03)
+    owner, item = np.nonzero(has)
+    shuffled = rng.permutation(len(owner))
+    got = nd.common_items(owner[shuffled], item[shuffled], n)
+    want = has.astype(int) @ has.T.astype(int)
+    np.fill_diagonal(want, 0)
+    np.fill_diagonal(got, 0)
+    assert (got == want).all()
+    near = np.zeros((7, 7), bool)
+    for i, j in [(0, 5), (5, 3), (3, 6), (1, 4)]:
+        near[i, j] = near[j, i] = True
+    assert nd.forest(near).tolist() == [0, 1, 2, 0, 1, 0, 0]
