@@ -1,34 +1,45 @@
 """Operator 2, LM scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class).
+P(word | history) = P(group | history) * P(class | group, history) * P(word | class, history).
 
 Classes. The ``OWN_CLASSES`` most frequent words and the end of a text are classes of their own; all
 other words, known or not, belong to one of the clusters of spellings. A spelling is a word's last
-three bytes; spellings are clustered by which frequent words stand next to them.
-
-P(class | history) is a maximum-entropy model: features of the last three words (each one, the last
-two together, and the skip pair of the last and the third last) are hashed to rows of a weight
-matrix whose sum, after a softmax over the classes, is the distribution. Frequent words are
-themselves in features, all others are represented by their cluster. P(word | class) is the word's
-relative frequency in its class with 0.1 added for every word and for one unknown word, so the
-probabilities of all words and unknowns sum to one.
-
-Training is by distributed gradient updates: in each round every task runs AdaGrad over all training
-tokens of its part, starting from the shared weights, and the tasks' changes are averaged row by
-row, weighted by how often a task used the row. Scoring runs in sparse numpy batches.
-
-Scale: the weights have a fixed size. Word counts have not, and are never collected or broadcast:
-texts are dealt into blocks of about ``BLOCK_BYTES``, a block's different words are joined to their
-counts, and each block meets its own small dictionary. Words are told apart by 64-bit hashes.
+three bytes; spellings are clustered by which frequent words stand next to them. The ``CLASSES``
+classes are dealt into groups of ``WIDTH``.
+
+P(group | history) and P(class | group, history) are maximum-entropy models: features of the last
+three words (each one, the last two together, and the skip pair of the last and the third last) are
+hashed to rows of weights whose sum, after a softmax over the groups or over the classes of the
+group, is the distribution. Frequent words are themselves in features, all others are represented
+by their cluster.
+
+P(word | class, history) is the word's relative frequency in its class, 0.1 added for every word and
+for one unknown word. After one of the ``PAIR_HISTORIES`` most frequent words it is the frequency
+after that word, smoothed by ``PAIR_PRIOR`` pseudo-counts spread like the former; in maximum-entropy
+terms, a feature for every pair of a frequent word and any word, fitted in closed form under a
+Dirichlet prior. Probabilities of all words and unknowns sum to one in either case.
+
+Training is by distributed gradient updates. A weight's gradient is how often its feature and output
+were observed minus how often the model expects them; both are summed over all training tokens of
+all tasks. In each round a weight moves by ``RATE`` times the logarithm of the ratio of the two, with
+``SMOOTH`` pseudo-counts in each. The expectation under the start weights is known from counts, so
+the first update needs no pass; ``ROUNDS`` passes follow. Probabilities are summed as integers of
+2^-16, so sums, weights and scores do not depend on how the texts are dealt over tasks.
+
+Scale: the class weights have a fixed size. Counts of words and pairs have not: they grow with the
+vocabulary and are never collected or broadcast. Texts are dealt into blocks of about
+``BLOCK_BYTES``, a block's different items are joined to their counts, and each block meets its own
+small dictionary. Words are told apart by 64-bit hashes.
 
 Defined results for odd input: a null text is empty, that is one end token; without training tokens
 every base token has probability one and every class is equally likely; repeated rows are scored one
-by one; rows equal in doc_id and text fall in one block; an empty table gives an empty result; extra
-columns are ignored.
+by one, and those of one input partition fall in one block; an empty table gives an empty result;
+extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,22 +51,28 @@ from pyspark.sql import functions as F
 from .common import checkpointed, crc32_mod, table, text_or_empty
 from .wordblocks import U64, Words, WordReader, doc_offsets, mix64
 
-OWN_CLASSES = 64
-CLUSTERS = 63
-CLASSES = OWN_CLASSES + CLUSTERS + 1
+WIDTH = 16
+CLASSES = WIDTH * WIDTH
+OWN_CLASSES = 128
+CLUSTERS = CLASSES - OWN_CLASSES - 1
 END_CLASS = CLASSES - 1
 OWN_SYMBOLS = 256
 BEGIN = OWN_SYMBOLS + CLUSTERS
 SYMBOLS = BEGIN + 1
 PAIR_ROWS = 2048
 BIAS = 3 * SYMBOLS + 2 * PAIR_ROWS
+FEATURES = 5
 ROWS_PER_BLOCK = 64
 ROWS = -(-(BIAS + 1) // ROWS_PER_BLOCK) * ROWS_PER_BLOCK
 SPELLINGS = 4096
 ROUNDS = 2
-BATCH = 2048
-RATE = 0.25
+BATCH = 4096
+RATE = 0.35
+SMOOTH = 30.0
+ONE = 1 << 16
 ADDED = 0.1
+PAIR_HISTORIES = 64
+PAIR_PRIOR = 200.0
 BLOCK_BYTES = 24 << 20
 END_HASH = np.uint64(0x5EEDE4D0FEED0001)
 
@@ -68,7 +85,9 @@ class Model(NamedTuple):
     cluster: np.ndarray  # cluster of each spelling
     class_tokens: np.ndarray  # training tokens of each class
     class_words: np.ndarray  # different training words of each class
-    weights: np.ndarray  # ROWS x CLASSES
+    after: np.ndarray  # PAIR_HISTORIES x CLASSES: training tokens of a class after a frequent word
+    groups: np.ndarray  # ROWS x WIDTH: weights of the groups
+    members: np.ndarray  # ROWS * WIDTH x WIDTH: weights of the classes of each group
 
 
 class Tokens(NamedTuple):
@@ -96,34 +115,47 @@ def tokens_of(words: Words) -> Tokens:
     )
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, spelling, count): one row for each different token of a task, or of a large part of it."""
-    reader, held, size = WordReader(lower=True), [], 0
+class Tally:
+    """Counts of items of a task, merged as they come and given out before they take too much memory."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
 
-    def merged() -> tuple[np.ndarray, ...]:
-        hashed, spelling, count = (np.concatenate(x) for x in zip(*held))
-        unique, first, again = np.unique(hashed, return_index=True, return_inverse=True)
+    def add(self, item: np.ndarray, spelling: np.ndarray) -> None:
+        unique, first, count = np.unique(item, return_index=True, return_counts=True)
+        self.held.append((unique, spelling[first], count))
+        self.size += len(unique)
+
+    def merged(self) -> tuple[np.ndarray, ...]:
+        item, spelling, count = (np.concatenate(x) for x in zip(*self.held))
+        unique, first, again = np.unique(item, return_index=True, return_inverse=True)
         return unique, spelling[first], np.bincount(again, count, len(unique)).astype(np.int64)
 
-    def batch_of(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(part[0].view(np.int64)), pa.array(part[1].astype(np.int32)), pa.array(part[2])], ["hash", "spelling", "count"]
-        )
+    def out(self, last: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.held and (last or self.size > 3_000_000):
+            self.held = [self.merged()]
+            self.size = len(self.held[0][0])
+            if last or self.size > 1_500_000:
+                item, spelling, count = self.held[0]
+                self.held, self.size = [], 0
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(item.view(np.int64)), pa.array(spelling.astype(np.int32)), pa.array(count)], ["hash", "spelling", "count"]
+                )
+
 
+_COUNTS = "hash long, spelling int, count long"
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, spelling, count): one row for each different token of a task, or of a large part of it."""
+    reader, tally = WordReader(lower=True), Tally()
     for batch in batches:
         for _, words in reader.pieces(batch.column(0)):
             t = tokens_of(words)
-            unique, first, count = np.unique(t.hash, return_index=True, return_counts=True)
-            held.append((unique, t.spelling[first], count))
-            size += len(unique)
-            if size > 3_000_000:
-                held = [merged()]
-                size = len(held[0][0])
-                if size > 1_500_000:
-                    yield batch_of(held[0])
-                    held, size = [], 0
-    if held:
-        yield batch_of(merged())
+            tally.add(t.hash, t.spelling)
+            yield from tally.out()
+    yield from tally.out(last=True)
 
 
 def _neighbours(top: np.ndarray, top_rank: np.ndarray):
@@ -178,7 +210,7 @@ def symbols_and_classes(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray
 
 
 def feature_rows(t: Tokens, symbol: np.ndarray) -> np.ndarray:
-    """Rows of the weight matrix of every token's history, uint16 of shape (5, tokens)."""
+    """Rows of the weight matrix of every token's history, of shape (``FEATURES``, tokens)."""
     n = len(symbol)
     place = np.arange(n) - np.searchsorted(t.doc, t.doc)
     before = []
@@ -189,12 +221,32 @@ def feature_rows(t: Tokens, symbol: np.ndarray) -> np.ndarray:
     a, b, c = before
     pair = (mix64((a * SYMBOLS + b).astype(U64)) % U64(PAIR_ROWS)).astype(np.int64)
     skip = (mix64((a * SYMBOLS + c).astype(U64) + U64(1 << 40)) % U64(PAIR_ROWS)).astype(np.int64)
-    return np.stack([a, SYMBOLS + b, 2 * SYMBOLS + c, 3 * SYMBOLS + pair, 3 * SYMBOLS + PAIR_ROWS + skip]).astype(np.uint16)
+    return np.stack([a, SYMBOLS + b, 2 * SYMBOLS + c, 3 * SYMBOLS + pair, 3 * SYMBOLS + PAIR_ROWS + skip])
+
+
+def pair_hashes(t: Tokens, symbol: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the pairs of a frequent word and the next token, if that is of a cluster."""
+    after = (t.doc[1:] == t.doc[:-1]) & (symbol[:-1] < PAIR_HISTORIES) & (t.spelling[:-1] >= 0)
+    at = np.flatnonzero(after & (klass[1:] >= OWN_CLASSES) & (klass[1:] != END_CLASS)) + 1
+    return at, mix64(t.hash[at] ^ mix64(symbol[at - 1].astype(U64) + U64(1 << 33)))
+
+
+def _count_pairs(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, tally = WordReader(lower=True), Tally()
+        for batch in batches:
+            for _, words in reader.pieces(batch.column(0)):
+                t = tokens_of(words)
+                at, pairs = pair_hashes(t, *symbols_and_classes(model, t))
+                tally.add(pairs, np.full(len(pairs), -2))
+                yield from tally.out()
+        yield from tally.out(last=True)
+
+    return run
 
 
-def class_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+def _softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
     logits = weights[rows[0]]
-    logits += weights[BIAS]
     for r in rows[1:]:
         logits += weights[r]
     logits -= logits.max(axis=1, keepdims=True)
@@ -203,94 +255,102 @@ def class_probabilities(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _adagrad(weights: np.ndarray, squares: np.ndarray, row: np.ndarray | int, gradient: np.ndarray) -> None:
-    seen = squares[row] + gradient * gradient
-    squares[row] = seen
-    weights[row] -= np.float32(RATE) * gradient / np.sqrt(seen + np.float32(1e-3))
+def probabilities(model: Model, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distributions over groups, and over the classes of the tokens' own groups."""
+    bias = np.full(rows.shape[1], BIAS)
+    own = [*rows, bias]
+    return _softmax(model.groups, own), _softmax(model.members, [r * WIDTH + group for r in own])
+
 
+def _observe(rows: np.ndarray, klass: np.ndarray, _: Model, groups: np.ndarray, members: np.ndarray) -> None:
+    for r in rows:
+        members += np.bincount(r * CLASSES + klass, minlength=members.size).reshape(members.shape)
 
-def gradient_pass(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, klass: np.ndarray) -> None:
-    """AdaGrad over the batches of some tokens; ``weights``, ``squares`` and ``used`` change."""
+
+def _expect(rows: np.ndarray, klass: np.ndarray, model: Model, groups: np.ndarray, members: np.ndarray) -> None:
+    """Add what the model expects, in units of 1 / ``ONE``."""
     for low in range(0, len(klass), BATCH):
-        r, k = rows[:, low : low + BATCH], klass[low : low + BATCH]
-        g = class_probabilities(weights, r)
-        g[np.arange(len(k)), k] -= 1
-        _adagrad(weights, squares, BIAS, g.sum(axis=0))
-        used[BIAS] += len(k)
+        r, g = rows[:, low : low + BATCH], klass[low : low + BATCH] // WIDTH
+        of_group, of_class = (np.rint(p * np.float32(ONE)).astype(np.int32) for p in probabilities(model, r, g))
         for own in r:
-            order = np.argsort(own, kind="stable")  # a radix sort, for rows are 16-bit
-            sorted_ = own[order]
-            at = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            row = sorted_[at]
-            _adagrad(weights, squares, row, np.add.reduceat(g[order], at, axis=0))
-            used[row] += np.diff(np.append(at, len(own)))
+            key = (own * WIDTH + g).astype(np.int32)
+            order = np.argsort(key)
+            key = key[order]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            members[key[new]] += np.add.reduceat(of_class[order], new, axis=0)
+            row = key[new] // WIDTH
+            fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+            groups[row[fresh]] += np.add.reduceat(np.add.reduceat(of_group[order], new, axis=0), fresh, axis=0)
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers with their bytes in order of weight, which compresses well."""
+    return zlib.compress(numbers.astype(np.int64).ravel().view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1).T).view(np.int64).ravel()
+
 
+def _sum_tokens(model: Model, add):
+    """Sums of ``add`` over all training tokens of a task, in blocks of rows."""
 
-def _train(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        reader, weights = WordReader(lower=True), model.weights.copy()
-        squares, used = np.zeros_like(weights), np.zeros(ROWS)
+        reader = WordReader(lower=True)
+        groups, members = np.zeros((ROWS, WIDTH), np.int64), np.zeros((ROWS * WIDTH, WIDTH), np.int64)
         for batch in batches:
             for _, words in reader.pieces(batch.column(0)):
                 t = tokens_of(words)
                 symbol, klass = symbols_and_classes(model, t)
-                gradient_pass(weights, squares, used, feature_rows(t, symbol), klass)
-        change = ((weights - model.weights) * used[:, None]).astype(np.float32)
+                add(feature_rows(t, symbol), klass, model, groups, members)
+        both = np.concatenate([groups, members.reshape(ROWS, -1)], axis=1)
         part, n = TaskContext.get().partitionId(), ROWS // ROWS_PER_BLOCK
         yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.arange(n)),
-                pa.array(np.full(n, part)),
-                pa.array([x.tobytes() for x in used.reshape(n, -1)], pa.binary()),
-                pa.array([x.tobytes() for x in change.reshape(n, -1)], pa.binary()),
-            ],
-            ["block", "part", "used", "change"],
+            [pa.array(np.arange(n)), pa.array(np.full(n, part)), pa.array([_packed(x) for x in both.reshape(n, -1)], pa.binary())],
+            ["block", "part", "sums"],
         )
 
     return run
 
 
 def _add_up(group: pa.Table) -> pa.Table:
-    group = group.sort_by("part")
-    used = sum(np.frombuffer(x, np.float64) for x in group.column("used").to_pylist())
-    change = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in group.column("change").to_pylist())
-    return pa.table(
-        {
-            "block": group.column("block").slice(0, 1),
-            "part": group.column("part").slice(0, 1),
-            "used": pa.array([used.tobytes()], pa.binary()),
-            "change": pa.array([change.astype(np.float32).tobytes()], pa.binary()),
-        }
-    )
+    total = sum(_unpacked(x.as_py()) for x in group.column("sums"))
+    return pa.table({"block": group.column("block").slice(0, 1), "part": group.column("part").slice(0, 1), "sums": pa.array([_packed(total)], pa.binary())})
 
 
-_CHANGE = "block long, part long, used binary, change binary"
+def _sums(train: DataFrame, model: Model, add) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all training tokens: (ROWS x WIDTH, ROWS * WIDTH x WIDTH)."""
+    schema = "block long, part long, sums binary"
+    found = train.mapInArrow(_sum_tokens(model, add), schema)
+    for _ in range(3):  # in steps, so that no group grows with the number of tasks
+        found = found.withColumn("part", F.floor(F.col("part") / 128)).groupBy("block", "part").applyInArrow(_add_up, schema)
+    both = np.zeros((ROWS // ROWS_PER_BLOCK, ROWS_PER_BLOCK * (WIDTH + CLASSES)), np.int64)
+    for r in found.collect():  # blocks of fixed size, one row each up to two million tasks
+        both[r["block"]] += _unpacked(r["sums"])
+    both = both.reshape(ROWS, WIDTH + CLASSES)
+    return both[:, :WIDTH], both[:, WIDTH:].reshape(-1, WIDTH)
 
 
-def train_round(train: DataFrame, model: Model) -> Model:
-    """One round of distributed updates over all training texts."""
-    changes = train.select("text").mapInArrow(_train(model), _CHANGE)
-    # summed in two steps, so that no group grows with the number of tasks beyond its square root
-    parted = changes.withColumn("bin", F.pmod(F.col("part"), F.lit(64)))
-    some = parted.groupBy("block", "bin").applyInArrow(lambda t: _add_up(t.select(["block", "part", "used", "change"])), _CHANGE)
-    found = some.groupBy("block").applyInArrow(_add_up, _CHANGE).collect()
-    weights = model.weights.copy()
-    for r in found:
-        used = np.frombuffer(r["used"], np.float64)[:, None]
-        change = np.frombuffer(r["change"], np.float32).reshape(ROWS_PER_BLOCK, CLASSES)
-        low = r["block"] * ROWS_PER_BLOCK
-        weights[low : low + ROWS_PER_BLOCK] += np.divide(change, used, out=np.zeros(change.shape), where=used > 0).astype(np.float32)
-    return model._replace(weights=weights)
+def updated(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, prior: np.ndarray, rate: float) -> np.ndarray:
+    """Weights moved along the gradient's two terms, compared as logarithms."""
+    step = np.log((observed + SMOOTH * prior) / (expected + SMOOTH * prior))
+    return (weights + rate * step).astype(np.float32)
 
 
 def count_words(train: DataFrame) -> DataFrame:
     """(hash, spelling, count) of every different token of the training texts."""
-    counted = train.select(text_or_empty("text").alias("text")).mapInArrow(_count_words, "hash long, spelling int, count long")
+    counted = train.select(text_or_empty("text").alias("text")).mapInArrow(_count_words, _COUNTS)
     return checkpointed(counted.groupBy("hash", "spelling").agg(F.sum("count").alias("count")))
 
 
+def count_pairs(train: DataFrame, model: Model) -> DataFrame:
+    """(hash, count) of every different pair of a frequent word and a word of a cluster."""
+    counted = train.select(text_or_empty("text").alias("text")).mapInArrow(_count_pairs(model), _COUNTS)
+    return checkpointed(counted.groupBy("hash").agg(F.sum("count").alias("count")))
+
+
 def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     """Classes and weights from (text) and the counts of all its tokens."""
     train = train.select(text_or_empty("text").alias("text"))
@@ -318,45 +378,71 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
         kinds[r["spelling"]] -= 1
     np.add.at(class_tokens, OWN_CLASSES + cluster, tokens)
     np.add.at(class_words, OWN_CLASSES + cluster, kinds)
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    weights[BIAS] = np.log((class_tokens + 1) / (class_tokens.sum() + CLASSES))
-    model = Model(top, rank, cluster, class_tokens, class_words, weights)
-    for _ in range(rounds):
-        model = train_round(train, model)
+    smoothed = (class_tokens + 1) / (class_tokens.sum() + CLASSES)
+    of_group = smoothed.reshape(WIDTH, WIDTH).sum(axis=1)
+    of_class = smoothed.reshape(WIDTH, WIDTH) / of_group[:, None]
+    groups, members = np.zeros((ROWS, WIDTH), np.float32), np.zeros((ROWS, WIDTH, WIDTH), np.float32)
+    groups[BIAS], members[BIAS] = np.log(of_group), np.log(of_class)
+    model = Model(top, rank, cluster, class_tokens, class_words, np.zeros((PAIR_HISTORIES, CLASSES)), groups, members.reshape(-1, WIDTH))
+    observed = _sums(train, model, _observe)[1]
+    by_row = observed.reshape(ROWS, WIDTH, WIDTH).sum(axis=2)
+    model = model._replace(after=observed.reshape(ROWS, CLASSES)[:PAIR_HISTORIES].astype(np.float64))
+    prior = np.tile(of_class, (ROWS, 1))
+    # under the start weights every history has the same distribution
+    expected = by_row.sum(axis=1, keepdims=True) * of_group, by_row.reshape(-1, 1) * prior
+    for round_ in range(rounds + 1):
+        if round_:
+            expected = tuple(x / ONE for x in _sums(train, model, _expect))
+        model = model._replace(
+            groups=updated(model.groups, by_row, expected[0], of_group, RATE),
+            members=updated(model.members, observed, expected[1], prior, RATE),
+        )
     return model
 
 
-def word_log10(model: Model, klass: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """log10 P(word | class) by the word's training count."""
+def word_log10(model: Model, t: Tokens, symbol: np.ndarray, klass: np.ndarray, count: np.ndarray, at: np.ndarray, pair_count: np.ndarray) -> np.ndarray:
+    """log10 P(word | class, history) by the word's training count; ``at`` are the places of pairs."""
     single = (klass < OWN_CLASSES) | (klass == END_CLASS)
-    inside = np.log10((count + ADDED) / (model.class_tokens[klass] + ADDED * (model.class_words[klass] + 1)))
-    return np.where(single, 0.0, inside)
+    inside = (count + ADDED) / (model.class_tokens[klass] + ADDED * (model.class_words[klass] + 1))
+    seen = model.after[symbol[at - 1], klass[at]]
+    inside[at] = (pair_count + PAIR_PRIOR * inside[at]) / (seen + PAIR_PRIOR)
+    return np.where(single, 0.0, np.log10(inside))
 
 
-def score_tokens(model: Model, t: Tokens, count: np.ndarray) -> np.ndarray:
-    """log10 probability of every token."""
+def score_tokens(model: Model, t: Tokens, count_of) -> tuple[np.ndarray, np.ndarray]:
+    """(log10 probability, training count) of every token; ``count_of`` gives counts by hash."""
     symbol, klass = symbols_and_classes(model, t)
-    rows, out = feature_rows(t, symbol), word_log10(model, klass, count)
+    at, pairs = pair_hashes(t, symbol, klass)
+    count = count_of(t.hash)
+    rows, out = feature_rows(t, symbol), word_log10(model, t, symbol, klass, count, at, count_of(pairs))
     for low in range(0, len(klass), BATCH):
-        p = class_probabilities(model.weights, rows[:, low : low + BATCH])
-        out[low : low + BATCH] += np.log10(p[np.arange(len(p)), klass[low : low + BATCH]])
-    return out
+        k = klass[low : low + BATCH]
+        of_group, of_class = probabilities(model, rows[:, low : low + BATCH], k // WIDTH)
+        each = np.arange(len(k))
+        out[low : low + BATCH] += np.log10(of_group[each, k // WIDTH]) + np.log10(of_class[each, k % WIDTH])
+    return out, count
 
 
-def _block_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, hash): different tokens of the blocks in a task."""
-    reader = WordReader(lower=True)
-    held: dict[int, list[np.ndarray]] = {}
-    for batch in batches:
-        blocks = batch.column(0).to_numpy()
-        for first, words in reader.pieces(batch.column(1)):
-            t = tokens_of(words)
-            own = blocks[first : first + words.n_docs][t.doc]
-            for b in np.unique(own):
-                held.setdefault(int(b), []).append(np.unique(t.hash[own == b]))
-    for b, parts in held.items():
-        some = np.unique(np.concatenate(parts))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b)), pa.array(some.view(np.int64))], ["block", "hash"])
+def _block_items(model: Model):
+    """(block, hash): different tokens and pairs of the blocks in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = WordReader(lower=True)
+        held: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            blocks = batch.column(0).to_numpy()
+            for first, words in reader.pieces(batch.column(2)):
+                t = tokens_of(words)
+                at, pairs = pair_hashes(t, *symbols_and_classes(model, t))
+                own = blocks[first : first + words.n_docs]
+                item, of = np.concatenate([t.hash, pairs]), own[np.concatenate([t.doc, t.doc[at]])]
+                for b in np.unique(own):
+                    held.setdefault(int(b), []).append(np.unique(item[of == b]))
+        for b, parts in held.items():
+            some = np.unique(np.concatenate(parts))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), pa.array(some.view(np.int64))], ["block", "hash"])
+
+    return run
 
 
 def _score_block(model: Model, n_tokens: int, n_words: int):
@@ -365,33 +451,37 @@ def _score_block(model: Model, n_tokens: int, n_words: int):
         hashes = known.column("hash").to_numpy().view(U64)
         order = np.argsort(hashes)
         hashes, counts = hashes[order], known.column("count").to_numpy()[order]
+
+        def count_of(h: np.ndarray) -> np.ndarray:
+            found, at = _find(hashes, h)
+            return np.where(found, counts[at] if len(counts) else 0, 0)
+
         floor = n_tokens + ADDED * (n_words + 1)
         out: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for _, words in reader.pieces(texts.column("text")):
-            t = tokens_of(words)
-            found, at = _find(hashes, t.hash)
-            count = np.where(found, counts[at] if len(counts) else 0, 0)
-            n = words.n_docs
+            t, n = tokens_of(words), words.n_docs
+            score, count = score_tokens(model, t, count_of)
             out["n_tokens"].append(np.bincount(t.doc, minlength=n).astype(np.int64))
             out["n_known"].append(np.bincount(t.doc, count > 0, n).astype(np.int64))
             out["base_score"].append(np.bincount(t.doc, np.log10((count + ADDED) / floor), n))
-            out["score"].append(np.bincount(t.doc, score_tokens(model, t, count), n))
+            out["score"].append(np.bincount(t.doc, score, n))
         columns = {k: pa.array(np.concatenate(v) if v else np.zeros(0)) for k, v in out.items()}
         return pa.table({"doc_id": texts.column("doc_id"), **columns})
 
     return run
 
 
-def score_documents(docs: DataFrame, model: Model, counts: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, model: Model, counts: DataFrame, pairs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document."""
     totals = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty("text"))), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    dealt = docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", text_or_empty("text").alias("text")
-    ).repartition(int(min(blocks, 100_000)), "block")
-    wanted = dealt.select("block", "text").mapInArrow(_block_words, "block long, hash long")
-    known = wanted.join(counts.select("hash", "count"), "hash").select("block", "hash", "count")
+    # the partition is part of the hash, so that many equal rows are not one block
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
+    dealt = docs.select(block.alias("block"), "doc_id", text_or_empty("text").alias("text")).repartitionById(int(blocks), F.col("block"))
+    # all columns pass, so that both uses of the blocks read one shuffle
+    wanted = dealt.mapInArrow(_block_items(model), "block int, hash long")
+    known = wanted.join(counts.select("hash", "count").unionByName(pairs), "hash").select("block", "hash", "count")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
     scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(model, totals["n"], totals["v"]), schema)
@@ -403,7 +493,8 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     train = docs.filter(crc32_mod("doc_id", 10) != 0)
     counts = count_words(train)
-    scored = score_documents(docs, fit(train, counts), counts)
+    model = fit(train, counts)
+    scored = score_documents(docs, model, counts, count_pairs(train, model))
     return scored.select(
         "doc_id", (crc32_mod("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )

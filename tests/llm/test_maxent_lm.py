@@ -49,49 +49,130 @@ def test_held_out_texts_are_likelier_than_by_the_base(scored):
     assert sum(r["score"] - r["base_score"] for r in held) / n > 0.2
 
 
-def test_probabilities_sum_to_one_and_scores_follow_the_definition(spark):
-    texts = ["a b c a b", "the cat sat", "the dog sat on the mat", "b c a", ""] * 30
-    train = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+def plain_score(model, counts, pairs, text):
+    """log10 probability of a text, token by token, from the model's numbers."""
+    [(_, words)] = WordReader(lower=True).pieces(pa.array([text]))
+    t = lm.tokens_of(words)
+    symbol, klass = lm.symbols_and_classes(model, t)
+    own = tokens(text)
+    assert len(own) == len(symbol)
+    total = 0.0
+    for i, k in enumerate(klass):
+        before = [symbol[i - back] if i >= back else lm.BEGIN for back in (1, 2, 3)]
+        rows = lm.feature_rows(t, symbol)[:, i]
+        assert rows[:3].tolist() == [before[0], lm.SYMBOLS + before[1], 2 * lm.SYMBOLS + before[2]]
+        rows = [*rows, lm.BIAS]
+        g, j = divmod(int(k), lm.WIDTH)
+        for weights, at in ((model.groups[rows], g), (model.members.reshape(lm.ROWS, lm.WIDTH, -1)[rows, g], j)):
+            logits = weights.astype(float).sum(axis=0)
+            total += logits[at] - np.log(np.exp(logits).sum())
+        if lm.OWN_CLASSES <= k < lm.END_CLASS:
+            inside = (counts[own[i]] + 0.1) / (model.class_tokens[k] + 0.1 * (model.class_words[k] + 1))
+            if i and symbol[i - 1] < lm.PAIR_HISTORIES:
+                inside = (pairs[own[i - 1], own[i]] + lm.PAIR_PRIOR * inside) / (model.after[symbol[i - 1], k] + lm.PAIR_PRIOR)
+            total += math.log(inside)
+    return total / math.log(10)
+
+
+def plain_counts(texts):
+    counts, pairs = Counter(), Counter()
+    for text in texts:
+        own = tokens(text)
+        counts.update(own)
+        pairs.update(zip(own, own[1:]))
+    return counts, pairs
+
+
+def test_scores_of_the_table_against_a_plain_version(spark, sf_dir):
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    train = docs_.filter(lm.crc32_mod("doc_id", 10) != 0)
+    counts = lm.count_words(train)
+    model = lm.fit(train, counts)
+    plain = plain_counts(r["text"] for r in train.collect())
+    text = {r["doc_id"]: r["text"] for r in docs_.collect()}
+    got = lm.op2_lm_score(spark, sf_dir).collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert math.isclose(r["score"], plain_score(model, *plain, text[r["doc_id"]]), rel_tol=1e-5)
+
+
+def test_scores_do_not_depend_on_the_layout(spark, sf_dir):
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = []
+    for parts in (1, 8):
+        dealt = docs_.repartition(parts)
+        train = dealt.filter(lm.crc32_mod("doc_id", 10) != 0)
+        counts = lm.count_words(train)
+        model = lm.fit(train, counts)
+        scored = lm.score_documents(dealt, model, counts, lm.count_pairs(train, model), block_bytes=20_000 * parts)
+        found.append({r["doc_id"]: (r["base_score"], r["score"]) for r in scored.collect()})
+    assert found[0].keys() == found[1].keys()
+    for d, pair in found[0].items():
+        assert np.allclose(pair, found[1][d], rtol=1e-9, atol=0)
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = ["a b c a b", "the cat sat", "the dog sat on the mat", "b c a", ""] * 30 + [" ".join(f"w{i} r{i * 7 % 211}" for i in range(400))]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(2)
     counts = lm.count_words(train)
     model = lm.fit(train, counts)
     [(_, words)] = WordReader(lower=True).pieces(pa.array(["the cat sat on unknownword", "a B zzz"]))
     t = lm.tokens_of(words)
     symbol, klass = lm.symbols_and_classes(model, t)
-    p = lm.class_probabilities(model.weights, lm.feature_rows(t, symbol))
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
-    table = {np.int64(r["hash"]).view(np.uint64): r["count"] for r in counts.collect()}
-    count = np.array([table.get(h, 0) for h in t.hash])
-    got = lm.score_tokens(model, t, count)
-    for i in range(len(got)):
-        logits = model.weights[lm.feature_rows(t, symbol)[:, i]].sum(axis=0) + model.weights[lm.BIAS]
-        share = np.exp(logits - logits.max())
-        want = math.log10(share[klass[i]] / share.sum())
-        if lm.OWN_CLASSES <= klass[i] < lm.END_CLASS:
-            k = klass[i]
-            want += math.log10((count[i] + 0.1) / (model.class_tokens[k] + 0.1 * (model.class_words[k] + 1)))
-        assert abs(want - got[i]) < 1e-4
-    # words of a class and its unknown word
+    rows = lm.feature_rows(t, symbol)
+    for g in range(lm.WIDTH):
+        for p in lm.probabilities(model, rows, np.full(len(klass), g)):
+            assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+    # words of a class and its unknown word, after nothing in particular and after a frequent word
+    plain, pairs = plain_counts(texts)
     all_words = counts.filter("spelling >= 0").collect()
     own = set(model.top[model.top_rank < lm.OWN_CLASSES].tolist())
     rest = [r for r in all_words if int(np.int64(r["hash"]).view(np.uint64)) not in own]
-    for k in {lm.OWN_CLASSES + model.cluster[r["spelling"]] for r in rest}:
+    classes = {lm.OWN_CLASSES + model.cluster[r["spelling"]] for r in rest}
+    assert rest and classes
+    for k in classes:
         mass = sum(r["count"] + 0.1 for r in rest if lm.OWN_CLASSES + model.cluster[r["spelling"]] == k) + 0.1
         assert math.isclose(mass, model.class_tokens[k] + 0.1 * (model.class_words[k] + 1))
+    [(_, words)] = WordReader(lower=True).pieces(pa.array([" ".join(w for w in plain if w != "\n")]))
+    t = lm.tokens_of(words)
+    klass = dict(zip([w for w in plain if w != "\n"], lm.symbols_and_classes(model, t)[1]))
+    rank = {w: r for w, r in zip([w for w in plain if w != "\n"], lm.symbols_and_classes(model, t)[0])}
+    for word, r in rank.items():
+        if r < lm.PAIR_HISTORIES:
+            for k in classes:
+                assert sum(n for (x, y), n in pairs.items() if x == word and y != "\n" and klass[y] == k) == model.after[r, k]
 
 
-def test_gradient_lowers_the_loss():
+def test_a_round_of_updates_lowers_the_loss():
     rng = np.random.default_rng(0)
-    rows = np.stack([rng.integers(0, lm.SYMBOLS, 4000) for _ in range(4)]).astype(np.uint16)
-    klass = rows[0] % lm.CLASSES
-    weights = np.zeros((lm.ROWS, lm.CLASSES), np.float32)
+    symbol = rng.integers(0, lm.SYMBOLS, (3, 4000))
+    rows = np.stack([symbol[0], lm.SYMBOLS + symbol[1], 2 * lm.SYMBOLS + symbol[2], 3 * lm.SYMBOLS + symbol[0] % 50, 3 * lm.SYMBOLS + lm.PAIR_ROWS + symbol[1] % 50])
+    klass = (symbol[0] * 5) % lm.CLASSES
+    flat = np.full(lm.WIDTH, 1 / lm.WIDTH)
+    model = lm.Model(*[np.zeros(0)] * 6, np.zeros((lm.ROWS, lm.WIDTH), np.float32), np.zeros((lm.ROWS * lm.WIDTH, lm.WIDTH), np.float32))
+    zeros = lambda: (np.zeros((lm.ROWS, lm.WIDTH), np.int64), np.zeros((lm.ROWS * lm.WIDTH, lm.WIDTH), np.int64))
+    seen = zeros()
+    lm._observe(rows, klass, model, *seen)
+    by_row = seen[1].reshape(lm.ROWS, lm.WIDTH, -1).sum(axis=2)
+    assert by_row[rows[0][0]].sum() == (rows[0] == rows[0][0]).sum()
     loss = []
-    squares, used = np.zeros_like(weights), np.zeros(lm.ROWS)
-    for _ in range(5):
-        p = lm.class_probabilities(weights, rows)
-        loss.append(-np.log(p[np.arange(4000), klass]).mean())
-        lm.gradient_pass(weights, squares, used, rows, klass)
-    assert loss[-1] < 0.5 * loss[0]
-    assert used[lm.BIAS] == 5 * 4000
+    for _ in range(6):
+        g, j = lm.probabilities(model, rows, klass // lm.WIDTH)
+        each = np.arange(4000)
+        loss.append(-np.log(g[each, klass // lm.WIDTH] * j[each, klass % lm.WIDTH]).mean())
+        hope = zeros()
+        lm._expect(rows, klass, model, *hope)
+        for r in (rows[0][0], rows[3][1]):  # against sums without sorting
+            at = (rows == r).any(axis=0)
+            assert np.array_equal(hope[0][r], np.rint(g[at] * np.float32(lm.ONE)).astype(int).sum(axis=0))
+        groups, members = (x / lm.ONE for x in hope)
+        model = model._replace(groups=lm.updated(model.groups, by_row, groups, flat, lm.RATE), members=lm.updated(model.members, seen[1], members, flat, lm.RATE))
+    assert all(b < a for a, b in zip(loss, loss[1:])) and loss[-1] < 0.5 * loss[0]
+
+
+def test_sums_survive_packing():
+    numbers = np.random.default_rng(3).integers(0, 1 << 40, 1000)
+    assert np.array_equal(lm._unpacked(lm._packed(numbers)), numbers)
 
 
 def test_odd_rows(spark):
@@ -99,12 +180,15 @@ def test_odd_rows(spark):
     df = docs(spark, rows).withColumn("score", lm.F.lit("clash"))
     counts = lm.count_words(df)
     model = lm.fit(df, counts)
-    got = sorted(((r["doc_id"] or -1, r["n_tokens"], r["n_known"]) for r in lm.score_documents(df, model, counts).collect()))
+    pairs = lm.count_pairs(df, model)
+    got = sorted(((r["doc_id"] or -1, r["n_tokens"], r["n_known"]) for r in lm.score_documents(df, model, counts, pairs).collect()))
     assert got == [(-1, 2, 2), (1, 1, 1), (2, 1, 1), (3, 4, 4), (3, 4, 4), (4, 100001, 100001)]
-    none = lm.count_words(df.filter("false"))
-    untrained = lm.score_documents(df, lm.fit(df.filter("false"), none), none).collect()
+    nothing = df.filter("false")
+    none = lm.count_words(nothing)
+    model = lm.fit(nothing, none)
+    untrained = lm.score_documents(df, model, none, lm.count_pairs(nothing, model)).collect()
     assert all(r["n_known"] == 0 and r["base_score"] == 0 and r["score"] < 0 for r in untrained)
-    assert lm.score_documents(docs(spark, []), model, counts).count() == 0
+    assert lm.score_documents(docs(spark, []), model, counts, pairs).count() == 0
 
 
 def test_every_history_word_has_a_feature_of_its_own():
@@ -115,9 +199,9 @@ def test_every_history_word_has_a_feature_of_its_own():
 
 
 def test_default_fit_trains_two_rounds_over_whole_classes(spark, monkeypatch):
-    runs, once = [], lm.train_round
-    monkeypatch.setattr(lm, "train_round", lambda *a: runs.append(1) or once(*a))
+    passes, once = [], lm._sums
+    monkeypatch.setattr(lm, "_sums", lambda train, model, add: passes.append(add) or once(train, model, add))
     train = spark.createDataFrame([("the cat sat on the mat",)] * 20, "text string").coalesce(1)
-    model = lm.fit(train, lm.count_words(train))
-    assert len(runs) >= 2
-    assert model.weights.shape[1] >= 128 and lm.OWN_SYMBOLS >= 256
+    lm.fit(train, lm.count_words(train))
+    assert passes == [lm._observe, lm._expect, lm._expect]
+    assert lm.CLASSES >= 128 and lm.OWN_SYMBOLS >= 256
