@@ -354,6 +354,7 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpointed(docs.select("doc_id", F.xxhash64("text").alias("tid"), F.monotonically_increasing_id().alias("row")))
     labelled = rows.join(classes, "tid")
     best = (F.col("tid") == F.col("best_tid")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    first = labelled.filter(best).groupBy("component").agg(F.min("row").alias("first_row")).withColumnRenamed("component", "c")
-    marked = labelled.join(first, labelled["component"] == first["c"])
-    return marked.select("doc_id", "class_id", "class_size", (F.col("row") == F.col("first_row")).alias("kept"))
+    # joined by row numbers, which are all different, so a large class is no hot key
+    first = labelled.filter(best).groupBy("component").agg(F.min("row").alias("first_row")).select("first_row")
+    marked = labelled.join(first, F.col("row") == F.col("first_row"), "left")
+    return marked.select("doc_id", "class_id", "class_size", F.col("first_row").isNotNull().alias("kept"))
