@@ -4,14 +4,15 @@ P(word | history) = P(group | history) * P(class | group, history) * P(word | cl
 
 Classes. The ``OWN_CLASSES`` most frequent words and the end of a text are classes of their own; all
 other words, known or not, belong to one of the clusters of spellings. A spelling is a word's last
-three bytes; spellings are clustered by which frequent words stand next to them. The ``CLASSES``
-classes are dealt into groups of ``WIDTH``.
+three bytes; spellings are clustered by the words of at most ``SHORT_BYTES`` bytes next to them, hashed
+to ``BUCKETS`` buckets. The ``CLASSES`` classes are dealt into groups of ``WIDTH``.
 
-P(group | history) and P(class | group, history) are maximum-entropy models: features of the last
-three words (each one, the last two together, and the skip pair of the last and the third last) are
-hashed to rows of weights whose sum, after a softmax over the groups or over the classes of the
-group, is the distribution. Frequent words are themselves in features, all others are represented
-by their cluster.
+P(group | history) and P(class | group, history) are maximum-entropy models: features of the history
+are hashed to rows of weights whose sum, after a softmax over the groups or over the classes of the
+group, is the distribution. Features for groups are each of the last three words, the last two
+together and the skip pair of the last and the third last; for classes each of the last two words
+and the two together. Frequent words are themselves in features, all others are represented by
+their cluster.
 
 P(word | class, history) is the word's relative frequency in its class, 0.1 added for every word and
 for one unknown word. After one of the ``PAIR_HISTORIES`` most frequent words it is the frequency
@@ -24,7 +25,8 @@ were observed minus how often the model expects them; both are summed over all t
 all tasks. In each round a weight moves by ``RATE`` times the logarithm of the ratio of the two, with
 ``SMOOTH`` pseudo-counts in each. The expectation under the start weights is known from counts, so
 the first update needs no pass; ``ROUNDS`` passes follow. Probabilities are summed as integers of
-2^-16, so sums, weights and scores do not depend on how the texts are dealt over tasks.
+2^-16, so sums, weights and scores do not depend on how the texts are dealt over tasks. A task counts
+equal histories first and evaluates the model once for each different one.
 
 Scale: the class weights have a fixed size. Counts of words and pairs have not: they grow with the
 vocabulary and are never collected or broadcast. Texts are dealt into blocks of about
@@ -45,7 +47,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpointed, crc32_mod, table, text_or_empty
@@ -60,13 +62,16 @@ OWN_SYMBOLS = 256
 BEGIN = OWN_SYMBOLS + CLUSTERS
 SYMBOLS = BEGIN + 1
 PAIR_ROWS = 2048
-BIAS = 3 * SYMBOLS + 2 * PAIR_ROWS
-FEATURES = 5
-ROWS_PER_BLOCK = 64
-ROWS = -(-(BIAS + 1) // ROWS_PER_BLOCK) * ROWS_PER_BLOCK
+#: Rows of features: last word, second last, both; third last, skip pair. The first three are for classes too.
+MEMBER_ROWS = 2 * SYMBOLS + PAIR_ROWS
+ROWS = MEMBER_ROWS + SYMBOLS + PAIR_ROWS
 SPELLINGS = 4096
+BUCKETS = 128
+SHORT_BYTES = 2
 ROUNDS = 2
 BATCH = 4096
+HELD_TOKENS = 4_000_000
+SUM_CELLS = 1 << 14
 RATE = 0.35
 SMOOTH = 30.0
 ONE = 1 << 16
@@ -74,6 +79,7 @@ ADDED = 0.1
 PAIR_HISTORIES = 64
 PAIR_PRIOR = 200.0
 BLOCK_BYTES = 24 << 20
+KEYED_BLOCKS = 1024
 END_HASH = np.uint64(0x5EEDE4D0FEED0001)
 
 
@@ -86,8 +92,10 @@ class Model(NamedTuple):
     class_tokens: np.ndarray  # training tokens of each class
     class_words: np.ndarray  # different training words of each class
     after: np.ndarray  # PAIR_HISTORIES x CLASSES: training tokens of a class after a frequent word
+    group_bias: np.ndarray  # WIDTH
+    class_bias: np.ndarray  # WIDTH x WIDTH
     groups: np.ndarray  # ROWS x WIDTH: weights of the groups
-    members: np.ndarray  # ROWS * WIDTH x WIDTH: weights of the classes of each group
+    members: np.ndarray  # MEMBER_ROWS * WIDTH x WIDTH: weights of the classes of each group
 
 
 class Tokens(NamedTuple):
@@ -96,6 +104,7 @@ class Tokens(NamedTuple):
     doc: np.ndarray
     hash: np.ndarray
     spelling: np.ndarray
+    size: np.ndarray  # in bytes, 0 for an end
 
 
 def tokens_of(words: Words) -> Tokens:
@@ -112,9 +121,13 @@ def tokens_of(words: Words) -> Tokens:
         np.insert(words.doc, at, np.arange(words.n_docs)),
         np.insert(words.hash, at, END_HASH),
         np.insert(spelling, at, -1),
+        np.insert(size, at, 0),
     )
 
 
+NEIGHBOUR = -3
+
+
 class Tally:
     """Counts of items of a task, merged as they come and given out before they take too much memory."""
 
@@ -124,8 +137,11 @@ class Tally:
 
     def add(self, item: np.ndarray, spelling: np.ndarray) -> None:
         unique, first, count = np.unique(item, return_index=True, return_counts=True)
-        self.held.append((unique, spelling[first], count))
-        self.size += len(unique)
+        self.add_counted(unique, spelling[first], count)
+
+    def add_counted(self, item: np.ndarray, spelling: np.ndarray, count: np.ndarray) -> None:
+        self.held.append((item, spelling, count))
+        self.size += len(item)
 
     def merged(self) -> tuple[np.ndarray, ...]:
         item, spelling, count = (np.concatenate(x) for x in zip(*self.held))
@@ -148,31 +164,22 @@ _COUNTS = "hash long, spelling int, count long"
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(hash, spelling, count): one row for each different token of a task, or of a large part of it."""
-    reader, tally = WordReader(lower=True), Tally()
+    """(hash, spelling, count): one row for each different token of a task, or of a large part of it;
+    with spelling -3, rows of cells (spelling, side, bucket of the neighbour on that side)."""
+    reader, tally, cells = WordReader(lower=True), Tally(), np.zeros(SPELLINGS * 2 * BUCKETS, np.int64)
     for batch in batches:
         for _, words in reader.pieces(batch.column(0)):
             t = tokens_of(words)
             tally.add(t.hash, t.spelling)
+            bucket = (t.hash >> U64(40)) % U64(BUCKETS)
+            for side, (a, b) in enumerate(((slice(None, -1), slice(1, None)), (slice(1, None), slice(None, -1)))):
+                use = (t.doc[a] == t.doc[b]) & (t.spelling[b] >= 0) & (t.size[a] > 0) & (t.size[a] <= SHORT_BYTES)
+                cells += np.bincount((t.spelling[b][use] * 2 + side) * BUCKETS + bucket[a][use].astype(np.int64), minlength=len(cells))
             yield from tally.out()
     yield from tally.out(last=True)
-
-
-def _neighbours(top: np.ndarray, top_rank: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, cells = WordReader(lower=True), np.zeros(SPELLINGS * OWN_CLASSES * 2, np.int64)
-        for batch in batches:
-            for _, words in reader.pieces(batch.column(0)):
-                t = tokens_of(words)
-                known, rank = _find(top, t.hash)
-                rank = np.where(known, top_rank[rank], OWN_SYMBOLS)
-                for side, (a, b) in enumerate(((slice(None, -1), slice(1, None)), (slice(1, None), slice(None, -1)))):
-                    use = (t.doc[a] == t.doc[b]) & (rank[a] < OWN_CLASSES) & (t.spelling[b] >= 0)
-                    cells += np.bincount((t.spelling[b][use] * 2 + side) * OWN_CLASSES + rank[a][use], minlength=len(cells))
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["cell", "n"])
-
-    return run
+    at = np.flatnonzero(cells)
+    tally.add_counted(at.astype(U64), np.full(len(at), NEIGHBOUR), cells[at])
+    yield from tally.out(last=True)
 
 
 def _find(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,19 +216,25 @@ def symbols_and_classes(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray
     return symbol, np.where(t.spelling < 0, END_CLASS, klass)
 
 
-def feature_rows(t: Tokens, symbol: np.ndarray) -> np.ndarray:
-    """Rows of the weight matrix of every token's history, of shape (``FEATURES``, tokens)."""
+def histories(t: Tokens, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of the last, second last and third last word of every token."""
     n = len(symbol)
-    place = np.arange(n) - np.searchsorted(t.doc, t.doc)
+    starts = np.flatnonzero(np.concatenate([[True], t.doc[1:] != t.doc[:-1]])) if n else np.zeros(0, np.int64)
+    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
     before = []
     for back in (1, 2, 3):
-        s = np.full(n, BEGIN)
+        s = np.full(n, BEGIN, np.int32)
         s[back:] = np.where(place[back:] >= back, symbol[: n - back], BEGIN)
         before.append(s)
-    a, b, c = before
-    pair = (mix64((a * SYMBOLS + b).astype(U64)) % U64(PAIR_ROWS)).astype(np.int64)
-    skip = (mix64((a * SYMBOLS + c).astype(U64) + U64(1 << 40)) % U64(PAIR_ROWS)).astype(np.int64)
-    return np.stack([a, SYMBOLS + b, 2 * SYMBOLS + c, 3 * SYMBOLS + pair, 3 * SYMBOLS + PAIR_ROWS + skip])
+    return tuple(before)
+
+
+def both_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 2 * SYMBOLS + (mix64(a.astype(U64) * U64(SYMBOLS) + b.astype(U64)) % U64(PAIR_ROWS)).astype(np.int64)
+
+
+def skip_row(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return MEMBER_ROWS + SYMBOLS + (mix64(a.astype(U64) * U64(SYMBOLS) + c.astype(U64) + U64(1 << 40)) % U64(PAIR_ROWS)).astype(np.int64)
 
 
 def pair_hashes(t: Tokens, symbol: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,42 +258,86 @@ def _count_pairs(model: Model):
     return run
 
 
-def _softmax(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
-    logits = weights[rows[0]]
-    for r in rows[1:]:
-        logits += weights[r]
+def _softmax(logits: np.ndarray) -> np.ndarray:
+    """Softmax of every row, in place."""
     logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
     logits /= logits.sum(axis=1, keepdims=True)
     return logits
 
 
-def probabilities(model: Model, rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distributions over groups, and over the classes of the tokens' own groups."""
-    bias = np.full(rows.shape[1], BIAS)
-    own = [*rows, bias]
-    return _softmax(model.groups, own), _softmax(model.members, [r * WIDTH + group for r in own])
-
-
-def _observe(rows: np.ndarray, klass: np.ndarray, _: Model, groups: np.ndarray, members: np.ndarray) -> None:
-    for r in rows:
-        members += np.bincount(r * CLASSES + klass, minlength=members.size).reshape(members.shape)
-
-
-def _expect(rows: np.ndarray, klass: np.ndarray, model: Model, groups: np.ndarray, members: np.ndarray) -> None:
-    """Add what the model expects, in units of 1 / ``ONE``."""
-    for low in range(0, len(klass), BATCH):
-        r, g = rows[:, low : low + BATCH], klass[low : low + BATCH] // WIDTH
-        of_group, of_class = (np.rint(p * np.float32(ONE)).astype(np.int32) for p in probabilities(model, r, g))
-        for own in r:
-            key = (own * WIDTH + g).astype(np.int32)
-            order = np.argsort(key)
-            key = key[order]
-            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            members[key[new]] += np.add.reduceat(of_class[order], new, axis=0)
-            row = key[new] // WIDTH
-            fresh = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-            groups[row[fresh]] += np.add.reduceat(np.add.reduceat(of_group[order], new, axis=0), fresh, axis=0)
+def group_probabilities(model: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    logits = model.groups[a]
+    logits += model.group_bias
+    for rows in (SYMBOLS + b, both_row(a, b), MEMBER_ROWS + c, skip_row(a, c)):
+        logits += model.groups[rows]
+    return _softmax(logits)
+
+
+def class_probabilities(model: Model, a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Distributions over the classes of a group."""
+    logits = model.members[a * WIDTH + group]
+    logits += model.class_bias[group]
+    for rows in (SYMBOLS + b, both_row(a, b)):
+        logits += model.members[rows * WIDTH + group]
+    return _softmax(logits)
+
+
+def _scatter(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
+    """Add values to their rows of ``sums``."""
+    order = np.argsort(row.astype(np.uint16), kind="stable")  # a radix sort; there are fewer than 2^16 rows
+    row = row[order]
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    sums[row[first]] += np.add.reduceat(values[order], first, axis=0)
+
+
+class Sums(NamedTuple):
+    """Whole numbers for every weight."""
+
+    groups: np.ndarray  # ROWS x WIDTH
+    members: np.ndarray  # MEMBER_ROWS * WIDTH x WIDTH
+
+
+def no_sums() -> Sums:
+    return Sums(np.zeros((ROWS, WIDTH), np.int64), np.zeros((MEMBER_ROWS * WIDTH, WIDTH), np.int64))
+
+
+def observe(a: np.ndarray, b: np.ndarray, c: np.ndarray, klass: np.ndarray, _: Model, sums: Sums) -> None:
+    """Add how often features and outputs occur together."""
+    key, n = np.unique((a * SYMBOLS + b) * CLASSES + klass.astype(np.int32), return_counts=True)
+    ab, k = np.divmod(key, CLASSES)
+    for rows in (ab // SYMBOLS, SYMBOLS + ab % SYMBOLS, both_row(*np.divmod(ab, SYMBOLS))):
+        found = np.bincount(rows.astype(np.int64) * CLASSES + k, n, MEMBER_ROWS * CLASSES).astype(np.int64)
+        sums.members[:] += found.reshape(sums.members.shape)
+        sums.groups[:MEMBER_ROWS] += found.reshape(MEMBER_ROWS, WIDTH, WIDTH).sum(axis=2)
+    key, n = np.unique((a * SYMBOLS + c) * WIDTH + (klass // WIDTH).astype(np.int32), return_counts=True)
+    ac, g = np.divmod(key, WIDTH)
+    for rows in (MEMBER_ROWS + ac % SYMBOLS, skip_row(*np.divmod(ac, SYMBOLS))):
+        sums.groups[:] += np.bincount(rows.astype(np.int64) * WIDTH + g, n, ROWS * WIDTH).astype(np.int64).reshape(sums.groups.shape)
+
+
+def expect(a: np.ndarray, b: np.ndarray, c: np.ndarray, klass: np.ndarray, model: Model, sums: Sums) -> None:
+    """Add what the model expects, in units of 1 / ``ONE``; each different history is evaluated once."""
+    scaled = lambda p, n: np.rint(p * np.float32(ONE)).astype(np.int64) * n[:, None]
+    key, n = np.unique((a * SYMBOLS + b) * SYMBOLS + c, return_counts=True)
+    for low in range(0, len(key), BATCH * 4):
+        some = key[low : low + BATCH * 4]
+        ab, z = np.divmod(some, SYMBOLS)
+        x, y = np.divmod(ab, SYMBOLS)
+        p = scaled(group_probabilities(model, x, y, z), n[low : low + BATCH * 4])
+        _scatter(sums.groups, MEMBER_ROWS + z, p)
+        _scatter(sums.groups, skip_row(x, z), p)
+        first = np.flatnonzero(np.concatenate([[True], ab[1:] != ab[:-1]]))  # keys are in order
+        p, x, y = np.add.reduceat(p, first, axis=0), x[first], y[first]
+        for rows in (x, SYMBOLS + y, both_row(x, y)):
+            _scatter(sums.groups, rows, p)
+    key, n = np.unique((a * SYMBOLS + b) * WIDTH + (klass // WIDTH).astype(np.int32), return_counts=True)
+    for low in range(0, len(key), BATCH * 4):
+        ab, g = np.divmod(key[low : low + BATCH * 4], WIDTH)
+        x, y = np.divmod(ab, SYMBOLS)
+        p = scaled(class_probabilities(model, x, y, g), n[low : low + BATCH * 4])
+        for rows in (x, SYMBOLS + y, both_row(x, y)):
+            _scatter(sums.members, rows * WIDTH + g, p)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -293,22 +350,36 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def _sum_tokens(model: Model, add):
-    """Sums of ``add`` over all training tokens of a task, in blocks of rows."""
+    """Sums of ``add`` over all training tokens of a task, in blocks of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        reader = WordReader(lower=True)
-        groups, members = np.zeros((ROWS, WIDTH), np.int64), np.zeros((ROWS * WIDTH, WIDTH), np.int64)
+        reader, sums, held, size = WordReader(lower=True), no_sums(), [], 0
+
+        def flush() -> None:
+            nonlocal held, size
+            if held:
+                add(*(np.concatenate(x) for x in zip(*held)), model, sums)
+            held, size = [], 0
+
         for batch in batches:
             for _, words in reader.pieces(batch.column(0)):
                 t = tokens_of(words)
                 symbol, klass = symbols_and_classes(model, t)
-                add(feature_rows(t, symbol), klass, model, groups, members)
-        both = np.concatenate([groups, members.reshape(ROWS, -1)], axis=1)
-        part, n = TaskContext.get().partitionId(), ROWS // ROWS_PER_BLOCK
+                held.append((*histories(t, symbol), klass.astype(np.int16)))
+                size += len(klass)
+                if size > HELD_TOKENS:
+                    flush()
+        flush()
+        both = np.concatenate([x.ravel() for x in sums])
+        parts = [both[low : low + SUM_CELLS] for low in range(0, len(both), SUM_CELLS)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(n)), pa.array(np.full(n, part)), pa.array([_packed(x) for x in both.reshape(n, -1)], pa.binary())],
+            [
+                pa.array(np.arange(len(parts))),
+                pa.array(np.full(len(parts), TaskContext.get().partitionId())),
+                pa.array([_packed(x) for x in parts], pa.binary()),
+            ],
             ["block", "part", "sums"],
         )
 
@@ -320,17 +391,19 @@ def _add_up(group: pa.Table) -> pa.Table:
     return pa.table({"block": group.column("block").slice(0, 1), "part": group.column("part").slice(0, 1), "sums": pa.array([_packed(total)], pa.binary())})
 
 
-def _sums(train: DataFrame, model: Model, add) -> tuple[np.ndarray, np.ndarray]:
-    """Sums over all training tokens: (ROWS x WIDTH, ROWS * WIDTH x WIDTH)."""
+def sum_over(train: DataFrame, model: Model, add) -> Sums:
+    """Sums over all training tokens."""
     schema = "block long, part long, sums binary"
     found = train.mapInArrow(_sum_tokens(model, add), schema)
     for _ in range(3):  # in steps, so that no group grows with the number of tasks
         found = found.withColumn("part", F.floor(F.col("part") / 128)).groupBy("block", "part").applyInArrow(_add_up, schema)
-    both = np.zeros((ROWS // ROWS_PER_BLOCK, ROWS_PER_BLOCK * (WIDTH + CLASSES)), np.int64)
-    for r in found.collect():  # blocks of fixed size, one row each up to two million tasks
-        both[r["block"]] += _unpacked(r["sums"])
-    both = both.reshape(ROWS, WIDTH + CLASSES)
-    return both[:, :WIDTH], both[:, WIDTH:].reshape(-1, WIDTH)
+    empty = no_sums()
+    both = np.zeros(sum(x.size for x in empty), np.int64)
+    for r in found.collect():  # blocks of a fixed number of cells, one row each up to two million tasks
+        part = _unpacked(r["sums"])
+        both[r["block"] * SUM_CELLS : r["block"] * SUM_CELLS + len(part)] += part
+    cut = empty.groups.size
+    return Sums(both[:cut].reshape(empty.groups.shape), both[cut:].reshape(empty.members.shape))
 
 
 def updated(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, prior: np.ndarray, rate: float) -> np.ndarray:
@@ -340,15 +413,15 @@ def updated(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, pri
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(hash, spelling, count) of every different token of the training texts."""
+    """(hash, spelling, count) of every different token of the training texts, and of neighbour cells."""
     counted = train.select(text_or_empty("text").alias("text")).mapInArrow(_count_words, _COUNTS)
     return checkpointed(counted.groupBy("hash", "spelling").agg(F.sum("count").alias("count")))
 
 
 def count_pairs(train: DataFrame, model: Model) -> DataFrame:
-    """(hash, count) of every different pair of a frequent word and a word of a cluster."""
+    """(hash, count): parts of the counts of pairs of a frequent word and a word of a cluster."""
     counted = train.select(text_or_empty("text").alias("text")).mapInArrow(_count_pairs(model), _COUNTS)
-    return checkpointed(counted.groupBy("hash").agg(F.sum("count").alias("count")))
+    return counted.select("hash", "count")
 
 
 def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -358,13 +431,12 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     hashes = np.array([r["hash"] for r in common], np.int64).view(U64)
     order = np.argsort(hashes)
     top, rank = hashes[order], np.arange(len(hashes))[order]
-    cells = np.zeros(SPELLINGS * OWN_CLASSES * 2)
-    # at most one row for each cell
-    for r in train.mapInArrow(_neighbours(top, rank), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        cells[r["cell"]] = r["n"]
+    cells = np.zeros(SPELLINGS * 2 * BUCKETS)
+    for r in counts.filter(F.col("spelling") == NEIGHBOUR).collect():  # at most one row for each cell
+        cells[r["hash"]] = r["count"]
     tokens, kinds = np.zeros(SPELLINGS), np.zeros(SPELLINGS)
     ends = 0
-    for r in counts.groupBy("spelling").agg(F.sum("count").alias("n"), F.count("*").alias("kinds")).collect():
+    for r in counts.filter(F.col("spelling") != NEIGHBOUR).groupBy("spelling").agg(F.sum("count").alias("n"), F.count("*").alias("kinds")).collect():
         if r["spelling"] < 0:
             ends = r["n"]
         else:
@@ -381,21 +453,20 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     smoothed = (class_tokens + 1) / (class_tokens.sum() + CLASSES)
     of_group = smoothed.reshape(WIDTH, WIDTH).sum(axis=1)
     of_class = smoothed.reshape(WIDTH, WIDTH) / of_group[:, None]
-    groups, members = np.zeros((ROWS, WIDTH), np.float32), np.zeros((ROWS, WIDTH, WIDTH), np.float32)
-    groups[BIAS], members[BIAS] = np.log(of_group), np.log(of_class)
-    model = Model(top, rank, cluster, class_tokens, class_words, np.zeros((PAIR_HISTORIES, CLASSES)), groups, members.reshape(-1, WIDTH))
-    observed = _sums(train, model, _observe)[1]
-    by_row = observed.reshape(ROWS, WIDTH, WIDTH).sum(axis=2)
-    model = model._replace(after=observed.reshape(ROWS, CLASSES)[:PAIR_HISTORIES].astype(np.float64))
-    prior = np.tile(of_class, (ROWS, 1))
+    start = (np.zeros(x.shape, np.float32) for x in no_sums())
+    biases = np.log(of_group).astype(np.float32), np.log(of_class).astype(np.float32)
+    model = Model(top, rank, cluster, class_tokens, class_words, np.zeros((PAIR_HISTORIES, CLASSES)), *biases, *start)
+    seen = sum_over(train, model, observe)
+    model = model._replace(after=seen.members.reshape(MEMBER_ROWS, CLASSES)[:PAIR_HISTORIES].astype(np.float64))
+    prior = np.tile(of_class, (MEMBER_ROWS, 1))
     # under the start weights every history has the same distribution
-    expected = by_row.sum(axis=1, keepdims=True) * of_group, by_row.reshape(-1, 1) * prior
+    hoped = seen.groups.sum(axis=1, keepdims=True) * of_group, seen.members.sum(axis=1, keepdims=True) * prior
     for round_ in range(rounds + 1):
         if round_:
-            expected = tuple(x / ONE for x in _sums(train, model, _expect))
+            hoped = tuple(x / ONE for x in sum_over(train, model, expect))
         model = model._replace(
-            groups=updated(model.groups, by_row, expected[0], of_group, RATE),
-            members=updated(model.members, observed, expected[1], prior, RATE),
+            groups=updated(model.groups, seen.groups, hoped[0], of_group, RATE),
+            members=updated(model.members, seen.members, hoped[1], prior, RATE),
         )
     return model
 
@@ -414,15 +485,42 @@ def score_tokens(model: Model, t: Tokens, count_of) -> tuple[np.ndarray, np.ndar
     symbol, klass = symbols_and_classes(model, t)
     at, pairs = pair_hashes(t, symbol, klass)
     count = count_of(t.hash)
-    rows, out = feature_rows(t, symbol), word_log10(model, t, symbol, klass, count, at, count_of(pairs))
+    out = word_log10(model, t, symbol, klass, count, at, count_of(pairs))
+    before, group = histories(t, symbol), klass // WIDTH
     for low in range(0, len(klass), BATCH):
-        k = klass[low : low + BATCH]
-        of_group, of_class = probabilities(model, rows[:, low : low + BATCH], k // WIDTH)
-        each = np.arange(len(k))
-        out[low : low + BATCH] += np.log10(of_group[each, k // WIDTH]) + np.log10(of_class[each, k % WIDTH])
+        a, b, c = (x[low : low + BATCH] for x in before)
+        g, each = group[low : low + BATCH], np.arange(len(a))
+        p = group_probabilities(model, a, b, c)[each, g] * class_probabilities(model, a, b, g)[each, klass[low : low + BATCH] % WIDTH]
+        out[low : low + BATCH] += np.log10(p)
     return out, count
 
 
+class Counts:
+    """Counts by hash: sorted, with the place of every prefix, so that a look-up is about one step."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.counts = np.append(hashes[order], U64(0)), np.append(counts[order], 0)
+        self.shift = U64(64 - max(1, len(hashes).bit_length()))
+        self.start = np.searchsorted(self.hashes[:-1] >> self.shift, np.arange((1 << int(U64(64) - self.shift)) + 1, dtype=U64))
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        """Counts of hashes, 0 for unknown ones."""
+        prefix = (h >> self.shift).astype(np.int64)
+        at, end = self.start[prefix], self.start[prefix + 1]
+        found = (self.hashes[at] == h) & (at < end)
+        out = np.where(found, self.counts[at], 0)
+        left = np.flatnonzero(~found & (at + 1 < end))
+        step = 1
+        while len(left):
+            here = at[left] + step
+            hit = self.hashes[here] == h[left]
+            out[left[hit]] = self.counts[here[hit]]
+            step += 1
+            left = left[~hit & (here + 1 < end[left])]
+        return out
+
+
 def _block_items(model: Model):
     """(block, hash): different tokens and pairs of the blocks in a task."""
 
@@ -445,22 +543,30 @@ def _block_items(model: Model):
     return run
 
 
+def block_key(spark: SparkSession, number: Column, blocks: int) -> tuple[Column, int]:
+    """(key, partitions): a key for the number of a block, and how many partitions to hash it to.
+
+    Up to ``KEYED_BLOCKS`` blocks every one gets a key that hashes to a partition of its own; more are
+    dealt eight to a partition on average, which evens their sizes out.
+    """
+    if blocks > KEYED_BLOCKS:
+        return number.cast("int"), -(-blocks // 8)
+    tried = spark.range(32 * blocks).select(F.col("id").cast("int").alias("key"))
+    keys = tried.groupBy(F.pmod(F.hash("key"), F.lit(blocks)).alias("part")).agg(F.min("key").alias("key"))
+    found = {r["part"]: r["key"] for r in keys.collect()}
+    free = iter(range(32 * blocks, 33 * blocks))  # a partition that no tried key hashes to shares another's
+    return F.get(F.array(*[F.lit(found.get(i) if i in found else next(free)) for i in range(blocks)]), number.cast("int")), blocks
+
+
 def _score_block(model: Model, n_tokens: int, n_words: int):
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         reader = WordReader(lower=True)
-        hashes = known.column("hash").to_numpy().view(U64)
-        order = np.argsort(hashes)
-        hashes, counts = hashes[order], known.column("count").to_numpy()[order]
-
-        def count_of(h: np.ndarray) -> np.ndarray:
-            found, at = _find(hashes, h)
-            return np.where(found, counts[at] if len(counts) else 0, 0)
-
+        counts = Counts(known.column("hash").to_numpy().view(U64), known.column("count").to_numpy())
         floor = n_tokens + ADDED * (n_words + 1)
         out: dict[str, list[np.ndarray]] = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
         for _, words in reader.pieces(texts.column("text")):
             t, n = tokens_of(words), words.n_docs
-            score, count = score_tokens(model, t, count_of)
+            score, count = score_tokens(model, t, counts.of)
             out["n_tokens"].append(np.bincount(t.doc, minlength=n).astype(np.int64))
             out["n_known"].append(np.bincount(t.doc, count > 0, n).astype(np.int64))
             out["base_score"].append(np.bincount(t.doc, np.log10((count + ADDED) / floor), n))
@@ -473,15 +579,19 @@ def _score_block(model: Model, n_tokens: int, n_words: int):
 
 def score_documents(docs: DataFrame, model: Model, counts: DataFrame, pairs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    totals = counts.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    words = counts.filter(F.col("spelling") != NEIGHBOUR)
+    totals = words.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_or_empty("text"))), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     # the partition is part of the hash, so that many equal rows are not one block
-    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks)).cast("int")
-    dealt = docs.select(block.alias("block"), "doc_id", text_or_empty("text").alias("text")).repartitionById(int(blocks), F.col("block"))
+    number = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
+    block, parts = block_key(docs.sparkSession, number, int(blocks))
+    dealt = docs.select(block.alias("block"), "doc_id", text_or_empty("text").alias("text")).repartition(parts, "block")
     # all columns pass, so that both uses of the blocks read one shuffle
     wanted = dealt.mapInArrow(_block_items(model), "block int, hash long")
-    known = wanted.join(counts.select("hash", "count").unionByName(pairs), "hash").select("block", "hash", "count")
+    # summed where it is joined, so that the parts travel once
+    either = words.select("hash", "count").unionByName(pairs).groupBy("hash").agg(F.sum("count").alias("count"))
+    known = wanted.join(either, "hash").select("block", "hash", "count")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"
     scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_score_block(model, totals["n"], totals["v"]), schema)

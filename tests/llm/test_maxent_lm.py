@@ -59,12 +59,13 @@ def plain_score(model, counts, pairs, text):
     total = 0.0
     for i, k in enumerate(klass):
         before = [symbol[i - back] if i >= back else lm.BEGIN for back in (1, 2, 3)]
-        rows = lm.feature_rows(t, symbol)[:, i]
-        assert rows[:3].tolist() == [before[0], lm.SYMBOLS + before[1], 2 * lm.SYMBOLS + before[2]]
-        rows = [*rows, lm.BIAS]
+        a, b, c = (np.array([x]) for x in before)
+        both, skip = lm.both_row(a, b)[0], lm.skip_row(a, c)[0]
+        rows = [before[0], lm.SYMBOLS + before[1], both]
         g, j = divmod(int(k), lm.WIDTH)
-        for weights, at in ((model.groups[rows], g), (model.members.reshape(lm.ROWS, lm.WIDTH, -1)[rows, g], j)):
-            logits = weights.astype(float).sum(axis=0)
+        of_group = model.groups[[*rows, lm.MEMBER_ROWS + before[2], skip]].astype(float).sum(axis=0) + model.group_bias
+        of_class = model.members.reshape(lm.MEMBER_ROWS, lm.WIDTH, -1)[rows, g].astype(float).sum(axis=0) + model.class_bias[g]
+        for logits, at in ((of_group, g), (of_class, j)):
             total += logits[at] - np.log(np.exp(logits).sum())
         if lm.OWN_CLASSES <= k < lm.END_CLASS:
             inside = (counts[own[i]] + 0.1) / (model.class_tokens[k] + 0.1 * (model.class_words[k] + 1))
@@ -119,10 +120,10 @@ def test_probabilities_sum_to_one(spark):
     [(_, words)] = WordReader(lower=True).pieces(pa.array(["the cat sat on unknownword", "a B zzz"]))
     t = lm.tokens_of(words)
     symbol, klass = lm.symbols_and_classes(model, t)
-    rows = lm.feature_rows(t, symbol)
+    a, b, c = lm.histories(t, symbol)
+    assert np.allclose(lm.group_probabilities(model, a, b, c).sum(axis=1), 1, atol=1e-5)
     for g in range(lm.WIDTH):
-        for p in lm.probabilities(model, rows, np.full(len(klass), g)):
-            assert np.allclose(p.sum(axis=1), 1, atol=1e-5)
+        assert np.allclose(lm.class_probabilities(model, a, b, np.full(len(a), g)).sum(axis=1), 1, atol=1e-5)
     # words of a class and its unknown word, after nothing in particular and after a frequent word
     plain, pairs = plain_counts(texts)
     all_words = counts.filter("spelling >= 0").collect()
@@ -145,29 +146,60 @@ def test_probabilities_sum_to_one(spark):
 
 def test_a_round_of_updates_lowers_the_loss():
     rng = np.random.default_rng(0)
-    symbol = rng.integers(0, lm.SYMBOLS, (3, 4000))
-    rows = np.stack([symbol[0], lm.SYMBOLS + symbol[1], 2 * lm.SYMBOLS + symbol[2], 3 * lm.SYMBOLS + symbol[0] % 50, 3 * lm.SYMBOLS + lm.PAIR_ROWS + symbol[1] % 50])
-    klass = (symbol[0] * 5) % lm.CLASSES
+    a, b, c = rng.integers(0, lm.SYMBOLS, (3, 4000)).astype(np.int32)
+    a[:2000] %= 9
+    b[:2000] %= 3
+    klass = ((a * 5 + c % 2) % lm.CLASSES).astype(np.int16)
     flat = np.full(lm.WIDTH, 1 / lm.WIDTH)
-    model = lm.Model(*[np.zeros(0)] * 6, np.zeros((lm.ROWS, lm.WIDTH), np.float32), np.zeros((lm.ROWS * lm.WIDTH, lm.WIDTH), np.float32))
-    zeros = lambda: (np.zeros((lm.ROWS, lm.WIDTH), np.int64), np.zeros((lm.ROWS * lm.WIDTH, lm.WIDTH), np.int64))
-    seen = zeros()
-    lm._observe(rows, klass, model, *seen)
-    by_row = seen[1].reshape(lm.ROWS, lm.WIDTH, -1).sum(axis=2)
-    assert by_row[rows[0][0]].sum() == (rows[0] == rows[0][0]).sum()
+    biases = np.log(flat).astype(np.float32), np.log(np.tile(flat, (lm.WIDTH, 1))).astype(np.float32)
+    model = lm.Model(*[np.zeros(0)] * 6, *biases, *(x.astype(np.float32) for x in lm.no_sums()))
+    seen = lm.no_sums()
+    lm.observe(a, b, c, klass, model, seen)
+    rows = {"a": a, "b": lm.SYMBOLS + b, "ab": lm.both_row(a, b), "c": lm.MEMBER_ROWS + c, "ac": lm.skip_row(a, c)}
+    group, each = (klass // lm.WIDTH).astype(int), np.arange(4000)
+    for name, r in rows.items():
+        for row in np.unique(r)[:40]:
+            assert np.array_equal(seen.groups[row], np.bincount(group[r == row], minlength=lm.WIDTH))
+            if row < lm.MEMBER_ROWS:
+                want = np.bincount(klass[r == row], minlength=lm.CLASSES)
+                assert np.array_equal(seen.members.reshape(lm.MEMBER_ROWS, -1)[row], want)
     loss = []
     for _ in range(6):
-        g, j = lm.probabilities(model, rows, klass // lm.WIDTH)
-        each = np.arange(4000)
-        loss.append(-np.log(g[each, klass // lm.WIDTH] * j[each, klass % lm.WIDTH]).mean())
-        hope = zeros()
-        lm._expect(rows, klass, model, *hope)
-        for r in (rows[0][0], rows[3][1]):  # against sums without sorting
-            at = (rows == r).any(axis=0)
-            assert np.array_equal(hope[0][r], np.rint(g[at] * np.float32(lm.ONE)).astype(int).sum(axis=0))
-        groups, members = (x / lm.ONE for x in hope)
-        model = model._replace(groups=lm.updated(model.groups, by_row, groups, flat, lm.RATE), members=lm.updated(model.members, seen[1], members, flat, lm.RATE))
-    assert all(b < a for a, b in zip(loss, loss[1:])) and loss[-1] < 0.5 * loss[0]
+        g, j = lm.group_probabilities(model, a, b, c), lm.class_probabilities(model, a, b, group)
+        loss.append(-np.log(g[each, group] * j[each, klass % lm.WIDTH]).mean())
+        hope = lm.no_sums()
+        lm.expect(a, b, c, klass, model, hope)
+        whole = lambda p: np.rint(p * np.float32(lm.ONE)).astype(int)
+        for name, r in rows.items():  # against sums token by token
+            for row in np.unique(r)[:40]:
+                assert np.array_equal(hope.groups[row], whole(g)[r == row].sum(axis=0))
+                if row < lm.MEMBER_ROWS:
+                    at = (r == row) & (group == 1)
+                    assert np.array_equal(hope.members[row * lm.WIDTH + 1], whole(j)[at].sum(axis=0))
+        model = model._replace(
+            groups=lm.updated(model.groups, seen.groups, hope.groups / lm.ONE, flat, lm.RATE),
+            members=lm.updated(model.members, seen.members, hope.members / lm.ONE, flat, lm.RATE),
+        )
+    assert all(y < x for x, y in zip(loss, loss[1:])) and loss[-1] < 0.6 * loss[0]
+
+
+def test_look_up_of_counts():
+    rng = np.random.default_rng(1)
+    hashes = np.unique(rng.integers(0, 1 << 64, 5000, dtype=np.uint64))
+    hashes[:40] = np.uint64(7 << 60) + np.arange(40, dtype=np.uint64)  # one crowded prefix
+    hashes = np.unique(np.append(hashes, np.uint64((1 << 64) - 1)))
+    counts = lm.Counts(hashes, np.arange(1, len(hashes) + 1))
+    assert np.array_equal(counts.of(hashes), np.arange(1, len(hashes) + 1))
+    assert not counts.of(np.setdiff1d(hashes + np.uint64(1), hashes)).any()
+    assert lm.Counts(hashes[:0], np.zeros(0, int)).of(hashes).sum() == 0
+
+
+def test_every_block_gets_a_partition(spark):
+    for blocks in (1, 5, 40):
+        key, parts = lm.block_key(spark, lm.F.col("id"), blocks)
+        dealt = spark.range(blocks).select(key.alias("k")).repartition(parts, "k").select(lm.F.spark_partition_id().alias("p"), "k")
+        rows = dealt.collect()
+        assert parts == blocks and len({r["k"] for r in rows}) == len({r["p"] for r in rows}) == blocks
 
 
 def test_sums_survive_packing():
@@ -192,16 +224,16 @@ def test_odd_rows(spark):
 
 
 def test_every_history_word_has_a_feature_of_its_own():
-    t = lm.Tokens(np.zeros(8, np.int64), np.zeros(8, np.uint64), np.zeros(8, np.int64))
-    rows = lm.feature_rows(t, np.array([7, 1, 2, 0, 7, 3, 4, 0]))
-    # "7 1 2" and "7 3 4" share nothing but the third last word
-    assert len(set(rows[:, 3].tolist()) & set(rows[:, 7].tolist())) == 1
+    t = lm.Tokens(np.array([0, 0, 0, 0, 1, 1, 1]), np.zeros(7, np.uint64), *np.zeros((2, 7), np.int64))
+    last, second, third = lm.histories(t, np.array([7, 1, 2, 3, 4, 5, 6]))
+    assert third.tolist() == [lm.BEGIN] * 3 + [7] + [lm.BEGIN] * 3
+    assert (last.tolist(), second.tolist()) == ([lm.BEGIN, 7, 1, 2, lm.BEGIN, 4, 5], [lm.BEGIN, lm.BEGIN, 7, 1, lm.BEGIN, lm.BEGIN, 4])
 
 
 def test_default_fit_trains_two_rounds_over_whole_classes(spark, monkeypatch):
-    passes, once = [], lm._sums
-    monkeypatch.setattr(lm, "_sums", lambda train, model, add: passes.append(add) or once(train, model, add))
+    passes, once = [], lm.sum_over
+    monkeypatch.setattr(lm, "sum_over", lambda train, model, add: passes.append(add) or once(train, model, add))
     train = spark.createDataFrame([("the cat sat on the mat",)] * 20, "text string").coalesce(1)
     lm.fit(train, lm.count_words(train))
-    assert passes == [lm._observe, lm._expect, lm._expect]
+    assert passes == [lm.observe, lm.expect, lm.expect]
     assert lm.CLASSES >= 128 and lm.OWN_SYMBOLS >= 256
