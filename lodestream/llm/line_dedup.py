@@ -120,15 +120,15 @@ OP5_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
-t AS (
-  SELECT doc_id, pos, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'),
-    lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w
-  FROM l),
+v AS (SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS v FROM l),
+t AS (SELECT doc_id, pos, v, list_transform(v, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM v),
 h AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 4 THEN (len(w) - 4 + 1) // 2 ELSE 0 END AS half FROM t WHERE len(w) >= 5),
 k AS (
   SELECT doc_id, pos, ['a', n::VARCHAR, array_to_string(w[1:4], ' '), array_to_string(w[5:4 + half], ' ')] AS key FROM h
   UNION ALL
-  SELECT doc_id, pos, ['b', n::VARCHAR, array_to_string(w[1:4], ' '), array_to_string(w[5 + half:], ' ')] AS key FROM h),
+  SELECT doc_id, pos, ['b', n::VARCHAR, array_to_string(w[1:4], ' '), array_to_string(w[5 + half:], ' ')] AS key FROM h
+  UNION ALL
+  SELECT doc_id, pos, ['s', len(v)::VARCHAR, array_to_string(v, ' ')] AS key FROM t WHERE len(v) BETWEEN 1 AND 4),
 r AS (SELECT key, min({'d': doc_id, 'p': pos}) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
 x AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN r USING (key) WHERE k.doc_id <> r.first.d OR k.pos <> r.first.p),
 c AS (

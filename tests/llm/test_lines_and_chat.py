@@ -14,6 +14,8 @@ def brute_drops(rows):
         for p, line in enumerate((text or "").split("\n")):
             w = ["<*>" if any(c in "0123456789" for c in t) else t for t in words(line)]
             if len(w) < 5:
+                if w:
+                    places["s", *words(line)].append((d, p))
                 continue
             half = (len(w) - 4 + 1) // 2 if len(w) > 4 else 0
             places["a", len(w), *w[:4], "|", *w[4 : 4 + half]].append((d, p))
@@ -47,10 +49,10 @@ def test_odd_lines(spark):
     ]
     df = docs(spark, rows).withColumn("n_dropped", line_dedup.F.lit("clash"))
     got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df).collect()}
-    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "\nshort\nshort" and got[2]["n_dropped"] == 1
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "\nshort" and got[2]["n_dropped"] == 2
     assert got[3]["text"] is None and got[3]["n_lines"] == 0 and got[4]["text"] == ""
     assert got[5]["text"] == "" and got[5]["n_dropped"] == 3000
-    assert got[6]["text"] == "short\n\n"
+    assert got[6]["text"] == "\n"
     assert line_dedup.dedup_lines(df).count() == len(rows)
     same = docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f")])
     assert sorted(r["text"] for r in line_dedup.dedup_lines(same).collect()) == ["", "", "a b c d e f"]
