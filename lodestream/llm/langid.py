@@ -7,12 +7,14 @@ word scores the mean of its positions. A text's score in a language is the sum o
 prediction is the highest, and ``score`` is its share after a softmax over the languages of the
 scores divided by the square root of the number of words.
 
-Counts cover every word of every training document: words by occurrence, n-grams once for each
-different word of a language in a piece of about two million characters. Nothing counted is left out of the model: the words
-and n-grams above the lowest count at which at most ``max_words`` words and ``max_grams`` n-grams per order
-remain are sent to the executors. All others stay in a distributed table; texts are dealt into blocks of about
-``BLOCK_BYTES``, and what a block has beyond the lists sent is joined to that table. Counting is done
-per task on word hashes first, so only one row per different item and task is shuffled.
+Counts cover every occurrence of every word of every training document, and of its n-grams, so they
+do not depend on how the texts are dealt over tasks. Nothing counted is left out of the model: the
+words and n-grams above the lowest count at which at most ``max_words`` words and ``max_grams``
+n-grams per order remain are sent to the executors, and a document's words on that list are scored
+where it is read. Its other words, as a rule few, travel: they are dealt into blocks of about
+``BLOCK_BYTES``, and what a block needs beyond the lists is joined to the distributed table of all
+other items. Counting is done per task on word hashes first, so only one row per different item and
+task is shuffled.
 
 Defined results for odd input: a null text, or one without a letter, is ``und`` with score 0; ties
 go to the language first in order; without any training language everything is ``und``; repeated
@@ -141,10 +143,12 @@ def _count(languages: list[str]):
                     held.append((np.full(len(words), code), words, times))
                     size += len(words)
                     at = at[where]
-                    _, use, grams = gram_hashes(values, start[at], end[at])
+                    word, use, grams = gram_hashes(values, start[at], end[at])
                     for order, h in grams.items():
-                        items, times = np.unique(h[use & (h != 0)], return_counts=True)
-                        held.append((np.full(len(items), order * len(languages) + code), items, times))
+                        own = use & (h != 0)
+                        items, again = np.unique(h[own], return_inverse=True)
+                        each = np.bincount(again, times[word[own]], len(items)).astype(np.int64)
+                        held.append((np.full(len(items), order * len(languages) + code), items, each))
                         size += len(items)
             if size > 3_000_000:  # keeps a task's memory bounded whatever its share of the corpus
                 one = merged()
@@ -259,17 +263,22 @@ def score_words(model: Model, values, start, end, hashed) -> np.ndarray:
     return out[again]
 
 
-def predictions(model: Model, reader: LetterReader, ids: pa.Array, texts: pa.Array) -> pa.Table:
-    names, shares, n = [], [], len(model.languages)
+def totals(model: Model, reader: LetterReader, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(log scores by language, number of words) of every text."""
+    sums, counts, n = [], [], len(model.languages)
     for _, docs, values, doc, start, end, hashed in reader.pieces(texts):
         scores = score_words(model, values, start, end, hashed)
-        count = np.bincount(doc, minlength=docs)
-        total = np.stack([np.bincount(doc, scores[:, i], docs) for i in range(n)], axis=1)
-        scaled = total / np.sqrt(np.maximum(count, 1))[:, None]
-        scaled = np.exp(scaled - scaled.max(axis=1, keepdims=True))
-        best = np.argmax(scaled, axis=1)
-        names += [model.languages[b] if c else UNDETERMINED for b, c in zip(best, count)]
-        shares += list(np.where(count > 0, scaled.max(axis=1) / scaled.sum(axis=1), 0.0))
+        counts.append(np.bincount(doc, minlength=docs))
+        sums.append(np.stack([np.bincount(doc, scores[:, i], docs) for i in range(n)], axis=1))
+    return (np.concatenate(sums), np.concatenate(counts)) if sums else (np.zeros((0, n)), np.zeros(0, np.int64))
+
+
+def predictions(model: Model, ids: pa.Array, total: np.ndarray, count: np.ndarray) -> pa.Table:
+    scaled = total / np.sqrt(np.maximum(count, 1))[:, None]
+    scaled = np.exp(scaled - scaled.max(axis=1, keepdims=True))
+    best = np.argmax(scaled, axis=1)
+    names = [model.languages[b] if c else UNDETERMINED for b, c in zip(best, count)]
+    shares = np.where(count > 0, scaled.max(axis=1) / scaled.sum(axis=1), 0.0)
     return pa.table([ids, pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["doc_id", "lang_pred", "score"])
 
 
@@ -277,7 +286,35 @@ def _predict(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = LetterReader()
         for batch in batches:
-            yield from predictions(model, reader, batch.column(0), batch.column(1)).to_batches()
+            yield from predictions(model, batch.column(0), *totals(model, reader, batch.column(1))).to_batches()
+
+    return run
+
+
+def _score_known(model: Model):
+    """(block, doc_id, n_words, sums, rest): scores of the words on the list, and the other words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, n = LetterReader(), len(model.languages)
+        for batch in batches:
+            texts = batch.column(2)
+            for first, docs, values, doc, start, end, hashed in reader.pieces(texts):
+                known, at = _lookup(model, 0, hashed)
+                logs = model.logs[0][at[known]] if len(model.logs[0]) else np.zeros((0, n), np.float32)
+                sums = np.stack([np.bincount(doc[known], logs[:, i], docs) for i in range(n)], axis=1).astype(np.float64)
+                joined = "\n".join((t.as_py() or "").lower() for t in texts.slice(first, docs))
+                other = np.flatnonzero(~known)
+                words = [joined[i:j] for i, j in zip(start[other].tolist(), end[other].tolist())]
+                cuts = np.searchsorted(doc[other], np.arange(docs + 1)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).slice(first, docs), batch.column(1).slice(first, docs),
+                        pa.array(np.bincount(doc, minlength=docs).astype(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * n, pa.int32()), pa.array(sums.ravel())),
+                        pa.array([" ".join(words[i:j]) for i, j in zip(cuts, cuts[1:])], pa.string()),
+                    ],
+                    ["block", "doc_id", "n_words", "sums", "rest"],
+                )
 
     return run
 
@@ -293,14 +330,13 @@ def _block_items(model: Model):
 
         for batch in batches:
             blocks = batch.column(0).to_numpy()
-            for first, n, values, doc, start, end, hashed in reader.pieces(batch.column(2)):
+            for first, n, values, doc, start, end, hashed in reader.pieces(batch.column(4)):
                 own = blocks[first : first + n][doc]
                 for b in np.unique(own):
                     at = np.flatnonzero(own == b)
                     words, where = np.unique(hashed[at], return_index=True)
-                    open_ = ~_lookup(model, 0, words)[0]
-                    add(int(b), 0, words[open_])
-                    at = at[where[open_]]
+                    add(int(b), 0, words)
+                    at = at[where]
                     _, use, grams = gram_hashes(values, start[at], end[at])
                     for order, h in grams.items():
                         add(int(b), order, np.unique(h[use & (h != 0)]))
@@ -330,7 +366,9 @@ def with_items(model: Model, known: pa.Table) -> Model:
 
 def _predict_block(model: Model):
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        return predictions(with_items(model, known), LetterReader(), texts.column("doc_id"), texts.column("text"))
+        rest, _ = totals(with_items(model, known), LetterReader(), texts.column("rest"))
+        sums = texts.column("sums").combine_chunks().flatten().to_numpy().reshape(rest.shape)
+        return predictions(model, texts.column("doc_id"), sums + rest, texts.column("n_words").to_numpy())
 
     return run
 
@@ -347,9 +385,12 @@ def identify_languages(docs: DataFrame, model: Model | None, block_bytes: int =
         return plain.mapInArrow(_predict(sent), schema)
     size = plain.agg(F.coalesce(F.sum(F.octet_length(text_or_empty("text"))), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
-    dealt = plain.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text").repartition(
-        int(min(blocks, 100_000)), "block"
+    # the partition is part of the hash, so that many equal rows are not one block
+    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
+    scored = plain.select(block.alias("block"), "doc_id", "text").mapInArrow(
+        _score_known(sent), f"block long, doc_id {kind}, n_words long, sums array<double>, rest string"
     )
+    dealt = scored.repartition(int(min(blocks, 100_000)), "block")
     # all columns pass, so that both uses of the blocks read one shuffle
     wanted = dealt.mapInArrow(_block_items(sent), "block long, order int, item long")
     known = wanted.join(model.rest, ["order", "item"]).select("block", "order", "item", "by_lang")

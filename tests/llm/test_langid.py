@@ -23,12 +23,9 @@ def brute_model(rows):
     languages = sorted({lang for _, lang in rows})
     words, grams = Counter(), {n: Counter() for n in langid.ORDERS}
     for lang in languages:
-        seen = set()
-        for text, own in rows:
-            if own == lang:
-                words.update((lang, w) for w in runs(text))
-                seen |= set(runs(text))
-        for w in seen:
+        found = [w for text, own in rows if own == lang for w in runs(text)]
+        words.update((lang, w) for w in found)
+        for w in found:
             marked = "^" + w + "$"
             for n in langid.ORDERS:
                 for i in range(len(marked) - 1):
@@ -102,7 +99,7 @@ def test_odd_rows(spark):
 
 def test_words_beyond_the_lists_sent_count_in_full(spark, sf_dir):
     df = documents(spark, sf_dir).head(60)
-    df = spark.createDataFrame(df[["doc_id", "text", "lang"]]).repartition(3).localCheckpoint()
+    df = langid.checkpointed(spark.createDataFrame(df[["doc_id", "text", "lang"]]).repartition(3))
     train = df.filter("doc_id % 3 > 0").coalesce(1)
     results = [
         {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify_languages(df, langid.fit(train, *room), 20_000).collect()}
@@ -112,3 +109,17 @@ def test_words_beyond_the_lists_sent_count_in_full(spark, sf_dir):
     for some in results[1:]:
         assert {k: v[0] for k, v in some.items()} == {k: v[0] for k, v in results[0].items()}
         assert all(math.isclose(v[1], results[0][k][1], abs_tol=1e-5) for k, v in some.items())
+
+
+def test_the_model_does_not_depend_on_the_layout(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    found = []
+    for parts in (1, 8):
+        dealt = df.repartition(parts)
+        model = langid.fit(dealt.filter("doc_id % 3 > 0 and lang is not null and text is not null"), 300, 200)
+        rows = langid.identify_languages(dealt, model, 30_000 * parts).collect()
+        found.append((model, {r["doc_id"]: (r["lang_pred"], r["score"]) for r in rows}))
+    (a, of_a), (b, of_b) = found
+    for order in a.hashes:
+        assert np.array_equal(a.hashes[order], b.hashes[order]) and np.array_equal(a.logs[order], b.logs[order])
+    assert all(of_a[d][0] == of_b[d][0] and math.isclose(of_a[d][1], of_b[d][1], rel_tol=1e-9) for d in of_a)
