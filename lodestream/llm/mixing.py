@@ -5,17 +5,21 @@ source and the excess is reshared by weight until none is above. That is a water
 closed form from the sources sorted by cap over weight.
 
 Sampling (Rosen, 1997): a source whose target is L times its size takes floor(L) certain whole
-copies of every document. The rest is drawn with inclusion probability p = L - floor(L): documents
-are ranked by the odds of a random number over the odds of p, and taken in that order until their
-words reach the rest of the target. The document at the edge is taken if more than half of it
-fits, so a source misses its target by half a document at most.
-
-Scale: the order is cut into ``blocks`` blocks per source whose word sums come from one aggregation
-with map-side combine. Whole blocks are decided by comparing with the block at the edge; only the
-rows of that one block per source are ever sorted.
+copies of every document. The rest of R words is drawn with unequal inclusion probabilities: that of
+a document is min(1, c w), where w is its size rounded down to ``SIZE_BITS`` binary digits and c makes
+the expected words R. Documents with probability 1 are taken first. The others are ranked by the
+odds of a random number over the odds of their probability, and taken in that order until their words
+reach what is left of R. The document at the edge is taken if more than half of it fits, so a source
+misses its target by half a document at most.
+
+Scale: sizes and random numbers are written once, three numbers a row. c is found from the words of
+each rounded size. The order is cut into ``blocks`` blocks per source whose word sums come from an
+aggregation with map-side combine, the block at the edge again into as many; whole blocks are
+decided by comparison, and only rows of the inner block, one in ``blocks`` squared, are sorted.
 
 Random numbers are hashes of the key columns and a seed, so reruns agree. Name key columns that
-tell rows apart; rows equal in all of them and in size are interchangeable.
+tell rows apart; rows equal in all of them and in size are interchangeable, and those at the edge
+are sorted in one task.
 
 Defined results for odd input: null text has size 0 and takes 0 words; a null source is a source of
 its own, ordered last; repeated rows are sampled one by one; an empty table gives an empty result.
@@ -35,6 +39,7 @@ MAX_REPEATS = 3
 WEIGHTS = (5, 2, 1)
 #: Up to so many sources their plan is broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 20_000
+SIZE_BITS = 10
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -66,6 +71,64 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     return level.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def rounded_size(size: Column) -> Column:
+    """The size with all but its ``SIZE_BITS`` leading binary digits set to zero."""
+    shift = F.greatest(F.length(F.bin(size)) - SIZE_BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", size, shift), shift)
+
+
+def _before(value: str, *order: str | Column) -> Column:
+    """Sum of a value over the rows of a source that come earlier."""
+    window = Window.partitionBy("__ls_src").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(window), F.lit(0))
+
+
+def inclusion_plan(lengths: DataFrame, targets: DataFrame) -> DataFrame:
+    """One row per source: certain copies, the scale c, the largest size that is drawn, and the words
+    that are left for drawing. ``lengths`` is (__ls_src, __ls_w, __ls_words) by rounded size."""
+    lift = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    planned = targets.select(
+        F.col("source").alias("__ls_name"), "source_size", "target", F.floor(lift).alias("__ls_whole"),
+        (F.col("target") - F.floor(lift) * F.col("source_size")).alias("__ls_rest"),
+    )
+    larger = _before("__ls_words", F.desc("__ls_w"))
+    from_here = Window.partitionBy("__ls_src").orderBy(F.desc("__ls_w")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    moment = F.sum(F.col("__ls_w").cast("decimal(20,0)") * F.col("__ls_words").cast("decimal(18,0)")).over(from_here)
+    sized = lengths.join(planned.select("__ls_name", "__ls_rest"), F.col("__ls_src").eqNullSafe(F.col("__ls_name")))
+    scaled = (
+        sized.filter("__ls_w > 0")
+        .withColumn("__ls_open", F.col("__ls_rest") - larger)
+        .withColumn("__ls_scale", F.col("__ls_open") / moment.cast("double"))
+        .filter(F.col("__ls_scale") * F.col("__ls_w") < 1)
+    )
+    edge = scaled.groupBy(F.col("__ls_src").alias("__ls_of")).agg(F.max(F.struct("__ls_w", "__ls_scale", "__ls_open")).alias("e"))
+    return planned.join(edge, F.col("__ls_name").eqNullSafe(F.col("__ls_of")), "left").select(
+        "__ls_name", "source_size", "target", "__ls_whole",
+        F.coalesce("e.__ls_w", F.lit(0)).alias("__ls_top"), F.coalesce("e.__ls_scale", F.lit(0.0)).alias("__ls_scale"),
+        F.coalesce("e.__ls_open", F.lit(0.0)).alias("__ls_open"),
+    )
+
+
+def _place(u: Column, w: Column, scale: Column) -> Column:
+    """Where a row stands in the order, between 0 and 1: the odds ratio q as q / (1 + q)."""
+    p = scale * w
+    ratio = (u / (1 - u)) / (p / (1 - p))
+    return F.when(p > 0, ratio / (1 + ratio)).otherwise(F.lit(1.0))
+
+
+def _edges(drawn: DataFrame, plan: DataFrame, block: str, open_: str, edge: str, blocks: int) -> DataFrame:
+    """``plan`` with the block in which a source's open words are used up, and what remains for it."""
+    sums = drawn.groupBy("__ls_src", block).agg(F.sum("__ls_size").alias("__ls_words"))
+    cumulative = sums.withColumn("__ls_before", _before("__ls_words", block)).join(
+        plan.select("__ls_name", open_), F.col("__ls_src").eqNullSafe(F.col("__ls_name"))
+    )
+    at = cumulative.filter((F.col("__ls_before") <= F.col(open_)) & (F.col("__ls_before") + F.col("__ls_words") > F.col(open_)))
+    found = at.groupBy(F.col("__ls_src").alias("__ls_of")).agg(F.min(F.struct(F.col(block).alias("b"), (F.col(open_) - F.col("__ls_before")).alias("left"))).alias("e"))
+    joined = plan.join(found, F.col("__ls_name").eqNullSafe(F.col("__ls_of")), "left").drop("__ls_of")
+    # no edge: every block is before it
+    return joined.withColumn(edge, F.coalesce("e.b", F.lit(blocks))).withColumn(f"{edge}_left", F.coalesce("e.left", F.lit(0.0))).drop("e")
+
+
 def mix(
     df: DataFrame,
     size: str,
@@ -73,7 +136,7 @@ def mix(
     keys: Sequence[str] = ("doc_id",),
     weights: Sequence[int] = WEIGHTS,
     max_repeats: int = MAX_REPEATS,
-    blocks: int = 4096,
+    blocks: int = 2048,
     seed: str = SEED,
 ) -> DataFrame:
     """Add source_size, target, copies and taken to every row of ``df``.
@@ -83,59 +146,39 @@ def mix(
     """
     keyed = F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(k).cast("string"), F.lit("\\N")) for k in keys])
     uniform = (F.conv(F.substring(F.md5(keyed), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
-    odds = F.col("__ls_u") / (1 - F.col("__ls_u"))
-    drawn = df.withColumn("__ls_u", uniform).withColumn("__ls_src", F.col(source))
-    # p is one number per source, so blocks of the odds ratio are blocks of the random number
-    drawn = drawn.withColumn("__ls_block", F.floor(F.col("__ls_u") * blocks).cast("int"))
-    sums = checkpointed(
-        drawn.groupBy("__ls_src", "__ls_block").agg(F.sum(F.col(size)).alias("__ls_words"))
-    )
-    targets = source_targets(
-        sums.groupBy(F.col("__ls_src").alias("source")).agg(F.sum("__ls_words").alias("source_size")), weights, max_repeats
-    )
-    lift = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    planned = (
-        targets.withColumn("__ls_whole", F.floor(lift))
-        .withColumn("__ls_p", lift - F.floor(lift))
-        .withColumn("__ls_rest", F.col("target") - F.col("__ls_whole") * F.col("source_size"))
-        .withColumnRenamed("source", "__ls_name")
-        .drop("weight")
-    )
-    upto = Window.partitionBy("__ls_src").orderBy("__ls_block").rowsBetween(Window.unboundedPreceding, -1)
-    cumulative = sums.withColumn("__ls_before", F.coalesce(F.sum("__ls_words").over(upto), F.lit(0)))
-    edge = (
-        cumulative.join(planned.select("__ls_name", "__ls_rest"), F.col("__ls_src").eqNullSafe(F.col("__ls_name")))
-        .filter((F.col("__ls_before") <= F.col("__ls_rest")) & (F.col("__ls_before") + F.col("__ls_words") > F.col("__ls_rest")))
-        .groupBy("__ls_name")
-        .agg(F.min(F.struct("__ls_block", "__ls_before")).alias("__ls_edge"))
-        .withColumnRenamed("__ls_name", "__ls_edge_name")
-    )
-    plan = checkpointed(
-        planned.join(edge, F.col("__ls_name").eqNullSafe(F.col("__ls_edge_name")), "left").select(
-            "__ls_name", "source_size", "target", "__ls_whole", "__ls_p", "__ls_rest",
-            # no edge: the rest is the whole source, and every block is before it
-            F.coalesce(F.col("__ls_edge.__ls_block"), F.lit(blocks)).alias("__ls_edge_block"),
-            F.coalesce(F.col("__ls_edge.__ls_before"), F.lit(0)).alias("__ls_edge_before"),
-        )
-    )
-    side = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
-    joined = drawn.drop("source_size", "target").join(side, F.col("__ls_src").eqNullSafe(F.col("__ls_name")))
-    drawing = F.col("__ls_rest") > 0  # else not even documents without words are drawn
-    decided = joined.filter(F.col("__ls_block") != F.col("__ls_edge_block")).withColumn(
-        "__ls_more", (drawing & (F.col("__ls_block") < F.col("__ls_edge_block"))).cast("long")
-    )
-    ratio = odds / (F.col("__ls_p") / (1 - F.col("__ls_p")))
-    order = Window.partitionBy("__ls_src").orderBy(
-        F.when(F.col("__ls_p") > 0, ratio), *[F.col(k) for k in keys], F.col(size)
-    ).rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.col("__ls_edge_before") + F.coalesce(F.sum(F.col(size)).over(order), F.lit(0))
-    at_edge = joined.filter(F.col("__ls_block") == F.col("__ls_edge_block")).withColumn(
-        "__ls_more", (drawing & (reached + F.col(size) / 2 <= F.col("__ls_rest"))).cast("long")
-    )
-    both = decided.unionByName(at_edge)
+    drawn = df.withColumns({"__ls_u": uniform, "__ls_src": F.col(source), "__ls_size": F.col(size).cast("long")})
+    drawn = drawn.withColumn("__ls_w", rounded_size(F.col("__ls_size")))
+    slim = checkpointed(drawn.select("__ls_src", "__ls_u", "__ls_size", "__ls_w"))
+    lengths = checkpointed(slim.groupBy("__ls_src", "__ls_w").agg(F.sum("__ls_size").alias("__ls_words")))
+    sizes = lengths.groupBy(F.col("__ls_src").alias("source")).agg(F.sum("__ls_words").alias("source_size"))
+    plan = checkpointed(inclusion_plan(lengths, source_targets(sizes, weights, max_repeats)))
+    few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+
+    def with_plan(rows: DataFrame) -> DataFrame:
+        side = F.broadcast(plan) if few else plan
+        joined = rows.join(side, F.col("__ls_src").eqNullSafe(F.col("__ls_name")))
+        place = joined.withColumn("__ls_place", _place(F.col("__ls_u"), F.col("__ls_w"), F.col("__ls_scale")))
+        outer = F.least(F.floor(F.col("__ls_place") * blocks), F.lit(blocks - 1))
+        inner = F.least(F.floor((F.col("__ls_place") * blocks - outer) * blocks), F.lit(blocks - 1))
+        return place.withColumn("__ls_outer", outer).withColumn("__ls_inner", inner)
+
+    free = (F.col("__ls_w") > 0) & (F.col("__ls_w") <= F.col("__ls_top"))
+    plan = checkpointed(_edges(with_plan(slim).filter(free), plan, "__ls_outer", "__ls_open", "__ls_edge", blocks))
+    at_outer = free & (F.col("__ls_outer") == F.col("__ls_edge"))
+    plan = checkpointed(_edges(with_plan(slim).filter(at_outer), plan, "__ls_inner", "__ls_edge_left", "__ls_core", blocks))
+
+    joined = with_plan(drawn.drop("source_size", "target"))
+    in_core = at_outer & (F.col("__ls_inner") == F.col("__ls_core"))
+    earlier = (F.col("__ls_outer") < F.col("__ls_edge")) | ((F.col("__ls_outer") == F.col("__ls_edge")) & (F.col("__ls_inner") < F.col("__ls_core")))
+    drawing = F.col("__ls_open") > 0
+    certain = F.col("__ls_w") > F.col("__ls_top")
+    decided = joined.filter(~in_core).withColumn("__ls_more", (drawing & (F.col("__ls_w") > 0) & (certain | earlier)).cast("long"))
+    reached = _before("__ls_size", "__ls_place", *keys, "__ls_size") + F.col("__ls_size") / 2
+    core = joined.filter(in_core).withColumn("__ls_more", (drawing & (reached <= F.col("__ls_core_left"))).cast("long"))
+    both = decided.unionByName(core)
     return (
         both.withColumn("copies", (F.col("__ls_whole") + F.col("__ls_more")).cast("long"))
-        .withColumn("taken", F.col("copies") * F.col(size))
+        .withColumn("taken", F.col("copies") * F.col("__ls_size"))
         .drop(*[c for c in both.columns if c.startswith("__ls_")])
     )
 
@@ -144,7 +187,7 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents; sizes are words, computed once and checkpointed."""
     docs = table(spark, sf_dir, "documents")
     sized = checkpointed(docs.select("doc_id", "source", word_count(text_or_empty("text")).alias("size")))
-    return mix(sized, "size").select("doc_id", "size", "source", "source_size", "target", "copies", "taken")
+    return mix(sized, "size").select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 OP7_SQL = r"""
@@ -163,11 +206,18 @@ f AS (SELECT k AS fk, rest AS frest, open AS fopen FROM o WHERE weight * rest <=
 t AS (SELECT source, source_size, CASE WHEN fk IS NULL OR k < fk THEN cap::DOUBLE ELSE (weight * frest)::DOUBLE / fopen::DOUBLE END AS target
   FROM o LEFT JOIN f ON TRUE),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS whole FROM t),
-q AS (SELECT d.doc_id, d.size, d.source, p.source_size, p.target, p.whole, target - whole * p.source_size AS left_over,
-    coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source, source_size, target,
-  (whole + CASE WHEN left_over > 0 AND reached + size / 2.0 <= left_over THEN 1 ELSE 0 END)::BIGINT AS copies,
-  ((whole + CASE WHEN left_over > 0 AND reached + size / 2.0 <= left_over THEN 1 ELSE 0 END) * size)::BIGINT AS taken
-FROM q
+v AS (SELECT *, (size >> greatest(length(bin(size)) - 10, 0)::INTEGER) << greatest(length(bin(size)) - 10, 0)::INTEGER AS w FROM d),
+g AS (SELECT source, w, sum(size)::BIGINT AS words FROM v WHERE w > 0 GROUP BY source, w),
+h AS (SELECT g.source, w,
+    target - whole * source_size - coalesce(sum(words) OVER (PARTITION BY g.source ORDER BY w DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_over,
+    (sum(w::HUGEINT * words) OVER (PARTITION BY g.source ORDER BY w DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS moment
+  FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source),
+e AS (SELECT source, max(w) AS top, arg_max(left_over, w) AS left_over, arg_max(left_over / moment, w) AS scale FROM h WHERE left_over / moment * w < 1 GROUP BY source),
+r AS (SELECT v.doc_id, v.size, v.source, v.w, p.source_size, p.target, p.whole, e.top, e.left_over,
+    v.w > 0 AND v.w <= e.top AS free,
+    CASE WHEN e.scale * v.w > 0 THEN (u / (1 - u)) / (e.scale * v.w / (1 - e.scale * v.w)) END AS ratio
+  FROM v JOIN p ON v.source IS NOT DISTINCT FROM p.source LEFT JOIN e ON v.source IS NOT DISTINCT FROM e.source),
+q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, free ORDER BY coalesce(ratio / (1 + ratio), 1), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM r),
+m AS (SELECT *, (whole + CASE WHEN left_over > 0 AND w > 0 AND (w > top OR (free AND reached + size / 2.0 <= left_over)) THEN 1 ELSE 0 END)::BIGINT AS copies FROM q)
+SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM m
 """

@@ -39,9 +39,32 @@ def brute_mix(rows):
     targets = brute_targets(sizes)
     for s, group in groups.items():
         whole = int(targets[s] // sizes[s]) if sizes[s] else 0
-        rest, reached = targets[s] - whole * sizes[s], 0
-        for _, d, n in sorted(group, key=lambda g: (g[0], g[1] or 0, g[2])):
-            out[d] = (targets[s], whole + (rest > 0 and reached + n / 2 <= rest))
+        rest = targets[s] - whole * sizes[s]
+        rounded = {n: n >> max(n.bit_length() - 10, 0) << max(n.bit_length() - 10, 0) for _, _, n in group}
+        certain, free = [], sorted((g for g in group if g[2]), key=lambda g: rounded[g[2]])
+        while free:  # whoever would be drawn with certainty is taken first
+            left = rest - sum(n for _, _, n in certain)
+            scale = left / sum(rounded[n] * n for _, _, n in free)
+            if scale * rounded[free[-1][2]] < 1:
+                break
+            most = rounded[free[-1][2]]
+            certain += [g for g in free if rounded[g[2]] == most]
+            free = [g for g in free if rounded[g[2]] < most]
+        for _, d, _ in group:
+            out[d] = (targets[s], whole)
+        if rest <= 0 or not free:
+            continue
+        for _, d, _ in certain:
+            out[d] = (targets[s], whole + 1)
+
+        def place(g):
+            p = scale * rounded[g[2]]
+            ratio = (g[0] / (1 - g[0])) / (p / (1 - p))
+            return ratio / (1 + ratio)
+
+        reached = 0
+        for u, d, n in sorted(free, key=lambda g: (place(g), g[1] or 0, g[2])):
+            out[d] = (targets[s], whole + (left > 0 and reached + n / 2 <= left))
             reached += n
     return out
 
@@ -63,6 +86,33 @@ def test_whole_table_against_brute_force(spark, sf_dir):
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1
 
 
+def test_probabilities_follow_sizes(spark):
+    """Over many draws a document is taken about as often as its inclusion probability says."""
+    rows = [(i, 10 + 10 * (i % 4), "a", None) for i in range(24)] + [(100 + i, 40, "b", None) for i in range(24)]
+    found = defaultdict(int)
+    for seed in range(12):
+        df = spark.createDataFrame([(200 * seed + d, n, f"{s}{seed}") for d, n, s, _ in rows], "doc_id long, size long, source string")
+        lengths = df.select(mx.F.col("source").alias("__ls_src"), "doc_id", "size")
+        targets = df.groupBy("source").agg(mx.F.sum("size").alias("source_size")).withColumn("target", mx.F.col("source_size") * 0.4)
+        by_size = lengths.groupBy("__ls_src", mx.F.col("size").alias("__ls_w")).agg(mx.F.sum("size").alias("__ls_words"))
+        plan = {r["__ls_name"]: r for r in mx.inclusion_plan(by_size, targets).collect()}
+        for name, r in plan.items():
+            own = [n for _, n, s, _ in rows if f"{s}{seed}" == name]
+            expected = sum(min(1, r["__ls_scale"] * n) * n for n in own)
+            assert expected == pytest.approx(0.4 * sum(own)) and r["__ls_scale"] * max(own) < 1
+            found[name[0]] += 1
+    assert found == {"a": 12, "b": 12}
+
+
+def test_few_blocks_give_the_same_draw(spark):
+    rows = [(i, (i * 37) % 90, "abc"[i % 3]) for i in range(400)] + [(1000, 5000, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    want = brute_mix(rows)
+    for blocks in (1, 3, 2048):
+        got = {r["doc_id"]: r["copies"] for r in mx.mix(df, "size", blocks=blocks).collect()}
+        assert got == {d: c for d, (_, c) in want.items()}
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1, "c": 5}, {"a": 1, "b": 1000, None: 3}, {"a": 0, "b": 7}, {"z": 4}, {"a": 1, "b": 1, "c": 1, "d": 9999, "e": 2}])
 def test_targets_against_resharing(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
