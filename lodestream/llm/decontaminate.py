@@ -13,11 +13,11 @@ Texts and items are lower-cased and runs of blanks count as one space.
 
 Scale: a pass over the documents without a shuffle. The items are the stated query set; they are
 sent to the executors in blocks of at most ``BLOCK_CHARS`` characters, one pass over the documents
-for each block, so what a task holds is bounded.
+for each block, written before the next begins, so what a task holds is bounded.
 
-Defined results for odd input: null and blank texts match nothing; items shorter than ``MIN_CHARS``
-after normalisation are too unspecific and match nothing; a repeated or null item id is one item per
-row; repeated document rows are matched one by one; empty tables give no match; documents keep
+Defined results for odd input: null and blank texts match nothing, as documents and as items; items
+of fewer than ``MIN_CHARS`` characters after normalisation have no error budget and match as whole
+words only; a repeated or null item id is one item per row; repeated document rows are matched one by one; empty tables give no match; documents keep
 whatever other columns they have.
 """
 
@@ -42,8 +42,8 @@ def normalise(text: str | None) -> str:
 
 
 def split_pieces(item: str, rate: float) -> tuple[int, list[tuple[int, str]]]:
-    """(error budget e, e + 1 pieces with their offsets in the item)."""
-    budget = int(len(item) * rate)
+    """(error budget e, e + 1 pieces with their offsets in the item); a short item is one piece."""
+    budget = int(len(item) * rate) if len(item) >= MIN_CHARS else 0
     cuts = [len(item) * i // (budget + 1) for i in range(budget + 2)]
     return budget, [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -119,6 +119,13 @@ class Matcher:
             self.automaton.make_automaton()
         self.empty = not found
 
+    def whole_words(self, text: str, number: int, begin: int) -> bool:
+        """Neither end of an item found at ``begin`` lies inside a word."""
+        end = begin + len(self.items[number])
+        return not (begin and text[begin - 1].isalnum() and text[begin].isalnum()) and not (
+            end < len(text) and text[end].isalnum() and text[end - 1].isalnum()
+        )
+
     def near(self, text: str, number: int, a: int, b: int, low: int, high: int) -> tuple[int, int] | None:
         """Best (distance, end) of pieces a to b of an item, if begun between low and high."""
         pattern = self.patterns.get((number, a, b))
@@ -141,6 +148,8 @@ class Matcher:
                 begin = last + 1 - size - cuts[i]
                 if begin in begins.get(number, ()):
                     continue
+                if len(self.items[number]) < MIN_CHARS and not self.whole_words(text, number, begin):
+                    continue
                 for a, b in self.climbs[number][i]:
                     if not self.near(text, number, a, b, begin + cuts[a], begin + cuts[a]):
                         break
@@ -172,7 +181,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tu
     ids, texts, chars = [], [], 0
     for row in benchmark.select(id_col, text_col).toLocalIterator():
         item = normalise(row[1])
-        if len(item) < MIN_CHARS:
+        if not item:
             continue
         if texts and chars + len(item) > BLOCK_CHARS:
             yield ids, texts
@@ -223,8 +232,11 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    at = docs.columns.index("text")
+    at, schema = docs.columns.index("text"), docs.schema
+    waiting = False
     for _, texts in item_blocks(benchmark, "item_id", "text"):
+        if waiting:  # one block's automaton at a time in a task
+            docs = checkpointed(docs)
 
         def run(batches: Iterator[pa.RecordBatch], texts=texts) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(texts, rate)
@@ -232,7 +244,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR
                 clean = [not matcher.match(normalise(v.as_py())) for v in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs, waiting = docs.mapInArrow(run, schema), True
     return docs
 
 

@@ -63,3 +63,25 @@ def test_blocks_of_items(spark, monkeypatch):
     df = docs(spark, [(i, f"a b {t} c d") for i, t in enumerate(items)] + [(9, "clean")])
     assert sorted((r["doc_id"], r["item_id"]) for r in dc.find_matches(df, bench).collect()) == [(i, i) for i in range(4)]
     assert [r["doc_id"] for r in dc.drop_contaminated(df, bench).collect()] == [9]
+
+
+def test_short_items_match_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "cat"), (3, "  "), (4, "C++")], "item_id long, text string")
+    rows = [(1, "Quiz: who wrote  hamlet? Shakespeare."), (2, "who wrote hamlets"), (3, "a concatenation"), (4, "the CAT, asleep"), (5, "who wrote hamlet"), (6, "learn c++ now"), (7, "cat")]
+    got = sorted((r["doc_id"], r["item_id"], r["distance"]) for r in dc.find_matches(docs(spark, rows), bench).collect())
+    assert got == [(1, 1, 0), (4, 2, 0), (6, 4, 0), (7, 2, 0)]
+    assert sorted(r["doc_id"] for r in dc.drop_contaminated(docs(spark, rows), bench).collect()) == [2, 3, 5]
+
+
+def test_edited_items_of_the_table_are_found(spark, sf_dir):
+    """Recall by number of edits: every item, edited at random within its budget, inside other text."""
+    rng = random.Random(7)
+    items = [(r["item_id"], dc.normalise(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    matcher = dc.Matcher([t for _, t in items], dc.ERROR_RATE)
+    for number, (_, item) in enumerate(items):
+        for share in (0.0, 0.3, 0.6, 1.0):
+            noisy = list(item)
+            for at in sorted(rng.sample(range(len(item)), int(share * int(len(item) * dc.ERROR_RATE))), reverse=True):
+                noisy[at : at + 1] = rng.choice([[], ["~"], [noisy[at], "~"]])
+            hit = matcher.match(f"some words before {''.join(noisy)} and some after").get(number)
+            assert hit and hit[0] <= int(len(item) * dc.ERROR_RATE)
