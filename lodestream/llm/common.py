@@ -41,17 +41,38 @@ def crc32_mod(col: str, modulus: int) -> Column:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back, which cuts its lineage.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; one of our own is made
-    only where that setting is absent, as in local tests.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Where that is absent, a local
+    session gets a temporary folder; on a cluster, whose executors would not share one, it is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestream-checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+#: Up to so many blocks each has a partition of its own.
+KEYED_BLOCKS = 1024
+
+
+def block_key(spark: SparkSession, number: Column, blocks: int) -> tuple[Column, int]:
+    """(key, partitions): a key for the number of a block, and how many partitions to hash it to.
+
+    Up to ``KEYED_BLOCKS`` blocks every one gets a key that hashes to a partition of its own; more are
+    dealt eight to a partition on average, which evens their sizes out.
+    """
+    if blocks > KEYED_BLOCKS:
+        return number.cast("int"), -(-blocks // 8)
+    tried = spark.range(32 * blocks).select(F.col("id").cast("int").alias("key"))
+    keys = tried.groupBy(F.pmod(F.hash("key"), F.lit(blocks)).alias("part")).agg(F.min("key").alias("key"))
+    found = {r["part"]: r["key"] for r in keys.collect()}
+    free = iter(range(32 * blocks, 33 * blocks))  # a partition that no tried key hashes to shares another's
+    return F.get(F.array(*[F.lit(found.get(i) if i in found else next(free)) for i in range(blocks)]), number.cast("int")), blocks
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row.
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_mod, table, text_or_empty
+from .common import block_key, checkpointed, crc32_mod, table, text_or_empty
 from .wordblocks import PIECE_BYTES, U64, mix64
 
 MAX_WORDS = 100_000
@@ -343,7 +343,7 @@ def _block_items(model: Model):
         for (b, order), parts in held.items():
             items = np.unique(np.concatenate(parts))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(items), b)), pa.array(np.full(len(items), order, np.int32)), pa.array(items.view(np.int64))],
+                [pa.array(np.full(len(items), b, np.int32)), pa.array(np.full(len(items), order, np.int32)), pa.array(items.view(np.int64))],
                 ["block", "order", "item"],
             )
 
@@ -386,13 +386,14 @@ def identify_languages(docs: DataFrame, model: Model | None, block_bytes: int =
     size = plain.agg(F.coalesce(F.sum(F.octet_length(text_or_empty("text"))), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
     # the partition is part of the hash, so that many equal rows are not one block
-    block = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
-    scored = plain.select(block.alias("block"), "doc_id", "text").mapInArrow(
+    number = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(blocks))
+    block, parts = block_key(docs.sparkSession, number, int(blocks))
+    scored = plain.select(block.cast("long").alias("block"), "doc_id", "text").mapInArrow(
         _score_known(sent), f"block long, doc_id {kind}, n_words long, sums array<double>, rest string"
     )
-    dealt = scored.repartition(int(min(blocks, 100_000)), "block")
+    dealt = scored.withColumn("block", F.col("block").cast("int")).repartition(parts, "block")
     # all columns pass, so that both uses of the blocks read one shuffle
-    wanted = dealt.mapInArrow(_block_items(sent), "block long, order int, item long")
+    wanted = dealt.mapInArrow(_block_items(sent), "block int, order int, item long")
     known = wanted.join(model.rest, ["order", "item"]).select("block", "order", "item", "by_lang")
     return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_predict_block(sent), schema)
 

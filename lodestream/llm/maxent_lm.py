@@ -47,10 +47,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, crc32_mod, table, text_or_empty
+from .common import block_key, checkpointed, crc32_mod, table, text_or_empty
 from .wordblocks import U64, Words, WordReader, doc_offsets, mix64
 
 WIDTH = 16
@@ -79,7 +79,6 @@ ADDED = 0.1
 PAIR_HISTORIES = 64
 PAIR_PRIOR = 200.0
 BLOCK_BYTES = 24 << 20
-KEYED_BLOCKS = 1024
 END_HASH = np.uint64(0x5EEDE4D0FEED0001)
 
 
@@ -543,21 +542,6 @@ def _block_items(model: Model):
     return run
 
 
-def block_key(spark: SparkSession, number: Column, blocks: int) -> tuple[Column, int]:
-    """(key, partitions): a key for the number of a block, and how many partitions to hash it to.
-
-    Up to ``KEYED_BLOCKS`` blocks every one gets a key that hashes to a partition of its own; more are
-    dealt eight to a partition on average, which evens their sizes out.
-    """
-    if blocks > KEYED_BLOCKS:
-        return number.cast("int"), -(-blocks // 8)
-    tried = spark.range(32 * blocks).select(F.col("id").cast("int").alias("key"))
-    keys = tried.groupBy(F.pmod(F.hash("key"), F.lit(blocks)).alias("part")).agg(F.min("key").alias("key"))
-    found = {r["part"]: r["key"] for r in keys.collect()}
-    free = iter(range(32 * blocks, 33 * blocks))  # a partition that no tried key hashes to shares another's
-    return F.get(F.array(*[F.lit(found.get(i) if i in found else next(free)) for i in range(blocks)]), number.cast("int")), blocks
-
-
 def _score_block(model: Model, n_tokens: int, n_words: int):
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         reader = WordReader(lower=True)
