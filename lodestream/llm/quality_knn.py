@@ -13,8 +13,10 @@ hashes, so that what is broadcast has a fixed size: max_labelled x dimensions la
 terms x dimensions directions. Every document is scored, its whole text, without a shuffle.
 
 Defined results for odd input: a null or blank text has no terms and scores the prior; labels that are
-null are not used; without labels every score is 0.5; repeated rows are scored one by one; an empty
-table gives an empty result; extra columns are ignored.
+null are not used; of clashing labels of one doc_id the least counts; documents that share a doc_id
+are labelled rows each, the bound holds for rows; neighbours tied for the last place share it;
+without labels every score is 0.5; repeated rows are scored one by one; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -117,19 +119,22 @@ def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             ends = pa.array(doc_offsets(doc, words.n_docs), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
+                    batch.column(2).slice(first, words.n_docs),
                     batch.column(0).slice(first, words.n_docs).cast(pa.float64()),
                     pa.ListArray.from_arrays(ends, pa.array(term.astype(np.int32))),
                     pa.ListArray.from_arrays(ends, pa.array(counts[doc, term])),
                 ],
-                ["label", "term", "n"],
+                ["key", "label", "term", "n"],
             )
 
 
 def fit(labelled: DataFrame, dimensions: int = DIMENSIONS) -> Model | None:
     """The model of (label, text); ``labelled`` is a bounded sample, its terms reach the driver."""
-    found = labelled.select("label", "text").mapInArrow(_collect_terms, "label double, term array<int>, n array<float>").toArrow()
+    rows = labelled.select("label", "text", F.xxhash64("text", "label").alias("key"))
+    found = rows.mapInArrow(_collect_terms, "key long, label double, term array<int>, n array<float>").toArrow()
     if not found.num_rows:
         return None
+    found = found.sort_by("key").drop_columns("key")  # one order, however the rows were dealt
     labels = found.column("label").to_numpy().astype(np.float32)
     x, at = np.zeros((len(labels), TERMS), np.float32), 0
     for batch in found.to_batches():
@@ -153,9 +158,14 @@ def vote(model: Model, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.n
     projected = _unit(_weighted(counts, model.idf) @ model.directions)
     products = projected @ model.vectors.T
     k = min(neighbours, products.shape[1])
-    near = np.argpartition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k :]
-    weight = np.maximum(np.take_along_axis(products, near, axis=1), 0).astype(np.float64) ** 4
-    score = (weight * model.labels[near]).sum(axis=1) + PRIOR_WEIGHT * model.prior
+    last = np.partition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k :].min(axis=1, keepdims=True)
+    weight = np.where(products >= last, np.maximum(products, 0), 0).astype(np.float64) ** 4
+    tied = products == last
+    n_tied = tied.sum(axis=1, keepdims=True)
+    if (n_tied > 1).any():
+        places = k - (products > last).sum(axis=1, keepdims=True)
+        weight *= np.where(tied, places / n_tied, 1)
+    score = weight @ model.labels.astype(np.float64) + PRIOR_WEIGHT * model.prior
     return np.clip(score / (weight.sum(axis=1) + PRIOR_WEIGHT), 0.0, 1.0)
 
 
@@ -183,9 +193,11 @@ def _documents(words: Words, low: int, high: int) -> Words:
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(label, text) of at most ``max_labelled`` labelled documents outside the held-out quarter."""
     usable = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (crc32_mod("doc_id", 4) != 2))
-    chosen = usable.select(F.col("doc_id").alias("__ls_id"), F.col("quality").cast("double").alias("label")).dropDuplicates(["__ls_id"])
-    chosen = chosen.orderBy(F.xxhash64("__ls_id"), "__ls_id").limit(max_labelled)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__ls_id")).select("label", "text")
+    least = usable.groupBy(F.col("doc_id").alias("__ls_id")).agg(F.min(F.col("quality").cast("double")).alias("label"))
+    order = [F.xxhash64("__ls_id"), F.col("__ls_id")]
+    chosen = least.orderBy(*order).limit(max_labelled)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__ls_id"))
+    return rows.orderBy(*order, F.xxhash64("text")).limit(max_labelled).select("label", "text")
 
 
 def classify_quality(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -138,3 +138,9 @@ def test_common_items_and_forest():
     for i, j in [(0, 5), (5, 3), (3, 6), (1, 4)]:
         near[i, j] = near[j, i] = True
     assert nd.forest(near).tolist() == [0, 1, 2, 0, 1, 0, 0]
+
+
+def test_classes_do_not_depend_on_the_layout(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = [sorted((r["doc_id"], r["class_id"]) for r in nd.label_near_duplicates(df.repartition(n)).collect()) for n in (1, 8)]
+    assert found[0] == found[1]

@@ -60,3 +60,46 @@ def test_odd_rows(spark):
     assert {r["score"] for r in q.classify_quality(df, None).collect()} == {0.5}
     assert q.fit(q.labelled_sample(df, labels.filter("false"))) is None
     assert q.classify_quality(docs(spark, []), model).count() == 0
+
+
+def test_scores_of_the_table_against_a_plain_version(spark, sf_dir):
+    import pyarrow as pa
+
+    docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = q.fit(q.labelled_sample(docs_, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    text = {r["doc_id"]: r["text"] for r in docs_.collect()}
+    reader, classes = WordReader(), q._character_classes()
+    for r in q.op1_quality_knn(spark, sf_dir).collect():
+        [(_, block)] = reader.pieces(pa.array([text[r["doc_id"]]]))
+        x = np.log1p(q.term_counts(block, classes)[0].astype(float)) * model.idf
+        x = x / max(np.linalg.norm(x), 1e-9) @ model.directions
+        cosines = model.vectors @ (x / max(np.linalg.norm(x), 1e-9))
+        near = sorted(range(len(cosines)), key=lambda i: -cosines[i])[: q.NEIGHBOURS]
+        weight = [max(cosines[i], 0) ** 4 for i in near]
+        want = (sum(w * model.labels[i] for w, i in zip(weight, near)) + q.PRIOR_WEIGHT * model.prior) / (sum(weight) + q.PRIOR_WEIGHT)
+        assert abs(r["score"] - want) < 1e-4
+
+
+def test_ties_share_the_last_place():
+    model = q.Model(np.ones(q.TERMS, np.float32), np.eye(q.TERMS, 2, dtype=np.float32), np.array([[1, 0], [0.6, 0.8], [0.6, 0.8], [0.6, 0.8]], np.float32), np.array([1, 0, 1, 1], np.float32), 0.5)
+    counts = np.zeros((1, q.TERMS), np.float32)
+    counts[0, 0] = 3
+    for order in ([0, 1, 2, 3], [3, 2, 1, 0], [2, 0, 3, 1]):
+        turned = model._replace(vectors=model.vectors[order], labels=model.labels[order])
+        want = (1 + 0.6**4 * 2 / 3 + 0.05 * 0.5) / (1 + 0.6**4 + 0.05)
+        assert abs(q.vote(turned, counts, 2)[0] - want) < 1e-6
+
+
+def test_clashing_labels_and_the_layout(spark, sf_dir):
+    df = docs(spark, [(1, "a b"), (1, "c d"), (2, "e f")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (2, None)], "doc_id long, quality int")
+    got = sorted((r["text"], r["label"]) for r in q.labelled_sample(df, labels).collect())
+    assert got == [("a b", 0.0), ("c d", 0.0), ("e f", 1.0)]
+    assert q.labelled_sample(df, labels, 2).count() == 2
+    docs_, marks = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    found = []
+    for parts in (1, 8):
+        dealt = docs_.repartition(parts)
+        model = q.fit(q.labelled_sample(dealt, marks))
+        found.append({r["doc_id"]: r["score"] for r in q.classify_quality(dealt, model).collect()})
+    assert all(abs(found[1][d] - x) < 1e-9 for d, x in found[0].items())

@@ -77,3 +77,33 @@ def test_junk_goes_and_clean_stays(spark, sf_dir):
     junk = [r["kept"] for r in rows if r["quality"] == 0]
     assert sum(clean) >= 0.98 * len(clean)
     assert sum(junk) <= 0.25 * len(junk)
+
+
+def test_ratio_scores_of_the_table_against_a_plain_version(spark, sf_dir):
+    import struct
+
+    import xxhash
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
+    good = {r["doc_id"] for r in marks if r["quality"] == 1 and not r["toxic"]}
+    grams = {}
+    for d, text in rows:
+        h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words(text)]
+        pairs = [xxhash.xxh64(struct.pack("<Q", b), seed=xxhash.xxh64(struct.pack("<Q", a), seed=42).intdigest()).intdigest() for a, b in zip(h, h[1:])]
+        grams[d] = [signed(x) % q.BUCKETS for x in h + pairs]
+    raw, trusted = Counter(), Counter()
+    for d, own in grams.items():
+        raw.update(own)
+        if d in good:
+            trusted.update(own)
+    n, m = raw.total() + q.BUCKETS, trusted.total() + q.BUCKETS
+    share = {b: (raw[b] + 1) / n for b in raw}
+    ratio = {b: round(q.log((trusted[b] + q.BUCKETS * share[b]) / m) - q.log(share[b]), 6) for b in raw}
+    for r in q.op10_quality_rules(spark, sf_dir).collect():
+        own = grams[r["doc_id"]]
+        want = sum(ratio[b] for b in own) / len(own) if own else 0.0
+        assert abs(r["llr_score"] - want) < 1e-5
+        if abs(want - q.THRESHOLD) > 1e-5:
+            assert r["kept"] == (not r["base_failed"] and want >= q.THRESHOLD)
