@@ -48,14 +48,28 @@ def stem(token: Column, exceptions: Mapping[str, str] | None = None) -> Column:
     return out
 
 
-def content_tokens(text: str | Column, stopwords: Sequence[str], min_length: int = 2, stems: bool = True) -> Column:
-    """Different stemmed tokens of a text that are long enough and no stopwords, sorted."""
-    stop = F.array(*[F.lit(w) for w in stopwords]) if stopwords else F.array().cast("array<string>")
-    keep = lambda t: (F.length(t) >= min_length) & ~F.array_contains(stop, t)
-    tokens = F.filter(alnum_tokens(text), keep)
-    if stems:
-        tokens = F.filter(F.transform(tokens, lambda t: stem(t)), keep)
-    return F.array_sort(F.array_distinct(tokens))
+def long_words(text: str | Column) -> Column:
+    """Words of two or more ASCII letters, digits and apostrophes, lower-cased, without outer
+    apostrophes."""
+    found = F.regexp_extract_all(F.lower(_c(text)), F.lit("[a-z0-9][a-z0-9']+"), F.lit(0))
+    return F.filter(F.transform(found, lambda t: F.btrim(t, F.lit("'"))), lambda t: F.length(t) >= 2)
+
+
+def _not_in(words: Sequence[str]):
+    stop = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    return lambda t: ~F.array_contains(stop, t)
+
+
+def content_tokens(text: str | Column, stopwords: Sequence[str], exceptions: Mapping[str, str] | None = None) -> Column:
+    """Different stemmed long words of a text that are no stopwords before or after stemming, sorted."""
+    keep = _not_in(stopwords)
+    stems = F.transform(F.filter(long_words(text), keep), lambda t: stem(t, exceptions))
+    return F.array_sort(F.array_distinct(F.filter(stems, keep)))
+
+
+def retrieval_tokens(text: str | Column, stopwords: Sequence[str], exceptions: Mapping[str, str] | None = None) -> Column:
+    """Stemmed long words of a text in order, repeats kept, without stopwords."""
+    return F.transform(F.filter(long_words(text), _not_in(stopwords)), lambda t: stem(t, exceptions))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -93,10 +107,26 @@ def choice_strict(text: str | Column, choices: str = "abcde") -> Column:
     return F.when((F.length(cleaned) > 0) & (at > 0), at - 1)
 
 
-def choice_loose(text: str | Column, choices: str = "abcde") -> Column:
-    """Index of the first choice letter standing alone, or else of the first at all."""
+def choice_loose(text: str | Column, choices: str = "abcde", strip: Sequence[str] = ()) -> Column:
+    """Index of the first choice letter standing alone, or else of the first at all, after the phrases
+    of ``strip`` are taken out in order."""
     t = F.lower(_c(text))
+    for phrase in strip:
+        t = F.replace(t, F.lit(phrase), F.lit(""))
     alone = F.nullif(F.regexp_extract(t, rf"\b([{choices}])\b", 1), F.lit(""))
     anywhere = F.nullif(F.regexp_extract(t, rf"([{choices}])", 1), F.lit(""))
     letter = F.coalesce(alone, anywhere)
     return F.when(letter.isNotNull(), F.position(letter, F.lit(choices)) - 1)
+
+
+def expand_options(question: str | Column, answer: str | Column) -> Column:
+    """The texts of the options that an answer like ``A-C`` lists, cut out of ``A) ... B) ...``; any
+    other answer as it is, blanks collapsed. An option that occurs twice has its last text."""
+    q, a = _c(question), collapse_blanks(answer)
+    letters = F.regexp_extract_all(q, F.lit(r"\b([A-E])\)\s*"), F.lit(1))
+    texts = F.slice(F.split(q, r"\b[A-E]\)\s*"), F.lit(2), F.greatest(F.size(letters), F.lit(0)))
+    pairs = F.arrays_zip(letters.alias("l"), texts.alias("t"))
+    named = lambda x: F.try_element_at(F.filter(pairs, lambda p: p["l"] == x), F.lit(-1))["t"]
+    clean = lambda t: collapse_blanks(F.btrim(t, F.lit(" ,.;")))
+    listed = F.array_join(F.transform(F.split(a, "-"), lambda x: F.coalesce(clean(named(x)), F.lit(""))), " ")
+    return F.when(a.rlike("^[A-E](-[A-E])*$"), F.when(listed == "", a).otherwise(listed)).otherwise(a)

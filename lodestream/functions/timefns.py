@@ -12,6 +12,11 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def day_number(ts: str | Column) -> Column:
     """Days since 1970-01-01; independent of the session's time zone for timestamps without zone."""
     return F.unix_date(_c(ts).cast("date")).cast("long")
@@ -33,8 +38,8 @@ def token_millis(token: str | Column) -> Column:
 
 def loose_token_millis(token: str | Column) -> Column:
     """Like :func:`token_millis` on the digits of any text; six or seven digits lack hundredths."""
-    digits = F.regexp_replace(_c(token), "[^0-9]", "")
-    return F.when(F.length(digits).between(6, 8), token_millis(F.rpad(digits, 8, "0")))
+    padded = lambda digits: F.when(F.length(digits).between(6, 8), _bind(F.rpad(digits, 8, "0"), token_millis))
+    return _bind(F.regexp_replace(_c(token), "[^0-9]", ""), padded)
 
 
 def clock_millis(clock: str | Column) -> Column:

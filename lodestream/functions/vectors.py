@@ -41,3 +41,11 @@ def pinhole(point: list[Column], fx: float, fy: float, cx: float, cy: float) ->
     """Pixel of a point in front of the camera; null behind it."""
     ahead = point[2] > 0
     return F.when(ahead, fx * point[0] / point[2] + cx), F.when(ahead, fy * point[1] / point[2] + cy)
+
+
+def gaussian_box_score(x: Column, y: Column, box: tuple[float, float, float, float], sigma: float) -> Column:
+    """A bell of deviation ``sigma`` around the centre of a box (x1, y1, x2, y2)."""
+    if sigma <= 0:
+        raise ValueError("sigma must be positive")
+    dx, dy = x - (box[0] + box[2]) / 2, y - (box[1] + box[3]) / 2
+    return F.exp(-(dx * dx + dy * dy) / (2 * sigma * sigma))

@@ -25,14 +25,17 @@ def mmr_select(
     k: int,
     relevance: float = 0.7,
     gap: int = 5,
-    shortlist: int = 200,
+    shortlist: int | None = None,
 ) -> DataFrame:
     """(group, pick, item): maximal marginal relevance with temporal suppression and back-fill.
 
     A pick maximises relevance * score - (1 - relevance) * its greatest similarity to earlier picks,
-    among items that no earlier pick of the same video lies within ``gap`` of. If too few are left,
-    the best scores fill up, suppressed or not. ``shortlist`` bounds what a group gathers.
+    among items that no earlier pick of the same video lies less than ``gap`` from; a gap of 0 or less
+    suppresses nothing. If too few are left, the best scores fill up, suppressed or not. A group
+    gathers its ``shortlist`` best, by default the greater of 20 k and 200, so what fills up is the
+    best of all candidates.
     """
+    shortlist = max(20 * k, 200) if shortlist is None else shortlist
     lam = min(max(relevance, 0.0), 1.0)
     best = Window.partitionBy(group).orderBy(F.desc(score), item)
     short = scored.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= shortlist)
@@ -49,7 +52,7 @@ def mmr_select(
     def step(picked: Column, _: Column) -> Column:
         free = F.filter(
             items,
-            lambda c: ~F.exists(picked, lambda p: (p["n"] == c["n"]) | ((p["video"] == c["video"]) & (F.abs(p["at"] - c["at"]) <= gap))),
+            lambda c: ~F.exists(picked, lambda p: (p["n"] == c["n"]) | ((p["video"] == c["video"]) & F.lit(gap > 0) & (F.abs(p["at"] - c["at"]) < gap))),
         )
         closest = lambda c: F.coalesce(F.array_max(F.transform(picked, lambda p: dot(p["v"], c["v"]))), F.lit(0.0))
         valued = F.transform(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,9 +29,14 @@ def grouping_summary(trials: DataFrame, sets: Sequence[Sequence[str]], columns:
     return grouped.agg(grain.alias("grain"), *block(correct, answered)).select("grain", *columns, "trials", "answered", "correct", "accuracy")
 
 
-def dense_cube(trials: DataFrame, a: str, b: str, correct: str) -> DataFrame:
-    """Every pair of values of two small dimensions, with zeros where no trial falls."""
-    values = trials.select(a).distinct().join(trials.select(b).distinct(), F.lit(True))
+def dense_cube(trials: DataFrame, a: str, b: str, correct: str, max_values: int = 10_000) -> DataFrame:
+    """Every pair of values of two dimensions, with zeros where no trial falls.
+
+    All values of ``b`` are held in one row; evaluating the cube fails if they are more than ``max_values``.
+    """
+    all_b = trials.agg(F.collect_set(b).alias("__all"), F.count_distinct(b).alias("__n"))
+    checked = all_b.select(F.when(F.col("__n") <= max_values, F.col("__all")).otherwise(F.raise_error(F.lit(f"more than {max_values} values of {b}"))).alias("__all"))
+    values = trials.select(a).distinct().join(F.broadcast(checked), F.lit(True)).select(a, F.explode("__all").alias(b))
     counted = trials.groupBy(a, b).agg(F.count("*").alias("trials"), F.count_if(F.col(correct)).alias("correct"))
     zero = values.join(counted, [a, b], "left").na.fill(0, ["trials", "correct"])
     return zero.withColumn("accuracy", F.round(F.coalesce(F.try_divide(F.col("correct"), F.col("trials")), F.lit(0.0)), 6))
@@ -58,3 +63,36 @@ def set_recall(found: Column, wanted: Column) -> Column:
 
 def status_of(done: Column, total: Column) -> Column:
     return F.when(done == 0, "none").when(done == total, "all").otherwise("partial")
+
+
+def running_mean(rows: DataFrame, by: str, order: str, value: Column, block: int = 1000) -> DataFrame:
+    """(by, order, mean): the mean of a value over a group's rows so far, in order of a whole number.
+
+    Rows are summed by blocks of ``block`` numbers, so a task orders one block, or the block sums of one group.
+    """
+    keyed = rows.select(by, order, value.cast("double").alias("__v"), F.floor(F.col(order) / block).alias("__block"))
+    sums = keyed.groupBy(by, "__block").agg(F.sum("__v").alias("__s"), F.count("__v").alias("__n"))
+    earlier = Window.partitionBy(by).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        by, "__block", F.coalesce(F.sum("__s").over(earlier), F.lit(0.0)).alias("__s0"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0")
+    )
+    upto = Window.partitionBy(by, "__block").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = keyed.withColumn("__s", F.sum("__v").over(upto)).withColumn("__n", F.count("__v").over(upto)).join(offsets, [by, "__block"])
+    return placed.select(by, order, ((F.col("__s") + F.col("__s0")) / (F.col("__n") + F.col("__n0"))).alias("mean"))
+
+
+def exact_median(rows: DataFrame, by: str, value: str, width: float = 1.0) -> DataFrame:
+    """(by, median): exact, from a histogram of bins of ``width`` and the different values of the middle
+    bins only, so neither a large group nor a frequent value is ordered in one task."""
+    keyed = rows.filter(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("__v"), F.floor(F.col(value) / width).alias("__bin"))
+    bins = keyed.groupBy(by, "__bin").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    placed = bins.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).withColumn("__all", F.sum("__n").over(Window.partitionBy(by)))
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    inside = lambda rank: (rank >= F.col("__before")) & (rank < F.col("__before") + F.col("__n"))
+    middle = placed.filter(inside(low) | inside(high)).select(by, "__bin", "__before", low.alias("__low"), high.alias("__high"))
+    values = keyed.join(middle, [by, "__bin"]).groupBy(by, "__bin", "__before", "__low", "__high", "__v").agg(F.count("*").alias("__n"))
+    in_bin = Window.partitionBy(by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("__before", F.col("__before") + F.coalesce(F.sum("__n").over(in_bin), F.lit(0)))
+    at = lambda rank: F.max(F.when(inside(F.col(rank)), F.col("__v")))
+    return ranked.groupBy(by).agg(((at("__low") + at("__high")) / 2).alias("median"))

@@ -35,11 +35,11 @@ def priority_stages(rows: DataFrame, item: str, first: DataFrame, stages: Sequen
 
 def even_sample(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """n of each group's m rows at positions round(i (m - 1) / (n - 1)), halves to even; all if there
-    are no more than n, the middle one if n is 1."""
+    are no more than n, the middle one, the later of two, if n is 1."""
     in_order, all_ = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
     placed = rows.withColumn("__i", F.row_number().over(in_order) - 1).withColumn("__m", F.count("*").over(all_))
     if n == 1:
-        return placed.filter(F.col("__i") == F.floor((F.col("__m") - 1) / 2)).drop("__i", "__m")
+        return placed.filter(F.col("__i") == F.floor(F.col("__m") / 2)).drop("__i", "__m")
     picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.col("__m") - 1) / float(n - 1)).cast("long"))
     return placed.filter((F.col("__m") <= n) | F.array_contains(picks, F.col("__i").cast("long"))).drop("__i", "__m")
 
@@ -50,3 +50,17 @@ def round_robin(rows: DataFrame, source: str, order: Sequence[str], limit: int)
     short = rows.withColumn("__n", n).filter(F.col("__n") <= limit)
     chosen = short.orderBy("__n", source).limit(limit)
     return chosen.withColumn("place", F.row_number().over(Window.orderBy("__n", source))).drop("__n")
+
+
+def numbered(rows: DataFrame, block: Sequence[Column], order: Sequence[Column], name: str) -> DataFrame:
+    """Number all rows from 1 in the order of ``block`` and then ``order``, a column ``name``.
+
+    Rows are counted by block, and only the rows of one block are sorted in a task; blocks are few
+    enough to be ordered in one.
+    """
+    keyed = rows.withColumns({f"__b{i}": c for i, c in enumerate(block)})
+    keys = [f"__b{i}" for i in range(len(block))]
+    before = F.coalesce(F.sum("__n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = keyed.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__before", before).drop("__n")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return keyed.withColumn("__place", place).join(counts, keys).withColumn(name, F.col("__before") + F.col("__place")).drop(*keys, "__before", "__place")

@@ -12,7 +12,9 @@ from ..functions import text as tx
 from ..functions.decisions import best_option, decision_list, reasons, true_labels
 from ..sources.tables import load
 from .registry import query
-from .retrieval import _CONTENT_SQL, item_document_overlap
+from ..operators import evidence as ev
+from ..operators.retrieval import bm25_best
+from .retrieval import _CONTENT_SQL, _TOKENS, STOPWORDS
 
 _WORD = "regexp_matches(lower(text), '(^|[^a-z0-9_]){0}($|[^a-z0-9_])')"
 
@@ -49,48 +51,83 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("entity")), ";").alias("entities"), F.count("*").alias("names"))
 
 
-_ANSWER_SQL = f"""
-WITH q AS (SELECT item_id, {_CONTENT_SQL} AS need FROM benchmark), d AS (SELECT doc_id, {_CONTENT_SQL} AS have FROM documents),
-p AS (SELECT item_id, doc_id, len(list_intersect(need, have)) AS shared, round(len(list_intersect(need, have)) / greatest(1, len(need)), 6) AS coverage FROM q JOIN d ON doc_id % 20 = item_id % 20)
+# Questions, answers and scopes: an item's text asks, its fourth and fifth word are the answer, or for every fifth item a list of
+# options; documents of source ``item_id % 20`` are current, those of lower sources history, both together plus.
+_BROAD, _EVERY = r"\bthat\b", r"\bwith\b.*\bthe\b"
+_ASSESS_SQL = f"""
+WITH d AS (SELECT doc_id, try_cast(substr(source, 4) AS INTEGER) AS src, {_TOKENS} AS toks FROM documents),
+a AS (SELECT item_id, text, CASE WHEN item_id % 5 = 0 THEN 'A-C' ELSE coalesce(split_part(text, ' ', 4), '') || ' ' || coalesce(split_part(text, ' ', 5), '') END AS answer,
+  'A) ' || split_part(text, ' ', 2) || ', B) none, C) ' || split_part(text, ' ', 3) || '.' AS options, item_id % 20 AS own FROM benchmark),
+m AS (SELECT DISTINCT own, scope, src FROM (SELECT DISTINCT own FROM a), (SELECT DISTINCT src FROM d), (SELECT unnest(['current', 'history', 'plus']) AS scope)
+  WHERE (scope = 'current' AND src = own) OR (scope = 'history' AND src < own) OR (scope = 'plus' AND src <= own)),
+q AS (SELECT item_id, own, term, least(count(*), 3) AS qtf FROM (SELECT item_id, own, unnest({_TOKENS}) AS term FROM a) GROUP BY ALL),
+p AS (SELECT doc_id, src, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, src, len(toks) AS len, unnest(toks) AS term FROM d) GROUP BY doc_id, src, term),
+s AS (SELECT own, scope, count(*) AS n, avg(len(toks)) AS mean FROM d JOIN m USING (src) GROUP BY own, scope),
+f AS (SELECT own, scope, term, count(*) AS df FROM p JOIN m USING (src) WHERE term IN (SELECT term FROM q) GROUP BY own, scope, term),
+r AS (SELECT item_id, scope, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM q JOIN m USING (own) JOIN p USING (src, term) JOIN f USING (own, scope, term) JOIN s USING (own, scope) GROUP BY item_id, scope, doc_id),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id, scope ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10),
+h AS (SELECT doc_id, {_CONTENT_SQL} AS have, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS body FROM documents WHERE doc_id IN (SELECT doc_id FROM b)),
+g AS (SELECT item_id, scope, count(*) AS n_ranked, list_distinct(flatten(list(have))) AS have, string_agg(body, ' ' ORDER BY rank) AS body FROM b JOIN h USING (doc_id) GROUP BY item_id, scope),
+n AS (SELECT item_id, answer, CASE WHEN answer = 'A-C' THEN split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 3) ELSE answer END AS expanded, text || ' ' || options AS question FROM a),
+k AS (SELECT item_id, question, lower(trim(regexp_replace(answer, '\\s+', ' ', 'g'))) AS plain, {_CONTENT_SQL.replace('lower(text)', 'lower(expanded)')} AS need,
+  {_CONTENT_SQL.replace('lower(text)', 'lower(question)')} AS asks FROM n),
+v AS (SELECT item_id, scope, coalesce(n_ranked, 0) AS n_ranked, list_sort(list_intersect(need, coalesce(have, []))) AS hits, len(list_intersect(asks, coalesce(have, []))) AS overlap,
+    len(plain) > 2 AND NOT regexp_full_match(plain, '[0-9]+([.][0-9]+)?') AND contains(coalesce(body, ''), plain) AS direct, len(need) AS n_need, trim(coalesce(body, '')) = '' AS bare,
+    regexp_matches(lower(question), '{_BROAD}') AS broad, regexp_matches(lower(question), '{_EVERY}') AS every
+  FROM k CROSS JOIN (SELECT unnest(['current', 'history', 'plus']) AS scope) LEFT JOIN g USING (item_id, scope)),
+w AS (SELECT *, len(hits) / greatest(1, n_need) AS c FROM v),
+x AS (SELECT *, CASE WHEN bare THEN 'not' WHEN broad AND NOT every AND c >= 0.85 AND overlap >= 6 AND n_ranked >= 6 THEN 'likely' WHEN broad AND c >= 0.55 AND overlap >= 3 THEN 'partial'
+    WHEN broad AND (overlap >= 4 OR c >= 0.25) THEN 'unclear' WHEN broad THEN 'not' WHEN direct AND overlap >= 2 THEN 'likely' WHEN c >= 0.7 AND overlap >= 2 THEN 'likely'
+    WHEN c >= 0.5 AND overlap >= 5 THEN 'likely' WHEN c >= 0.35 AND overlap >= 2 THEN 'partial' WHEN c > 0 OR overlap >= 4 THEN 'unclear' ELSE 'not' END AS label FROM w)
 """
 
 
-def answerability(coverage, shared, direct, thresholds=(0.85, 0.55, 0.35), least=2):
-    """likely, partial, unclear or not: by coverage and shared tokens, a direct hit first."""
-    high, middle, low = thresholds
-    return decision_list(
-        [
-            (direct | (coverage >= high), "likely"),
-            ((coverage >= middle) & (shared >= least), "partial"),
-            ((coverage >= low) & (shared >= 1), "unclear"),
-        ],
-        "not",
+def _assessed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question in every scope with its ten best documents of the scope assessed."""
+    word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
+    answer = F.when(F.col("item_id") % 5 == 0, "A-C").otherwise(F.concat(word(4), F.lit(" "), word(5)))
+    options = F.concat(F.lit("A) "), word(2), F.lit(", B) none, C) "), word(3), F.lit("."))
+    items = load(spark, sf_dir, "benchmark").select("item_id", "text", F.concat("text", F.lit(" "), options).alias("question"), answer.alias("answer"))
+    names = lambda first, last: F.transform(F.sequence(first, last), lambda i: F.concat(F.lit("src"), i))
+    own = F.col("item_id") % 20
+    none = F.array().cast("array<string>")
+    pools = {"current": names(own, own), "history": F.when(own > 0, names(F.lit(0).cast("long"), own - 1)).otherwise(none), "plus": names(F.lit(0).cast("long"), own)}
+    scoped = F.explode(F.array(*[F.struct(F.lit(k).alias("scope"), v.alias("pool")) for k, v in pools.items()])).alias("s")
+    asked = items.select("*", scoped).select("*", "s.*", F.concat_ws("|", F.col("item_id").cast("string"), "s.scope").alias("ask")).drop("s")
+    docs = load(spark, sf_dir, "documents")
+    ranked = bm25_best(docs, asked, "doc_id", "ask", 10, source="source", pool="pool")
+    sets = ev.evidence_sets(ranked, docs, "ask", "doc_id", "text", STOPWORDS)
+    return ev.assess(asked, sets, "ask", F.col("question"), F.col("answer"), STOPWORDS, _BROAD, _EVERY)
+
+
+@query("answerability_label", _ASSESS_SQL + """
+SELECT item_id, scope, label, n_ranked::BIGINT AS n_ranked, round(c, 6) AS coverage, overlap::INTEGER AS overlap, array_to_string(hits, ';') AS hits, direct FROM x""")
+def answerability_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well the ten best documents of each scope answer a question."""
+    return _assessed(spark, sf_dir).select(
+        "item_id", "scope", "label", F.col("n_ranked").cast("long").alias("n_ranked"), F.round("coverage", 6).alias("coverage"), "overlap", F.array_join("hits", ";").alias("hits"), "direct"
     )
 
 
-_LABEL_SQL = "CASE WHEN coverage >= {0} OR coverage >= 0.85 THEN 'likely' WHEN coverage >= 0.55 AND shared >= 2 THEN 'partial' WHEN coverage >= 0.35 AND shared >= 1 THEN 'unclear' ELSE 'not' END"
-
-
-@query("answerability_label", _ANSWER_SQL + f"SELECT item_id, doc_id, {_LABEL_SQL.format('1.0')} AS label FROM p")
-def answerability_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = answerability(F.col("coverage"), F.col("shared"), F.col("coverage") >= 1.0)
-    return item_document_overlap(spark, sf_dir).select("item_id", "doc_id", label.alias("label"))
+_RANK_SQL = "CASE {0} WHEN 'likely' THEN 3 WHEN 'partial' THEN 2 WHEN 'unclear' THEN 1 ELSE 0 END"
 
 
-@query("gain_label", _ANSWER_SQL + """
-, s AS (SELECT item_id, max(coverage) FILTER (WHERE doc_id % 3 = 0) AS now, max(coverage) FILTER (WHERE doc_id % 3 = 1) AS past, max(coverage) AS plus FROM p GROUP BY item_id),
-r AS (SELECT *, floor(coalesce(now, 0) * 4)::BIGINT AS r_now, floor(coalesce(past, 0) * 4)::BIGINT AS r_past, floor(coalesce(plus, 0) * 4)::BIGINT AS r_plus FROM s)
-SELECT item_id, CASE WHEN r_plus > r_now AND r_plus >= 3 THEN 'yes' WHEN r_plus > r_now OR r_past > r_now THEN 'promising' WHEN r_plus = r_now AND r_now >= 2 THEN 'no' ELSE 'unclear' END AS gain,
-  CASE WHEN r_plus >= r_now AND r_plus >= r_past THEN 'plus' WHEN r_now >= r_past THEN 'current' ELSE 'history' END AS best_scope FROM r""")
+@query("gain_label", _ASSESS_SQL + f"""
+, o AS (SELECT item_id, any_value(x) FILTER (WHERE scope = 'current') AS now, any_value(x) FILTER (WHERE scope = 'history') AS past, any_value(x) FILTER (WHERE scope = 'plus') AS plus FROM x GROUP BY item_id),
+e AS (SELECT *, {_RANK_SQL.format('now.label')} AS r_now, {_RANK_SQL.format('past.label')} AS r_past, {_RANK_SQL.format('plus.label')} AS r_plus,
+  past.label IN ('likely', 'partial') OR (past.label = 'unclear' AND (past.c >= 0.2 OR past.overlap >= 4)) AS relevant,
+  len(list_filter(plus.hits, lambda t: NOT list_contains(now.hits, t))) > 0 OR plus.overlap >= now.overlap + 2 AS added FROM o)
+SELECT item_id, CASE WHEN r_plus > r_now AND r_plus >= 2 AND relevant THEN 'yes' WHEN r_plus > r_now AND relevant THEN 'promising' WHEN r_now = 3 AND r_plus <= r_now THEN 'no'
+  WHEN r_plus >= r_now AND r_plus > 0 AND relevant AND added THEN 'promising' WHEN r_plus = r_now THEN 'no' ELSE 'unclear' END AS gain,
+  CASE WHEN r_plus >= r_now AND r_plus >= r_past THEN 'plus' WHEN r_now >= r_past THEN 'current' ELSE 'history' END AS best_scope FROM e""")
 def gain_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether history adds to what the current scope answers, and the best scope; ties go to plus."""
-    part = lambda k: F.max(F.when(F.col("doc_id") % 3 == k, F.col("coverage")))
-    scopes = item_document_overlap(spark, sf_dir).groupBy("item_id").agg(part(0).alias("now"), part(1).alias("past"), F.max("coverage").alias("plus"))
-    rank = lambda c: F.floor(F.coalesce(c, F.lit(0.0)) * 4)
-    ranked = scopes.select("item_id", *[rank(c).alias(c) for c in ("now", "past", "plus")])
-    now, past, plus = F.col("now"), F.col("past"), F.col("plus")
-    gain = decision_list([((plus > now) & (plus >= 3), "yes"), ((plus > now) | (past > now), "promising"), ((plus == now) & (now >= 2), "no")], "unclear")
-    return ranked.select("item_id", gain.alias("gain"), best_option({"plus": plus, "current": now, "history": past}).alias("best_scope"))
+    """Whether history adds to what the current scope answers, and the best scope."""
+    fields = F.struct("label", "coverage", "overlap", "hits")
+    of = lambda scope: F.max(F.when(F.col("scope") == scope, fields)).alias(scope)
+    scopes = _assessed(spark, sf_dir).groupBy("item_id").agg(of("current"), of("history"), of("plus"))
+    now, past, plus = F.col("current"), F.col("history"), F.col("plus")
+    return scopes.select("item_id", ev.gain_label(now, past, plus).alias("gain"), ev.best_scope(now, past, plus).alias("best_scope"))
 
 
 @query("rubric_tier", """

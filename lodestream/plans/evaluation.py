@@ -153,11 +153,12 @@ def answer_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_type, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.5), 6) AS median,
   arg_min(event_id, (ts, event_id)) AS first_id, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY event_type""")
 def median_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = F.struct("ts", "event_id")
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.percentile("value", 0.5), 6).alias("median"),
+    events, order = load(spark, sf_dir, "events"), F.struct("ts", "event_id")
+    ends = events.groupBy("event_type").agg(
+        F.min("value").alias("least"), F.max("value").alias("most"),
         F.min_by("event_id", order).alias("first_id"), F.max_by("event_id", order).alias("last_id"),
     )
+    return ends.join(ev.exact_median(events, "event_type", "value").withColumn("median", F.round("median", 6)), "event_type")
 
 
 @query("avg_ignore_blank", """
@@ -216,8 +217,8 @@ def status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("running_accuracy", _TRIALS + """
 SELECT source, doc_id, round(avg(correct::INTEGER) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING), 6) AS so_far FROM t""")
 def running_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    upto = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return _trials(spark, sf_dir).select("source", "doc_id", F.round(F.avg(F.col("correct").cast("int")).over(upto), 6).alias("so_far"))
+    so_far = ev.running_mean(_trials(spark, sf_dir), "source", "doc_id", F.col("correct").cast("int"))
+    return so_far.select("source", "doc_id", F.round("mean", 6).alias("so_far"))
 
 
 @query("gate_bool_agg", """
@@ -236,13 +237,15 @@ def gate_bool_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("combination_groups", """
 WITH m AS (SELECT conv_id, list_sort(list(DISTINCT role)) AS who FROM conversations GROUP BY conv_id),
-b AS (SELECT conv_id, who, unnest(range(1, 1 << len(who))) AS mask FROM m),
-g AS (SELECT conv_id, list_filter(who, lambda w, i: (mask >> (i - 1)) & 1 = 1) AS members, len(who) AS n FROM b)
-SELECT conv_id, array_to_string(members, '+') AS members, CASE WHEN len(members) = n THEN 'all' WHEN len(members) = 1 THEN 'single' ELSE 'subset' END AS kind FROM g""")
+u AS (SELECT conv_id, unnest(who) AS r FROM m)
+SELECT conv_id, 'single' AS kind, r AS members FROM u
+UNION ALL SELECT a.conv_id, 'pair', a.r || '+' || b.r FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.r < b.r
+UNION ALL SELECT conv_id, 'all', array_to_string(who, '+') FROM m""")
 def combination_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every non-empty set of a conversation's speakers, by bit masks; speakers of a conversation are few."""
+    """A conversation's speakers one by one, in pairs and all together."""
     members = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_set("role")).alias("who"))
-    masked = members.withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("(1 << size(who)) - 1"))))
-    chosen = masked.withColumn("set", F.expr("filter(who, (w, i) -> (shiftright(mask, i) & 1) = 1)"))
-    kind = F.when(F.size("set") == F.size("who"), "all").when(F.size("set") == 1, "single").otherwise("subset")
-    return chosen.select("conv_id", F.array_join("set", "+").alias("members"), kind.alias("kind"))
+    kind = lambda name, sets: F.transform(sets, lambda x: F.struct(F.lit(name).alias("kind"), x.alias("members")))
+    who = F.col("who")
+    pairs = F.flatten(F.transform(who, lambda a: F.transform(F.filter(who, lambda b: b > a), lambda b: F.concat(a, F.lit("+"), b))))
+    groups = F.concat(kind("single", who), kind("pair", pairs), kind("all", F.array(F.array_join(who, "+"))))
+    return members.select("conv_id", F.explode(groups).alias("g")).select("conv_id", "g.kind", "g.members")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..sources.tables import events_as_intervals, load
 from .registry import query
 
@@ -18,34 +19,44 @@ def parse_condition(text: Column, aliases: dict[str, str]) -> tuple[Column, Colu
     return members, (F.size(members) > 0) & (F.size(F.array_distinct(members)) == F.size(members))
 
 
-@query("condition_parse", """
-WITH c AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'jack+alice' WHEN 1 THEN 'jake_JACK' WHEN 2 THEN 'tasha, lucia' ELSE '' END AS text FROM events)
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Jake_Alice' WHEN 1 THEN 'Jake_Jake' WHEN 2 THEN 'Tasha_Lucia' ELSE '' END AS members, event_id % 4 IN (0, 2) AS valid FROM c""")
+_NAMES_SQL = "CASE event_id % 4 WHEN 0 THEN event_type || '+bo' WHEN 1 THEN 'bob_' || event_type || ', ' || 'BO' WHEN 2 THEN ' ' || event_type || ',cleo_' ELSE '' END"
+
+
+@query("condition_parse", f"""
+WITH c AS (SELECT event_id, {_NAMES_SQL} AS text FROM events),
+n AS (SELECT event_id, list_transform(list_filter(string_split_regex(text, '[_+,]'), lambda x: trim(x) <> ''), lambda x: upper(trim(x)[1]) || lower(trim(x)[2:])) AS names FROM c),
+m AS (SELECT event_id, list_transform(names, lambda x: CASE x WHEN 'Bo' THEN 'Bob' ELSE x END) AS members FROM n)
+SELECT event_id, array_to_string(members, '_') AS members, len(members) > 0 AND len(list_distinct(members)) = len(members) AS valid FROM m""")
 def condition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 4
-    text = F.when(k == 0, "jack+alice").when(k == 1, "jake_JACK").when(k == 2, "tasha, lucia").otherwise("")
-    members, valid = parse_condition(F.col("text"), {"Jack": "Jake"})
+    """Members of a condition's name; an alias stands for its owner."""
+    kind, k = F.col("event_type"), F.col("event_id") % 4
+    text = (
+        F.when(k == 0, F.concat(kind, F.lit("+bo"))).when(k == 1, F.concat(F.lit("bob_"), kind, F.lit(", "), F.lit("BO")))
+        .when(k == 2, F.concat(F.lit(" "), kind, F.lit(",cleo_"))).otherwise("")
+    )
+    members, valid = parse_condition(F.col("text"), {"Bo": "Bob"})
     rows = load(spark, sf_dir, "events").select("event_id", text.alias("text"))
     return rows.select("event_id", F.array_join(members, "_").alias("members"), valid.alias("valid"))
 
 
-def expand_options(question: Column, answer: Column) -> Column:
-    """Texts of the options that an answer like ``A-C`` names, cut out of ``A) ... B) ...``."""
-    letters = F.regexp_extract_all(question, F.lit(r"([A-E])\) "), F.lit(1))
-    texts = F.slice(F.split(question, r"\s*[A-E]\) "), 2, 9)
-    first, last = F.substring(answer, 1, 1), F.substring(answer, -1, 1)
-    pairs = F.arrays_zip(letters.alias("l"), texts.alias("t"))
-    return F.transform(F.filter(pairs, lambda p: (p["l"] >= first) & (p["l"] <= last)), lambda p: p["t"])
-
-
-@query("option_expansion", """
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || '|' || user_id WHEN 1 THEN user_id::VARCHAR ELSE event_type || '|' || user_id || '|none' END AS options FROM events""")
+@query("option_expansion", r"""
+WITH r AS (SELECT event_id, 'Which? A) ' || event_type || ', B) ' || user_id || ' C)value ' || event_id || '.' || CASE WHEN event_id % 7 = 0 THEN '  B) again;' ELSE '' END AS q,
+  CASE event_id % 7 WHEN 0 THEN 'A-B' WHEN 1 THEN 'B' WHEN 2 THEN 'A-C' WHEN 3 THEN ' C-A ' WHEN 4 THEN 'E' WHEN 5 THEN 'A - B  or  ' || event_type ELSE 'D-B' END AS a FROM events),
+s AS (SELECT event_id, trim(regexp_replace(a, '\s+', ' ', 'g')) AS a, regexp_extract_all(q, '\b([A-E])\)\s*', 1) AS ls, string_split_regex(q, '\b[A-E]\)\s*')[2:] AS ts FROM r),
+e AS (SELECT event_id, a, array_to_string(list_transform(string_split(a, '-'), lambda x:
+    coalesce(trim(regexp_replace(trim(list_filter(list_zip(ls, ts), lambda p: p[1] = x)[-1][2], ' ,.;'), '\s+', ' ', 'g')), '')), ' ') AS listed FROM s)
+SELECT event_id, CASE WHEN regexp_full_match(a, '[A-E](-[A-E])*') AND listed <> '' THEN listed ELSE a END AS options FROM e""")
 def option_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    question = F.concat(F.lit("Which? A) "), "event_type", F.lit(" B) "), F.col("user_id").cast("string"), F.lit(" C) none"))
-    k = F.col("event_id") % 3
-    answer = F.when(k == 0, "A-B").when(k == 1, "B").otherwise("A-C")
+    """Texts of the options that an answer lists; other answers stay."""
+    i = F.col("event_id")
+    again = F.when(i % 7 == 0, "  B) again;").otherwise("")
+    question = F.concat(F.lit("Which? A) "), "event_type", F.lit(", B) "), F.col("user_id").cast("string"), F.lit(" C)value "), i.cast("string"), F.lit("."), again)
+    answers = ["A-B", "B", "A-C", " C-A ", "E", F.concat(F.lit("A - B  or  "), "event_type")]
+    answer = F.lit("D-B")
+    for k, a in enumerate(answers):
+        answer = F.when(i % 7 == k, a).otherwise(answer)
     rows = load(spark, sf_dir, "events").select("event_id", question.alias("q"), answer.alias("a"))
-    return rows.select("event_id", F.array_join(expand_options(F.col("q"), F.col("a")), "|").alias("options"))
+    return rows.select("event_id", tx.expand_options("q", "a").alias("options"))
 
 
 @query("status_filter", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderpriority <> '5-LOW'")

@@ -110,14 +110,115 @@ def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.withColumn("place", F.row_number().over(Window.orderBy(ps.trailing_number("source"), "source")))
 
 
-@query("prediction_normalize", """
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE -1 END AS strict, CASE event_id % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE -1 END AS loose FROM events""")
+_REPLY_SQL = """CASE event_id % 9 WHEN 0 THEN '**' || l || '** because' WHEN 1 THEN 'Option ' || lower(l) WHEN 2 THEN 'The correct answer is ' || l || '.' WHEN 3 THEN 'Answer: option ' || l
+  WHEN 4 THEN '(' || l || ') ' || event_type WHEN 5 THEN event_type WHEN 6 THEN '' WHEN 7 THEN 'zzz ' || l ELSE user_id || 'zzz' END"""
+_BARE_SQL = "replace(replace(replace(lower(reply), 'the correct answer is', ''), 'answer:', ''), 'option', '')"
+
+
+@query("prediction_normalize", f"""
+WITH e AS (SELECT *, substr('ABCDE', (user_id % 5 + 1)::INTEGER, 1) AS l FROM events), r AS (SELECT event_id, {_REPLY_SQL} AS reply FROM e),
+s AS (SELECT event_id, reply, substr(trim(trim(lower(reply), '*'), 'option '), 1, 1) AS head, {_BARE_SQL} AS bare FROM r),
+c AS (SELECT event_id, head, CASE WHEN regexp_matches(lower(reply), '\\b[abcde]\\b') THEN regexp_extract(lower(reply), '\\b([abcde])\\b', 1) ELSE regexp_extract(lower(reply), '[abcde]') END AS loose,
+  CASE WHEN regexp_matches(bare, '\\b[abcd]\\b') THEN regexp_extract(bare, '\\b([abcd])\\b', 1) ELSE regexp_extract(bare, '[abcd]') END AS frame FROM s)
+SELECT event_id, CASE WHEN head <> '' THEN instr('abcde', head) - 1 ELSE -1 END::INTEGER AS strict, CASE WHEN loose <> '' THEN instr('abcde', loose) - 1 ELSE -1 END::INTEGER AS loose,
+  CASE WHEN frame <> '' THEN instr('abcd', frame) - 1 ELSE -1 END::INTEGER AS frame FROM c""")
 def prediction_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free-text replies as the index of the choice they name, by both rules."""
-    k = F.col("event_id") % 4
-    reply = F.when(k == 0, "**B** because").when(k == 1, "Option c").when(k == 2, "the answer is d here").otherwise("zzz")
+    """Free-text replies as the index of the choice they name, by three rules."""
+    k, letter = F.col("event_id") % 9, F.substring(F.lit("ABCDE"), (F.col("user_id") % 5 + 1).cast("int"), F.lit(1))
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    kind = F.col("event_type")
+    forms = [
+        text("**", letter, "** because"), text("Option ", F.lower(letter)), text("The correct answer is ", letter, "."), text("Answer: option ", letter),
+        text("(", letter, ") ", kind), kind, F.lit(""), text("zzz ", letter), text(F.col("user_id").cast("string"), "zzz"),
+    ]
+    reply = F.coalesce(*[F.when(k == i, form) for i, form in enumerate(forms)])
     rows = load(spark, sf_dir, "events").select("event_id", reply.alias("reply"))
-    return rows.select("event_id", *[F.coalesce(f("reply"), F.lit(-1)).cast("int").alias(n) for n, f in (("strict", tx.choice_strict), ("loose", tx.choice_loose))])
+    frame = tx.choice_loose("reply", "abcd", ("the correct answer is", "answer:", "option"))
+    index = {"strict": tx.choice_strict("reply"), "loose": tx.choice_loose("reply"), "frame": frame}
+    return rows.select("event_id", *[F.coalesce(c, F.lit(-1)).cast("int").alias(n) for n, c in index.items()])
+
+
+@query("caption_keys", _EVENTS_SQL + """
+SELECT event_id, day::INTEGER AS day, CASE event_id % 4 WHEN 0 THEN sod // 10 * 10 ELSE sod // 1000 * 1000 END AS start_ms,
+  CASE event_id % 4 WHEN 0 THEN sod // 10 * 10 + 30000 WHEN 1 THEN sod // 1000 * 1000 + 30000 ELSE sod // 10 * 10 END AS end_ms FROM k WHERE event_id % 4 <> 3""")
+def caption_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of captions as spans: clips, with and without hundredths, and ten-minute keys; others are left out."""
+    k, six = F.col("event_id") % 4, F.substring("token", 1, 6)
+    day, who = F.concat(F.lit("DAY"), F.col("day").cast("string")), F.concat(F.lit("A"), F.col("user_id").cast("string"), F.lit("_ANN"))
+    named = lambda *parts: F.concat_ws("_", day, who, *parts)
+    key = F.when(k == 0, F.concat(named("token"), F.lit(".mp4"))).when(k == 1, F.concat(named(six), F.lit(".mp4"))).when(k == 2, named(six, "token")).otherwise(F.lower(named("token")))
+    spans = _tokens(spark, sf_dir).select("event_id", key.alias("key")).select("event_id", ps.caption_key("key").alias("s"))
+    return spans.filter("s is not null").select("event_id", "s.*")
+
+
+@query("context_any", _EVENTS_SQL + """
+, t AS (SELECT *, lpad((sod // 3600000)::VARCHAR, 2, '0') || ':' || lpad((sod // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((sod // 1000 % 60)::VARCHAR, 2, '0') AS clock, event_id % 4 AS f FROM k)
+SELECT event_id, CASE f WHEN 0 THEN 'dict' WHEN 1 THEN 'list' ELSE 'text' END AS kind, CASE WHEN f = 3 THEN 'failed' ELSE 'ok' END AS status, CASE f WHEN 0 THEN 2 WHEN 3 THEN 0 ELSE 1 END AS windows,
+  CASE WHEN f < 3 THEN day::INTEGER END AS day, CASE WHEN f < 3 THEN sod // 1000 * 1000 END AS start_ms, CASE f WHEN 0 THEN sod // 10 * 10 WHEN 3 THEN NULL ELSE sod // 1000 * 1000 END AS end_ms,
+  CASE f WHEN 0 THEN 'ann;bob;cleo' WHEN 1 THEN 'bob' WHEN 2 THEN 'ann' ELSE 'cleo' END AS members FROM t""")
+def context_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts in every form they come in, as one span, with who is mentioned."""
+    t, k = _tokens(spark, sf_dir), F.col("event_id") % 4
+    two = lambda i: F.substring("token", i, 2)
+    clock, day = F.concat_ws(":", two(1), two(3), two(5)), F.col("day").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    later = (F.col("day") + 1).cast("string")
+    as_map = text('{"DAY', day, "_", F.substring("token", 1, 6), "_", F.col("token"), '": ["Ann", "bob"], "other": "DAY', later, ' 10:00:00 - 10:00:05, cleo: hi"}')
+    line = text("DAY", day, " ", clock, " - ", clock)
+    contexts = F.when(k == 0, as_map).when(k == 1, text('["', line, ', Bob: text", "none"]')).when(k == 2, text(line, ", ANN: text")).otherwise("nothing, says nobody")
+    question = F.when(k == 3, "What did Cleo do?").otherwise("What happened?")
+    parsed = t.select("event_id", ps.parse_contexts(contexts, ["ann", "bob", "cleo"], question).alias("p")).select("event_id", "p.*")
+    return parsed.withColumn("members", F.array_join("members", ";"))
+
+
+@query("window_list_fallback", _EVENTS_SQL + """
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 2 WHEN event_id % 8 = 7 THEN 0 ELSE 1 END AS windows,
+  CASE WHEN event_id % 4 = 0 THEN day WHEN event_id % 8 <> 7 THEN day + 1 END AS first_day, CASE WHEN event_id % 4 = 0 THEN sod + 0.5 WHEN event_id % 8 <> 7 THEN sod + 1.0 END::DOUBLE AS first_start FROM e""")
+def window_list_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a JSON list, invalid ones left out; if none is left, the window of the plain columns."""
+    e = events_as_intervals(spark, sf_dir).withColumn("d", F.col("day") - 19722)
+    k, text = F.col("event_id") % 4, lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    item = lambda d, s: text('{"day": ', d, ', "start_time": ', s, '.5, "end_time": 1e9}')
+    listed = text("[", item(F.col("d"), F.col("sod_ms")), ", ", item(F.lit(-1), F.lit(3)), ', {"day": "x"}, ', item(F.col("d") + 5, F.lit(0)), "]")
+    json = F.when(k == 0, listed).when(k == 1, "[]").when(k == 2, "[broken").otherwise('{"day": 1, "start_time": 2, "end_time": 3}')
+    start = F.when(F.col("event_id") % 8 == 7, "-1").otherwise((F.col("sod_ms") + 1).cast("string"))
+    found = e.select("event_id", ps.window_list(json, F.col("d") + 1, start, F.lit("1e9")).alias("w"))
+    return found.select("event_id", F.size("w").alias("windows"), F.get("w", F.lit(0))["day"].alias("first_day"), F.get("w", F.lit(0))["start"].alias("first_start"))
+
+
+@query("default_all_membership", """
+WITH m AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || ';view' WHEN 1 THEN '' ELSE ';' END AS text FROM events),
+l AS (SELECT event_id, list_filter(string_split(text, ';'), lambda x: x <> '') AS named FROM m)
+SELECT event_id, array_to_string(CASE WHEN len(named) > 0 THEN named ELSE ['click', 'view', 'purchase', 'signup', 'error'] END, ';') AS members FROM l""")
+def default_all_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of a scope; a scope that names no one is open to all."""
+    k = F.col("event_id") % 3
+    text = F.when(k == 0, F.concat("event_type", F.lit(";view"))).when(k == 1, "").otherwise(";")
+    rows = load(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return rows.select("event_id", F.array_join(ps.members_or_all(F.col("text"), ["click", "view", "purchase", "signup", "error"]), ";").alias("members"))
+
+
+@query("query_user_inference", r"""
+WITH q AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'According to Bob, what is ' || event_type || '?' WHEN 1 THEN 'Seen from ANN''s camera, did cleo ' || event_type || '?'
+    WHEN 2 THEN 'What did Cleo ' || event_type || '?' WHEN 3 THEN 'When did ann and bob ' || event_type || '?' WHEN 4 THEN 'In bob''s video, who?' ELSE 'Who did ' || event_type || ', annie?' END AS question,
+  CASE WHEN user_id % 2 = 0 THEN ['cleo'] ELSE ['ann', 'bob'] END AS members FROM events),
+p AS (SELECT *, lower(coalesce(nullif(regexp_extract(question, '(?i)\bfrom\s+(ann|bob|cleo)''s\s+(?:view|perspective|camera|video)\b', 1), ''), nullif(regexp_extract(question, '(?i)\baccording\s+to\s+(ann|bob|cleo)\b', 1), ''),
+    nullif(regexp_extract(question, '(?i)\bin\s+(ann|bob|cleo)''s\s+(?:view|perspective|camera|video)\b', 1), ''))) AS explicit,
+  list_filter(['ann', 'bob', 'cleo'], lambda n: regexp_matches(lower(question), '\b' || n || '\b')) AS said FROM q)
+SELECT event_id, CASE WHEN explicit IS NOT NULL THEN explicit WHEN len(said) = 1 THEN said[1] WHEN len(members) = 1 THEN members[1] ELSE 'UNKNOWN' END AS "user",
+  CASE WHEN explicit IS NOT NULL THEN 'explicit' WHEN len(said) = 1 OR len(members) = 1 THEN 'inferred' ELSE 'unknown' END AS how FROM p""")
+def query_user_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whose view a question asks for."""
+    k, kind = F.col("event_id") % 6, F.col("event_type")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    forms = [
+        text("According to Bob, what is ", kind, "?"), text("Seen from ANN's camera, did cleo ", kind, "?"), text("What did Cleo ", kind, "?"),
+        text("When did ann and bob ", kind, "?"), F.lit("In bob's video, who?"), text("Who did ", kind, ", annie?"),
+    ]
+    question = F.coalesce(*[F.when(k == i, form) for i, form in enumerate(forms)])
+    members = F.when(F.col("user_id") % 2 == 0, F.array(F.lit("cleo"))).otherwise(F.array(F.lit("ann"), F.lit("bob")))
+    rows = load(spark, sf_dir, "events").select("event_id", question.alias("q"), members.alias("m"))
+    return rows.select("event_id", ps.asking_user(F.col("q"), F.col("m"), ["ann", "bob", "cleo"]).alias("u")).select("event_id", "u.*")
 
 
 @query("json_extract", """
@@ -160,7 +261,7 @@ def memory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("nested_explode_concat", """
-SELECT conv_id, turn, conv_id || '-' || turn AS key, role || ': ' || substr(text, 1, 30) AS entry FROM conversations""")
+SELECT conv_id, turn, conv_id || '-' || turn AS key, role || ': ' || text AS entry FROM conversations""")
 def nested_explode_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of structs taken apart to one entry each, keyed by document and position."""
     nested = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("memory"))
@@ -184,11 +285,14 @@ def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int = 10) -> DataFrame:
     """(id, n, speaker, stamp, text): text-like strings of JSON of any depth, in order.
 
-    ``speaker`` and ``timestamp`` of an object hold for everything below it. A value under a text
-    key is emitted once; other strings if they are longer than ``longer_than``. Depth has no bound, so
+    The nearest ``speaker`` and the outermost ``timestamp`` hold for everything below them. A value under a
+    text key is emitted once; other strings if they are longer than ``longer_than``. Depth has no bound, so
     rows pass through Python in Arrow batches; broken JSON gives no row.
     """
-    text_keys, speaker_keys, stamp_keys = {"text", "transcript", "utterance", "caption", "sentence"}, ("speaker", "name", "role"), ("timestamp", "start", "turn")
+    # Names of the fields that hold texts, speakers and times in the input.
+    text_keys = {"text", "transcript", "utterance", "caption", "sentence"}
+    speaker_keys = ("speaker", "speaker_id", "name", "agent", "participant")
+    stamp_keys = ("timestamp", "time", "start", "start_time", "end", "end_time", "window")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import json
@@ -199,7 +303,8 @@ def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int =
                 node, speaker, stamp, key = stack.pop()
                 if isinstance(node, dict):
                     speaker = next((str(node[k]) for k in speaker_keys if isinstance(node.get(k), (str, int))), speaker)
-                    stamp = next((str(node[k]) for k in stamp_keys if isinstance(node.get(k), (str, int, float))), stamp)
+                    if stamp is None:
+                        stamp = next((str(node[k]) for k in stamp_keys if isinstance(node.get(k), (str, int, float))), None)
                     taken = {*speaker_keys, *stamp_keys}
                     stack += [(v, speaker, stamp, k) for k, v in reversed(node.items()) if k not in taken]
                 elif isinstance(node, list):
@@ -232,6 +337,6 @@ def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int =
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n, role AS speaker, turn::VARCHAR AS stamp, text FROM conversations""")
 def json_flatten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as nested JSON and flattened again."""
-    line = F.struct("turn", "role", F.struct("text").alias("body"))
+    line = F.struct(F.col("turn").alias("time"), F.col("role").alias("agent"), F.struct("text", F.lit(0).alias("window")).alias("body"))
     packed = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(line)).alias("items"))).alias("doc"))
     return flatten_json(packed, "conv_id", "doc")

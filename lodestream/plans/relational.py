@@ -38,14 +38,14 @@ def equi_join_left(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("full_outer_coalesce", """
-WITH l AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS name FROM documents WHERE doc_id % 2 = 0),
-r AS (SELECT doc_id, lang AS name FROM documents WHERE doc_id % 3 = 0)
+WITH l AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE source END AS name FROM documents),
+r AS (SELECT vec_id AS doc_id, 'label ' || label AS name FROM embeddings)
 SELECT doc_id, coalesce(nullif(l.name, ''), r.name) AS name FROM l FULL JOIN r USING (doc_id)""")
 def full_outer_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
-    left = docs.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("name"))
-    right = docs.select("doc_id", F.col("lang").alias("name"))
-    return rel.merge_prefer_left(left, right, "doc_id", ["name"])
+    """Names of documents, some of them blank, and of vectors, under one numbering."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("source")).alias("name"))
+    vectors = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.concat(F.lit("label "), "label").alias("name"))
+    return rel.merge_prefer_left(docs, vectors, "doc_id", ["name"])
 
 
 @query("semi_join_filter", """
@@ -99,16 +99,15 @@ def dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("merge_dedup_last_wins", """
-WITH c AS (SELECT 1 AS chunk, doc_id, source || ':a' AS value FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 2, doc_id, source || ':b' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 3, doc_id, source || ':c' FROM documents WHERE doc_id % 5 = 0)
+WITH c AS (SELECT 1 AS chunk, doc_id, source || ':a' AS value FROM documents UNION ALL SELECT 2, doc_id, quality || ':b' FROM labels UNION ALL SELECT 3, vec_id, label || ':c' FROM embeddings)
 SELECT doc_id, arg_max(value, chunk) AS value, max(chunk)::INTEGER AS chunk, count(*) AS copies FROM c GROUP BY doc_id""")
 def merge_dedup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of results merged; a later chunk overrides, and how many had the key is kept."""
-    docs = load(spark, sf_dir, "documents")
-    parts = [
-        docs.select(F.lit(i).alias("chunk"), "doc_id", F.concat("source", F.lit(f":{name}")).alias("value"))
-        for i, name in enumerate(("a", "b", "c"), 1)
-    ]
-    chunks = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [("documents", "doc_id", "source", "a"), ("labels", "doc_id", "quality", "b"), ("embeddings", "vec_id", "label", "c")]
+    chunks = None
+    for i, (name, key, value, tag) in enumerate(parts, 1):
+        own = load(spark, sf_dir, name).select(F.lit(i).alias("chunk"), F.col(key).alias("doc_id"), F.concat(F.col(value).cast("string"), F.lit(f":{tag}")).alias("value"))
+        chunks = own if chunks is None else chunks.unionByName(own)
     return chunks.groupBy("doc_id").agg(F.max_by("value", "chunk").alias("value"), F.max("chunk").alias("chunk"), F.count("*").alias("copies"))
 
 
@@ -137,7 +136,7 @@ def group_collect_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ordered_string_agg", """
-SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || substr(text, 1, 20), chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
+SELECT conv_id, string_agg('[' || turn || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM conversations GROUP BY conv_id""")
 def ordered_string_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit("] "), "role", F.lit(": "), "text")
     in_order = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))

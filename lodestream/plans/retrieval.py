@@ -12,6 +12,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import retrieval as bm
 from ..operators.diversity import mmr_select
+from ..operators.vector_search import Pick, find_vectors
 from ..sources.tables import load
 from .registry import query
 
@@ -31,9 +32,9 @@ r AS (SELECT item_id, doc_id, source, round(sum(qtf * ln(1 + (n - df + 0.5) / (d
 """
 
 
-def _scored(spark: SparkSession, sf_dir: str, *carry: str) -> DataFrame:
+def _best(spark: SparkSession, sf_dir: str, k: int, *carry: str) -> DataFrame:
     docs, questions = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
-    return bm.bm25(docs, questions, "doc_id", "item_id", tx.alnum_tokens("text"), tx.alnum_tokens("text"), *carry)
+    return bm.bm25_best(docs, questions, "doc_id", "item_id", k, carry)
 
 
 @query("bm25_topk", _BM25_SQL + """
@@ -41,7 +42,7 @@ SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM
   (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 5""")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every question."""
-    return bm.top_k(_scored(spark, sf_dir), ["item_id"], 5, F.desc("score"), F.col("doc_id"))
+    return _best(spark, sf_dir, 5)
 
 
 @query("bm25_per_entity_topk", _BM25_SQL + """
@@ -50,7 +51,7 @@ e AS (SELECT *, row_number() OVER (PARTITION BY item_id, source ORDER BY overall
 SELECT item_id, source, doc_id, score, overall::INTEGER AS overall, rank::INTEGER AS rank FROM e WHERE rank <= 5 AND score >= 20""")
 def bm25_per_entity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per question and source the five best of the first 1000 hits; the score threshold comes after."""
-    ranked = bm.top_k(_scored(spark, sf_dir, "source"), ["item_id"], 1000, F.desc("score"), F.col("doc_id"), rank="overall")
+    ranked = _best(spark, sf_dir, 1000, "source").withColumnRenamed("rank", "overall")
     best = bm.top_k(ranked, ["item_id", "source"], 5, F.col("overall"))
     return best.filter(F.col("score") >= 20).select("item_id", "source", "doc_id", "score", "overall", "rank")
 
@@ -69,9 +70,30 @@ SELECT item_id, source, doc_id, score, rank::INTEGER AS rank FROM
   (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 10""")
 def bm25_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents with a positive score in each question's pool, by the pool's statistics."""
-    questions = load(spark, sf_dir, "benchmark").withColumn("source", F.concat(F.lit("src"), F.col("item_id") % 20))
-    scored = bm.bm25_in_pools(load(spark, sf_dir, "documents"), questions, "doc_id", "item_id", "source", tx.alnum_tokens("text"), tx.alnum_tokens("text"))
-    return bm.top_k(scored.filter("score > 0"), ["item_id"], 10, F.desc("score"), F.col("doc_id"))
+    own = F.concat(F.lit("src"), F.col("item_id") % 20)
+    questions = load(spark, sf_dir, "benchmark").withColumn("pool", F.array(own))
+    best = bm.bm25_best(load(spark, sf_dir, "documents"), questions, "doc_id", "item_id", 10, source="source", pool="pool")
+    return best.select("item_id", own.alias("source"), "doc_id", "score", "rank")
+
+
+_SPACE_TOKENS = r"string_split(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}_\s]', '', 'g'), ' ')"
+
+
+@query("bm25_okapi", f"""
+WITH d AS (SELECT doc_id, {_SPACE_TOKENS} AS toks FROM documents),
+q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_SPACE_TOKENS}) AS term FROM benchmark) GROUP BY item_id, term),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(len) AS len FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM d) GROUP BY doc_id, term),
+s AS (SELECT count(*) AS n, avg(len(toks)) AS mean FROM d),
+f AS (SELECT term, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM p, s GROUP BY term),
+m AS (SELECT avg(idf) AS mean_idf FROM f),
+r AS (SELECT item_id, doc_id, round(sum(qtf * CASE WHEN idf < 0 THEN 0.25 * mean_idf ELSE idf END * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score
+  FROM p JOIN f USING (term) JOIN q USING (term), s, m GROUP BY item_id, doc_id)
+SELECT item_id, doc_id, score, rank::INTEGER AS rank FROM
+  (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 5""")
+def bm25_okapi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best documents of every question by Okapi statistics over the corpus and blank-cut words."""
+    docs, questions = load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark")
+    return bm.bm25_best(docs, questions, "doc_id", "item_id", 5, okapi=True, tokenise=bm.blank_words)
 
 
 @query("evidence_rows", _BM25_SQL + """
@@ -81,7 +103,7 @@ SELECT item_id, rank::INTEGER AS rank, doc_id, score, d.source, d.lang, d.source
 FROM t JOIN documents d USING (doc_id) WHERE rank <= 10""")
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked evidence with where it comes from and to which scope it belongs."""
-    best = bm.top_k(_scored(spark, sf_dir), ["item_id"], 10, F.desc("score"), F.col("doc_id"))
+    best = _best(spark, sf_dir, 10)
     docs = load(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     own = F.col("item_id") % 20
     return best.join(docs, "doc_id").select(
@@ -99,31 +121,31 @@ WITH c AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, v.embedding, round({_
 """
 
 
-def _query_cosines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector against the stated query set, the vectors whose id is divisible by 50."""
+def _searched(spark: SparkSession, sf_dir: str, *picks: Pick) -> DataFrame:
+    """Searches by the stated query set, the vectors whose id is divisible by 50."""
     vectors = load(spark, sf_dir, "embeddings")
-    queries = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(queries, F.col("vec_id") != F.col("query_id"))
-    return pairs.select("query_id", "vec_id", "label", "embedding", F.round(vec.cosine("q", "embedding"), 6).alias("score"))
+    rows = vectors.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    own = vectors.filter(F.col("vec_id") % 50 == 0)
+    queries = own.select(F.col("vec_id").alias("query"), (F.col("vec_id") % 10).alias("label"), F.col("embedding").alias("vector"))
+    return find_vectors(rows, queries, picks)
 
 
 @query("cosine_topk", _PAIRS_SQL + """
 SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM
   (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM c) WHERE rank <= 10""")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = bm.top_k(_query_cosines(spark, sf_dir), ["query_id"], 10, F.desc("score"), F.col("vec_id"))
-    return best.select("query_id", "vec_id", "score", "rank")
+    return _searched(spark, sf_dir, Pick("best", 10)).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score", "rank")
 
 
 _SHORT = _PAIRS_SQL + """
-, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM c) WHERE n <= 20),
+, s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM c) WHERE n <= 200),
 p1 AS (SELECT * FROM s WHERE n = 1),
 v2 AS (SELECT s.*, round(0.7 * s.score - 0.3 * """ + _DOT.format(a="s.embedding", b="p1.embedding") + """, 6) AS value FROM s JOIN p1 USING (query_id)
-  WHERE s.n <> p1.n AND NOT (s.label = p1.label AND abs(s.vec_id - p1.vec_id) <= 5)),
+  WHERE s.n <> p1.n AND NOT (s.label = p1.label AND abs(s.vec_id - p1.vec_id) < 5)),
 p2 AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, n) AS k FROM v2) WHERE k = 1),
 v3 AS (SELECT s.*, round(0.7 * s.score - 0.3 * greatest(""" + _DOT.format(a="s.embedding", b="p1.embedding") + ", " + _DOT.format(a="s.embedding", b="p2.embedding") + """), 6) AS value
   FROM s JOIN p1 USING (query_id) JOIN p2 USING (query_id)
-  WHERE s.n NOT IN (p1.n, p2.n) AND NOT (s.label = p1.label AND abs(s.vec_id - p1.vec_id) <= 5) AND NOT (s.label = p2.label AND abs(s.vec_id - p2.vec_id) <= 5)),
+  WHERE s.n NOT IN (p1.n, p2.n) AND NOT (s.label = p1.label AND abs(s.vec_id - p1.vec_id) < 5) AND NOT (s.label = p2.label AND abs(s.vec_id - p2.vec_id) < 5)),
 p3 AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY value DESC, n) AS k FROM v3) WHERE k = 1)
 """
 
@@ -132,8 +154,9 @@ p3 AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY quer
 SELECT query_id, 1 AS pick, vec_id, score FROM p1 UNION ALL SELECT query_id, 2, vec_id, score FROM p2 UNION ALL SELECT query_id, 3, vec_id, score FROM p3""")
 def mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three diverse frames for every query vector; the vector id stands for its second."""
-    scored = _query_cosines(spark, sf_dir).withColumn("at", F.col("vec_id"))
-    return mmr_select(scored, "query_id", "vec_id", "score", "label", "at", "embedding", k=3, shortlist=200)
+    best = _searched(spark, sf_dir, Pick("best", 200)).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "label", "score")
+    scored = best.join(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id").withColumn("at", F.col("vec_id"))
+    return mmr_select(scored, "query_id", "vec_id", "score", "label", "at", "embedding", k=3)
 
 
 @query("pairwise_cosine", f"""
@@ -164,38 +187,35 @@ def anchor_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = means.groupBy(F.col("label").alias("anchor_label")).agg(
         F.transform(F.sort_array(F.collect_list(F.struct("i", "mean"))), lambda s: s["mean"]).alias("anchor")
     )
-    pairs = vectors.join(anchors, F.col("label") != F.col("anchor_label"))
-    scored = pairs.select("anchor_label", "vec_id", "label", F.round(vec.cosine("anchor", "embedding"), 6).alias("score"))
-    return bm.top_k(scored, ["anchor_label"], 2, F.desc("score"), F.col("vec_id"))
+    rows = vectors.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    queries = anchors.select(F.col("anchor_label").alias("query"), F.col("anchor_label").alias("label"), F.col("anchor").alias("vector"))
+    found = find_vectors(rows, queries, [Pick("best", 2, skip=("label",))])
+    return found.select(F.col("query").alias("anchor_label"), F.col("id").alias("vec_id"), F.col("label").cast("int").alias("label"), "score", "rank")
 
 
 @query("strawman_select", _PAIRS_SQL + """
 SELECT query_id, 'most_similar' AS strategy, arg_max(vec_id, (score, -vec_id)) AS vec_id FROM c GROUP BY query_id
 UNION ALL SELECT query_id, 'least_similar', arg_min(vec_id, (score, vec_id)) FROM c GROUP BY query_id
 UNION ALL SELECT query_id, 'other_label', arg_max(vec_id, (score, -vec_id)) FROM c WHERE label <> (query_id % 10) GROUP BY query_id
-UNION ALL SELECT query_id, 'picked_by_hash', arg_min(vec_id, (md5(query_id || ':' || vec_id), vec_id)) FROM c GROUP BY query_id
+UNION ALL SELECT query_id, 'picked_by_hash', arg_min(vec_id, ((('0x' || substr(md5(vec_id::VARCHAR), 1, 13))::BIGINT - ('0x' || substr(md5('q' || query_id), 1, 13))::BIGINT + 4503599627370496) % 4503599627370496, vec_id)) FROM c GROUP BY query_id
 UNION ALL SELECT DISTINCT query_id, 'self', query_id FROM c""")
 def strawman_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What simple strategies would pick for every query; the random one is ordered by a hash."""
-    scored = _query_cosines(spark, sf_dir)
-    up, down = F.struct("score", -F.col("vec_id")), F.struct("score", "vec_id")
-    by_hash = F.struct(F.md5(F.concat_ws(":", F.col("query_id").cast("string"), F.col("vec_id").cast("string"))), "vec_id")
-    picks = scored.groupBy("query_id").agg(
-        F.max_by("vec_id", up).alias("most_similar"),
-        F.min_by("vec_id", down).alias("least_similar"),
-        F.max_by("vec_id", F.when(F.col("label") != F.col("query_id") % 10, up)).alias("other_label"),
-        F.min_by("vec_id", by_hash).alias("picked_by_hash"),
-    ).withColumn("self", F.col("query_id"))
-    names = ["most_similar", "least_similar", "other_label", "picked_by_hash", "self"]
-    return picks.unpivot("query_id", names, "strategy", "vec_id").filter("vec_id is not null")
+    """What simple strategies would pick for every query; the random one is the next on a ring of hashes."""
+    picks = [
+        Pick("most_similar", 1), Pick("least_similar", 1, by="least"), Pick("other_label", 1, skip=("id", "label")), Pick("picked_by_hash", 1, by="ring"),
+        Pick("self", 1, skip=()),
+    ]
+    found = _searched(spark, sf_dir, *picks)
+    own = F.when(F.col("pick") == "self", F.col("query")).otherwise(F.col("id"))
+    return found.select(F.col("query").alias("query_id"), F.col("pick").alias("strategy"), own.alias("vec_id"))
 
 
 @query("gaussian_score", """
-SELECT event_id, round(exp(-pow(value - 250, 2) / (2 * pow(80, 2))), 6) AS score FROM events""")
+SELECT event_id, round(exp(-(pow(value - 250, 2) + pow(user_id * 2 - 150, 2)) / (2 * pow(80, 2))), 6) AS score FROM events""")
 def gaussian_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A bell around 250 with deviation 80."""
-    distance = F.col("value") - 250
-    return load(spark, sf_dir, "events").select("event_id", F.round(F.exp(-F.pow(distance, F.lit(2.0)) / (2 * F.pow(F.lit(80.0), F.lit(2.0)))), 6).alias("score"))
+    """How near a gaze point lies to the centre of a box."""
+    score = vec.gaussian_box_score(F.col("value"), F.col("user_id") * 2, (200.0, 100.0, 300.0, 200.0), 80.0)
+    return load(spark, sf_dir, "events").select("event_id", F.round(score, 6).alias("score"))
 
 
 @query("affine_project", """
@@ -218,32 +238,34 @@ def affine_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _STOP_SQL = "['" + "', '".join(STOPWORDS) + "']"
 _STEM_SQL = "CASE WHEN len(t) > 5 AND t LIKE '%ing' THEN t[:-4] WHEN len(t) > 5 AND t LIKE '%ed' THEN t[:-3] WHEN len(t) > 5 AND t LIKE '%es' THEN t[:-3] WHEN len(t) > 5 AND t LIKE '%s' THEN t[:-2] ELSE t END"
-_CONTENT_SQL = f"""list_filter(list_distinct(list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+', 0), lambda t: len(t) >= 2 AND NOT list_contains({_STOP_SQL}, t)), lambda t: {_STEM_SQL})), lambda t: len(t) >= 2 AND NOT list_contains({_STOP_SQL}, t))"""
-
+_LONG_SQL = "list_filter(list_transform(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9'']+', 0), lambda t: trim(t, '''')), lambda t: len(t) >= 2)"
+_CONTENT_SQL = f"""list_filter(list_distinct(list_transform(list_filter({_LONG_SQL}, lambda t: NOT list_contains({_STOP_SQL}, t)), lambda t: {_STEM_SQL})), lambda t: NOT list_contains({_STOP_SQL}, t))"""
 
-def item_document_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, n_need, n_have, shared, coverage) of all pairs.
 
-    The items are a stated query set and broadcast; a document is cut to their tokens once, before it meets them.
-    """
+@query("token_overlap", _BM25_SQL + f"""
+, t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r) WHERE rank <= 10),
+b AS (SELECT item_id, {_CONTENT_SQL} AS need FROM benchmark), h AS (SELECT doc_id, {_CONTENT_SQL} AS have FROM documents)
+SELECT item_id, doc_id, len(need)::BIGINT AS n_need, len(have)::BIGINT AS n_have, len(list_intersect(need, have))::BIGINT AS shared,
+  round(len(list_intersect(need, have)) / greatest(1, len(need)), 6) AS coverage FROM t JOIN b USING (item_id) JOIN h USING (doc_id)""")
+def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shared content tokens of every question and each of its ten best documents."""
     need = load(spark, sf_dir, "benchmark").select("item_id", tx.content_tokens("text", STOPWORDS).alias("need"))
-    asked = need.agg(F.array_distinct(F.flatten(F.collect_set("need"))).alias("asked"))
-    have = load(spark, sf_dir, "documents").select("doc_id", tx.content_tokens("text", STOPWORDS).alias("have"))
-    small = have.crossJoin(F.broadcast(asked)).select("doc_id", F.size("have").alias("n_have"), F.array_intersect("have", "asked").alias("have"))
-    pairs = small.crossJoin(F.broadcast(need)).select(
-        "item_id", "doc_id", F.size("need").cast("long").alias("n_need"), F.col("n_have").cast("long").alias("n_have"),
-        tx.overlap(F.col("need"), F.col("have")).cast("long").alias("shared"),
+    best = _best(spark, sf_dir, 10).select("item_id", "doc_id")
+    evidence = load(spark, sf_dir, "documents").join(best, "doc_id").select("item_id", "doc_id", tx.content_tokens("text", STOPWORDS).alias("have"))
+    shared = tx.overlap(F.col("need"), F.col("have")).cast("long")
+    return evidence.join(need, "item_id").select(
+        "item_id", "doc_id", F.size("need").cast("long").alias("n_need"), F.size("have").cast("long").alias("n_have"), shared.alias("shared"),
+        F.round(tx.coverage(F.col("need"), F.col("have")), 6).alias("coverage"),
     )
-    return pairs.withColumn("coverage", F.round(F.col("shared") / F.greatest(F.lit(1), F.col("n_need")), 6))
 
 
-@query("token_overlap", f"""
-WITH q AS (SELECT item_id, {_CONTENT_SQL} AS need FROM benchmark), d AS (SELECT doc_id, {_CONTENT_SQL} AS have FROM documents WHERE doc_id < 200),
-p AS (SELECT item_id, doc_id, len(need) AS n_need, len(have) AS n_have, len(list_intersect(need, have)) AS shared FROM q JOIN d ON doc_id % 20 = item_id % 20)
-SELECT item_id, doc_id, n_need, n_have, shared, round(shared / greatest(1, n_need), 6) AS coverage FROM p""".replace(" WHERE doc_id < 200", ""))
-def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shared content tokens of every question and every document."""
-    return item_document_overlap(spark, sf_dir)
+@query("retrieval_tokens", f"""
+WITH t AS (SELECT doc_id, list_transform(list_filter({_LONG_SQL}, lambda t: NOT list_contains({_STOP_SQL}, t)), lambda t: {_STEM_SQL}) AS w FROM documents)
+SELECT doc_id, len(w)::INTEGER AS n, md5(array_to_string(w, ' ')) AS words_md5 FROM t""")
+def retrieval_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stemmed words in order without stopwords, as a digest."""
+    words = load(spark, sf_dir, "documents").select("doc_id", tx.retrieval_tokens("text", STOPWORDS).alias("w"))
+    return words.select("doc_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("words_md5"))
 
 
 @query("complementarity", f"""
@@ -284,26 +306,28 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_ratio(pairs: DataFrame, needle: str, text: str) -> DataFrame:
     """Add ``fuzzy_score``: 3 for a term found as a substring, 1 for one with a word of similar
-    spelling (matching-blocks ratio of at least 0.84), summed over the terms of ``needle``.
+    spelling (matching-blocks ratio of term and word of at least 0.84), summed over the terms of ``needle``.
 
     The ratio has no SQL form, so rows pass through Python in Arrow batches.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
         from difflib import SequenceMatcher
 
+        matcher = SequenceMatcher(None)
         for batch in batches:
             scores = []
             for terms, body in zip(batch.column(needle).to_pylist(), batch.column(text).to_pylist()):
-                words = sorted(set((body or "").lower().split()))
-                score = 0
+                lower, score = (body or "").lower(), 0
+                words = sorted(set(re.findall("[a-z0-9]+", lower)))
                 for term in dict.fromkeys((terms or "").lower().split()):
-                    if term in (body or "").lower():
+                    if term in lower:
                         score += 3
                         continue
-                    matcher = SequenceMatcher(b=term)
+                    matcher.set_seq1(term)
                     for word in words:
-                        matcher.set_seq1(word)
+                        matcher.set_seq2(word)
                         if matcher.real_quick_ratio() >= 0.84 and matcher.quick_ratio() >= 0.84 and matcher.ratio() >= 0.84:
                             score += 1
                             break

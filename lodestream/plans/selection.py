@@ -9,7 +9,7 @@ from ..functions.decisions import reasons
 from ..functions.timefns import day_period
 from ..operators.diversity import category_pattern_select, spaced_select
 from ..operators.retrieval import top_k
-from ..operators.selection import even_sample, priority_stages, quota_with_backfill, round_robin
+from ..operators.selection import even_sample, numbered, priority_stages, quota_with_backfill, round_robin
 from ..sources.tables import events_as_intervals, load
 from .registry import query
 
@@ -118,16 +118,16 @@ def rotation_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("id_assign_reuse", """
 WITH e AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS n FROM documents),
-d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM documents WHERE doc_id % 40 = 0 ORDER BY doc_id LIMIT 10)
-SELECT e.doc_id, coalesce('D_' || lpad(d.n::VARCHAR, 3, '0'), 'E_' || lpad(e.n::VARCHAR, 3, '0')) AS case_id FROM e LEFT JOIN d USING (doc_id) WHERE e.n <= 60""")
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM labels WHERE quality = 1 AND toxic = 0)
+SELECT e.doc_id, coalesce('D_' || lpad(d.n::VARCHAR, 6, '0'), 'E_' || lpad(e.n::VARCHAR, 6, '0')) AS case_id FROM e LEFT JOIN d USING (doc_id)""")
 def id_assign_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential ids by rank; a case that has an id from an earlier selection keeps it."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    number = lambda order: F.row_number().over(Window.orderBy(*order))
-    padded = lambda prefix, c: F.concat(F.lit(prefix), F.lpad(c.cast("string"), 3, "0"))
-    longest = docs.orderBy(F.desc("n_chars"), "doc_id").limit(60).withColumn("n", number([F.desc("n_chars"), F.col("doc_id")]))
-    earlier = docs.filter("doc_id % 40 = 0").orderBy("doc_id").limit(10).withColumn("own", padded("D_", number([F.col("doc_id")])))
-    return longest.join(earlier.select("doc_id", "own"), "doc_id", "left").select("doc_id", F.coalesce("own", padded("E_", F.col("n"))).alias("case_id"))
+    """Sequential ids by length; a document that has an id from an earlier selection, the good labels, keeps it."""
+    padded = lambda prefix, c: F.concat(F.lit(prefix), F.lpad(c.cast("string"), 6, "0"))
+    by_length = numbered(load(spark, sf_dir, "documents").select("doc_id", "n_chars"), [-F.col("n_chars")], [F.col("doc_id")], "n")
+    good = load(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+    earlier = numbered(good, [F.floor(F.col("doc_id") / 1000)], [F.col("doc_id")], "own_n")
+    ids = by_length.join(earlier, "doc_id", "left")
+    return ids.select("doc_id", F.coalesce(padded("D_", F.col("own_n")), padded("E_", F.col("n"))).alias("case_id"))
 
 
 @query("diverse_select")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 #: Spellings of a missing value in text tables.
 MISSING = ("", "UNKNOWN", "-1")
+INDEX_BUCKETS = 64
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | str) -> DataFrame:
@@ -102,3 +103,14 @@ def one_row(df: DataFrame, condition: Column) -> DataFrame:
     n = df.filter(condition).agg(F.count("*").alias("n"))
     checked = n.select(F.assert_true(F.col("n") == 1, "exactly one row must match").alias("ok"))
     return df.filter(condition).join(F.broadcast(checked), F.col("ok").isNull()).drop("ok")
+
+
+def term_bucket(term: Column, buckets: int = INDEX_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def read_index(spark: SparkSession, path: str, terms: Sequence[str], buckets: int = INDEX_BUCKETS) -> DataFrame:
+    """Postings of some terms from a saved index: only the folders of their buckets are read."""
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    needed = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(F.transform(wanted, lambda t: term_bucket(t, buckets))))).collect()]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(needed) & F.array_contains(wanted, F.col("term"))).drop("bucket")

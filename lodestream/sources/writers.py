@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .readers import INDEX_BUCKETS, term_bucket
+
 
 def write_csv(df: DataFrame, path: str, columns: Sequence[str], mode: str = "overwrite") -> None:
     """The named columns as text, in order; others are left out, missing ones are empty, line breaks
@@ -39,12 +41,21 @@ def write_flat_csv(df: DataFrame, path: str, paths: Mapping[str, str]) -> None:
     write_csv(flat, path, list(paths))
 
 
-def write_index(postings: DataFrame, path: str, term: str = "term", buckets: int = 64) -> None:
+def write_index(postings: DataFrame, path: str, term: str = "term", buckets: int = INDEX_BUCKETS) -> None:
     """Postings as Parquet by hash bucket of the term, so that a few terms read a few files."""
-    bucketed = postings.withColumn("bucket", F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int"))
+    bucketed = postings.withColumn("bucket", term_bucket(F.col(term), buckets))
     bucketed.repartition("bucket").sortWithinPartitions(term).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
+def html_table(df: DataFrame, title: str = "", limit: int = 100) -> str:
+    """The first rows as an HTML page with one table; texts are escaped."""
+    from html import escape
+
+    cells = lambda tag, values: "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in values)
+    rows = "\n".join(f"<tr>{cells('td', r)}</tr>" for r in df.limit(limit).collect())
+    return f"<!doctype html>\n<title>{escape(title)}</title>\n<table>\n<tr>{cells('th', df.columns)}</tr>\n{rows}\n</table>\n"
+
+
 def markdown_table(df: DataFrame, limit: int = 100) -> str:
     """The first rows as a Markdown table; a report is for people, so it is short by design."""
     rows = df.limit(limit).collect()

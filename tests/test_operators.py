@@ -49,10 +49,10 @@ def test_text_functions(spark):
 
 
 def test_parsing(spark):
-    good = value(spark, ps.clip_path(F.lit("A1_JAKE/DAY1/DAY1_A1_JAKE_11094208.mp4")))
-    assert good.asDict() == {"day": 1, "agent_id": 1, "agent": "Jake", "token": "11094208"}
-    assert value(spark, ps.clip_path(F.lit("A1_JAKE/DAY2/DAY1_A1_JAKE_11094208.mp4"))) is None
-    windows = value(spark, ps.context_windows(F.lit("x DAY1 11:09:42 - 11:10:15, Jake: a DAY2 1:00:00 - 1:00:05")))
+    good = value(spark, ps.clip_path(F.lit("A1_ANN/DAY1/DAY1_A1_ANN_11094208.mp4")))
+    assert good.asDict() == {"day": 1, "agent_id": 1, "agent": "Ann", "token": "11094208"}
+    assert value(spark, ps.clip_path(F.lit("A1_ANN/DAY2/DAY1_A1_ANN_11094208.mp4"))) is None
+    windows = value(spark, ps.context_windows(F.lit("x DAY1 11:09:42 - 11:10:15, Ann: a DAY2 1:00:00 - 1:00:05")))
     assert [w.asDict() for w in windows] == [{"day": 1, "start": "11:09:42", "end": "11:10:15"}, {"day": 2, "start": "1:00:00", "end": "1:00:05"}]
     assert value(spark, ps.json_block(F.lit('text ```json\n{"a": 1}\n``` more'))) == '{"a": 1}'
     assert value(spark, ps.json_block(F.lit("none"))) is None
@@ -139,7 +139,7 @@ def test_even_sample(spark, n):
     for m in (1, 2, 5, 6, 8):
         df = spark.range(m).withColumn("g", F.lit(1))
         got = sorted(r["id"] for r in selection.even_sample(df, ["g"], ["id"], n).collect())
-        want = sorted({round(i * (m - 1) / (n - 1)) for i in range(n)}) if 1 < n < m else list(range(m)) if n >= m else [(m - 1) // 2]
+        want = sorted({round(i * (m - 1) / (n - 1)) for i in range(n)}) if 1 < n < m else list(range(m)) if n >= m else [m // 2]
         assert got == want
 
 
@@ -200,16 +200,126 @@ def test_category_pattern_select_looks_beyond_the_longest(spark):
 
 
 def test_items_meet_documents_of_every_residue(spark, tmp_path):
+    """An item's evidence comes from all documents, whatever their ids."""
     from lodestream.plans.catalog import QUERIES
 
     text = "glacier telescope harbour"
     spark.createDataFrame([(1, text), (2, "violin")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(21, "violin"), (6, text), (3, "harbour")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(21, "violin", "src1"), (6, text, "src0"), (3, "harbour", "src1"), (4, None, "src1")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    assert {(r["item_id"], r["doc_id"]): r["shared"] for r in run("token_overlap")} == {(1, 21): 0, (1, 6): 3, (1, 3): 1, (2, 21): 1, (2, 6): 0, (2, 3): 0}
-    assert {(r["item_id"], r["doc_id"]): r["label"] for r in run("answerability_label")}[1, 6] == "likely"
-    assert {r["item_id"]: r["gain"] for r in run("gain_label")} == {1: "no", 2: "no"}
-    docs = spark.createDataFrame([(i, f"s{i % 2}", "en") for i in range(12)], "doc_id long, source string, lang string")
-    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
-    assert {r["doc_id"]: r["name"] for r in run("full_outer_coalesce")} == {i: "en" if i % 5 == 0 else f"s{i % 2}" for i in range(12)}
-    assert {r["doc_id"]: (r["value"], r["copies"]) for r in run("merge_dedup_last_wins")} == {i: (f"s{i % 2}:c", 3) for i in range(12)}
+    assert {(r["item_id"], r["doc_id"]): r["shared"] for r in run("token_overlap")} == {(1, 6): 3, (1, 3): 1, (2, 21): 1}
+    assert [(r["item_id"], r["doc_id"]) for r in run("bm25_okapi") if r["rank"] == 1] == [(1, 6), (2, 21)]
+
+
+def labelled(spark, question, answer, texts, broad="^$", every="^$"):
+    from lodestream.operators import evidence as ev
+
+    asked = spark.createDataFrame([(1, question, answer)], "ask int, q string, a string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    ranked = docs.select(F.lit(1).alias("ask"), "doc_id", (F.col("doc_id") + 1).alias("rank"))
+    sets = ev.evidence_sets(ranked, docs, "ask", "doc_id", "text", ("the", "did"))
+    return ev.assess(asked, sets, "ask", F.col("q"), F.col("a"), ("the", "did"), broad, every).first()
+
+
+def test_evidence_labels(spark):
+    question = "Where did the red lamp stand? A) kitchen table B) window sill, C) floor"
+    r = labelled(spark, question, "B", ["a red lamp on the window sill"])
+    assert (r["label"], r["hits"], r["coverage"], r["direct"]) == ("likely", ["sill", "window"], 1.0, False)
+    r = labelled(spark, question, "window  sill", ["a red lamp", "by the Window Sill"])
+    assert (r["label"], r["direct"], r["n_ranked"]) == ("likely", True, 2)
+    assert labelled(spark, question, "A-B", ["a red lamp on the kitchen table"])["label"] == "partial"
+    assert labelled(spark, question, "C", ["a red lamp"])["label"] == "not"
+    assert labelled(spark, question, "C", ["one red lamp where kitchen"])["label"] == "unclear"
+    assert labelled(spark, question, "C", [])["reason"] == "no evidence"
+    wide = "red lamp stand kitchen table window sill floor where"
+    assert labelled(spark, question, "C", [wide] * 6, broad="lamp")["label"] == "likely"
+    assert labelled(spark, question, "C", [wide] * 6, broad="lamp", every="red")["label"] == "partial"
+    assert labelled(spark, question, "C", [wide] * 3, broad="lamp")["label"] == "partial"
+    assert value(spark, tx.expand_options(F.lit(question), F.lit("A-C"))) == "kitchen table floor"
+    assert value(spark, tx.expand_options(F.lit(question), F.lit(" free  text "))) == "free text"
+    assert value(spark, tx.expand_options(F.lit("no options"), F.lit("D"))) == "D"
+
+
+def test_gain_needs_relevant_history(spark):
+    from lodestream.operators import evidence as ev
+
+    scope = lambda label, coverage=0.0, overlap=0, hits=(): F.struct(F.lit(label).alias("label"), F.lit(coverage).alias("coverage"), F.lit(overlap).alias("overlap"), F.array(*map(F.lit, hits)).cast("array<string>").alias("hits"))
+    gain = lambda *s: value(spark, ev.gain_label(*s))
+    assert gain(scope("not"), scope("partial"), scope("likely")) == "yes"
+    assert gain(scope("not"), scope("not"), scope("likely")) == "unclear"
+    assert gain(scope("not"), scope("unclear", 0.25), scope("unclear")) == "promising"
+    assert gain(scope("likely"), scope("partial"), scope("likely", hits="x")) == "no"
+    assert gain(scope("partial", hits="a"), scope("partial"), scope("partial", hits="ab")) == "promising"
+    assert gain(scope("partial", hits="a"), scope("partial"), scope("partial", hits="a")) == "no"
+    assert value(spark, ev.best_scope(scope("partial"), scope("partial"), scope("unclear"))) == "current"
+
+
+def test_mmr_gap_is_open_and_can_be_turned_off(spark):
+    rows = [(1, i, 1.0 - i / 100, "v", i * 5, [1.0, 0.0]) for i in range(4)]
+    df = spark.createDataFrame(rows, "q int, id int, score double, video string, at int, v array<double>")
+    pick = lambda gap: [r["id"] for r in diversity.mmr_select(df, "q", "id", "score", "video", "at", "v", 2, gap=gap).orderBy("pick").collect()]
+    assert (pick(5), pick(6), pick(0)) == ([0, 1], [0, 2], [0, 1])
+
+
+def test_bm25_blocks_pools_and_ties(spark, monkeypatch):
+    from lodestream.operators import retrieval as bm
+
+    docs = spark.createDataFrame([(i, "red fox" if i % 3 else "red red fox den", f"s{i % 2}") for i in range(40)] + [(99, None, "s0")], "d int, text string, s string")
+    asks = spark.createDataFrame([(1, "fox den", ["s0"]), (2, "fox", None), (3, "fox", []), (4, None, ["s1"]), (5, "den", ["s1", "s0"])], "q int, text string, pool array<string>")
+    found = []
+    for size, cells in ((500, 4_000_000), (2, 3)):
+        monkeypatch.setattr(bm, "BLOCK_QUERIES", size)
+        monkeypatch.setattr(bm, "CHUNK_CELLS", cells)
+        got = bm.bm25_best(docs.repartition(3), asks, "d", "q", 4, ["s"], source="s", pool="pool").collect()
+        found.append(sorted((r["q"], r["rank"], r["d"], r["s"], r["score"]) for r in got))
+    assert found[0] == found[1]
+    assert {r[0] for r in found[0]} == {1, 2, 5} and all(r[3] == "s0" for r in found[0] if r[0] == 1)
+    assert [r[2] for r in found[0] if r[0] == 2] == [1, 2, 4, 5]  # shorter texts first, then the least id
+    assert [r[2] for r in found[0] if r[0] == 5] == [0, 3, 6, 9]
+
+
+def test_vector_search_against_all_pairs(spark, monkeypatch):
+    from lodestream.operators import vector_search as vs
+
+    rng = random.Random(4)
+    rows = [(i, i % 3, [round(rng.uniform(-1, 1), 2) for _ in range(4)]) for i in range(50)] + [(50, 0, [0.0] * 4), (51, 1, None)]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    asks = df.filter("id % 10 = 0").select(F.col("id").alias("query"), "label", "vector")
+    monkeypatch.setattr(vs, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(vs, "BLOCK_QUERIES", 2)
+    got = vs.find_vectors(df.repartition(4), asks, [vs.Pick("near", 3), vs.Pick("far", 1, by="least", skip=("id", "label"))]).collect()
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    for q, label, v in rows[:50:10]:
+        pairs = [(round(cos(v, w), 6), i, k) for i, k, w in rows[:50] if i != q]
+        near = sorted(pairs, key=lambda p: (-p[0], p[1]))[:3]
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if (r["query"], r["pick"]) == (q, "near")] == [i for _, i, _ in near]
+        far = min((p for p in pairs if p[2] != label), key=lambda p: (p[0], p[1]))
+        assert [r["id"] for r in got if (r["query"], r["pick"]) == (q, "far")] == [far[1]]
+
+
+def test_median_running_mean_and_numbers(spark):
+    rng = random.Random(2)
+    rows = [("a", i, rng.choice([1.25, 1.25, 7.5, rng.uniform(0, 9)])) for i in range(301)] + [("b", i * 700, float(i)) for i in range(4)] + [("c", 1, None)]
+    df = spark.createDataFrame(rows, "g string, i long, v double")
+    from statistics import mean, median
+
+    values = {g: [v for x, _, v in rows if x == g and v is not None] for g in "ab"}
+    assert {r["g"]: r["median"] for r in evaluate.exact_median(df, "g", "v").collect()} == {g: median(v) for g, v in values.items()}
+    got = {(r["g"], r["i"]): r["mean"] for r in evaluate.running_mean(df.filter("v is not null"), "g", "i", F.col("v"), 50).collect()}
+    assert all(abs(got[g, i] - mean([v for x, j, v in rows if x == g and j <= i])) < 1e-9 for g, i, v in rows if v is not None)
+    ids = selection.numbered(spark.range(100), [F.col("id") % 7], [F.desc("id")], "n").orderBy("n").collect()
+    assert [r["n"] for r in ids] == list(range(1, 101)) and [r["id"] for r in ids] == sorted(range(100), key=lambda i: (i % 7, -i))
+
+
+def test_more_parsing(spark):
+    assert value(spark, ps.context_key(F.lit("DAY2_110942_11101508"))).asDict() == {"day": 2, "start_ms": 40182000, "end_ms": 40215080}
+    assert value(spark, ps.context_key(F.lit("DAY2_110942"))) is None and value(spark, ps.context_key(F.lit("DAY2_116042_111015"))) is None
+    assert value(spark, ps.caption_key(F.lit("DAY1_A3_ANN_1109420.mp4"))).asDict() == {"day": 1, "start_ms": 40182000, "end_ms": 40212000}
+    assert value(spark, vec.gaussian_box_score(F.lit(3.0), F.lit(4.0), (-2, -2, 2, 2), 5.0)) == pytest.approx(0.6065306597)
+    with pytest.raises(ValueError):
+        vec.gaussian_box_score(F.lit(0.0), F.lit(0.0), (0, 0, 1, 1), 0)
+    assert value(spark, tx.retrieval_tokens(F.lit("The cats' owner's boxes 'n a dog's walking walking"), ("the",), {"cats": "cat"})) == ["cat", "owner'", "boxes", "dog's", "walk", "walk"]
+    assert value(spark, tx.choice_loose(F.lit("The correct answer is option C"), "abcd", ("the correct answer is", "answer:", "option"))) == 2
+
+

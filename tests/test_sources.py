@@ -101,3 +101,20 @@ def test_entries_and_transcripts_hold_whole_texts(spark, tmp_path):
     assert entries == {"1-0": f"user: {text}", "1-1": f"bot: {text}"}
     [row] = QUERIES["ordered_string_agg"](spark, str(tmp_path)).collect()
     assert row["transcript"] == f"[0] user: {text}\n[1] bot: {text}"
+
+
+def test_saved_index_is_read_by_buckets(spark, tmp_path):
+    from lodestream.functions import text as tx
+    from lodestream.operators.retrieval import postings
+
+    docs = spark.createDataFrame([(1, "red fox red"), (2, "blue fox")], "d int, text string")
+    writers.write_index(postings(docs, "d", tx.alnum_tokens("text")), f"{tmp_path}/index")
+    found = readers.read_index(spark, f"{tmp_path}/index", ["red", "fox", "none"])
+    assert sorted((r["term"], r["d"], r["tf"], r["length"]) for r in found.collect()) == [("fox", 1, 1, 3), ("fox", 2, 1, 2), ("red", 1, 2, 3)]
+    assert "PartitionFilters: [bucket" in found._jdf.queryExecution().executedPlan().toString()
+    assert readers.read_index(spark, f"{tmp_path}/index", []).count() == 0
+
+
+def test_html_report(spark):
+    page = writers.html_table(spark.createDataFrame([("a<b", None)], "x string, y string"), "T & co")
+    assert "<title>T &amp; co</title>" in page and "<td>a&lt;b</td><td></td>" in page and "<th>x</th>" in page
