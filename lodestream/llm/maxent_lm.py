@@ -85,8 +85,9 @@ END_HASH = np.uint64(0x5EEDE4D0FEED0001)
 class Model(NamedTuple):
     """What every executor gets; all of it of fixed size."""
 
-    top: np.ndarray  # sorted hashes of the most frequent words
-    top_rank: np.ndarray  # their rank by frequency
+    slot_shift: np.uint64  # where in a hash the 16 bits of its slot are
+    slot_hash: np.ndarray  # hash of the frequent word in each slot, 0 for none
+    slot_rank: np.ndarray  # its rank by frequency
     cluster: np.ndarray  # cluster of each spelling
     class_tokens: np.ndarray  # training tokens of each class
     class_words: np.ndarray  # different training words of each class
@@ -181,11 +182,15 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from tally.out(last=True)
 
 
-def _find(sorted_hashes: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(sorted_hashes):
-        return np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(sorted_hashes, h), len(sorted_hashes) - 1)
-    return sorted_hashes[at] == h, at
+def word_slots(hashes: np.ndarray) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+    """(shift, hash, rank) of a table of words in order of rank, by 16 bits in which all of them differ."""
+    shifts = [U64(k) for k in range(49) if len(np.unique((hashes >> U64(k)) & U64(0xFFFF))) == len(hashes)]
+    if not shifts:
+        raise ValueError("no 16 bits tell the frequent words apart")
+    at = (hashes >> shifts[0]) & U64(0xFFFF)
+    slot_hash, slot_rank = np.zeros(1 << 16, U64), np.zeros(1 << 16, np.int64)
+    slot_hash[at], slot_rank[at] = hashes, np.arange(len(hashes))
+    return shifts[0], slot_hash, slot_rank
 
 
 def cluster_spellings(cells: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -207,8 +212,8 @@ def cluster_spellings(cells: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def symbols_and_classes(model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
-    known, at = _find(model.top, t.hash)
-    rank = np.where(known, model.top_rank[at] if len(model.top) else 0, OWN_SYMBOLS)
+    slot = ((t.hash >> model.slot_shift) & U64(0xFFFF)).astype(np.uint16)
+    rank = np.where(model.slot_hash[slot] == t.hash, model.slot_rank[slot], OWN_SYMBOLS)
     cluster = model.cluster[np.maximum(t.spelling, 0)]
     symbol = np.where(rank < OWN_SYMBOLS, rank, OWN_SYMBOLS + cluster)
     klass = np.where(rank < OWN_CLASSES, rank, OWN_CLASSES + cluster)
@@ -428,8 +433,6 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     train = train.select(text_or_empty("text").alias("text"))
     common = counts.filter("spelling >= 0").orderBy(F.desc("count"), "hash").limit(OWN_SYMBOLS).collect()
     hashes = np.array([r["hash"] for r in common], np.int64).view(U64)
-    order = np.argsort(hashes)
-    top, rank = hashes[order], np.arange(len(hashes))[order]
     cells = np.zeros(SPELLINGS * 2 * BUCKETS)
     for r in counts.filter(F.col("spelling") == NEIGHBOUR).collect():  # at most one row for each cell
         cells[r["hash"]] = r["count"]
@@ -454,7 +457,7 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     of_class = smoothed.reshape(WIDTH, WIDTH) / of_group[:, None]
     start = (np.zeros(x.shape, np.float32) for x in no_sums())
     biases = np.log(of_group).astype(np.float32), np.log(of_class).astype(np.float32)
-    model = Model(top, rank, cluster, class_tokens, class_words, np.zeros((PAIR_HISTORIES, CLASSES)), *biases, *start)
+    model = Model(*word_slots(hashes), cluster, class_tokens, class_words, np.zeros((PAIR_HISTORIES, CLASSES)), *biases, *start)
     seen = sum_over(train, model, observe)
     model = model._replace(after=seen.members.reshape(MEMBER_ROWS, CLASSES)[:PAIR_HISTORIES].astype(np.float64))
     prior = np.tile(of_class, (MEMBER_ROWS, 1))
@@ -532,7 +535,11 @@ def _block_items(model: Model):
                 t = tokens_of(words)
                 at, pairs = pair_hashes(t, *symbols_and_classes(model, t))
                 own = blocks[first : first + words.n_docs]
-                item, of = np.concatenate([t.hash, pairs]), own[np.concatenate([t.doc, t.doc[at]])]
+                item = np.concatenate([t.hash, pairs])
+                if own.min() == own.max():  # the usual case
+                    held.setdefault(int(own[0]), []).append(np.unique(item))
+                    continue
+                of = own[np.concatenate([t.doc, t.doc[at]])]
                 for b in np.unique(own):
                     held.setdefault(int(b), []).append(np.unique(item[of == b]))
         for b, parts in held.items():

@@ -127,7 +127,7 @@ def test_probabilities_sum_to_one(spark):
     # words of a class and its unknown word, after nothing in particular and after a frequent word
     plain, pairs = plain_counts(texts)
     all_words = counts.filter("spelling >= 0").collect()
-    own = set(model.top[model.top_rank < lm.OWN_CLASSES].tolist())
+    own = {int(h) for h, r in zip(model.slot_hash, model.slot_rank) if h and r < lm.OWN_CLASSES}
     rest = [r for r in all_words if int(np.int64(r["hash"]).view(np.uint64)) not in own]
     classes = {lm.OWN_CLASSES + model.cluster[r["spelling"]] for r in rest}
     assert rest and classes
@@ -152,7 +152,7 @@ def test_a_round_of_updates_lowers_the_loss():
     klass = ((a * 5 + c % 2) % lm.CLASSES).astype(np.int16)
     flat = np.full(lm.WIDTH, 1 / lm.WIDTH)
     biases = np.log(flat).astype(np.float32), np.log(np.tile(flat, (lm.WIDTH, 1))).astype(np.float32)
-    model = lm.Model(*[np.zeros(0)] * 6, *biases, *(x.astype(np.float32) for x in lm.no_sums()))
+    model = lm.Model(*[np.zeros(0)] * 7, *biases, *(x.astype(np.float32) for x in lm.no_sums()))
     seen = lm.no_sums()
     lm.observe(a, b, c, klass, model, seen)
     rows = {"a": a, "b": lm.SYMBOLS + b, "ab": lm.both_row(a, b), "c": lm.MEMBER_ROWS + c, "ac": lm.skip_row(a, c)}
