@@ -15,7 +15,8 @@ misses its target by half a document at most.
 Scale: sizes and random numbers are written once, three numbers a row. c is found from the words of
 each rounded size. The order is cut into ``blocks`` blocks per source whose word sums come from an
 aggregation with map-side combine, the block at the edge again into as many; whole blocks are
-decided by comparison, and only rows of the inner block, one in ``blocks`` squared, are sorted.
+decided by comparison, and only rows of the inner block, one in ``blocks`` squared, are sorted, as
+three numbers each. Whole rows are then read once more and decided by their place alone.
 
 Random numbers are hashes of the key columns and a seed, so reruns agree. Name key columns that
 tell rows apart; rows equal in all of them and in size are interchangeable, and those at the edge
@@ -129,6 +130,18 @@ def _edges(drawn: DataFrame, plan: DataFrame, block: str, open_: str, edge: str,
     return joined.withColumn(edge, F.coalesce("e.b", F.lit(blocks))).withColumn(f"{edge}_left", F.coalesce("e.left", F.lit(0.0))).drop("e")
 
 
+def _cuts(core: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with the place of the last row taken in the inner block (taken rows come first), and how
+    many of the rows there are taken if not all are, else 0."""
+    reached = _before("__ls_size", "__ls_place", "__ls_size") + F.col("__ls_size") / 2
+    judged = core.select("__ls_src", "__ls_place", (reached <= F.col("__ls_core_left")).alias("__ls_in"))
+    places = judged.groupBy("__ls_src", "__ls_place").agg(F.count_if("__ls_in").alias("__ls_took"), F.count("*").alias("__ls_n")).filter("__ls_took > 0")
+    last = F.max(F.struct("__ls_place", F.when(F.col("__ls_took") < F.col("__ls_n"), F.col("__ls_took")).otherwise(0).alias("__ls_tied")))
+    cut = places.groupBy(F.col("__ls_src").alias("__ls_of")).agg(last.alias("e"))
+    joined = plan.join(cut, F.col("__ls_name").eqNullSafe(F.col("__ls_of")), "left")
+    return joined.withColumns({"__ls_cut": F.coalesce("e.__ls_place", F.lit(-1.0)), "__ls_tied": F.coalesce("e.__ls_tied", F.lit(0))}).drop("e", "__ls_of")
+
+
 def mix(
     df: DataFrame,
     size: str,
@@ -167,19 +180,23 @@ def mix(
     at_outer = free & (F.col("__ls_outer") == F.col("__ls_edge"))
     plan = checkpointed(_edges(with_plan(slim).filter(at_outer), plan, "__ls_inner", "__ls_edge_left", "__ls_core", blocks))
 
+    at_core = at_outer & (F.col("__ls_inner") == F.col("__ls_core"))
+    plan = checkpointed(_cuts(with_plan(slim).filter(at_core), plan))
+
     joined = with_plan(drawn.drop("source_size", "target"))
-    in_core = at_outer & (F.col("__ls_inner") == F.col("__ls_core"))
-    earlier = (F.col("__ls_outer") < F.col("__ls_edge")) | ((F.col("__ls_outer") == F.col("__ls_edge")) & (F.col("__ls_inner") < F.col("__ls_core")))
-    drawing = F.col("__ls_open") > 0
-    certain = F.col("__ls_w") > F.col("__ls_top")
-    decided = joined.filter(~in_core).withColumn("__ls_more", (drawing & (F.col("__ls_w") > 0) & (certain | earlier)).cast("long"))
-    reached = _before("__ls_size", "__ls_place", *keys, "__ls_size") + F.col("__ls_size") / 2
-    core = joined.filter(in_core).withColumn("__ls_more", (drawing & (reached <= F.col("__ls_core_left"))).cast("long"))
-    both = decided.unionByName(core)
+    before = (F.col("__ls_outer") < F.col("__ls_edge")) | ((F.col("__ls_outer") == F.col("__ls_edge")) & (F.col("__ls_inner") < F.col("__ls_core")))
+    inside = at_core & (F.col("__ls_place") <= F.col("__ls_cut"))
+    more = (F.col("__ls_open") > 0) & (F.col("__ls_w") > 0) & ((F.col("__ls_w") > F.col("__ls_top")) | (free & (before | inside)))
+    marked = joined.withColumn("__ls_more", more.cast("long"))
+    if not plan.filter("__ls_tied > 0").isEmpty():  # of rows alike at the cut some are taken
+        at_cut = at_core & (F.col("__ls_tied") > 0) & (F.col("__ls_place") == F.col("__ls_cut"))
+        number = F.row_number().over(Window.partitionBy("__ls_src").orderBy(*keys, "__ls_size"))
+        alike = marked.filter(at_cut).withColumn("__ls_more", (number <= F.col("__ls_tied")).cast("long"))
+        marked = marked.filter(~at_cut).unionByName(alike)
     return (
-        both.withColumn("copies", (F.col("__ls_whole") + F.col("__ls_more")).cast("long"))
+        marked.withColumn("copies", (F.col("__ls_whole") + F.col("__ls_more")).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("__ls_size"))
-        .drop(*[c for c in both.columns if c.startswith("__ls_")])
+        .drop(*[c for c in marked.columns if c.startswith("__ls_")])
     )
 
 

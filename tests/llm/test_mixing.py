@@ -113,6 +113,15 @@ def test_few_blocks_give_the_same_draw(spark):
         assert got == {d: c for d, (_, c) in want.items()}
 
 
+def test_some_of_many_equal_rows(spark):
+    rows = [(7, 10, "a")] * 60 + [(7, 10, "b")] * 3 + [(i, 1, "c") for i in range(400)]
+    got = mx.mix(spark.createDataFrame(rows, "doc_id long, size long, source string"), "size").collect()
+    assert len(got) == len(rows)
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+
+
 @pytest.mark.parametrize("sizes", [{"a": 10, "b": 1, "c": 5}, {"a": 1, "b": 1000, None: 3}, {"a": 0, "b": 7}, {"z": 4}, {"a": 1, "b": 1, "c": 1, "d": 9999, "e": 2}])
 def test_targets_against_resharing(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
