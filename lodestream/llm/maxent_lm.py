@@ -9,10 +9,9 @@ to ``BUCKETS`` buckets. The ``CLASSES`` classes are dealt into groups of ``WIDTH
 
 P(group | history) and P(class | group, history) are maximum-entropy models: features of the history
 are hashed to rows of weights whose sum, after a softmax over the groups or over the classes of the
-group, is the distribution. Features for groups are each of the last three words, the last two
-together and the skip pair of the last and the third last; for classes each of the last two words
-and the two together. Frequent words are themselves in features, all others are represented by
-their cluster.
+group, is the distribution. Features are each of the last three words, the last two together and the
+skip pair of the last and the third last. Frequent words are themselves in features, all others are
+represented by their cluster.
 
 P(word | class, history) is the word's relative frequency in its class, 0.1 added for every word and
 for one unknown word. After one of the ``PAIR_HISTORIES`` most frequent words it is the frequency
@@ -62,9 +61,9 @@ OWN_SYMBOLS = 256
 BEGIN = OWN_SYMBOLS + CLUSTERS
 SYMBOLS = BEGIN + 1
 PAIR_ROWS = 2048
-#: Rows of features: last word, second last, both; third last, skip pair. The first three are for classes too.
-MEMBER_ROWS = 2 * SYMBOLS + PAIR_ROWS
-ROWS = MEMBER_ROWS + SYMBOLS + PAIR_ROWS
+#: Rows of features: last word, second last, both; then third last, skip pair.
+THIRD_ROW = 2 * SYMBOLS + PAIR_ROWS
+ROWS = THIRD_ROW + SYMBOLS + PAIR_ROWS
 SPELLINGS = 4096
 BUCKETS = 128
 SHORT_BYTES = 2
@@ -95,7 +94,7 @@ class Model(NamedTuple):
     group_bias: np.ndarray  # WIDTH
     class_bias: np.ndarray  # WIDTH x WIDTH
     groups: np.ndarray  # ROWS x WIDTH: weights of the groups
-    members: np.ndarray  # MEMBER_ROWS * WIDTH x WIDTH: weights of the classes of each group
+    members: np.ndarray  # ROWS * WIDTH x WIDTH: weights of the classes of each group
 
 
 class Tokens(NamedTuple):
@@ -238,7 +237,7 @@ def both_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def skip_row(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return MEMBER_ROWS + SYMBOLS + (mix64(a.astype(U64) * U64(SYMBOLS) + c.astype(U64) + U64(1 << 40)) % U64(PAIR_ROWS)).astype(np.int64)
+    return THIRD_ROW + SYMBOLS + (mix64(a.astype(U64) * U64(SYMBOLS) + c.astype(U64) + U64(1 << 40)) % U64(PAIR_ROWS)).astype(np.int64)
 
 
 def pair_hashes(t: Tokens, symbol: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,23 +272,24 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def group_probabilities(model: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     logits = model.groups[a]
     logits += model.group_bias
-    for rows in (SYMBOLS + b, both_row(a, b), MEMBER_ROWS + c, skip_row(a, c)):
+    for rows in (SYMBOLS + b, both_row(a, b), THIRD_ROW + c, skip_row(a, c)):
         logits += model.groups[rows]
     return _softmax(logits)
 
 
-def class_probabilities(model: Model, a: np.ndarray, b: np.ndarray, group: np.ndarray) -> np.ndarray:
+def class_probabilities(model: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Distributions over the classes of a group."""
     logits = model.members[a * WIDTH + group]
     logits += model.class_bias[group]
-    for rows in (SYMBOLS + b, both_row(a, b)):
+    for rows in (SYMBOLS + b, both_row(a, b), THIRD_ROW + c, skip_row(a, c)):
         logits += model.members[rows * WIDTH + group]
     return _softmax(logits)
 
 
 def _scatter(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
     """Add values to their rows of ``sums``."""
-    order = np.argsort(row.astype(np.uint16), kind="stable")  # a radix sort; there are fewer than 2^16 rows
+    # 16-bit numbers get a radix sort
+    order = np.argsort(row.astype(np.uint16), kind="stable") if len(sums) <= 1 << 16 else np.argsort(row.astype(np.int32))
     row = row[order]
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     sums[row[first]] += np.add.reduceat(values[order], first, axis=0)
@@ -299,25 +299,22 @@ class Sums(NamedTuple):
     """Whole numbers for every weight."""
 
     groups: np.ndarray  # ROWS x WIDTH
-    members: np.ndarray  # MEMBER_ROWS * WIDTH x WIDTH
+    members: np.ndarray  # ROWS * WIDTH x WIDTH
 
 
 def no_sums() -> Sums:
-    return Sums(np.zeros((ROWS, WIDTH), np.int64), np.zeros((MEMBER_ROWS * WIDTH, WIDTH), np.int64))
+    return Sums(np.zeros((ROWS, WIDTH), np.int64), np.zeros((ROWS * WIDTH, WIDTH), np.int64))
 
 
 def observe(a: np.ndarray, b: np.ndarray, c: np.ndarray, klass: np.ndarray, _: Model, sums: Sums) -> None:
     """Add how often features and outputs occur together."""
-    key, n = np.unique((a * SYMBOLS + b) * CLASSES + klass.astype(np.int32), return_counts=True)
-    ab, k = np.divmod(key, CLASSES)
-    for rows in (ab // SYMBOLS, SYMBOLS + ab % SYMBOLS, both_row(*np.divmod(ab, SYMBOLS))):
-        found = np.bincount(rows.astype(np.int64) * CLASSES + k, n, MEMBER_ROWS * CLASSES).astype(np.int64)
-        sums.members[:] += found.reshape(sums.members.shape)
-        sums.groups[:MEMBER_ROWS] += found.reshape(MEMBER_ROWS, WIDTH, WIDTH).sum(axis=2)
-    key, n = np.unique((a * SYMBOLS + c) * WIDTH + (klass // WIDTH).astype(np.int32), return_counts=True)
-    ac, g = np.divmod(key, WIDTH)
-    for rows in (MEMBER_ROWS + ac % SYMBOLS, skip_row(*np.divmod(ac, SYMBOLS))):
-        sums.groups[:] += np.bincount(rows.astype(np.int64) * WIDTH + g, n, ROWS * WIDTH).astype(np.int64).reshape(sums.groups.shape)
+    for other, rows_of in ((b, lambda x, y: (x, SYMBOLS + y, both_row(x, y))), (c, lambda x, y: (THIRD_ROW + y, skip_row(x, y)))):
+        key, n = np.unique((a * SYMBOLS + other) * CLASSES + klass.astype(np.int32), return_counts=True)
+        pair, k = np.divmod(key, CLASSES)
+        for rows in rows_of(*np.divmod(pair, SYMBOLS)):
+            found = np.bincount(rows.astype(np.int64) * CLASSES + k, n, ROWS * CLASSES).astype(np.int64)
+            sums.members[:] += found.reshape(sums.members.shape)
+            sums.groups[:] += found.reshape(ROWS, WIDTH, WIDTH).sum(axis=2)
 
 
 def expect(a: np.ndarray, b: np.ndarray, c: np.ndarray, klass: np.ndarray, model: Model, sums: Sums) -> None:
@@ -329,18 +326,19 @@ def expect(a: np.ndarray, b: np.ndarray, c: np.ndarray, klass: np.ndarray, model
         ab, z = np.divmod(some, SYMBOLS)
         x, y = np.divmod(ab, SYMBOLS)
         p = scaled(group_probabilities(model, x, y, z), n[low : low + BATCH * 4])
-        _scatter(sums.groups, MEMBER_ROWS + z, p)
+        _scatter(sums.groups, THIRD_ROW + z, p)
         _scatter(sums.groups, skip_row(x, z), p)
         first = np.flatnonzero(np.concatenate([[True], ab[1:] != ab[:-1]]))  # keys are in order
         p, x, y = np.add.reduceat(p, first, axis=0), x[first], y[first]
         for rows in (x, SYMBOLS + y, both_row(x, y)):
             _scatter(sums.groups, rows, p)
-    key, n = np.unique((a * SYMBOLS + b) * WIDTH + (klass // WIDTH).astype(np.int32), return_counts=True)
+    key, n = np.unique(((a * SYMBOLS + b) * SYMBOLS + c) * WIDTH + (klass // WIDTH).astype(np.int32), return_counts=True)
     for low in range(0, len(key), BATCH * 4):
-        ab, g = np.divmod(key[low : low + BATCH * 4], WIDTH)
+        some, g = np.divmod(key[low : low + BATCH * 4], WIDTH)
+        ab, z = np.divmod(some, SYMBOLS)
         x, y = np.divmod(ab, SYMBOLS)
-        p = scaled(class_probabilities(model, x, y, g), n[low : low + BATCH * 4])
-        for rows in (x, SYMBOLS + y, both_row(x, y)):
+        p = scaled(class_probabilities(model, x, y, z, g), n[low : low + BATCH * 4])
+        for rows in (x, SYMBOLS + y, both_row(x, y), THIRD_ROW + z, skip_row(x, z)):
             _scatter(sums.members, rows * WIDTH + g, p)
 
 
@@ -459,8 +457,8 @@ def fit(train: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> Model:
     biases = np.log(of_group).astype(np.float32), np.log(of_class).astype(np.float32)
     model = Model(*word_slots(hashes), cluster, class_tokens, class_words, np.zeros((PAIR_HISTORIES, CLASSES)), *biases, *start)
     seen = sum_over(train, model, observe)
-    model = model._replace(after=seen.members.reshape(MEMBER_ROWS, CLASSES)[:PAIR_HISTORIES].astype(np.float64))
-    prior = np.tile(of_class, (MEMBER_ROWS, 1))
+    model = model._replace(after=seen.members.reshape(ROWS, CLASSES)[:PAIR_HISTORIES].astype(np.float64))
+    prior = np.tile(of_class, (ROWS, 1))
     # under the start weights every history has the same distribution
     hoped = seen.groups.sum(axis=1, keepdims=True) * of_group, seen.members.sum(axis=1, keepdims=True) * prior
     for round_ in range(rounds + 1):
@@ -492,7 +490,7 @@ def score_tokens(model: Model, t: Tokens, count_of) -> tuple[np.ndarray, np.ndar
     for low in range(0, len(klass), BATCH):
         a, b, c = (x[low : low + BATCH] for x in before)
         g, each = group[low : low + BATCH], np.arange(len(a))
-        p = group_probabilities(model, a, b, c)[each, g] * class_probabilities(model, a, b, g)[each, klass[low : low + BATCH] % WIDTH]
+        p = group_probabilities(model, a, b, c)[each, g] * class_probabilities(model, a, b, c, g)[each, klass[low : low + BATCH] % WIDTH]
         out[low : low + BATCH] += np.log10(p)
     return out, count
 

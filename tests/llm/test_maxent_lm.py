@@ -61,10 +61,10 @@ def plain_score(model, counts, pairs, text):
         before = [symbol[i - back] if i >= back else lm.BEGIN for back in (1, 2, 3)]
         a, b, c = (np.array([x]) for x in before)
         both, skip = lm.both_row(a, b)[0], lm.skip_row(a, c)[0]
-        rows = [before[0], lm.SYMBOLS + before[1], both]
+        rows = [before[0], lm.SYMBOLS + before[1], both, lm.THIRD_ROW + before[2], skip]
         g, j = divmod(int(k), lm.WIDTH)
-        of_group = model.groups[[*rows, lm.MEMBER_ROWS + before[2], skip]].astype(float).sum(axis=0) + model.group_bias
-        of_class = model.members.reshape(lm.MEMBER_ROWS, lm.WIDTH, -1)[rows, g].astype(float).sum(axis=0) + model.class_bias[g]
+        of_group = model.groups[rows].astype(float).sum(axis=0) + model.group_bias
+        of_class = model.members.reshape(lm.ROWS, lm.WIDTH, -1)[rows, g].astype(float).sum(axis=0) + model.class_bias[g]
         for logits, at in ((of_group, g), (of_class, j)):
             total += logits[at] - np.log(np.exp(logits).sum())
         if lm.OWN_CLASSES <= k < lm.END_CLASS:
@@ -123,7 +123,7 @@ def test_probabilities_sum_to_one(spark):
     a, b, c = lm.histories(t, symbol)
     assert np.allclose(lm.group_probabilities(model, a, b, c).sum(axis=1), 1, atol=1e-5)
     for g in range(lm.WIDTH):
-        assert np.allclose(lm.class_probabilities(model, a, b, np.full(len(a), g)).sum(axis=1), 1, atol=1e-5)
+        assert np.allclose(lm.class_probabilities(model, a, b, c, np.full(len(a), g)).sum(axis=1), 1, atol=1e-5)
     # words of a class and its unknown word, after nothing in particular and after a frequent word
     plain, pairs = plain_counts(texts)
     all_words = counts.filter("spelling >= 0").collect()
@@ -155,17 +155,17 @@ def test_a_round_of_updates_lowers_the_loss():
     model = lm.Model(*[np.zeros(0)] * 7, *biases, *(x.astype(np.float32) for x in lm.no_sums()))
     seen = lm.no_sums()
     lm.observe(a, b, c, klass, model, seen)
-    rows = {"a": a, "b": lm.SYMBOLS + b, "ab": lm.both_row(a, b), "c": lm.MEMBER_ROWS + c, "ac": lm.skip_row(a, c)}
+    rows = {"a": a, "b": lm.SYMBOLS + b, "ab": lm.both_row(a, b), "c": lm.THIRD_ROW + c, "ac": lm.skip_row(a, c)}
     group, each = (klass // lm.WIDTH).astype(int), np.arange(4000)
     for name, r in rows.items():
         for row in np.unique(r)[:40]:
             assert np.array_equal(seen.groups[row], np.bincount(group[r == row], minlength=lm.WIDTH))
-            if row < lm.MEMBER_ROWS:
+            if row < lm.ROWS:
                 want = np.bincount(klass[r == row], minlength=lm.CLASSES)
-                assert np.array_equal(seen.members.reshape(lm.MEMBER_ROWS, -1)[row], want)
+                assert np.array_equal(seen.members.reshape(lm.ROWS, -1)[row], want)
     loss = []
     for _ in range(6):
-        g, j = lm.group_probabilities(model, a, b, c), lm.class_probabilities(model, a, b, group)
+        g, j = lm.group_probabilities(model, a, b, c), lm.class_probabilities(model, a, b, c, group)
         loss.append(-np.log(g[each, group] * j[each, klass % lm.WIDTH]).mean())
         hope = lm.no_sums()
         lm.expect(a, b, c, klass, model, hope)
@@ -173,7 +173,7 @@ def test_a_round_of_updates_lowers_the_loss():
         for name, r in rows.items():  # against sums token by token
             for row in np.unique(r)[:40]:
                 assert np.array_equal(hope.groups[row], whole(g)[r == row].sum(axis=0))
-                if row < lm.MEMBER_ROWS:
+                if row < lm.ROWS:
                     at = (r == row) & (group == 1)
                     assert np.array_equal(hope.members[row * lm.WIDTH + 1], whole(j)[at].sum(axis=0))
         model = model._replace(
