@@ -69,6 +69,8 @@ BUCKETS = 128
 SHORT_BYTES = 2
 ROUNDS = 2
 BATCH = 4096
+#: Histories whose expectations are added up at a time.
+EXPECTED = 1 << 18
 HELD_TOKENS = 4_000_000
 SUM_CELLS = 1 << 14
 RATE = 0.35
@@ -261,38 +263,38 @@ def _count_pairs(model: Model):
     return run
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    """Softmax of every row, in place."""
-    logits -= logits.max(axis=1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+def _softmax(weights: np.ndarray, bias: np.ndarray, rows: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Softmax of a bias plus the weights in ``rows``, for every history."""
+    logits = weights.take(rows[0], axis=0, mode="clip")  # no row is out of range; this mode is the fast one
+    logits += bias
+    for row in rows[1:]:
+        logits += weights.take(row, axis=0, mode="clip")
+    # turned, so that sums over the outputs are whole-array additions, in one order for every history
+    p = np.ascontiguousarray(logits.T)
+    p -= p.max(axis=0)
+    np.exp(p, out=p)
+    total = p[0].copy()
+    for x in p[1:]:
+        total += x
+    p /= total
+    return p.T
 
 
 def group_probabilities(model: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    logits = model.groups[a]
-    logits += model.group_bias
-    for rows in (SYMBOLS + b, both_row(a, b), THIRD_ROW + c, skip_row(a, c)):
-        logits += model.groups[rows]
-    return _softmax(logits)
+    return _softmax(model.groups, model.group_bias, (a, SYMBOLS + b, both_row(a, b), THIRD_ROW + c, skip_row(a, c)))
 
 
 def class_probabilities(model: Model, a: np.ndarray, b: np.ndarray, c: np.ndarray, group: np.ndarray) -> np.ndarray:
     """Distributions over the classes of a group."""
-    logits = model.members[a * WIDTH + group]
-    logits += model.class_bias[group]
-    for rows in (SYMBOLS + b, both_row(a, b), THIRD_ROW + c, skip_row(a, c)):
-        logits += model.members[rows * WIDTH + group]
-    return _softmax(logits)
+    rows = (a, SYMBOLS + b, both_row(a, b), THIRD_ROW + c, skip_row(a, c))
+    return _softmax(model.members, model.class_bias[group], tuple(row * WIDTH + group for row in rows))
 
 
 def _scatter(sums: np.ndarray, row: np.ndarray, values: np.ndarray) -> None:
-    """Add values to their rows of ``sums``."""
-    # 16-bit numbers get a radix sort
-    order = np.argsort(row.astype(np.uint16), kind="stable") if len(sums) <= 1 << 16 else np.argsort(row.astype(np.int32))
-    row = row[order]
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    sums[row[first]] += np.add.reduceat(values[order], first, axis=0)
+    """Add values to their rows; both are turned, outputs first. Whole numbers below 2^53 add exactly."""
+    row = row.astype(np.int64)
+    for total, x in zip(sums, values):
+        total += np.bincount(row, x, len(total))
 
 
 class Sums(NamedTuple):
@@ -319,27 +321,26 @@ def observe(a: np.ndarray, b: np.ndarray, c: np.ndarray, klass: np.ndarray, _: M
 
 def expect(a: np.ndarray, b: np.ndarray, c: np.ndarray, klass: np.ndarray, model: Model, sums: Sums) -> None:
     """Add what the model expects, in units of 1 / ``ONE``; each different history is evaluated once."""
-    scaled = lambda p, n: np.rint(p * np.float32(ONE)).astype(np.int64) * n[:, None]
-    key, n = np.unique((a * SYMBOLS + b) * SYMBOLS + c, return_counts=True)
-    for low in range(0, len(key), BATCH * 4):
-        some = key[low : low + BATCH * 4]
-        ab, z = np.divmod(some, SYMBOLS)
-        x, y = np.divmod(ab, SYMBOLS)
-        p = scaled(group_probabilities(model, x, y, z), n[low : low + BATCH * 4])
-        _scatter(sums.groups, THIRD_ROW + z, p)
-        _scatter(sums.groups, skip_row(x, z), p)
-        first = np.flatnonzero(np.concatenate([[True], ab[1:] != ab[:-1]]))  # keys are in order
-        p, x, y = np.add.reduceat(p, first, axis=0), x[first], y[first]
-        for rows in (x, SYMBOLS + y, both_row(x, y)):
-            _scatter(sums.groups, rows, p)
-    key, n = np.unique(((a * SYMBOLS + b) * SYMBOLS + c) * WIDTH + (klass // WIDTH).astype(np.int32), return_counts=True)
-    for low in range(0, len(key), BATCH * 4):
-        some, g = np.divmod(key[low : low + BATCH * 4], WIDTH)
-        ab, z = np.divmod(some, SYMBOLS)
-        x, y = np.divmod(ab, SYMBOLS)
-        p = scaled(class_probabilities(model, x, y, z, g), n[low : low + BATCH * 4])
-        for rows in (x, SYMBOLS + y, both_row(x, y), THIRD_ROW + z, skip_row(x, z)):
-            _scatter(sums.members, rows * WIDTH + g, p)
+    for total, n_groups, group in ((sums.groups, 1, 0), (sums.members, WIDTH, klass // WIDTH)):
+        found = np.zeros(total.shape[::-1])
+        key, n = np.unique(((a * SYMBOLS + b) * n_groups + group) * SYMBOLS + c, return_counts=True)
+        for low in range(0, len(key), EXPECTED):
+            abg, z = np.divmod(key[low : low + EXPECTED], SYMBOLS)
+            ab, g = np.divmod(abg, n_groups)
+            x, y = np.divmod(ab, SYMBOLS)
+            p = np.empty((WIDTH, len(z)))
+            for i in range(0, len(z), BATCH):
+                some = x[i : i + BATCH], y[i : i + BATCH], z[i : i + BATCH]
+                each = group_probabilities(model, *some) if n_groups == 1 else class_probabilities(model, *some, g[i : i + BATCH])
+                p[:, i : i + BATCH] = np.rint(each.T * np.float32(ONE))
+            p *= n[low : low + EXPECTED]
+            for rows in (THIRD_ROW + z, skip_row(x, z)):
+                _scatter(found, rows * n_groups + g, p)
+            first = np.flatnonzero(np.concatenate([[True], abg[1:] != abg[:-1]]))  # keys are in order
+            p, x, y, g = np.add.reduceat(p, first, axis=1), x[first], y[first], g[first]
+            for rows in (x, SYMBOLS + y, both_row(x, y)):
+                _scatter(found, rows * n_groups + g, p)
+        total += found.T.astype(np.int64)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
