@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, langid, line_dedup, maxent_lm, mixing, near_dedup, quality_knn, quality_rules, sharding
+from . import chat, decontaminate, langid, line_dedup, maxent_lm, mixing, near_dedup, periodic_runs, quality_knn, quality_rules, sharding
 
 QUERIES = {
     "op1_quality_knn": quality_knn.op1_quality_knn,
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_decontamination": decontaminate.op8_decontamination,
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
