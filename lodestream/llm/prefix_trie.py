@@ -32,7 +32,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table, text_or_empty, word_count
@@ -60,17 +60,11 @@ def numbered(turns: DataFrame) -> DataFrame:
     placed = checkpointed(ordered.select("conv_id", "digest", "words", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place")))
     parts = placed.groupBy("conv_id", "part").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     # a row for each partition that a conversation reaches into
-    before = F.sum("n").over(_by_part())
+    before = F.sum("n").over(Window.partitionBy("conv_id").orderBy("part"))
     offsets = parts.select("conv_id", "part", (before - F.col("n") - F.col("first")).alias("offset"))
     return placed.join(offsets, ["conv_id", "part"]).select("conv_id", (F.col("place") + F.col("offset")).alias("at"), "digest", "words")
 
 
-def _by_part():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("conv_id").orderBy("part")
-
-
 def rebuilt(turns: DataFrame, family: int = 20, most: int = 4) -> tuple[DataFrame, DataFrame]:
     """Conversations that begin like the first of their family: (conv_id) of all, and their numbered turns.
 
@@ -103,16 +97,16 @@ def chained(turns: DataFrame) -> DataFrame:
         return F.concat(so_far, F.array(new))
 
     blocks = checkpointed(listed.select("conv_id", "block", F.aggregate("turns", start, follow).alias("chain")))
+    last = F.element_at("chain", -1)
     if blocks.filter("block > 0").isEmpty():
-        outer = blocks.select("conv_id", "block", "chain", F.lit(None).cast("binary").alias("before"), F.lit(0).cast("long").alias("sum_before"))
+        outer = blocks.select("*", F.lit(ROOT).alias("before"), digest(F.concat(F.lit(ROOT), last["digest"])).alias("end"), F.lit(0).cast("long").alias("sum_before"))
     else:
-        last = F.element_at("chain", -1)
         ends = chained(blocks.select("conv_id", F.col("block").alias("at"), last["digest"].alias("digest"), last["sum"].alias("words")))
-        after = ends.select("conv_id", (F.col("at") + 1).alias("block"), F.col("digest").alias("before"), F.col("sum").alias("sum_before"))
-        outer = blocks.join(after, ["conv_id", "block"], "left").withColumn("sum_before", F.coalesce("sum_before", F.lit(0)))
-    before = F.col("before")
-    # the chain's first entry stands for what comes before the block
-    whole = F.transform("chain", lambda x, i: F.when(before.isNull(), x["digest"]).when(i == 0, before).otherwise(digest(F.concat(before, x["digest"]))))
+        above = ends.select("conv_id", F.col("at").alias("block"), F.col("parent").alias("before"), F.col("digest").alias("end"), (F.col("sum") - F.col("words")).alias("sum_before"))
+        outer = blocks.join(above, ["conv_id", "block"])
+    # the chain's first entry stands for what comes before the block, and a full block ends in the digest of the level above
+    linked = lambda x: F.when(F.col("block") == 0, x["digest"]).otherwise(digest(F.concat("before", x["digest"])))
+    whole = F.transform("chain", lambda x, i: F.when(i == 0, F.col("before")).when(i == BLOCK, F.col("end")).otherwise(linked(x)))
     rows = outer.select("conv_id", "block", "sum_before", F.posexplode(F.arrays_zip(F.slice("chain", 2, BLOCK).alias("x"), F.slice(whole, 2, BLOCK).alias("digest"), F.slice(whole, 1, F.size("chain") - 1).alias("parent"))).alias("i", "p"))
     return rows.select(
         "conv_id", (F.col("block") * BLOCK + F.col("i")).alias("at"), F.col("p.digest").alias("digest"), F.col("p.parent").alias("parent"),

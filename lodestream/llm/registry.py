@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, langid, line_dedup, maxent_lm, mixing, near_dedup, periodic_runs, quality_knn, quality_rules, sharding, url_filter
+from . import chat, decontaminate, langid, line_dedup, maxent_lm, mixing, near_dedup, periodic_runs, prefix_trie, quality_knn, quality_rules, sharding, url_filter
 
 QUERIES = {
     "op1_quality_knn": quality_knn.op1_quality_knn,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_url_filter": url_filter.op13_url_filter,
     "pipeline": corpus_pipeline.run,
 }
@@ -26,5 +27,6 @@ ORACLE_SQL = {
     "op5_line_dedup": line_dedup.OP5_SQL,
     "op6_chat_rotation": chat.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
     "op13_url_filter": url_filter.OP13_SQL,
 }
