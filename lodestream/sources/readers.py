@@ -80,16 +80,21 @@ def list_files(spark: SparkSession, path: str, pattern: str, *fields: tuple[str,
     return matched.select("path", "length", *[F.regexp_extract("path", pattern, i).try_cast(kind).alias(name) for name, i, kind in fields])
 
 
-def media_index(spark: SparkSession, path: str, kinds: dict[str, Sequence[str]], skip: Sequence[str] = ()) -> DataFrame:
-    """(name, kind, paths): files by lower-case base name and kind of extension, skipped directories left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+def media_rows(files: DataFrame, kinds: dict[str, Sequence[str]], skip: Sequence[str] = ()) -> DataFrame:
+    """(name, kind, path) of a table of paths: lower-case base name and kind of extension, skipped directories left out."""
     for part in skip:
         files = files.filter(~F.col("path").contains(f"/{part}/"))
     base = F.lower(F.element_at(F.split("path", "/"), -1))
     kind: Column = F.lit(None)
     for name, extensions in kinds.items():
         kind = F.when(F.element_at(F.split(base, "[.]"), -1).isin(*extensions), name).otherwise(kind)
-    return files.select(base.alias("name"), kind.alias("kind"), "path").filter("kind is not null").groupBy("name", "kind").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    return files.select(base.alias("name"), kind.alias("kind"), "path").filter("kind is not null")
+
+
+def media_index(spark: SparkSession, path: str, kinds: dict[str, Sequence[str]], skip: Sequence[str] = ()) -> DataFrame:
+    """(name, kind, paths) of the files below a directory; the copies of a name are few, large tables of paths go by ``media_rows``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    return media_rows(files, kinds, skip).groupBy("name", "kind").agg(F.array_sort(F.collect_list("path")).alias("paths"))
 
 
 def read_summaries(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
