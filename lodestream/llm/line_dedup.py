@@ -4,7 +4,9 @@ Every line is parsed down a tree of fixed depth: by token count, then by its ``d
 tokens, with tokens that hold a digit masked. The tokens behind them are split into halves, and one
 half at a time is generalised to a variable field. So a line has two templates,
 (count, lead, first half, *) and (count, lead, *, second half); lines that differ only inside one
-half share one. A template found in ``min_docs`` documents or more is recurring; of its lines only
+half share one. Each half holds ``MIN_HALF`` tokens or more, so that lines never share a template for
+their beginning alone; a line too short for that has one template, its count and all its masked
+tokens. A template found in ``min_docs`` documents or more is recurring; of its lines only
 the first, by (doc_id, position), stays, all others are dropped.
 
 A line of fewer than ``min_tokens`` tokens has one template, its count and all its tokens as they are,
@@ -28,6 +30,7 @@ from .common import checkpointed, let, table, text_or_empty, word_array
 
 DEPTH = 4
 MIN_TOKENS = 5
+MIN_HALF = 2
 MIN_DOCS = 2
 
 
@@ -50,6 +53,11 @@ def template_keys(tokens: Column, depth: int) -> Column:
     )
 
 
+def masked_line_key(tokens: Column) -> Column:
+    """The only template key of a line without room for two halves, as an array of one long."""
+    return F.array(F.xxhash64(F.lit("m"), F.size(tokens), F.array_join(tokens, " ")))
+
+
 def whole_line_key(line: Column) -> Column:
     """The only template key of a short line, as an array of one long."""
     tokens = word_array(line)
@@ -67,7 +75,9 @@ def dropped_positions(docs: DataFrame, depth: int = DEPTH, min_tokens: int = MIN
         "doc_id", "text_hash", "pos",
         let(
             masked_tokens(F.col("line")),
-            lambda t: F.when(F.size(t) >= min_tokens, template_keys(t, depth)).when(F.size(t) > 0, whole_line_key(F.col("line"))),
+            lambda t: F.when((F.size(t) >= min_tokens) & (F.size(t) >= depth + 2 * MIN_HALF), template_keys(t, depth))
+            .when(F.size(t) >= min_tokens, masked_line_key(t))
+            .when(F.size(t) > 0, whole_line_key(F.col("line"))),
         ).alias("keys"),
     ).filter(F.col("keys").isNotNull())
     places = checkpointed(keyed)
@@ -122,12 +132,14 @@ WITH l AS (
   FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
 v AS (SELECT doc_id, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS v FROM l),
 t AS (SELECT doc_id, pos, v, list_transform(v, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS w FROM v),
-h AS (SELECT *, len(w) AS n, CASE WHEN len(w) > 4 THEN (len(w) - 4 + 1) // 2 ELSE 0 END AS half FROM t WHERE len(w) >= 5),
+h AS (SELECT *, len(w) AS n, (len(w) - 4 + 1) // 2 AS half FROM t WHERE len(w) >= 8),
 k AS (
   SELECT doc_id, pos, ['a', n::VARCHAR, array_to_string(w[1:4], ' '), array_to_string(w[5:4 + half], ' ')] AS key FROM h
   UNION ALL
   SELECT doc_id, pos, ['b', n::VARCHAR, array_to_string(w[1:4], ' '), array_to_string(w[5 + half:], ' ')] AS key FROM h
   UNION ALL
+  SELECT doc_id, pos, ['m', len(w)::VARCHAR, array_to_string(w, ' ')] AS key FROM t WHERE len(w) BETWEEN 5 AND 7
+  UNION ALL
   SELECT doc_id, pos, ['s', len(v)::VARCHAR, array_to_string(v, ' ')] AS key FROM t WHERE len(v) BETWEEN 1 AND 4),
 r AS (SELECT key, min({'d': doc_id, 'p': pos}) AS first FROM k GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
 x AS (SELECT DISTINCT k.doc_id, k.pos FROM k JOIN r USING (key) WHERE k.doc_id <> r.first.d OR k.pos <> r.first.p),
