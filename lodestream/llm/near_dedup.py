@@ -14,10 +14,14 @@ are compared exactly on their shingle multisets and linked at ``threshold`` (0.8
 bands of 7 rows a pair at 0.8 is missed with probability 0.0002, one at 0.85 with 3e-6.
 
 Comparing. Every text belongs to one tile: texts with the same largest bucket, dealt by hash into
-tiles of about ``TILE_TEXTS`` texts and ``TILE_ITEMS`` shingles. Two tiles that meet in a bucket are
-compared as a whole, in one group of bounded size, by exact counts of common shingles; so every pair
-that shares a bucket is compared, once, and no pair is ever a row. Of the links found in a group a
-spanning forest is written, at most one link for each text. Classes are the connected components.
+tiles of about ``TILE_TEXTS`` texts and ``TILE_ITEMS`` shingles. Groups of bounded size are compared as a
+whole, by exact counts of common shingles, so no pair is ever a row; of the links found in a group
+a spanning forest is written, at most one link for each text. First every tile is compared with
+itself, and in a bucket of several tiles each with one of them. The connected components so far join
+nearly all texts of a family. A pair that shares a bucket and has neither been compared nor joined lies in
+different components of the bucket, so one of its texts is outside the bucket's largest component:
+these texts are then compared with all tiles of the bucket that they haven't met. So no link
+between two components is lost. Classes are the connected components of all links.
 
 A class's id is its least doc_id; ids are only labels, classes are told apart by their component, so
 null or repeated doc_ids never join texts that are not similar. The row that stays is the one with
@@ -25,8 +29,10 @@ the class's least doc_id (nulls last), of several such the one with the least te
 
 Scale: signatures are computed where the text is read, once for each different text of a task, and
 only keys travel. Texts are shuffled once, one copy of each; what meets in groups is shingles of
-texts that share a bucket. A family of n different near copies costs (n / tile)^2 groups and
-at most n links in each. Everything is checkpointed to the shared folder between steps.
+texts that share a bucket. A family of n different near copies costs about 2n / tile groups and as
+many comparisons of s outsiders with a tile; only where a bucket falls apart into components of like size, texts
+alike at less than the threshold, does the number of groups grow with its square. Everything is
+checkpointed to the shared folder between steps.
 
 Defined results for odd input: null and blank texts have no shingle; equal texts are one class,
 null being its own text; a text of one to four words is one shingle; null doc_ids never become a
@@ -54,6 +60,8 @@ BANDS = 36
 ROWS = 7
 TILE_TEXTS = 1024
 TILE_ITEMS = 1_000_000
+#: Groups that a text is sent to in one row.
+SENT_TO = 1024
 #: Texts of a task that it remembers, so as not to sign a copy again.
 REMEMBERED = 200_000
 
@@ -277,6 +285,19 @@ def _tiles(members: DataFrame) -> DataFrame:
     return home.join(sizes.select("home", parts.alias("parts")), "home").select("tid", F.xxhash64("home", part).alias("tile"))
 
 
+def _sent(rows: DataFrame, owner: str) -> DataFrame:
+    """(owner, groups): lists of (group, side) of about ``SENT_TO`` at most; an owner in more groups has several rows."""
+    cuts = rows.groupBy(owner).count().filter(F.col("count") > SENT_TO).select(owner, F.ceil(F.col("count") / SENT_TO).alias("cuts"))
+    cut = F.coalesce(F.pmod("group", F.col("cuts")), F.lit(0)).alias("cut")
+    return rows.join(cuts, owner, "left").groupBy(owner, cut).agg(F.collect_list(F.struct("group", "side")).alias("groups")).drop("cut")
+
+
+def _links(texts: DataFrame, wanted: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (u, v) found by comparing the groups of ``wanted`` (tid, groups)."""
+    items = texts.join(wanted, "tid").select("tid", "text", "groups").mapInArrow(_items(width), "group long, side int, tid long, items array<long>")
+    return checkpointed(items.groupBy("group").applyInArrow(_link(threshold), "u long, v long").filter("u <> v"))
+
+
 def near_components(texts: DataFrame, threshold: float, bands: int, rows: int, width: int) -> DataFrame:
     """(tid, component) of all texts of (tid, text) with a link to a different text."""
     schema = "tid long, n_items long, keys array<long>"
@@ -285,22 +306,44 @@ def near_components(texts: DataFrame, threshold: float, bands: int, rows: int, w
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = checkpointed(placed.join(shared, "key"))
     tiles = checkpointed(_tiles(members))
-    met = members.select("key", "tid").join(tiles, "tid").select("key", "tile").distinct()
+    once = texts.groupBy("tid").agg(F.first("text").alias("text"))
     # a bucket in one tile, the usual case, asks for that tile with itself only
+    met = members.select("key", "tid").join(tiles, "tid").select("key", "tile").distinct()
     several = met.groupBy("key").count().filter("count > 1").select("key")
-    wide = met.join(several, "key")
-    crossed = wide.alias("l").join(wide.alias("r"), "key").filter("l.tile < r.tile").select(F.col("l.tile").alias("a"), F.col("r.tile").alias("b"))
+    wide = checkpointed(met.join(several, "key"))
+    # the same few tiles, those in most buckets, lead many buckets
+    ranked = wide.join(wide.groupBy("tile").agg(F.count("*").alias("buckets")), "tile")
+    leads = ranked.groupBy("key").agg(F.max(F.struct("buckets", "tile"))["tile"].alias("lead"))
+    with_lead = wide.join(leads, "key").filter("tile <> lead").select(F.least("tile", "lead").alias("a"), F.greatest("tile", "lead").alias("b")).distinct()
     alone = tiles.groupBy("tile").count().filter("count > 1").select(F.col("tile").alias("a"), F.col("tile").alias("b"))
-    groups = checkpointed(alone.union(crossed.distinct()).withColumn("group", F.xxhash64("a", "b")))
+    groups = checkpointed(alone.union(with_lead).withColumn("group", F.xxhash64("a", "b")))
     sides = groups.select(F.col("a").alias("tile"), "group", F.lit(0).alias("side")).union(
         groups.filter("a <> b").select(F.col("b").alias("tile"), "group", F.lit(1).alias("side"))
     )
-    of_tile = sides.groupBy("tile").agg(F.collect_list(F.struct("group", "side")).alias("groups"))
-    once = texts.groupBy("tid").agg(F.first("text").alias("text"))
-    wanted = once.join(tiles.join(of_tile, "tile").select("tid", "groups"), "tid").select("tid", "text", "groups")
-    items = wanted.mapInArrow(_items(width), "group long, side int, tid long, items array<long>")
-    links = checkpointed(items.groupBy("group").applyInArrow(_link(threshold), "u long, v long"))
-    return checkpointed(connected_components(links)).withColumnRenamed("node", "tid")
+    links = _links(once, tiles.join(_sent(sides, "tile"), "tile").select("tid", "groups"), threshold, width)
+    found = checkpointed(connected_components(links)).withColumnRenamed("node", "tid")
+    if wide.isEmpty():
+        return found
+    named = members.join(wide.select("key").distinct(), "key").select("key", "tid").join(found, "tid", "left")
+    named = checkpointed(named.select("key", "tid", F.coalesce("component", "tid").alias("component")))
+    parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("parts > 1")
+    outside = named.join(largest, "key").filter("component <> largest").select("key", "tid")
+    asked = outside.join(wide.select("key", "tile"), "key").select("tid", "tile").distinct()
+    # tiles of which the text's own has been compared with them
+    own = asked.join(tiles.withColumnRenamed("tile", "own"), "tid").filter("own <> tile")
+    pair = own.select("tid", "tile", F.least("own", "tile").alias("a"), F.greatest("own", "tile").alias("b"))
+    asked = checkpointed(pair.join(groups.select("a", "b"), ["a", "b"], "left_anti").select("tid", "tile"))
+    if asked.isEmpty():
+        return found
+    sizes = asked.groupBy("tile").agg(F.ceil(F.count("*") / TILE_TEXTS).alias("cuts"))
+    dealt = asked.join(sizes, "tile").select("tid", F.xxhash64(F.lit("open"), "tile", F.pmod(F.xxhash64("tid", F.lit(2)), F.col("cuts"))).alias("group"), F.lit(0).alias("side"))
+    whole = sizes.select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    whole = whole.select("tile", F.xxhash64(F.lit("open"), "tile", "cut").alias("group"), F.lit(1).alias("side"))
+    wanted = _sent(dealt, "tid").union(tiles.join(_sent(whole, "tile"), "tile").select("tid", "groups"))
+    more = _links(once, wanted, threshold, width)
+    joined = more.union(found.select(F.col("tid").alias("u"), F.col("component").alias("v")))
+    return checkpointed(connected_components(joined)).withColumnRenamed("node", "tid")
 
 
 def near_classes(

@@ -100,6 +100,31 @@ def test_large_buckets_lose_no_link(spark, monkeypatch):
     assert [got[d] for d, _ in rows] == brute_classes(rows)
 
 
+def test_families_over_many_tiles(spark, monkeypatch):
+    """Two families and texts that hang between them, over many small tiles: groups grow with the texts, not with their pairs."""
+    monkeypatch.setattr(nd, "TILE_TEXTS", 8)
+    monkeypatch.setattr(nd, "SENT_TO", 3)
+    compared, real = [], nd._links
+    monkeypatch.setattr(nd, "_links", lambda texts, wanted, *rest: compared.append(wanted.select(nd.F.explode("groups.group")).distinct().count()) or real(texts, wanted, *rest))
+    groups = []
+    for n in (100, 300):
+        rng = random.Random(11)
+        rows = []
+        for f in range(2):
+            origin = [f"f{f}_{i}" for i in range(100)]
+            for d in range(n):
+                w = list(origin)
+                for _ in range(1 + (d % 10 == 0)):
+                    w[rng.randrange(len(w))] = f"e{f}_{d}_{rng.random()}"
+                rows.append((1000 * f + d, " ".join(w)))
+            rows += [(1000 * f + 500 + d, " ".join(origin[: 100 - 7 * d] + [f"tail{d}_{i}" for i in range(7 * d)])) for d in range(1, 6)]
+        compared.clear()
+        got = {r["doc_id"]: r["class_id"] for r in nd.label_near_duplicates(docs(spark, rows)).collect()}
+        assert [got[d] for d, _ in rows] == brute_classes(rows)
+        groups.append(sum(compared))
+    assert groups[1] < 5 * groups[0]  # nine times as many pairs of tiles
+
+
 def test_ids_never_join_classes(spark):
     """Different texts stay whatever their doc_ids; of rows equal in doc_id and text one stays."""
     base = [" ".join(f"{p}{i}" for i in range(60)) for p in "abcdef"]
