@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import PART, Running, running, stretched
+
 
 def _binned(df: DataFrame, start: str, end: str, bin_ms: int) -> DataFrame:
     """Rows with ``__bin`` for every bin that [start, end] touches; none if a bound is null."""
@@ -57,13 +59,15 @@ def left_inside_right(start: str = "start_ms", end: str = "end_ms") -> Column:
 def history_counts(chunks: DataFrame, windows: DataFrame, keys: Sequence[str], end: str, cut: str, window_id: str) -> DataFrame:
     """How many chunks of the same keys ended at or before each window's cut: (window_id, n_history).
 
-    A running count over the merged, ordered ends and cuts, so no pair of chunk and window is made.
+    A running count over the merged, ordered ends and cuts in two levels, so no pair of chunk and window is made.
     """
     marks = chunks.select(*keys, F.col(end).alias("at"), F.lit(1).alias("one"), F.lit(None).cast("long").alias(window_id)).unionByName(
         windows.select(*keys, F.col(cut).alias("at"), F.lit(0).alias("one"), F.col(window_id).cast("long").alias(window_id))
     )
-    upto = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    return marks.withColumn("n_history", F.sum("one").over(upto)).filter(F.col(window_id).isNotNull()).select(window_id, "n_history")
+    # at equal times chunks come before cuts
+    order = ["at", F.desc("one"), window_id]
+    counted = running(stretched(marks, keys, ["at"]), keys, order, {"n_history": Running(F.col("one").cast("long"), "sum")})
+    return counted.filter(F.col(window_id).isNotNull()).select(window_id, "n_history")
 
 
 def dense_grid(spans: DataFrame, start: str, end: str, step_ms: int) -> DataFrame:
@@ -79,13 +83,10 @@ def uniform_allocation(spans: DataFrame, keys: Sequence[str], start: str, end: s
 
     Instant i lies at (2i + 1) * total / 2n of the concatenation; integer milliseconds throughout.
     """
-    by = Window.partitionBy(*keys).orderBy(start, *order)
     length = F.col(end) - F.col(start)
-    run = (
-        spans.filter(length > 0)
-        .withColumn("__before", F.coalesce(F.sum(length).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("__total", F.sum(length).over(Window.partitionBy(*keys)))
-    )
+    place = [start, *order]
+    values = {"__before": Running(length, "sum", current=False), "__total": Running(length, "total")}
+    run = running(stretched(spans.filter(length > 0), keys, place), keys, place, values).drop(PART)
     # i with before <= floor((2i + 1) * total / 2n) < before + length, found by arithmetic instead of a join
     at = lambda i: F.floor((2 * i + 1) * F.col("__total") / (2 * n)).cast("long")
     candidates = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (at(i) >= F.col("__before")) & (at(i) < F.col("__before") + length))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import PART, Running, running, stretched
+
 
 def quota_with_backfill(rows: DataFrame, category: str, score: str, item: str, n: int) -> DataFrame:
     """n rows by score, at most ceil(n / categories) of a category as long as others can fill up.
@@ -36,8 +38,9 @@ def priority_stages(rows: DataFrame, item: str, first: DataFrame, stages: Sequen
 def even_sample(rows: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """n of each group's m rows at positions round(i (m - 1) / (n - 1)), halves to even; all if there
     are no more than n, the middle one, the later of two, if n is 1."""
-    in_order, all_ = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
-    placed = rows.withColumn("__i", F.row_number().over(in_order) - 1).withColumn("__m", F.count("*").over(all_))
+    one = F.lit(1).cast("long")
+    values = {"__i": Running(one, "sum", current=False), "__m": Running(one, "total")}
+    placed = running(stretched(rows, by, order), by, order, values).drop(PART)
     if n == 1:
         return placed.filter(F.col("__i") == F.floor(F.col("__m") / 2)).drop("__i", "__m")
     picks = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.bround(k * (F.col("__m") - 1) / float(n - 1)).cast("long"))

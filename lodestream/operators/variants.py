@@ -46,10 +46,16 @@ def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int =
     )
     kind = _kind(F.col("node"))
     level = level.filter(F.col("node").isNotNull()).withColumn("kind", kind)
-    texts = level.filter("kind = 'STRING'").select("id", "path", "speaker", "stamp", F.try_variant_get("node", "$", "string").alias("text")).filter(F.char_length("text") > longer_than)
-    found = [texts]
-    level = checkpointed(level.filter("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'"))
-    while not level.isEmpty():
+    string = F.when(F.col("kind") == "STRING", F.try_variant_get("node", "$", "string"))
+    wanted = F.col("key").isin(*TEXT_KEYS) | (F.char_length(string) > longer_than)
+    open_ = "kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'"
+    level = checkpointed(level.withColumn("text", F.when(wanted, string)))
+    found = []
+    while True:
+        found.append(level.filter("text IS NOT NULL").select("id", "path", "speaker", "stamp", "text"))
+        level = level.filter(open_).drop("text")
+        if level.isEmpty():
+            break
         is_object = F.col("kind").startswith("OBJECT")
         node = F.col("node")
         inherited = level.select(
@@ -62,10 +68,8 @@ def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int =
             F.col("c.value").alias("node"), "l.speaker", "l.stamp", "l.in_object",
         )
         ours = ~(F.col("in_object") & F.col("key").isin(*SPEAKER_KEYS, *STAMP_KEYS))
-        children = checkpointed(children.filter(F.col("node").isNotNull() & ours).drop("in_object").withColumn("kind", kind))
-        strings = children.filter("kind = 'STRING'").withColumn("text", F.try_variant_get("node", "$", "string"))
-        found.append(strings.filter(F.col("key").isin(*TEXT_KEYS) | (F.char_length("text") > longer_than)).select("id", "path", "speaker", "stamp", "text"))
-        level = children.filter("kind LIKE 'OBJECT%' OR kind LIKE 'ARRAY%'")
+        typed = children.filter(F.col("node").isNotNull() & ours).drop("in_object").withColumn("kind", kind)
+        level = checkpointed(typed.withColumn("text", F.when(wanted, string)))
     everything = found[0]
     for more in found[1:]:
         everything = everything.union(more)

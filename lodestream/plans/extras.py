@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.ordered import Running, running, stretched
 from ..sources.tables import events_as_intervals, load
 from .registry import query
 
@@ -137,12 +138,12 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 , c AS (SELECT * FROM e WHERE event_type = 'click'), p AS (SELECT * FROM e WHERE event_type = 'purchase')
 SELECT c.event_id, coalesce(p.event_id, -1) AS purchase_id, coalesce(c.ms - p.ms, -1) AS age_ms FROM c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ms >= p.ms""")
 def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last purchase of its user at or before every click: both sides in one ordered pass, no pairs."""
+    """The last purchase of its user at or before every click: both sides in one order, in two levels, no pairs."""
     e = events_as_intervals(spark, sf_dir).filter("event_type in ('click', 'purchase')")
     is_purchase = F.col("event_type") == "purchase"
-    seen = F.last(F.when(is_purchase, F.struct("event_id", "start_ms")), ignorenulls=True)
-    before = Window.partitionBy("user_id").orderBy("start_ms", F.when(is_purchase, 0).otherwise(1), "event_id")
-    found = e.withColumn("p", seen.over(before)).filter(~is_purchase)
+    order = ["start_ms", F.when(is_purchase, 0).otherwise(1), "event_id"]
+    seen = Running(F.when(is_purchase, F.struct("event_id", "start_ms")), "last")
+    found = running(stretched(e, ["user_id"], order), ["user_id"], order, {"p": seen}).filter(~is_purchase)
     return found.select(
         "event_id", F.coalesce("p.event_id", F.lit(-1)).alias("purchase_id"),
         F.coalesce(F.col("start_ms") - F.col("p.start_ms"), F.lit(-1)).alias("age_ms"),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import parsing as ps
 from ..functions import text as tx
 from ..functions import timefns as tm
+from ..operators.variants import flatten_json
 from ..sources.tables import events_as_intervals, load
 from .registry import query
 
@@ -104,8 +102,6 @@ def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT source, row_number() OVER (ORDER BY try_cast(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT), source)::INTEGER AS place FROM (SELECT DISTINCT source FROM documents)""")
 def natural_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids in the order of the number they end with; ids are few, rows are not ordered here."""
-    from pyspark.sql import Window
-
     ids = load(spark, sf_dir, "documents").select("source").distinct()
     return ids.withColumn("place", F.row_number().over(Window.orderBy(ps.trailing_number("source"), "source")))
 
@@ -243,8 +239,6 @@ def memory_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Ids count rows before each (lang, source), then within it, so no task orders the whole table.
     """
-    from pyspark.sql import Window
-
     docs = load(spark, sf_dir, "documents")
     start = F.when(F.col("doc_id") % 9 == 0, F.lit("-1")).otherwise((F.col("doc_id") * 30).cast("string"))
     maps = docs.select("source", "lang", F.create_map(F.concat_ws("|", F.col("doc_id").cast("string"), start), F.col("text")).alias("captions"))
@@ -282,57 +276,6 @@ def nested_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", F.col("d.props.k").alias("k"), F.array_join("d.tags", ";").alias("tags"), F.coalesce("d.props.missing", F.lit("none")).alias("missing"))
 
 
-def flatten_json(rows: DataFrame, id_col: str, json_col: str, longer_than: int = 10) -> DataFrame:
-    """(id, n, speaker, stamp, text): text-like strings of JSON of any depth, in order.
-
-    The nearest ``speaker`` and the outermost ``timestamp`` hold for everything below them. A value under a
-    text key is emitted once; other strings if they are longer than ``longer_than``. Depth has no bound, so
-    rows pass through Python in Arrow batches; broken JSON gives no row.
-    """
-    # Names of the fields that hold texts, speakers and times in the input.
-    text_keys = {"text", "transcript", "utterance", "caption", "sentence"}
-    speaker_keys = ("speaker", "speaker_id", "name", "agent", "participant")
-    stamp_keys = ("timestamp", "time", "start", "start_time", "end", "end_time", "window")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        def visit(node, speaker, stamp, key, out):
-            stack = [(node, speaker, stamp, key)]
-            while stack:
-                node, speaker, stamp, key = stack.pop()
-                if isinstance(node, dict):
-                    speaker = next((str(node[k]) for k in speaker_keys if isinstance(node.get(k), (str, int))), speaker)
-                    if stamp is None:
-                        stamp = next((str(node[k]) for k in stamp_keys if isinstance(node.get(k), (str, int, float))), None)
-                    taken = {*speaker_keys, *stamp_keys}
-                    stack += [(v, speaker, stamp, k) for k, v in reversed(node.items()) if k not in taken]
-                elif isinstance(node, list):
-                    stack += [(v, speaker, stamp, key) for v in reversed(node)]
-                elif isinstance(node, str) and (key in text_keys or len(node) > longer_than):
-                    out.append((speaker, stamp, node))
-
-        for batch in batches:
-            at, numbers, found = [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                out: list = []
-                try:
-                    visit(json.loads(text or "null"), None, None, None, out)
-                except ValueError:
-                    continue
-                at += [i] * len(out)
-                numbers += range(len(out))
-                found += out
-            text_columns = [pa.array([f[j] for f in found], pa.string()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64()), *text_columns],
-                [id_col, "n", "speaker", "stamp", "text"],
-            )
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.select(id_col, json_col).mapInArrow(run, f"{id_col} {kind}, n long, speaker string, stamp string, text string")
-
-
 @query("json_flatten_text", """
 SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS n, role AS speaker, turn::VARCHAR AS stamp, text FROM conversations""")
 def json_flatten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,3 +283,24 @@ def json_flatten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.struct(F.col("turn").alias("time"), F.col("role").alias("agent"), F.struct("text", F.lit(0).alias("window")).alias("body"))
     packed = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(line)).alias("items"))).alias("doc"))
     return flatten_json(packed, "conv_id", "doc")
+
+
+@query("json_flatten_deep", """
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+x AS (
+  SELECT conv_id, i, 1 AS part, CASE WHEN i % 2 = 0 THEN 'guest' ELSE role END AS speaker, '7' AS stamp, substr(text, 1, 30) AS text FROM t WHERE length(substr(text, 1, 30)) > 10
+  UNION ALL SELECT conv_id, i, 2, CASE WHEN i % 2 = 0 THEN 'guest' ELSE role END, '7', substr(text, 1, 5) FROM t
+  UNION ALL SELECT conv_id, i, 3, role, '7', 'the last of its kind' FROM t)
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY i, part) - 1)::BIGINT AS n, speaker, stamp, text FROM x""")
+def json_flatten_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts below six levels of objects and mixed arrays; inner speakers override outer ones, the outer time holds."""
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = load(spark, sf_dir, "conversations").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("i", number)
+    json = lambda value, name: F.to_json(F.struct(value.alias(name)))
+    who = F.when(F.col("i") % 2 == 0, '{"speaker":"guest","x":[[').otherwise('{"x":[[')
+    deep = F.concat(who, json(F.substring("text", 1, 30), "note"), F.lit("],5,null,["), json(F.substring("text", 1, 5), "caption"), F.lit(',{"note":"short"}]],"time":99}'))
+    agent = json(F.col("role"), "agent")
+    line = F.concat(F.substring(agent, F.lit(1), F.length(agent) - 1), F.lit(',"body":{"b":{"c":'), deep, F.lit('},"z":"the last of its kind"}}'))
+    packed = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("i", line.alias("line")))).alias("lines"))
+    doc = F.concat(F.lit('{"time":7,"items":['), F.array_join(F.transform("lines", lambda x: x["line"]), ","), F.lit("]}"))
+    return flatten_json(packed.select("conv_id", doc.alias("doc")), "conv_id", "doc")

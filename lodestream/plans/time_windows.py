@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timefns as tm
 from ..operators import intervals as iv
+from ..operators.ordered import Running, running, stretched
 from ..sources.tables import events_as_intervals, load, purchase_windows
 from .registry import query
 
@@ -229,12 +230,10 @@ s AS (SELECT user_id, min(n) AS stop FROM c WHERE event_type = 'error' AND k >=
 SELECT o.user_id, event_id, CASE WHEN stop IS NULL OR n <= stop THEN event_type ELSE 'not_attempted' END AS status FROM o LEFT JOIN s USING (user_id)""")
 def take_until_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A circuit breaker: after two failures in a row nothing more of a user is attempted."""
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    keys, order = ["user_id"], ["ts", "event_id"]
     failed = (F.col("event_type") == "error").cast("int")
-    events = load(spark, sf_dir, "events").withColumn("n", F.row_number().over(by_user)).withColumn("fail", failed)
-    trip = (F.col("fail") == 1) & (F.lag("fail").over(by_user) == 1)
-    flagged = events.withColumn("trip", F.coalesce(trip, F.lit(False)))
-    over = F.max("trip").over(by_user.rowsBetween(Window.unboundedPreceding, -1))
-    return flagged.withColumn("over", F.coalesce(over, F.lit(False))).select(
-        "user_id", "event_id", F.when(F.col("over"), "not_attempted").otherwise(F.col("event_type")).alias("status")
-    )
+    events = stretched(load(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", failed.alias("fail")), keys, order)
+    with_last = running(events, keys, order, {"last": Running(F.col("fail"), "last", current=False)})
+    trip = ((F.col("fail") == 1) & F.coalesce(F.col("last") == 1, F.lit(False))).cast("int")
+    judged = running(with_last.withColumn("trip", trip), keys, order, {"over": Running(F.col("trip"), "max", current=False)})
+    return judged.select("user_id", "event_id", F.when(F.col("over") == 1, "not_attempted").otherwise(F.col("event_type")).alias("status"))

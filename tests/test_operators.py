@@ -162,7 +162,7 @@ def test_last_wins_and_merge(spark):
 
 
 def test_fuzzy_and_json(spark):
-    from lodestream.plans.parsing import flatten_json
+    from lodestream.operators.variants import flatten_json
     from lodestream.plans.retrieval import fuzzy_ratio
 
     df = spark.createDataFrame([("kitchen table", "the kitchin and the tables"), (None, "x"), ("zzz", None)], "a string, b string")
@@ -323,3 +323,34 @@ def test_more_parsing(spark):
     assert value(spark, tx.choice_loose(F.lit("The correct answer is option C"), "abcd", ("the correct answer is", "answer:", "option"))) == 2
 
 
+
+
+def test_running_values_over_many_partitions(spark):
+    """One key holds nearly all rows; values are carried over the partitions its rows lie in."""
+    from pyspark.sql import Window
+
+    from lodestream.operators.ordered import PART, Running, running, stretched
+
+    rows = [(None if i % 91 == 0 else 1 if i % 13 else 2, (i * 37) % 1000, i, None if i % 3 else i % 17) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, t int, i int, v int")
+    keys, order = ["k"], ["t", "i"]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        placed = stretched(df, keys, order)
+        assert placed.filter("k = 1").select(PART).distinct().count() > 4
+        v = F.col("v").cast("long")
+        got = running(placed, keys, order, {
+            "s": Running(v, "sum"), "b": Running(v, "sum", current=False), "m": Running(v, "max", current=False), "l": Running(F.col("v"), "last"), "p": Running(F.col("v"), "last", current=False), "n": Running(v, "total"),
+        })
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    w = Window.partitionBy("k").orderBy("t", "i")
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0)
+    want = df.select(
+        "k", "t", "i", "v", F.coalesce(F.sum("v").over(upto), zero), F.coalesce(F.sum("v").over(earlier), zero), F.max("v").over(earlier), F.last("v", True).over(upto), F.last("v", True).over(earlier), F.sum("v").over(Window.partitionBy("k")),
+    )
+    assert sorted(map(str, map(tuple, got.select("k", "t", "i", "v", "s", "b", "m", "l", "p", "n").collect()))) == sorted(map(str, map(tuple, want.collect())))
+    with pytest.raises(ValueError):
+        running(placed, keys, order, {"x": Running(v, "mode")})
