@@ -17,7 +17,7 @@ Comparing. Every text belongs to one tile: texts with the same largest bucket, d
 tiles of about ``TILE_TEXTS`` texts and ``TILE_ITEMS`` shingles. Groups of bounded size are compared as a
 whole, by exact counts of common shingles, so no pair is ever a row; of the links found in a group
 a spanning forest is written, at most one link for each text. First every tile is compared with
-itself, and in a bucket of several tiles each with one of them. The connected components so far join
+itself, and in a bucket of several tiles all other texts with one of them. The connected components so far join
 nearly all texts of a family. A pair that shares a bucket and has neither been compared nor joined lies in
 different components of the bucket, so one of its texts is outside the bucket's largest component:
 these texts are then compared with all tiles of the bucket that they haven't met. So no link
@@ -298,6 +298,16 @@ def _links(texts: DataFrame, wanted: DataFrame, threshold: float, width: int) ->
     return checkpointed(items.groupBy("group").applyInArrow(_link(threshold), "u long, v long").filter("u <> v"))
 
 
+def _against(asked: DataFrame, tiles: DataFrame, name: str) -> DataFrame:
+    """(tid, groups): groups that compare each text of ``asked`` (tid, tile) with the whole tile, ``TILE_TEXTS`` texts at a time."""
+    sizes = asked.groupBy("tile").agg(F.ceil(F.count("*") / TILE_TEXTS).alias("cuts"))
+    cut = F.pmod(F.xxhash64("tid", F.lit(2)), F.col("cuts"))
+    dealt = asked.join(sizes, "tile").select("tid", F.xxhash64(F.lit(name), "tile", cut).alias("group"), F.lit(0).alias("side"))
+    whole = sizes.select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
+    whole = whole.select("tile", F.xxhash64(F.lit(name), "tile", "cut").alias("group"), F.lit(1).alias("side"))
+    return _sent(dealt, "tid").union(tiles.join(_sent(whole, "tile"), "tile").select("tid", "groups"))
+
+
 def near_components(texts: DataFrame, threshold: float, bands: int, rows: int, width: int) -> DataFrame:
     """(tid, component) of all texts of (tid, text) with a link to a different text."""
     schema = "tid long, n_items long, keys array<long>"
@@ -307,6 +317,8 @@ def near_components(texts: DataFrame, threshold: float, bands: int, rows: int, w
     members = checkpointed(placed.join(shared, "key"))
     tiles = checkpointed(_tiles(members))
     once = texts.groupBy("tid").agg(F.first("text").alias("text"))
+    alone = tiles.join(tiles.groupBy("tile").count().filter("count > 1").select("tile"), "tile")
+    wanted = alone.select("tid", F.array(F.struct(F.xxhash64(F.lit("alone"), "tile").alias("group"), F.lit(0).alias("side"))).alias("groups"))
     # a bucket in one tile, the usual case, asks for that tile with itself only
     met = members.select("key", "tid").join(tiles, "tid").select("key", "tile").distinct()
     several = met.groupBy("key").count().filter("count > 1").select("key")
@@ -314,34 +326,23 @@ def near_components(texts: DataFrame, threshold: float, bands: int, rows: int, w
     # the same few tiles, those in most buckets, lead many buckets
     ranked = wide.join(wide.groupBy("tile").agg(F.count("*").alias("buckets")), "tile")
     leads = ranked.groupBy("key").agg(F.max(F.struct("buckets", "tile"))["tile"].alias("lead"))
-    with_lead = wide.join(leads, "key").filter("tile <> lead").select(F.least("tile", "lead").alias("a"), F.greatest("tile", "lead").alias("b")).distinct()
-    alone = tiles.groupBy("tile").count().filter("count > 1").select(F.col("tile").alias("a"), F.col("tile").alias("b"))
-    groups = checkpointed(alone.union(with_lead).withColumn("group", F.xxhash64("a", "b")))
-    sides = groups.select(F.col("a").alias("tile"), "group", F.lit(0).alias("side")).union(
-        groups.filter("a <> b").select(F.col("b").alias("tile"), "group", F.lit(1).alias("side"))
-    )
-    links = _links(once, tiles.join(_sent(sides, "tile"), "tile").select("tid", "groups"), threshold, width)
+    own = members.select("key", "tid").join(leads, "key").join(tiles, "tid")
+    led = checkpointed(own.filter("tile <> lead").select("tid", F.col("lead").alias("tile")).distinct())
+    links = _links(once, wanted.union(_against(led, tiles, "lead")), threshold, width)
     found = checkpointed(connected_components(links)).withColumnRenamed("node", "tid")
     if wide.isEmpty():
         return found
-    named = members.join(wide.select("key").distinct(), "key").select("key", "tid").join(found, "tid", "left")
+    named = members.join(leads.select("key"), "key").select("key", "tid").join(found, "tid", "left")
     named = checkpointed(named.select("key", "tid", F.coalesce("component", "tid").alias("component")))
     parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component"))["component"].alias("largest")).filter("parts > 1")
     outside = named.join(largest, "key").filter("component <> largest").select("key", "tid")
-    asked = outside.join(wide.select("key", "tile"), "key").select("tid", "tile").distinct()
-    # tiles of which the text's own has been compared with them
-    own = asked.join(tiles.withColumnRenamed("tile", "own"), "tid").filter("own <> tile")
-    pair = own.select("tid", "tile", F.least("own", "tile").alias("a"), F.greatest("own", "tile").alias("b"))
-    asked = checkpointed(pair.join(groups.select("a", "b"), ["a", "b"], "left_anti").select("tid", "tile"))
+    asked = outside.join(wide, "key").select("tid", "tile").distinct()
+    # neither its own tile nor one that it has been compared with
+    asked = checkpointed(asked.join(tiles.union(led), ["tid", "tile"], "left_anti"))
     if asked.isEmpty():
         return found
-    sizes = asked.groupBy("tile").agg(F.ceil(F.count("*") / TILE_TEXTS).alias("cuts"))
-    dealt = asked.join(sizes, "tile").select("tid", F.xxhash64(F.lit("open"), "tile", F.pmod(F.xxhash64("tid", F.lit(2)), F.col("cuts"))).alias("group"), F.lit(0).alias("side"))
-    whole = sizes.select("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)).alias("cut"))
-    whole = whole.select("tile", F.xxhash64(F.lit("open"), "tile", "cut").alias("group"), F.lit(1).alias("side"))
-    wanted = _sent(dealt, "tid").union(tiles.join(_sent(whole, "tile"), "tile").select("tid", "groups"))
-    more = _links(once, wanted, threshold, width)
+    more = _links(once, _against(asked, tiles, "open"), threshold, width)
     joined = more.union(found.select(F.col("tid").alias("u"), F.col("component").alias("v")))
     return checkpointed(connected_components(joined)).withColumnRenamed("node", "tid")
 
