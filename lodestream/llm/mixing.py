@@ -8,22 +8,26 @@ Sampling (Rosen, 1997): a source whose target is L times its size takes floor(L)
 copies of every document. The rest of R words is drawn with unequal inclusion probabilities: that of
 a document is min(1, c w), where w is its size rounded down to ``SIZE_BITS`` binary digits and c makes
 the expected words R. Documents with probability 1 are taken first. The others are ranked by the
-odds of a random number over the odds of their probability, and taken in that order until their words
-reach what is left of R. The document at the edge is taken if more than half of it fits, so a source
-misses its target by half a document at most.
+odds of a random number over the odds of their probability, and taken in that order as long as they fit
+into what is left of R. Behind the first that doesn't fit, documents that are no larger than the rest are
+taken in the same order as long as they fit; and two more fill what is left then, the largest document
+that fits, of equal ones the first in the order, and the largest that fits after it.
 
 Scale: sizes and random numbers are written once, three numbers a row. c is found from the words of
 each rounded size. The order is cut into ``blocks`` blocks per source whose word sums come from an
 aggregation with map-side combine, the block at the edge again into as many; whole blocks are
 decided by comparison, and only rows of the inner block, one in ``blocks`` squared, are sorted, as
-three numbers each. Whole rows are then read once more and decided by their place alone.
+three numbers each. The documents that fill the rest are found by aggregates. Whole rows are then read once
+more and decided by their place alone.
 
 Random numbers are hashes of the key columns and a seed, so reruns agree. Name key columns that
 tell rows apart; rows equal in all of them and in size are interchangeable, and those at the edge
-are sorted in one task.
+are sorted in one task; such rows never fill a rest. If all keys are null, all random numbers are
+equal, and the order goes by size alone.
 
-Defined results for odd input: null text has size 0 and takes 0 words; a null source is a source of
-its own, ordered last; repeated rows are sampled one by one; an empty table gives an empty result.
+Defined results for odd input: null text has size 0 and takes 0 words; a very long text is counted where it is
+read, and taken only if it fits or is certain; a null source is a source of its own, ordered last; repeated rows
+are sampled one by one; an empty table gives an empty result; columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -130,16 +134,50 @@ def _edges(drawn: DataFrame, plan: DataFrame, block: str, open_: str, edge: str,
     return joined.withColumn(edge, F.coalesce("e.b", F.lit(blocks))).withColumn(f"{edge}_left", F.coalesce("e.left", F.lit(0.0))).drop("e")
 
 
-def _cuts(core: DataFrame, plan: DataFrame) -> DataFrame:
-    """``plan`` with the place of the last row taken in the inner block (taken rows come first), and how
-    many of the rows there are taken if not all are, else 0."""
-    reached = _before("__ls_size", "__ls_place", "__ls_size") + F.col("__ls_size") / 2
-    judged = core.select("__ls_src", "__ls_place", (reached <= F.col("__ls_core_left")).alias("__ls_in"))
-    places = judged.groupBy("__ls_src", "__ls_place").agg(F.count_if("__ls_in").alias("__ls_took"), F.count("*").alias("__ls_n")).filter("__ls_took > 0")
-    last = F.max(F.struct("__ls_place", F.when(F.col("__ls_took") < F.col("__ls_n"), F.col("__ls_took")).otherwise(0).alias("__ls_tied")))
-    cut = places.groupBy(F.col("__ls_src").alias("__ls_of")).agg(last.alias("e"))
+def _cuts(core: DataFrame, plan: DataFrame, turn: int) -> DataFrame:
+    """``plan`` with the place of the last row taken in the inner block (taken rows come first), how many
+    of the rows there are taken if not all are, else 0, and the words that are still left.
+
+    Behind the first turn, rows alike are taken together or not at all."""
+    open_ = F.col(f"__ls_core{turn}_left")
+    reached = _before("__ls_size", "__ls_place", "__ls_size") + F.col("__ls_size")
+    judged = core.select("__ls_src", "__ls_place", "__ls_size", (reached <= open_).alias("__ls_in"))
+    places = judged.groupBy("__ls_src", "__ls_place").agg(
+        F.count_if("__ls_in").alias("__ls_took"), F.count("*").alias("__ls_n"), F.sum(F.when(F.col("__ls_in"), F.col("__ls_size"))).alias("__ls_words")
+    )
+    partly = F.col("__ls_took") < F.col("__ls_n")
+    places = places.filter("__ls_took > 0") if turn == 1 else places.filter(~partly)
+    last = F.max(F.struct("__ls_place", F.when(partly, F.col("__ls_took")).otherwise(0).alias("__ls_tied")))
+    cut = places.groupBy(F.col("__ls_src").alias("__ls_of")).agg(last.alias("e"), F.sum("__ls_words").alias("words"))
     joined = plan.join(cut, F.col("__ls_name").eqNullSafe(F.col("__ls_of")), "left")
-    return joined.withColumns({"__ls_cut": F.coalesce("e.__ls_place", F.lit(-1.0)), "__ls_tied": F.coalesce("e.__ls_tied", F.lit(0))}).drop("e", "__ls_of")
+    named = {f"__ls_cut{turn}": F.coalesce("e.__ls_place", F.lit(-1.0)), f"__ls_left{turn}": open_ - F.coalesce("words", F.lit(0))}
+    return joined.withColumns(named | ({"__ls_tied": F.coalesce("e.__ls_tied", F.lit(0))} if turn == 1 else {})).drop("e", "__ls_of", "words")
+
+
+def _is_fill(n: int) -> Column:
+    return (F.col("__ls_size") == F.col(f"__ls_fill{n}")) & (F.col("__ls_place") == F.col(f"__ls_at{n}"))
+
+
+def _fills(beyond, plan: DataFrame) -> DataFrame:
+    """``plan`` with size and place of two rows that fill what is left (__ls_fill1, __ls_at1, ...; size 0: none).
+
+    ``beyond`` gives, for a plan, the rows that aren't taken by their place. A pick with rows alike is given up.
+    """
+    row = F.struct("__ls_size", (-F.col("__ls_place")).alias("place"))
+
+    def found(plan: DataFrame, n: int, best: Column, alike: Column) -> DataFrame:
+        own = beyond(plan).groupBy(F.col("__ls_src").alias("__ls_of")).agg(F.max(best).alias("e"), F.count_if(alike).alias("alike"))
+        joined = plan.join(own, F.col("__ls_name").eqNullSafe(F.col("__ls_of")), "left")
+        if n > 1:  # the pick before this one
+            joined = joined.withColumn(f"__ls_fill{n - 1}", F.when(F.col("alike") == 1, F.col(f"__ls_fill{n - 1}")).otherwise(0))
+        if n < 3:
+            joined = joined.withColumns({f"__ls_fill{n}": F.coalesce("e.__ls_size", F.lit(0)), f"__ls_at{n}": F.coalesce(-F.col("e.place"), F.lit(-1.0))})
+        return checkpointed(joined.drop("e", "alike", "__ls_of"))
+
+    size, left = F.col("__ls_size"), F.col("__ls_left2")
+    plan = found(plan, 1, F.when(size <= left, row), F.lit(False))
+    plan = found(plan, 2, F.when(~_is_fill(1) & (size <= left - F.col("__ls_fill1")), row), _is_fill(1))
+    return found(plan, 3, F.when(F.lit(False), row), _is_fill(2))
 
 
 def mix(
@@ -167,7 +205,7 @@ def mix(
     plan = checkpointed(inclusion_plan(lengths, source_targets(sizes, weights, max_repeats)))
     few = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
 
-    def with_plan(rows: DataFrame) -> DataFrame:
+    def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
         side = F.broadcast(plan) if few else plan
         joined = rows.join(side, F.col("__ls_src").eqNullSafe(F.col("__ls_name")))
         place = joined.withColumn("__ls_place", _place(F.col("__ls_u"), F.col("__ls_w"), F.col("__ls_scale")))
@@ -175,21 +213,29 @@ def mix(
         inner = F.least(F.floor((F.col("__ls_place") * blocks - outer) * blocks), F.lit(blocks - 1))
         return place.withColumn("__ls_outer", outer).withColumn("__ls_inner", inner)
 
-    free = (F.col("__ls_w") > 0) & (F.col("__ls_w") <= F.col("__ls_top"))
-    plan = checkpointed(_edges(with_plan(slim).filter(free), plan, "__ls_outer", "__ls_open", "__ls_edge", blocks))
-    at_outer = free & (F.col("__ls_outer") == F.col("__ls_edge"))
-    plan = checkpointed(_edges(with_plan(slim).filter(at_outer), plan, "__ls_inner", "__ls_edge_left", "__ls_core", blocks))
-
-    at_core = at_outer & (F.col("__ls_inner") == F.col("__ls_core"))
-    plan = checkpointed(_cuts(with_plan(slim).filter(at_core), plan))
-
-    joined = with_plan(drawn.drop("source_size", "target"))
-    before = (F.col("__ls_outer") < F.col("__ls_edge")) | ((F.col("__ls_outer") == F.col("__ls_edge")) & (F.col("__ls_inner") < F.col("__ls_core")))
-    inside = at_core & (F.col("__ls_place") <= F.col("__ls_cut"))
-    more = (F.col("__ls_open") > 0) & (F.col("__ls_w") > 0) & ((F.col("__ls_w") > F.col("__ls_top")) | (free & (before | inside)))
+    def take(plan: DataFrame, turn: int, of: Column, open_: str) -> tuple[DataFrame, Column, Column]:
+        """``plan`` with the edges of a turn, its rows in the inner block, and the rows that it takes."""
+        plan = checkpointed(_edges(with_plan(slim, plan).filter(of), plan, "__ls_outer", open_, f"__ls_edge{turn}", blocks))
+        outer = F.col("__ls_outer") - F.col(f"__ls_edge{turn}")
+        plan = checkpointed(_edges(with_plan(slim, plan).filter(of & (outer == 0)), plan, "__ls_inner", f"__ls_edge{turn}_left", f"__ls_core{turn}", blocks))
+        inner = F.col("__ls_inner") - F.col(f"__ls_core{turn}")
+        core = of & (outer == 0) & (inner == 0)
+        plan = checkpointed(_cuts(with_plan(slim, plan).filter(core), plan, turn))
+        before = (outer < 0) | ((outer == 0) & (inner < 0))
+        return plan, core, of & (before | (core & (F.col("__ls_place") <= F.col(f"__ls_cut{turn}"))))
+
+    free = (F.col("__ls_open") > 0) & (F.col("__ls_w") > 0) & (F.col("__ls_w") <= F.col("__ls_top"))
+    plan, core, first = take(plan, 1, free, "__ls_open")
+    plan, _, second = take(plan, 2, free & ~first & (F.col("__ls_size") <= F.col("__ls_left1")), "__ls_left1")
+    rest = free & ~first & ~second
+    plan = _fills(lambda p: with_plan(slim, p).filter(rest & (F.col("__ls_size") <= F.col("__ls_left2"))), plan)
+
+    joined = with_plan(drawn.drop("source_size", "target"), plan)
+    certain = (F.col("__ls_open") > 0) & (F.col("__ls_w") > 0) & (F.col("__ls_w") > F.col("__ls_top"))
+    more = certain | first | second | (rest & (_is_fill(1) | _is_fill(2)))
     marked = joined.withColumn("__ls_more", more.cast("long"))
     if not plan.filter("__ls_tied > 0").isEmpty():  # of rows alike at the cut some are taken
-        at_cut = at_core & (F.col("__ls_tied") > 0) & (F.col("__ls_place") == F.col("__ls_cut"))
+        at_cut = core & (F.col("__ls_tied") > 0) & (F.col("__ls_place") == F.col("__ls_cut1"))
         number = F.row_number().over(Window.partitionBy("__ls_src").orderBy(*keys, "__ls_size"))
         alike = marked.filter(at_cut).withColumn("__ls_more", (number <= F.col("__ls_tied")).cast("long"))
         marked = marked.filter(~at_cut).unionByName(alike)
@@ -235,6 +281,16 @@ r AS (SELECT v.doc_id, v.size, v.source, v.w, p.source_size, p.target, p.whole,
     CASE WHEN e.scale * v.w > 0 THEN (u / (1 - u)) / (e.scale * v.w / (1 - e.scale * v.w)) END AS ratio
   FROM v JOIN p ON v.source IS NOT DISTINCT FROM p.source LEFT JOIN e ON v.source IS NOT DISTINCT FROM e.source),
 q AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, free ORDER BY coalesce(ratio / (1 + ratio), 1), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM r),
-m AS (SELECT *, (whole + CASE WHEN left_over > 0 AND w > 0 AND (w > top OR (free AND reached + size / 2.0 <= left_over)) THEN 1 ELSE 0 END)::BIGINT AS copies FROM q)
+z AS (SELECT *, coalesce(ratio / (1 + ratio), 1) AS place, free AND left_over > 0 AND reached + size <= left_over AS fits FROM q),
+l AS (SELECT source, any_value(left_over) - coalesce(sum(size) FILTER (WHERE fits), 0) AS rest1 FROM z WHERE free AND left_over > 0 GROUP BY source),
+z2 AS (SELECT z.*, rest1, free AND left_over > 0 AND NOT fits AND size <= rest1 AS small FROM z LEFT JOIN l ON z.source IS NOT DISTINCT FROM l.source),
+y2 AS (SELECT *, coalesce(small AND sum(size) OVER (PARTITION BY source, small ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= rest1, false) AS fits2 FROM z2),
+l2 AS (SELECT source, any_value(rest1) - coalesce(sum(size) FILTER (WHERE fits2), 0) AS rest FROM y2 WHERE free AND left_over > 0 GROUP BY source
+  HAVING bool_or(small AND NOT fits2)),
+b AS (SELECT y2.*, rest FROM y2 JOIN l2 ON y2.source IS NOT DISTINCT FROM l2.source WHERE free AND left_over > 0 AND NOT fits AND NOT fits2),
+f1 AS (SELECT source, arg_max({'d': doc_id, 's': size}, (size, -place)) AS x FROM b WHERE size <= rest GROUP BY source),
+f2 AS (SELECT b.source, arg_max(doc_id, (size, -place)) AS y FROM b JOIN f1 ON b.source IS NOT DISTINCT FROM f1.source WHERE size <= rest - x.s AND doc_id <> x.d GROUP BY b.source),
+m AS (SELECT y2.*, (whole + CASE WHEN left_over > 0 AND w > 0 AND (w > top OR fits OR fits2 OR coalesce(doc_id = x.d, false) OR coalesce(doc_id = y, false)) THEN 1 ELSE 0 END)::BIGINT AS copies
+  FROM y2 LEFT JOIN f1 ON y2.source IS NOT DISTINCT FROM f1.source LEFT JOIN f2 ON y2.source IS NOT DISTINCT FROM f2.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, source, copies FROM m
 """
