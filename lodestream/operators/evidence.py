@@ -23,8 +23,7 @@ def rank_of(label: Column) -> Column:
 def evidence_sets(ranked: DataFrame, docs: DataFrame, by: str, doc_id: str, text: str, stopwords: Sequence[str]) -> DataFrame:
     """(by, n_ranked, tokens, body): the ranked documents of each question, as content tokens and as
     lower-case text; a question has as many documents as were ranked."""
-    small = F.broadcast(ranked.select(by, doc_id, "rank"))
-    found = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("__t")).join(small, doc_id)
+    found = docs.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("__t")).join(ranked.select(by, doc_id, "rank"), doc_id)
     rows = found.select(by, "rank", tx.content_tokens("__t", stopwords).alias("__k"), F.lower(tx.collapse_blanks("__t")).alias("__b"))
     in_order = F.sort_array(F.collect_list(F.struct("rank", "__b")))
     return rows.groupBy(by).agg(

@@ -118,4 +118,4 @@ def read_index(spark: SparkSession, path: str, terms: Sequence[str], buckets: in
     """Postings of some terms from a saved index: only the folders of their buckets are read."""
     wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
     needed = [r[0] for r in spark.range(1).select(F.explode(F.array_distinct(F.transform(wanted, lambda t: term_bucket(t, buckets))))).collect()]
-    return spark.read.parquet(path).filter(F.col("bucket").isin(needed) & F.array_contains(wanted, F.col("term"))).drop("bucket")
+    return spark.read.parquet(path).filter(F.col("bucket").isin(needed) & F.col("term").isin(*terms)).drop("bucket")
