@@ -46,7 +46,7 @@ def judged(df):
     return {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("max_bytes", [uf.MAX_BYTES, 48])
+@pytest.mark.parametrize("max_bytes", [uf.MAX_BYTES, 150])
 def test_large_lists_against_brute_force(spark, max_bytes):
     """With a small limit the lists are dealt into sections, and several passes are made."""
     rng = random.Random(8)
