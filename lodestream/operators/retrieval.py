@@ -20,13 +20,17 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 K1, B, CAP, FLOOR = 1.5, 0.75, 3, 0.25
 BLOCK_QUERIES = 500
-CHUNK_CELLS = 4_000_000
+#: Cells of the matrix of postings and queries that a task holds.
+CHUNK_CELLS = 2_000_000
+#: Bytes of text that are cut into words at once.
+PORTION = 2_000_000
 
 Tokeniser = Callable[[str], list[str]]
 
@@ -40,6 +44,15 @@ def blank_words(text: str) -> list[str]:
     return re.sub(r"[^\w\s]", "", text.lower()).split(" ")
 
 
+def portions(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``PORTION`` bytes of the text in column ``text``, so that no more is held as Python objects."""
+    if batch.num_rows:
+        before = np.cumsum(np.concatenate([[0], pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)]), dtype=np.int64)[:-1]
+        cuts = [0, *(np.flatnonzero(np.diff(before // PORTION)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(cuts, cuts[1:]):
+            yield batch.slice(low, high - low)
+
+
 class _Block:
     """Some queries with their vocabulary and pools; what every task gets."""
 

@@ -2,12 +2,14 @@
 
 An index is a folder of three Parquet tables:
 
-* ``blocks`` (shard, term, grp, n, top, docs): ``BLOCK`` postings (doc, tf, length) of one term, shard and group of documents,
-  the n-th best, with the greatest impact among them; written by shard and term, so that a few terms are a few pages;
+* ``blocks`` (shard, term, grp, n, held, top, docs): up to ``BLOCK`` postings (doc, tf, length) of one term, shard and group of
+  documents, the n-th best, with their number and the greatest impact among them; written by shard and term, so that a few terms
+  are a few pages;
 * ``terms`` (term, grp, df, top) and ``totals`` (grp, n_docs, length, ...): statistics. ``totals`` is written last.
 
-A shard is a hash class of about ``SHARD_DOCS`` documents, so the postings of one term in it are bounded and are sorted
-in a row; no task holds the postings of a frequent term. The impact of a posting is its term-frequency factor at
+A shard is a part of a hash class, of ``SHARD_DOCS`` documents or ``SHARD_POSTINGS`` postings, whichever comes first. Texts are
+dealt to tasks, and a task makes the blocks of one shard after the other by itself; no posting is a row, and no task
+holds the postings of a frequent term. The impact of a posting is its term-frequency factor at
 the corpus's mean length; at another mean length it grows at most by the ratio of the two.
 
 A search of a stated set of queries reads blocks of the queries' terms and scores each shard in one task, which holds
@@ -26,19 +28,27 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..sources.tables import checkpointed
-from .retrieval import CAP, FLOOR, K1, B, Tokeniser, alnum_words, top_k
+from .retrieval import CAP, FLOOR, K1, B, Tokeniser, alnum_words, portions, top_k
 
 BLOCK = 128
 SHARD_DOCS = 2_500
+#: Postings at which a shard is full, but for those of its last document.
+SHARD_POSTINGS = 1_000_000
+#: Numbers of shards that a task can give.
+TASK_SHARDS = 1 << 24
+#: Blocks of a batch that is written.
+OUT_BLOCKS = 20_000
 #: Shards that are scored whole to find the bounds.
 FIRST_SHARDS = 2
 #: Cells of the matrix of scores that a task holds.
@@ -51,18 +61,100 @@ def saturation(tf, length, mean):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _count_words(tokenise: Tokeniser):
+def _lengths(tokenise: Tokeniser):
+    """(grp, n_docs, length) of a task's documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n_docs, length = Counter(), Counter()
         for batch in batches:
-            counts = [Counter(tokenise(t)) if t is not None else Counter() for t in batch.column(2).to_pylist()]
+            for part in portions(batch, 2):
+                for grp, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
+                    n_docs[grp] += 1
+                    length[grp] += len(tokenise(text)) if text is not None else 0
+            if len(n_docs) > 100_000:
+                yield _totals(n_docs, length)
+                n_docs.clear(), length.clear()
+        yield _totals(n_docs, length)
+
+    return run
+
+
+def _totals(n_docs: Counter, length: Counter) -> pa.RecordBatch:
+    columns = [pa.array(list(n_docs), pa.string()), pa.array(list(n_docs.values()), pa.int64()), pa.array([length[g] for g in n_docs], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["grp", "n_docs", "length"])
+
+
+class _Shard:
+    """The postings of some documents, as arrays of a document's number, a term's number and tf."""
+
+    def __init__(self) -> None:
+        self.terms: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids: list[pa.Array] = []
+        self.groups: list[str | None] = []
+        self.lengths: list[int] = []
+        self.sizes: list[int] = []
+        self.codes: list[np.ndarray] = []
+        self.tfs: list[np.ndarray] = []
+        self.postings = 0
+
+    def add(self, doc: pa.Array, grp: str | None, words: list[str]) -> None:
+        counts = Counter(words)
+        self.ids.append(doc)
+        self.groups.append(grp)
+        self.lengths.append(len(words))
+        self.sizes.append(len(counts))
+        self.codes.append(np.fromiter(map(self.terms.__getitem__, counts), np.int32, len(counts)))
+        self.tfs.append(np.fromiter(counts.values(), np.int32, len(counts)))
+        self.postings += len(counts)
+
+    def blocks(self, shard: int, mean: float, block: int) -> Iterator[pa.RecordBatch]:
+        """Its blocks by term, group and impact."""
+        names = sorted(self.terms)
+        if not names:
+            return
+        place = np.empty(len(names), np.int32)
+        place[[self.terms[t] for t in names]] = np.arange(len(names), dtype=np.int32)
+        doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        term, tf, length = place[np.concatenate(self.codes)], np.concatenate(self.tfs), np.array(self.lengths, np.int64)
+        numbers = {g: i for i, g in enumerate(dict.fromkeys(self.groups))}
+        group = np.array([numbers[g] for g in self.groups], np.int32)[doc]
+        impact = saturation(tf.astype(np.float64), length[doc], mean)
+        order = np.lexsort((-impact, group, term))
+        doc, term, tf, group, impact = doc[order], term[order], tf[order], group[order], impact[order]
+        new = np.concatenate([[True], (term[1:] != term[:-1]) | (group[1:] != group[:-1])])
+        lists = np.flatnonzero(new)
+        nth = np.arange(len(term)) - np.repeat(lists, np.diff(np.append(lists, len(term))))
+        starts = np.flatnonzero(nth % block == 0)
+        ids, texts, of = pa.concat_arrays(self.ids), pa.array(names, pa.string()), pa.array(list(numbers), pa.string())
+        for low in range(0, len(starts), OUT_BLOCKS):
+            at = starts[low : low + OUT_BLOCKS]
+            a, b = at[0], starts[low + OUT_BLOCKS] if low + OUT_BLOCKS < len(starts) else len(term)
+            ends = np.append(at, b)
+            held = pa.StructArray.from_arrays([ids.take(pa.array(doc[a:b])), pa.array(tf[a:b]), pa.array(length[doc[a:b]])], ["doc", "tf", "length"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), batch.column(1), pa.array([c.total() for c in counts], pa.int64()),
-                    pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())),
+                    pa.array(np.full(len(at), shard)), texts.take(pa.array(term[at])), of.take(pa.array(group[at])), pa.array((nth[at] // block).astype(np.int32)),
+                    pa.array(np.diff(ends)), pa.array(impact[at]), pa.ListArray.from_arrays(pa.array((ends - a).astype(np.int32)), held),
                 ],
-                ["doc", "grp", "length", "terms", "tfs"],
+                ["shard", "term", "grp", "n", "held", "top", "docs"],
             )
 
+
+def _shard_blocks(tokenise: Tokeniser, mean: float, shard_docs: int, shard_postings: int, block: int):
+    """The blocks of a task's documents, shard after shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = TaskContext.get().partitionId() * TASK_SHARDS, _Shard()
+        for batch in batches:
+            for part in portions(batch, 2):
+                for i, (grp, text) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist())):
+                    if len(shard.sizes) >= shard_docs or shard.postings >= shard_postings:
+                        yield from shard.blocks(number, mean, block)
+                        number, shard = number + 1, _Shard()
+                    if text is not None:
+                        shard.add(part.column(0)[i : i + 1], grp, tokenise(text))
+        yield from shard.blocks(number, mean, block)
+
     return run
 
 
@@ -71,26 +163,20 @@ def build_index(docs: DataFrame, path: str, doc_id: str, text: str = "text", gro
     kind = docs.schema[doc_id].dataType.simpleString()
     grp = F.col(group).cast("string") if group else F.lit(None).cast("string")
     plain = docs.select(F.col(doc_id).alias("doc"), grp.alias("grp"), F.col(text).alias("text")).filter("doc IS NOT NULL")
-    counted = checkpointed(plain.mapInArrow(_count_words(tokenise), f"doc {kind}, grp string, length long, terms array<string>, tfs array<int>"))
-    n_docs, length = counted.agg(F.count("*"), F.sum("length")).first()
-    shards = -(-n_docs // SHARD_DOCS) or 1
-    mean = F.lit(float(length or 0) / max(1, n_docs) or 1.0)
-    shard = F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard")
-    each = counted.select(shard, "grp", "doc", "length", F.inline(F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"))))
-    each = each.toDF("shard", "grp", "doc", "length", "term", "tf")
-    posting = F.struct(saturation(F.col("tf"), F.col("length"), mean).alias("impact"), "doc", "tf", "length")
-    # at most the documents of a shard in a row
-    lists = each.groupBy("shard", "term", "grp").agg(F.sort_array(F.collect_list(posting), asc=False).alias("all"))
-    cut = F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(BLOCK)), lambda i: F.slice("all", i + 1, BLOCK))
-    blocks = lists.select("shard", "term", "grp", F.posexplode(cut).alias("n", "own"))
-    held = F.transform("own", lambda p: F.struct(p["doc"].alias("doc"), p["tf"].alias("tf"), p["length"].alias("length")))
-    kept = blocks.select("shard", "term", "grp", "n", F.col("own")[0]["impact"].alias("top"), held.alias("docs"))
-    kept.repartitionByRange("shard", "term").sortWithinPartitions("shard", "term").write.mode("overwrite").parquet(f"{path}/blocks")
+    counted = plain.mapInArrow(_lengths(tokenise), "grp string, n_docs long, length long").groupBy("grp").agg(F.sum("n_docs").alias("n_docs"), F.sum("length").alias("length"))
+    totals = checkpointed(counted)
+    n_docs, length = totals.agg(F.sum("n_docs"), F.sum("length")).first()
+    mean = float(length or 0) / max(1, n_docs or 0) or 1.0
+    # texts are dealt out once; a task makes its postings by itself, so no posting is shuffled or sorted by Spark
+    dealt = plain.repartition(F.xxhash64("doc"))
+    blocks = f"shard long, term string, grp string, n int, held long, top double, docs array<struct<doc:{kind},tf:int,length:long>>"
+    dealt.mapInArrow(_shard_blocks(tokenise, mean, SHARD_DOCS, SHARD_POSTINGS, BLOCK), blocks).write.mode("overwrite").parquet(f"{path}/blocks")
     stored = docs.sparkSession.read.parquet(f"{path}/blocks")
-    terms = stored.groupBy("term", "grp").agg(F.sum(F.size("docs").cast("long")).alias("df"), F.max("top").alias("top"))
+    terms = stored.groupBy("term", "grp").agg(F.sum("held").alias("df"), F.max("top").alias("top"))
     terms.write.mode("overwrite").parquet(f"{path}/terms")
-    totals = counted.groupBy("grp").agg(F.count("*").alias("n_docs"), F.sum("length").alias("length"))
-    totals.select("*", F.lit(shards).alias("shards"), mean.alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+    first = [r["shard"] for r in stored.select("shard").distinct().orderBy("shard").limit(FIRST_SHARDS).collect()]
+    known = totals.select("*", F.lit(mean).alias("mean"), F.array(*map(F.lit, first)).cast("array<long>").alias("first"))
+    known.write.mode("overwrite").parquet(f"{path}/totals")
 
 
 def is_built(spark: SparkSession, path: str) -> bool:
@@ -166,8 +252,9 @@ class Search:
     def __init__(self, spark: SparkSession, path: str, queries: DataFrame, query_id: str, k: int, text: str, pool: str | None, okapi: bool, tokenise: Tokeniser) -> None:
         self.blocks, self.k = spark.read.parquet(f"{path}/blocks"), k
         terms, totals = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals")
-        shape = totals.select("shards", "mean").first()
-        mean = shape["mean"] if shape else 1.0
+        shape = totals.select("mean", "first").first()
+        mean, first_shards = (shape["mean"], shape["first"]) if shape else (1.0, [])
+        self.is_first = F.col("shard").isin(first_shards)
         kind = queries.schema[query_id].dataType.simpleString()
         pools = F.col(pool) if pool else F.lit(None).cast("array<string>")
         asked = queries.select(F.col(query_id).alias("query"), F.col(text).alias("text"), pools.alias("pool"))
@@ -200,7 +287,7 @@ class Search:
         id_kind = self.blocks.schema["docs"].dataType.elementType["doc"].dataType.simpleString()
         self.types = f"query {kind}, doc {id_kind}, score double"
         wanted = F.broadcast(self.plan.select("term").distinct())
-        first = self.blocks.filter(F.col("shard") < FIRST_SHARDS).join(wanted, "term", "left_semi")
+        first = self.blocks.filter(self.is_first).join(wanted, "term", "left_semi")
         self.first = checkpointed(top_k(self._scored(first), ["query"], k, F.desc("score"), F.col("doc")).drop("rank"))
         reached = self.first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         bound = reached.filter(F.col("n") == k).select("query", (F.col("least") - MARGIN).alias("bound"))
@@ -209,7 +296,7 @@ class Search:
         need = ((F.col("bound") - F.col("others")) / (F.col("weight") * F.col("stretch"))).alias("need")
         self.needed = self.bounded.select("query", "pool", "term", need)
         least = self.needed.groupBy("term").agg(F.min("need").alias("need"))
-        met = self.blocks.filter(F.col("shard") >= FIRST_SHARDS).join(F.broadcast(least), "term").filter(F.col("top") >= F.col("need"))
+        met = self.blocks.filter(~self.is_first).join(F.broadcast(least), "term").filter(F.col("top") >= F.col("need"))
         self.read = met.drop("need")
 
     def _scored(self, blocks: DataFrame) -> DataFrame:
@@ -224,9 +311,9 @@ class Search:
 
     def blocks_read(self) -> DataFrame:
         """(query, n_blocks, n_postings, blocks_read, postings_read): what a query's terms have, and what of it can reach the bound."""
-        size = F.size("docs").cast("long")
-        met = self.blocks.join(F.broadcast(self.needed), "term").filter(F.col("pool").isNull() | F.array_contains("pool", F.col("grp")))
-        use = (F.col("shard") < FIRST_SHARDS) | (F.col("top") >= F.col("need"))
+        size = F.col("held")
+        met = self.blocks.drop("docs").join(F.broadcast(self.needed), "term").filter(F.col("pool").isNull() | F.array_contains("pool", F.col("grp")))
+        use = self.is_first | (F.col("top") >= F.col("need"))
         return met.groupBy("query").agg(
             F.count("*").alias("n_blocks"), F.sum(size).alias("n_postings"), F.count_if(use).alias("blocks_read"), F.sum(F.when(use, size).otherwise(0)).alias("postings_read")
         )

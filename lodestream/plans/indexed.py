@@ -17,7 +17,7 @@ _LAYOUTS: dict[str, tuple[str | None, Tokeniser]] = {"words": (None, alnum_words
 
 def index_of_documents(spark: SparkSession, sf_dir: str, layout: str = "words") -> str:
     """The folder of the index of ``documents``, which is written if it isn't there."""
-    path = f"{shared_folder(spark)}/lodestream-index/{layout}-{contents_key(spark, sf_dir, 'documents')}"
+    path = f"{shared_folder(spark)}/lodestream-index-by-tasks/{layout}-{contents_key(spark, sf_dir, 'documents')}"
     if not is_built(spark, path):
         group, tokenise = _LAYOUTS[layout]
         build_index(load(spark, sf_dir, "documents"), path, "doc_id", group=group, tokenise=tokenise)

@@ -78,6 +78,36 @@ def test_an_index_is_written_once(spark, tmp_path):
     assert index_of_documents(spark, str(tmp_path)) != path
 
 
+def shuffled_bytes(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_are_shuffled_and_not_postings(spark, tmp_path):
+    rng = random.Random(2)
+    body = [" ".join(map(str, rng.sample(range(1000, 2000), 300))) for _ in range(800)]
+    docs = spark.createDataFrame(list(enumerate(body)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/docs")
+    before = shuffled_bytes(spark)
+    si.build_index(spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/i", "doc_id")
+    assert shuffled_bytes(spark) - before < sum(map(len, body))
+
+
+def test_a_shard_is_full_by_its_postings(spark, tmp_path, monkeypatch):
+    """Long texts make a shard full before it has all its documents; every posting is in one block of a known size."""
+    monkeypatch.setattr(si, "SHARD_POSTINGS", 500)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 37 + j) % 900}" for j in range(300)), f"g{i % 2}") for i in range(40)], "doc_id long, text string, source string").coalesce(1)
+    si.build_index(docs, f"{tmp_path}/i", "doc_id", group="source")
+    blocks = spark.read.parquet(f"{tmp_path}/i/blocks").selectExpr("shard", "held", "size(docs) AS n").collect()
+    assert all(r["held"] == r["n"] <= si.BLOCK for r in blocks) and sum(r["n"] for r in blocks) == 40 * 300
+    per = {}
+    for r in blocks:
+        per[r["shard"]] = per.get(r["shard"], 0) + r["n"]
+    assert max(per.values()) < 500 + 300
+
+
 def test_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     some = spark.createDataFrame([(1, "a b")], "item_id long, text string")
