@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -101,7 +102,7 @@ def _count_terms(block: _Block, tokenise: Tokeniser):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_terms, n_sources = len(block.vocabulary) + 1, len(block.sources) + 1
         n, length = np.zeros(n_sources * n_terms, np.int64), np.zeros(n_sources * n_terms, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 0)):
             source = np.array([-1 if (s := block.source(x)) is None else s for x in batch.column(1).to_pylist()], np.int64)
             doc, term, _, lengths = _term_counts(block, batch.column(0).to_pylist(), tokenise)
             use = source[doc] >= 0
@@ -122,10 +123,10 @@ def _all_terms(tokenise: Tokeniser):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 0)):
             for text in batch.column(0).to_pylist():
                 counts.update({*tokenise(text), None} if text is not None else {None})
-            if len(counts) > 1_000_000:
+            if len(counts) > 250_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()))], ["term", "n"])
                 counts.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
@@ -162,7 +163,7 @@ class _Best:
             scores, at = scores[keep], at[keep]
         held = self.held[query]
         held += [(-s, row_of(i)) for s, i in zip(scores.tolist(), at)]
-        if len(held) > 4 * self.k:
+        if len(held) > 2 * self.k:
             self.prune(query)
 
     def prune(self, query: int) -> list:
@@ -175,10 +176,11 @@ class _Best:
 def _score(block: _Block, weights: dict, means: dict, k: int, tokenise: Tokeniser, fields: Sequence[tuple[str, pa.DataType]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(len(block.ids), k)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 0)):
             names = batch.column(1).to_pylist()
             columns = [batch.column(i) for i in range(2, batch.num_columns)]
-            row_of = lambda i: tuple(c[int(i)].as_py() for c in columns)
+            # one tuple of a row for all queries that hold it
+            row_of = cache(lambda i, columns=columns: tuple(c[int(i)].as_py() for c in columns))
             doc, term, tf, lengths = _term_counts(block, batch.column(0).to_pylist(), tokenise)
             for pool, queries in block.pools.items():
                 if pool is None:
@@ -191,7 +193,7 @@ def _score(block: _Block, weights: dict, means: dict, k: int, tokenise: Tokenise
                 d, t = doc[use], term[use]
                 saturation = tf[use] * (K1 + 1) / (tf[use] + K1 * (1 - B + B * lengths[d] / means[pool]))
                 starts = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
-                step = max(1, CHUNK_CELLS // max(1, len(queries)))
+                step = max(1, CHUNK_CELLS // max(1, len(queries)))  # postings
                 low = 0
                 while low < len(starts):
                     high = max(low + 1, int(np.searchsorted(starts, starts[low] + step)))
@@ -203,8 +205,10 @@ def _score(block: _Block, weights: dict, means: dict, k: int, tokenise: Tokenise
                         if len(hit):
                             best.offer(q, scores[hit, j], d[starts[low:high]][hit], row_of)
                     low = high
-        rows = [(block.ids[q], *r, -s) for q in range(len(block.ids)) for s, r in best.prune(q)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [n for n, _ in fields])
+        for q, query in enumerate(block.ids):
+            rows = [(query, *r, -s) for s, r in best.prune(q)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], [n for n, _ in fields])
 
     return run
 
