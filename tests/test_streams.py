@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestream.streaming import cumulative as cu
 from lodestream.streaming.events import read_folder
-from lodestream.streaming.stateful import ROCKSDB, circuit_breaker, interval_stream_join
+from lodestream.streaming.stateful import ROCKSDB, _Breaker, circuit_breaker, interval_stream_join
 
 SCHEMA = "k long, v long"
 def measures():
@@ -104,6 +104,61 @@ def test_breaker_over_restarts_and_late_rows(spark, tmp_path):
     assert {k: v for k, v in got.items() if k[0] < 9} == want
 
 
+class _Counted:
+    """A state of a key that counts its calls."""
+
+    def __init__(self):
+        self.values, self.calls = [], {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls[name] = self.calls.get(name, 0) + 1
+            if name == "appendValue":
+                self.values.append(args[0])
+            elif name in ("put", "update"):
+                self.values = list(args[0]) if name == "put" else [args[0]]
+            elif name == "clear":
+                self.values = []
+            elif name == "exists":
+                return bool(self.values)
+            elif name == "listTimers":
+                return []
+
+        return call
+
+
+class _Value(_Counted):
+    def get(self):
+        return self.values[0] if self.values else None
+
+
+class _List(_Counted):
+    def get(self):
+        self.calls["get"] = self.calls.get("get", 0) + 1
+        return iter(list(self.values))
+
+
+def test_waiting_rows_are_few_entries_and_read_once():
+    """A micro-batch's rows of a key are one entry; entries are read when the watermark reaches the earliest."""
+    value, waiting, handle, clock = _Value(), _List(), _Counted(), _Counted()
+    handle.getValueState, handle.getListState = lambda *_: value, lambda *_: waiting
+    now = [0]
+    clock.getCurrentWatermarkInMs = lambda: now[0]
+    breaker = _Breaker(2)
+    breaker.init(handle)
+    rows = [{"ts": at(s), "micros": int(s * 1e6) + 1_000_000, "id": s, "failed": s in (40, 41)} for s in range(2_000)]
+    for low in (1_000, 0, 1_500, 500):
+        assert list(breaker.handleInputRows((7,), iter(rows[low : low + 500]), clock)) == []
+    assert waiting.calls == {"appendValue": 4}
+    now[0] = 1_999_000
+    first = list(breaker.handleExpiredTimer((7,), clock, None))
+    now[0] = 10**9
+    last = list(breaker.handleExpiredTimer((7,), clock, None))
+    assert len(first) == 1_999 and [r["id"] for r in first + last] == list(range(2_000))
+    assert [r["attempted"] for r in first + last] == [i <= 41 for i in range(2_000)]
+    assert waiting.calls["get"] == 2 and not waiting.values
+
+
 def test_interval_join_drops_state(spark, tmp_path):
     w, p = "window_id long, user_id long, begin timestamp, end timestamp", "event_id long, user_id long, ts timestamp"
     query = None
