@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from lodestream.operators import retrieval as bm
+from lodestream.operators import stored_index as si
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -41,6 +42,13 @@ def test_a_batch_is_taken_in_portions(name):
     assert large[0] < 1.5 * small[0] + 10_000_000
 
 
+def test_an_index_counts_a_batch_in_portions():
+    turned = lambda given: (b.select(["doc_id", "source", "text"]) for b in given)
+    run = lambda given: si._lengths(bm.alnum_words)(turned(given))
+    small, large = peak(run, 3_000), peak(run, 12_000)
+    assert large[0] < 1.5 * small[0] + 5_000_000
+
+
 def test_portions():
     texts = ["a" * n for n in (900_000, 900_000, 900_000, 5_000_000, 10)] + [None, ""]
     whole = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
