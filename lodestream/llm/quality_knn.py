@@ -40,6 +40,8 @@ DIMENSIONS = 64
 NEIGHBOURS = 25
 PRIOR_WEIGHT = 0.05
 GOOD_AT = 0.7
+#: Coordinates are whole multiples of 1 / GRID: sums of their products are exact in a double, however many rows are multiplied at once.
+GRID = 2.0**20
 
 
 def _character_classes() -> np.ndarray:
@@ -110,6 +112,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
 
 
+def _grid(x: np.ndarray) -> np.ndarray:
+    x = x * GRID if x.dtype == np.float64 else x.astype(np.float64) * GRID
+    np.rint(x, out=x)
+    x /= GRID
+    return x
+
+
 def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     reader, classes = WordReader(), _character_classes()
     for batch in batches:
@@ -150,12 +159,13 @@ def fit(labelled: DataFrame, dimensions: int = DIMENSIONS) -> Model | None:
         basis = x @ (x.T @ np.linalg.qr(basis)[0])
     basis = np.linalg.qr(basis)[0]
     directions = np.linalg.svd(basis.T @ x, full_matrices=False)[2][:rank].T
-    return Model(idf, np.ascontiguousarray(directions, np.float32), _unit(x @ directions).astype(np.float32), labels, float(labels.mean()))
+    directions = np.ascontiguousarray(_grid(directions))
+    return Model(idf, directions, _grid(_unit(_grid(x) @ directions)), labels, float(labels.mean()))
 
 
 def vote(model: Model, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Scores of documents by their term counts: exact products with all labelled vectors."""
-    projected = _unit(_weighted(counts, model.idf) @ model.directions)
+    projected = _grid(_unit(_grid(_weighted(counts, model.idf)) @ model.directions))
     products = projected @ model.vectors.T
     k = min(neighbours, products.shape[1])
     last = np.partition(products, products.shape[1] - k, axis=1)[:, products.shape[1] - k :].min(axis=1, keepdims=True)

@@ -103,3 +103,16 @@ def test_clashing_labels_and_the_layout(spark, sf_dir):
         model = q.fit(q.labelled_sample(dealt, marks))
         found.append({r["doc_id"]: r["score"] for r in q.classify_quality(dealt, model).collect()})
     assert all(abs(found[1][d] - x) < 1e-9 for d, x in found[0].items())
+
+
+def test_scores_do_not_depend_on_the_rows_of_a_block():
+    rng = np.random.default_rng(1)
+    counts = rng.poisson(0.02, (812, q.TERMS)).astype(np.float32)
+    labelled, idf = counts[:300], np.ones(q.TERMS, np.float32)
+    directions = q._grid(np.linalg.qr(rng.standard_normal((q.TERMS, 64)))[0])
+    vectors = q._grid(q._unit(q._grid(q._weighted(labelled, idf)) @ directions))
+    model = q.Model(idf, directions, vectors, (rng.random(300) < 0.5).astype(np.float32), 0.5)
+    whole = q.vote(model, counts[300:])
+    for rows in (1, 7, 100, 511):
+        cut = np.concatenate([q.vote(model, counts[a : a + rows]) for a in range(300, 812, rows)])
+        assert abs(cut - whole).max() < 1e-12
