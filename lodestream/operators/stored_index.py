@@ -20,7 +20,8 @@ A document of a block passed over stays below the bound whatever else it holds,
 posting in such a block, so results equal those of a full scan.
 
 Queries of one or two words pass over most blocks; for passages of fifty words, whose other terms together far
-exceed the bound, few are passed over, and what is saved is reading and cutting the texts. Documents without text have no
+exceed the bound, few are passed over, and what is saved is reading and cutting the texts. Of an index by groups only blocks
+are shuffled whose group is in the pool of a query with the term. Documents without text have no
 terms but count; those without an id can't be named and are left out.
 """
 
@@ -246,6 +247,15 @@ def _score_shard(held, k: int, id_type: pa.DataType, query_type: pa.DataType):
     return run
 
 
+def _met(blocks: DataFrame, needs: DataFrame) -> DataFrame:
+    """Blocks of a term and group that some query may use, with the impact it ``needs`` (pool, term, need)."""
+    # one row for a term, so no block is met twice; a null group stands for all
+    each = needs.select("term", F.explode_outer("pool").alias("grp"), "need").groupBy("term", "grp").agg(F.min("need").alias("need"))
+    by_term = each.groupBy("term").agg(F.collect_list(F.struct("grp", "need")).alias("needs"))
+    used = F.exists("needs", lambda x: (x["grp"].isNull() | (x["grp"] == F.col("grp"))) & (F.col("top") >= x["need"]))
+    return blocks.join(F.broadcast(by_term), "term").filter(used).drop("needs")
+
+
 class Search:
     """A search of an index: ``best`` are the results, ``blocks_read`` tells what was read for them."""
 
@@ -286,8 +296,7 @@ class Search:
         self.held = spark.sparkContext.broadcast(_Plan(self.plan.select("query", "term", "weight", "mean", "pool").collect()))
         id_kind = self.blocks.schema["docs"].dataType.elementType["doc"].dataType.simpleString()
         self.types = f"query {kind}, doc {id_kind}, score double"
-        wanted = F.broadcast(self.plan.select("term").distinct())
-        first = self.blocks.filter(self.is_first).join(wanted, "term", "left_semi")
+        first = _met(self.blocks.filter(self.is_first), self.plan.select("pool", "term", F.lit(0.0).alias("need")))
         self.first = checkpointed(top_k(self._scored(first), ["query"], k, F.desc("score"), F.col("doc")).drop("rank"))
         reached = self.first.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least"))
         bound = reached.filter(F.col("n") == k).select("query", (F.col("least") - MARGIN).alias("bound"))
@@ -295,9 +304,7 @@ class Search:
         # the least block impact with which a query can still reach its bound by this term
         need = ((F.col("bound") - F.col("others")) / (F.col("weight") * F.col("stretch"))).alias("need")
         self.needed = self.bounded.select("query", "pool", "term", need)
-        least = self.needed.groupBy("term").agg(F.min("need").alias("need"))
-        met = self.blocks.filter(~self.is_first).join(F.broadcast(least), "term").filter(F.col("top") >= F.col("need"))
-        self.read = met.drop("need")
+        self.read = _met(self.blocks.filter(~self.is_first), self.needed)
 
     def _scored(self, blocks: DataFrame) -> DataFrame:
         spark = self.blocks.sparkSession

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestream.operators import stored_index as si
 from lodestream.operators.retrieval import bm25_best, blank_words
@@ -95,6 +96,23 @@ def test_texts_are_shuffled_and_not_postings(spark, tmp_path):
     assert shuffled_bytes(spark) - before < sum(map(len, body))
 
 
+def test_only_blocks_of_a_pool_are_shuffled(spark, tmp_path):
+    """Questions with one group each take the blocks of that group alone; a pool of null takes all, each once."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 60}" for j in range(40)), f"g{i % 10}") for i in range(600)], "doc_id long, text string, source string")
+    si.build_index(docs, f"{tmp_path}/i", "doc_id", group="source")
+    asked = [(i, f"w{i} w{i + 1}", [f"g{i}"]) for i in range(6)] + [(9, "w50", None), (10, "w50 w51", ["g3", "g4"])]
+    queries = spark.createDataFrame(asked, "item_id long, text string, pool array<string>")
+    found = si.search(spark, f"{tmp_path}/i", queries, "item_id", 4, pool="pool")
+    blocks = found.blocks.select("shard", "term", "grp", "n")
+    everything = rows_of(blocks)
+    wanted = {(t, g) for _, text, pool in asked for t in text.split() for g in (pool or [f"g{i}" for i in range(10)])}
+    taken = rows_of(si._met(found.blocks, found.needed.withColumn("need", F.lit(0.0))).select("shard", "term", "grp", "n"))
+    assert taken == [r for r in everything if (r[1], r[2]) in wanted] and len(taken) < len(everything) / 10
+    assert {(r["term"], r["grp"]) for r in found.read.select("term", "grp").collect()} <= wanted
+    want = bm25_best(docs, queries, "doc_id", "item_id", 4, source="source", pool="pool")
+    assert rows_of(found.best().select("query", "doc", "score", "rank")) == rows_of(want.select("item_id", "doc_id", "score", "rank"))
+
+
 def test_a_shard_is_full_by_its_postings(spark, tmp_path, monkeypatch):
     """Long texts make a shard full before it has all its documents; every posting is in one block of a known size."""
     monkeypatch.setattr(si, "SHARD_POSTINGS", 500)
