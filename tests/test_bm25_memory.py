@@ -2,9 +2,11 @@
 
 import random
 import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from lodestream.operators import retrieval as bm
@@ -49,6 +51,21 @@ def test_an_index_counts_a_batch_in_portions():
     assert large[0] < 1.5 * small[0] + 5_000_000
 
 
+def test_an_index_is_written_in_portions(monkeypatch):
+    """Neither a larger batch nor more shards make a task that writes an index hold more."""
+    monkeypatch.setattr(si, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(bm, "PORTION", 500_000)
+    given = {rows: batch(rows).select(["doc_id", "source", "text"]) for rows in (3_000, 12_000)}
+    found = {}
+    for rows, whole in given.items():
+        tracemalloc.start()
+        found[rows] = sum(pc.sum(b.column("held")).as_py() for b in si._shard_blocks(bm.alnum_words, 200.0, 500, 1_000_000, 128)(iter([whole])))
+        found[rows, "peak"] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+    assert found[12_000] == 4 * found[3_000] > 0
+    assert found[12_000, "peak"] < 1.3 * found[3_000, "peak"] + 1_000_000
+
+
 def test_portions():
     texts = ["a" * n for n in (900_000, 900_000, 900_000, 5_000_000, 10)] + [None, ""]
     whole = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], ["id", "text"])
